@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, repair
+from . import langid, packing, repair
 from .shared import documents, shared_dir, staged
 
 
@@ -24,6 +24,10 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.starts(staged(repair.read(spark, path), "decoded")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 

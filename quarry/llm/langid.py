@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import stratified
-from .shared import crc_mod, small_batches
+from .shared import crc_mod, small_batches, widened
 
 #: Texts sampled for each language, and the bytes of its dictionary.
 SAMPLE, DICTIONARY = 300, 100_000
@@ -74,10 +74,9 @@ _READY: dict[int, Compressors] = {}
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """Add ``lang_pred, score, rejected`` to the rows of ``docs``, which has ``text``."""
     small_batches(docs.sparkSession)
-    added = ["lang_pred", "score", "rejected"]
-    schema = docs.drop(*added).schema
-    for name, kind in zip(added, ("string", "double", "boolean")):
-        schema = schema.add(name, kind)
+    added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    docs = docs.drop(*added)
+    schema = widened(docs, **added)
     token = hash(tuple(dictionaries.items()))
 
     def run(batches):
@@ -89,7 +88,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
             more = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([x == UNKNOWN or s < margin for x, s in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *added])
 
-    return docs.drop(*added).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

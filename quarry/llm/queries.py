@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, repair
+from . import langid, packing, quality, repair, toxicity
 from .shared import documents, shared_dir, staged
 
 
@@ -24,6 +24,14 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.starts(staged(repair.read(spark, path), "decoded")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _LOCAL: list[str] = []
 
@@ -63,6 +64,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def widened(df: DataFrame, **added: str) -> StructType:
+    """The schema of ``df`` with columns added, by name and type."""
+    return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in added.items())])
+
+
 def parts(n_rows: int, each: int, least: int = 1) -> int:
     """How many parts hold ``n_rows`` at ``each`` rows a part."""
     return max(least, -(-n_rows // each))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, repair, toxicity
+from . import langid, packing, pstable, quality, repair, simhash, toxicity
 from .shared import documents, shared_dir, staged
 
 
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     repair.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -40,6 +44,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

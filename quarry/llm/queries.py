@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, merkle, packing, pstable, quality, repair, simhash, toxicity
+from . import langid, merkle, packing, pstable, quality, repair, simhash, suffix, toxicity
 from .shared import documents, shared_dir, staged
 
 
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(documents(spark, sf_dir))
+
+
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(documents(spark, sf_dir))
 

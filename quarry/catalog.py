@@ -1,11 +1,543 @@
-"""Registry of the reference-shaped queries."""
+"""Registry of the reference-shaped queries: each on stand-in tables, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import scalar as fn
+from .operators import analytics, documents, graph, index, retrieval, warehouse
+from .plans.standins import TABLES, World, view_sql
+from .streaming import events
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[World], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of a World under its name; ``sql`` names stand-ins as tables."""
+
+    def add(f: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            import re
+
+            used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+            first, _, rest = sql.strip().partition("WITH RECURSIVE ")
+            named = ", ".join(view_sql(t) for t in used)
+            _SQL[f.__name__] = f"WITH RECURSIVE {named}{', ' if named else ''}{rest}" if not first and rest else (f"WITH {named} {sql}" if named else sql)
+        return f
+
+    return add
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Columns in the types that the SQL gives: long for whole numbers, doubles rounded to four places."""
+    def one(name: str, kind: str) -> Column:
+        if kind in ("tinyint", "smallint", "int") or kind.startswith("decimal"):
+            return F.col(name).cast("long")
+        if kind in ("float", "double"):
+            return F.round(F.col(name).cast("double"), 4)
+        return F.col(name)
+
+    return df.select(*[one(n, k).alias(n) for n, k in df.dtypes])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, f=f: settled(f(World(spark, sf_dir))) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- filters, lists, lookups ---
+
+
+@query("SELECT id, project, created_at FROM runs WHERE id = 'run-33'")
+def fil1_point(w):
+    return warehouse.point(w.runs, "run-33").select("id", "project", "created_at")
+
+
+@query("SELECT id, step, provider FROM calls WHERE pipeline_run_id = 'run-33'")
+def fil2_calls_of_run(w):
+    return warehouse.by_key(w.calls, "pipeline_run_id", "run-33", "created_at").select("id", "step", "provider")
+
+
+@query("SELECT id FROM runs WHERE created_at >= '1996-01-02T00:00:00Z' AND project = 'p2'")
+def fil3_since_project(w):
+    return warehouse.optional(w.runs, "1996-01-02T00:00:00Z", "p2").select("id")
+
+
+@query("SELECT id, created_at FROM runs WHERE id ILIKE 'RUN-1_5%'")
+def fil15_prefix(w):
+    return warehouse.by_prefix(w.runs, "RUN-1_5").select("id", "created_at")
+
+
+@query("SELECT id, file_path FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.%')")
+def fil11_without_tests(w):
+    return w.symbols.where(~graph._test_file(F.col("file_path"))).select("id", "file_path")
+
+
+@query("SELECT id, file_path FROM chunks WHERE language = 'en' AND chunk_type = 'long' AND file_path LIKE 'src_/%'")
+def fil6_chunk_filter(w):
+    return retrieval.chunk_filter(w.chunks, "en", "long", "src_/").select("id", "file_path")
+
+
+@query("SELECT DISTINCT file_path FROM chunks WHERE regexp_matches(file_path, '^src1[^/]*/.*en[^/]\\.md$')")
+def fil12_glob(w):
+    return w.chunks.where(fn.matches_glob(F.col("file_path"), ["src1*/**/en?.md"]) | fn.matches_glob(F.col("file_path"), ["nothing/"])).select("file_path").distinct()
+
+
+@query("SELECT DISTINCT file_path FROM chunks WHERE file_path = 'src3' OR starts_with(file_path, 'src3/') OR file_path = 'src11/en1.md'")
+def fil14_forbidden(w):
+    prefixes = w.spark.createDataFrame([("src3/",), ("src11/en1.md",)], "prefix string")
+    return warehouse.forbidden(w.chunks.select("file_path").withColumnRenamed("file_path", "path"), prefixes).select(F.col("path").alias("file_path"))
+
+
+@query("SELECT id, created_at FROM runs ORDER BY created_at DESC, id DESC LIMIT 20")
+def tk2_newest(w):
+    return warehouse.newest(w.runs, limit=20).select("id", "created_at")
+
+
+@query("""SELECT id, CASE WHEN verify_result IS NULL OR human_result IS NULL THEN 'pending' WHEN verify_result = 'WARN' OR (verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected') THEN 'match' ELSE 'mismatch' END AS agreement,
+ (scope_tokens_in + scope_tokens_out + build_tokens_in + build_tokens_out + verify_tokens_in + verify_tokens_out)::BIGINT AS total_tokens FROM runs ORDER BY created_at DESC, id DESC LIMIT 5""")
+def tk1_recent_runs(w):
+    return warehouse.recent_runs(w.runs).select("id", "agreement", "total_tokens")
+
+
+@query("SELECT t.id, t.workflow_id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state NOT IN ('completed', 'failed', 'cancelled', 'awaiting_review')")
+def jn1_next_runnable(w):
+    return warehouse.next_runnable(w.tasks, w.workflows).select("id", "workflow_id")
+
+
+@query("SELECT t.id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state IN ('running', 'pending') AND f.current_depth < f.max_depth AND f.files_changed < f.max_files_changed AND t.attempts < t.max_attempts")
+def str9_claimable(w):
+    return warehouse.claimable(w.tasks, w.workflows).select("id")
+
+
+@query("SELECT id FROM tasks WHERE error_message IN ('timeout', 'transient') AND attempts < max_attempts")
+def str10_retryable(w):
+    return warehouse.retryable(w.tasks).select("id")
+
+
+@query("SELECT plan_task_id, id FROM (SELECT *, row_number() OVER (PARTITION BY plan_task_id ORDER BY created_at DESC, id DESC) rn FROM runs WHERE plan_task_id IS NOT NULL) WHERE rn = 1")
+def wn1_latest_per_task(w):
+    return warehouse.latest_per_task(w.runs).select("plan_task_id", "id")
+
+
+@query("SELECT workflow_id, id FROM (SELECT *, rank() OVER (PARTITION BY workflow_id ORDER BY created_at DESC) rn FROM runs) WHERE rn = 1")
+def wn4_latest_per_workflow(w):
+    return warehouse.latest_per_workflow(w.runs).select("workflow_id", "id")
+
+
+@query("""SELECT workflow_id, current_state, run_id, verify_result, round(call_cost, 4) AS call_cost FROM (SELECT f.id AS workflow_id, f.current_state, r.id AS run_id, r.verify_result, CASE WHEN r.id IS NULL THEN NULL ELSE coalesce((SELECT sum(estimated_cost_usd) FROM calls c WHERE c.pipeline_run_id = r.id), 0) END AS call_cost, f.updated_at
+ FROM workflows f LEFT JOIN (SELECT *, rank() OVER (PARTITION BY workflow_id ORDER BY created_at DESC) rn FROM runs) r ON r.workflow_id = f.id AND r.rn = 1)
+ ORDER BY CASE current_state WHEN 'running' THEN 0 WHEN 'awaiting_review' THEN 1 ELSE 2 END, updated_at DESC, workflow_id, run_id NULLS FIRST LIMIT 50 OFFSET 10""")
+def tk3_workflow_list(w):
+    return warehouse.workflow_list(w.workflows, w.runs, w.calls, offset=10).select("workflow_id", "current_state", "run_id", "verify_result", "call_cost")
+
+
+@query("""SELECT s.id AS session_id, (SELECT count(*) FROM runs r WHERE r.session_id = s.id)::BIGINT AS n_runs, (SELECT count(*) FROM plans p WHERE p.session_id = s.id)::BIGINT AS n_plans,
+ (SELECT f.current_state FROM runs r JOIN workflows f ON f.id = r.workflow_id WHERE r.session_id = s.id ORDER BY r.created_at DESC, r.id DESC LIMIT 1) AS current_state FROM sessions s""")
+def jn6_session_list(w):
+    return warehouse.session_list(w.sessions, w.runs, w.plans, w.workflows).select("session_id", "n_runs", "n_plans", "current_state")
+
+
+@query("""SELECT DISTINCT r.session_id, r.workflow_id, CASE f.current_state WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' WHEN 'cancelled' THEN 'failed' WHEN 'awaiting_review' THEN 'awaiting_review' ELSE 'running' END AS state
+ FROM runs r JOIN sessions s ON s.id = r.session_id AND s.kind = 'run_only' JOIN workflows f ON f.id = r.workflow_id""")
+def jn12_state_mirror(w):
+    return warehouse.state_mirror(w.runs, w.sessions, w.workflows).select("session_id", "workflow_id", "state")
+
+
+@query("SELECT f.id AS workflow_id, r.id AS run_id, (SELECT string_agg(c.id::VARCHAR, ',' ORDER BY c.id) FROM calls c WHERE c.pipeline_run_id = r.id) AS call_ids FROM workflows f LEFT JOIN (SELECT * FROM runs WHERE workflow_id = 'wf-7' ORDER BY created_at DESC, id DESC LIMIT 1) r ON r.workflow_id = f.id WHERE f.id = 'wf-7'")
+def prj8_workflow_detail(w):
+    d = warehouse.workflow_detail(w.workflows, w.runs, w.calls, "wf-7")
+    return d.select("workflow_id", "run_id", F.array_join(F.transform("calls", lambda c: c["id"].cast("string")), ",").alias("call_ids"))
+
+
+@query("""SELECT id, phase, status FROM (SELECT id, 'scope' AS phase, CASE WHEN scope_completed_at IS NOT NULL THEN 'completed' WHEN scope_started_at IS NOT NULL THEN 'active' ELSE 'pending' END AS status FROM runs
+ UNION ALL SELECT id, 'build', CASE WHEN build_completed_at IS NOT NULL THEN 'completed' WHEN build_started_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs
+ UNION ALL SELECT id, 'verify', CASE WHEN verify_completed_at IS NOT NULL THEN 'completed' WHEN verify_started_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs
+ UNION ALL SELECT id, 'review', CASE WHEN human_result = 'approved' THEN 'completed' WHEN human_result = 'rejected' THEN 'failed' WHEN verify_completed_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs)""")
+def prj7_phase_status(w):
+    return warehouse.phase_status(w.runs).select("id", "phase", "status")
+
+
+# --- aggregates ---
+
+_STATS = ", ".join([f"sum(CASE WHEN verify_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS verify_{r.lower()}" for r in ("PASS", "WARN", "FAIL")] + [f"sum(CASE WHEN human_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS human_{r}" for r in ("approved", "rejected")] + [f"round(avg(epoch({p}_completed_at::TIMESTAMP) - epoch({p}_started_at::TIMESTAMP)), 4) AS avg_{p}_s" for p in ("scope", "build", "verify")] + [f"sum({p}_tokens_{d})::BIGINT AS {p}_tokens_{d}" for p in ("scope", "build", "verify") for d in ("in", "out")])
+
+
+@query(f"SELECT count(*) AS total_runs, {_STATS}, round(sum(build_cost_usd), 4) AS build_cost_usd FROM runs")
+def ag1_pipeline_stats(w):
+    return warehouse.pipeline_stats(w.runs)
+
+
+@query("SELECT verify_result, human_result, count(*) AS n FROM runs WHERE verify_result IS NOT NULL AND human_result IS NOT NULL GROUP BY ALL")
+def ag2_agreement_matrix(w):
+    return warehouse.agreement_matrix(w.runs)
+
+
+@query("""SELECT verify_result, count(*) FILTER (human_result = 'approved') AS approved, count(*) FILTER (human_result = 'rejected') AS rejected,
+ (SELECT (count(*) FILTER (verify_result = 'WARN' OR (verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected')) * 100) // count(*) FROM runs WHERE verify_result IS NOT NULL AND human_result IS NOT NULL)::BIGINT AS agreement_pct
+ FROM runs WHERE verify_result IS NOT NULL AND human_result IS NOT NULL GROUP BY verify_result""")
+def ag3_agreement_pivot(w):
+    return warehouse.agreement_pivot(w.runs)
+
+
+@query("SELECT work_order_type, count(*) AS runs, count(*) FILTER (verify_result = 'PASS') AS passed, count(*) FILTER (human_result = 'approved') AS approved, round(avg(build_cost_usd), 4) AS avg_cost FROM runs WHERE work_order_type IS NOT NULL GROUP BY 1")
+def ag4_by_type(w):
+    return warehouse.by_work_order_type(w.runs)
+
+
+@query("SELECT round(avg(scope_files_suggested), 4) AS avg_suggested, round(avg(build_files_changed), 4) AS avg_changed, count(*) FILTER (build_scope_drift > 0) AS drifted, count(*) FILTER (scope_estimated_complexity = 'high') AS high_complexity, count(*) FILTER (scope_rag_direct > 0) AS with_retrieval FROM runs")
+def ag5_scope_quality(w):
+    return warehouse.scope_quality(w.runs)
+
+
+_PROVIDER = "SELECT provider, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum(estimated_cost_usd), 4) AS cost_usd, count(*) FILTER (success = 0) AS failed, (count(*) * 100) // (sum(count(*)) OVER ())::BIGINT AS share_pct FROM calls {} GROUP BY provider, model"
+
+
+@query(_PROVIDER.format("WHERE pipeline_run_id = 'run-33'"))
+def ag6_provider_of_run(w):
+    return warehouse.calls_by_provider(w.calls, "run-33")
+
+
+@query(_PROVIDER.format(""))
+def ag7_provider(w):
+    return warehouse.calls_by_provider(w.calls)
+
+
+@query("SELECT phase, count(*) AS calls, count(DISTINCT pipeline_run_id) AS runs, round(count(*) / count(DISTINCT pipeline_run_id), 4) AS calls_a_run FROM calls GROUP BY phase")
+def ag8_phase(w):
+    return warehouse.calls_by_phase(w.calls)
+
+
+@query("SELECT count(*) AS n FROM runs WHERE plan_task_id = 'task-33' AND verify_result = 'PASS' AND human_result = 'approved'")
+def ag10_approved(w):
+    return warehouse.approved_count(w.runs, "task-33")
+
+
+@query("""SELECT count(*) AS total_runs, count(*) FILTER (verify_result = 'PASS') AS passed, count(*) FILTER (verify_result = 'FAIL') AS failed, count(*) FILTER (verify_result = 'WARN') AS errors,
+ round(avg(coalesce(build_cost_usd, 0) + coalesce(c, 0)), 4) AS avg_cost, round(sum(coalesce(build_cost_usd, 0) + coalesce(c, 0)), 4) AS total_cost, round(avg(epoch(verify_completed_at::TIMESTAMP) - epoch(scope_started_at::TIMESTAMP)), 4) AS avg_duration_s,
+ count(*) FILTER (verify_result IS NOT NULL AND human_result IS NOT NULL) AS judged, count(*) FILTER ((verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected')) AS agreed,
+ round(count(*) FILTER (verify_result = 'PASS') / count(*), 4) AS pass_rate, round(count(*) FILTER ((verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected')) / count(*) FILTER (verify_result IS NOT NULL AND human_result IS NOT NULL), 4) AS agreement_rate
+ FROM runs LEFT JOIN (SELECT pipeline_run_id, sum(estimated_cost_usd) AS c FROM calls GROUP BY 1) k ON k.pipeline_run_id = runs.id""")
+def ag11_pipeline_summary(w):
+    return analytics.pipeline_summary(w.runs, w.calls)
+
+
+_PLAN_COST = "coalesce(generation_cost_usd, 0) + coalesce(audit_cost_usd, 0)"
+
+
+@query(f"SELECT count(*) AS total_plans, count(*) FILTER (state = 'complete') AS complete, round(avg({_PLAN_COST}), 4) AS avg_cost, round(sum({_PLAN_COST}), 4) AS total_cost, round(avg(coalesce(work_orders_generated, 0)), 4) AS avg_work_orders FROM plans WHERE project = 'p3'")
+def ag12_plan_summary(w):
+    return analytics.plan_summary(w.plans, project="p3")
+
+
+@query(f"SELECT round((SELECT sum({_PLAN_COST}) FROM plans) + (SELECT sum(coalesce(build_cost_usd, 0)) FROM runs) + (SELECT sum(estimated_cost_usd) FROM calls JOIN runs ON runs.id = pipeline_run_id), 4) AS combined_cost")
+def ag13_combined(w):
+    return analytics.combined_total(analytics.pipeline_summary(w.runs, w.calls), analytics.plan_summary(w.plans))
+
+
+@query("""SELECT c.model, provider, phase, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(estimated_cost_usd), 4) AS cost, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum(success) / count(*), 4) AS success_rate,
+ round(CASE WHEN phase = 'build' THEN (SELECT count(*) FILTER (verify_result = 'PASS') / count(*) FROM runs WHERE verify_result IS NOT NULL AND build_model = c.model) END, 4) AS pass_rate FROM calls c GROUP BY c.model, provider, phase""")
+def ag14_models(w):
+    return analytics.model_stats(w.runs, w.calls)
+
+
+@query("""SELECT count(*) AS runs, count(*) FILTER (a > 0 OR m > 0 OR t <> '' OR coalesce(pre, 0) <> coalesce(post, 0)) AS changed_runs, count(*) FILTER (a = 0 AND m = 0 AND t = '' AND (pre IS NULL OR post IS NULL OR pre = post)) AS unchanged_runs, sum(a)::BIGINT AS added, sum(m)::BIGINT AS modified
+ FROM (SELECT coalesce(audit_work_orders_added, 0) a, coalesce(audit_work_orders_modified, 0) m, coalesce(audit_change_text, '') t, pre_audit_work_order_count pre, post_audit_work_order_count post FROM plans)""")
+def ag16_audit(w):
+    return warehouse.audit_stats(w.plans)
+
+
+@query("SELECT id, (coalesce(audit_work_orders_added, 0) > 0 OR coalesce(audit_work_orders_modified, 0) > 0 OR coalesce(audit_change_text, '') <> '') AS audit_changed, (post_audit_work_order_count - pre_audit_work_order_count)::DOUBLE AS count_delta FROM plans")
+def prj4_audit_usefulness(w):
+    return warehouse.audit_usefulness(w.plans).select("id", "audit_changed", F.col("count_delta").cast("double"))
+
+
+_RUN_COST = "coalesce(build_cost_usd, 0) + coalesce((SELECT sum(estimated_cost_usd) FROM calls WHERE pipeline_run_id = runs.id), 0)"
+
+
+@query(f"SELECT id, created_at::DATE::VARCHAR AS date, round({_RUN_COST}, 4) AS cost, (epoch(build_completed_at::TIMESTAMP) - epoch(build_started_at::TIMESTAMP))::DOUBLE AS build_s, (epoch(verify_completed_at::TIMESTAMP) - epoch(scope_started_at::TIMESTAMP))::DOUBLE AS total_s, (CASE WHEN verify_result IS NULL OR human_result IS NULL THEN NULL WHEN (verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected') THEN 1 ELSE 0 END)::DOUBLE AS human_agreed FROM runs WHERE project = 'p1'")
+def prj2_run_trends(w):
+    return analytics.run_trends(w.runs, w.calls, project="p1").select("id", F.col("date").cast("string"), "cost", *[F.col(c).cast("double") for c in ("build_s", "total_s", "human_agreed")])
+
+
+@query(f"SELECT id, created_at::DATE::VARCHAR AS date, round({_PLAN_COST}, 4) AS cost, (coalesce(post_audit_work_order_count, 0) - coalesce(pre_audit_work_order_count, 0))::BIGINT AS count_delta FROM plans")
+def prj3_plan_trends(w):
+    return analytics.plan_trends(w.plans).select("id", F.col("date").cast("string"), "cost", "count_delta")
+
+
+@query(f"SELECT date::VARCHAR AS date, round(sum(r), 4) AS run_cost, round(sum(p), 4) AS plan_cost FROM (SELECT created_at::DATE AS date, {_RUN_COST} AS r, 0 AS p FROM runs UNION ALL SELECT created_at::DATE, 0, {_PLAN_COST} FROM plans) GROUP BY date")
+def ag32_daily_costs(w):
+    return analytics.daily_costs(analytics.run_trends(w.runs, w.calls), analytics.plan_trends(w.plans)).withColumn("date", F.col("date").cast("string"))
+
+
+@query("SELECT CASE verify_result WHEN 'PASS' THEN 'pass' WHEN 'FAIL' THEN 'fail' ELSE 'error' END AS kind, count(*) AS n FROM runs GROUP BY 1")
+def ag33_distribution(w):
+    return analytics.verify_distribution(w.runs)
+
+
+@query("""SELECT id, project, round(avg(g) OVER (PARTITION BY project ORDER BY created_at, id ROWS 9 PRECEDING) * 100, 4) AS rate FROM (SELECT id, project, created_at, CASE WHEN (verify_result = 'PASS' AND human_result = 'approved') OR (verify_result = 'FAIL' AND human_result = 'rejected') THEN 1.0 ELSE 0.0 END AS g FROM runs WHERE verify_result IS NOT NULL AND human_result IS NOT NULL)""")
+def wn2_rolling_agreement(w):
+    trends = w.runs.withColumn("human_agreed", analytics.agreed(F.col("verify_result"), F.col("human_result")))
+    return analytics.rolling_agreement(trends, ["project"]).select("id", "project", "rate")
+
+
+@query("SELECT pipeline_run_id, " + ", ".join(f"{'round(' if a == 'cost' else ''}sum({c}) FILTER (phase = '{p}'){', 4)' if a == 'cost' else '::DOUBLE'} AS {p}_{a}" for p in ("scope", "build", "verify") for c, a in (("tokens_in", "in"), ("tokens_out", "out"), ("estimated_cost_usd", "cost"))) + " FROM calls GROUP BY 1")
+def ag34_phase_totals(w):
+    rows = analytics.phase_totals(w.calls)
+    return rows.select("pipeline_run_id", *[F.col(c).cast("double") for c in rows.columns[1:]])
+
+
+@query("SELECT pipeline_run_id, step, sum(tokens_in + tokens_out)::BIGINT AS tokens, max_by(model, row(id, model)) FILTER (success = 1) AS model FROM calls GROUP BY 1, 2")
+def ag20_call_metrics(w):
+    return analytics.call_metrics(w.calls)
+
+
+@query("SELECT pipeline_run_id AS grp, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, CASE count(DISTINCT model) WHEN 0 THEN '' WHEN 1 THEN max(model) ELSE 'multiple' END AS model FROM calls GROUP BY 1")
+def ag21_merged_metrics(w):
+    return analytics.merged_metrics(w.calls.withColumnRenamed("pipeline_run_id", "grp"))
+
+
+@query("SELECT id, verify_completed_at FROM runs ORDER BY verify_completed_at DESC NULLS LAST, id LIMIT 25")
+def tk12_nulls_last(w):
+    return analytics.sorted_by(w.runs, "verify_completed_at", True).select("id", "verify_completed_at").limit(25)
+
+
+_TASKS = "t AS (SELECT concat('task-', i) AS task_id, concat('task-', i - 1) AS dep FROM range(420) r(i))"
+
+
+def _tasks(w):
+    return w.spark.range(420).select(F.concat(F.lit("task-"), "id").alias("task_id"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("task-"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+
+
+_STATUS = f"""WITH RECURSIVE {_TASKS}, last AS (SELECT * FROM (SELECT runs.*, f.current_state, row_number() OVER (PARTITION BY plan_task_id ORDER BY runs.created_at DESC, runs.id DESC) rn FROM runs JOIN workflows f ON f.id = workflow_id WHERE plan_task_id IS NOT NULL) WHERE rn = 1),
+ s AS (SELECT t.task_id, t.dep, CASE WHEN verify_result = 'PASS' AND human_result = 'approved' THEN 'complete' WHEN human_result = 'rejected' OR current_state IN ('failed', 'cancelled') THEN 'failed' WHEN current_state = 'awaiting_review' THEN 'awaiting-review' WHEN current_state = 'completed' THEN 'failed' WHEN current_state IS NOT NULL THEN 'in-progress' END AS st FROM t LEFT JOIN last ON plan_task_id = task_id),
+ z AS (SELECT s.task_id, coalesce(s.st, CASE WHEN s.task_id <> 'task-0' AND coalesce(d.st, '') <> 'complete' THEN 'blocked' ELSE 'not-started' END) AS status FROM s LEFT JOIN s d ON d.task_id = s.dep) """
+
+
+@query(_STATUS + "SELECT task_id, status FROM z")
+def val9_plan_status(w):
+    return warehouse.plan_task_status(_tasks(w), warehouse.latest_per_task(w.runs, w.workflows)).select("task_id", "status")
+
+
+@query(_STATUS + "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.replace('-', '_')}" for s in ("complete", "failed", "awaiting-review", "in-progress", "blocked", "not-started")) + " FROM z")
+def ag31_status_counts(w):
+    return warehouse.status_counts(val9_plan_status(w))
+
+
+@query(f"WITH RECURSIVE {_TASKS} SELECT task_id, dep AS depends_on FROM t WHERE task_id <> 'task-0' AND NOT EXISTS (SELECT 1 FROM runs WHERE plan_task_id = dep AND verify_result = 'PASS' AND human_result = 'approved')")
+def jn15_unmet_dependencies(w):
+    return warehouse.unmet_dependencies(_tasks(w).select("task_id", F.explode("depends_on").alias("depends_on")), w.runs).select("task_id", "depends_on")
+
+
+# --- graph ---
+
+_DOWN = """WITH RECURSIVE hop AS (SELECT source_id AS a, target_id AS b, confidence FROM edges WHERE confidence >= 0.7 AND edge_type <> 'IMPLEMENTS' AND target_id NOT IN (SELECT id FROM boundaries)),
+ walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, concat(a, '>', b) AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
+ UNION ALL SELECT root_id, b, depth + 1, hop.confidence, concat(path, '>', b) FROM walk JOIN hop ON hop.a = walk.id WHERE depth < 3 AND NOT contains(path, b) AND b <> root_id),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, id ORDER BY depth, confidence DESC, path) rn FROM walk) WHERE rn = 1 AND id IN (SELECT id FROM symbols))
+ SELECT root_id, id, depth::BIGINT AS depth, round(confidence, 4) AS confidence, path FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, confidence DESC, id) k FROM best) WHERE k <= 30"""
+
+
+def _roots(w):
+    return w.spark.createDataFrame([("go:pkg:function:P5",), ("go:pkg:function:P77",)], "root_id string")
+
+
+@query(_DOWN)
+def gr4_blast_down(w):
+    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), False, graph.BlastOptions(min_confidence=0.7)).drop("name", "file_path")
+
+
+_UP = """WITH RECURSIVE hop AS (SELECT target_id AS a, source_id AS b, confidence FROM edges WHERE confidence >= 0.7 AND edge_type IN ('CALLS')),
+ walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, concat(a, '>', b) AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
+ UNION ALL SELECT root_id, b, depth + 1, hop.confidence, concat(path, '>', b) FROM walk JOIN hop ON hop.a = walk.id WHERE depth < 2 AND NOT contains(path, b) AND b <> root_id AND b NOT IN (SELECT id FROM boundaries)),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, id ORDER BY depth, confidence DESC, path) rn FROM walk) WHERE rn = 1 AND id IN (SELECT id FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.%')))
+ SELECT root_id, id, depth::BIGINT AS depth, round(confidence, 4) AS confidence, path FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, confidence DESC, id) k FROM best) WHERE k <= 50"""
+
+
+@query(_UP)
+def gr3_blast_up(w):
+    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), True, graph.BlastOptions(2, 50, 0.7, ("CALLS",), False)).drop("name", "file_path")
+
+
+@query("SELECT DISTINCT e.source_id AS root_id, s.id, s.name, s.file_path FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.edge_type = 'IMPLEMENTS' AND e.source_id IN ('go:pkg:function:P5', 'go:pkg:function:P77')")
+def gr5_interfaces(w):
+    return graph.interfaces(w.symbols, w.edges, _roots(w))
+
+
+@query("SELECT id FROM symbols WHERE name = 'P77' ORDER BY id LIMIT 1")
+def gr2_resolve(w):
+    return graph.resolve(w.symbols, "P77").select("id")
+
+
+@query("SELECT id, sum(i)::BIGINT AS callers, sum(o)::BIGINT AS callees FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM edges WHERE edge_type = 'CALLS' UNION ALL SELECT target_id, 1, 0 FROM edges WHERE edge_type = 'CALLS') GROUP BY id")
+def ag36_degrees(w):
+    return graph.degrees(w.edges)
+
+
+@query("SELECT edge_type, count(*) AS n FROM (SELECT source_id, target_id, edge_type FROM edges WHERE edge_type = 'IMPORTS' UNION ALL (SELECT DISTINCT source_id, target_id, edge_type FROM edges WHERE edge_type <> 'IMPORTS')) GROUP BY 1")
+def set4_edge_dedup(w):
+    return graph.cross_file_edges(w.edges).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id AS id, concat('P', doc_id % 900) AS name FROM documents) c JOIN (SELECT name, min(id) AS target_id FROM symbols GROUP BY name HAVING count(*) = 1) s USING (name)")
+def jn21_unique_names(w):
+    calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"))
+    return graph.unique_names(calls, w.symbols).select("call_id", "target_id", "confidence")
+
+
+@query("SELECT call_id, min(s.id) AS target_id FROM (SELECT doc_id AS call_id, concat('P', doc_id % 900) AS name, concat('pkg', doc_id % 3) AS module FROM documents) c JOIN symbols s ON s.name = c.name AND starts_with(s.package, c.module) GROUP BY call_id")
+def jn22_qualified_names(w):
+    calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"), F.concat(F.lit("pkg"), F.col("doc_id") % 3).alias("module"))
+    return graph.qualified_names(calls, w.symbols).select("call_id", "target_id")
+
+
+@query("SELECT file_path, line, symbol_id FROM (SELECT l.file_path, l.line, s.id AS symbol_id, row_number() OVER (PARTITION BY l.file_path, l.line ORDER BY s.line_start DESC, s.id) rn FROM (SELECT DISTINCT file_path, line_start + 3 AS line FROM symbols) l JOIN symbols s ON s.file_path = l.file_path AND l.line BETWEEN s.line_start AND s.line_end) WHERE rn = 1")
+def jn23_enclosing(w):
+    lines = w.symbols.select("file_path", (F.col("line_start") + 3).alias("line")).distinct()
+    return graph.enclosing(lines, w.symbols).select("file_path", "line", "symbol_id")
+
+
+# --- retrieval ---
+
+_DIST = "sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))"
+
+
+def _vectors(w, ids):
+    rows = w.embeddings.where(F.col("vec_id").isin(ids)).orderBy("vec_id").collect()  # the queries themselves
+    return [list(r["embedding"]) for r in rows]
+
+
+@query(f"SELECT e.vec_id, round({_DIST}, 4) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY {_DIST}, e.vec_id LIMIT 10")
+def tk6_vector_top_k(w):
+    return retrieval.top_k(w.embeddings, _vectors(w, [7])[0], 10, "vec_id").select("vec_id", "distance")
+
+
+_MERGED = f"""WITH RECURSIVE h AS (SELECT vec_id AS id, d FROM (SELECT e.vec_id, {_DIST} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) rn FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (3, 7, 19, 40)) q) WHERE rn <= 10),
+ m AS (SELECT id, count(*) AS hits, max(1 - d) AS best FROM h GROUP BY id) SELECT id, hits, round(best, 4) AS best_score, row_number() OVER (ORDER BY hits DESC, best DESC, id) AS rank FROM m"""
+
+
+@query(_MERGED)
+def vs4_multi_query(w):
+    return retrieval.merged(retrieval.multi_top_k(w.embeddings, _vectors(w, [3, 7, 19, 40]), 10, "vec_id"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM chunks ORDER BY id LIMIT 18), r AS (SELECT d.rank, c.id AS from_id, c.next_name AS name FROM d JOIN chunks c USING (id)),
+ s AS (SELECT c.id, min(r.rank) AS seen FROM r JOIN chunks c ON c.name = r.name WHERE c.id NOT IN (SELECT id FROM d) GROUP BY c.id) SELECT id, hop_rank FROM (SELECT id, row_number() OVER (ORDER BY seen, id) AS hop_rank FROM s) WHERE hop_rank <= 30 - (SELECT count(*) FROM d)""")
+def vs6_hops(w):
+    direct = w.chunks.select("id").orderBy("id").limit(18).withColumn("rank", F.row_number().over(Window.orderBy("id")))
+    return retrieval.hops(direct, w.refs.select("id", "name", "calls", "called_by"))
+
+
+# --- index ---
+
+
+@query("SELECT kind, value, count(*) AS n FROM (SELECT 'all' AS kind, '' AS value FROM chunks UNION ALL SELECT 'language', language FROM chunks UNION ALL SELECT 'chunk_type', chunk_type FROM chunks) GROUP BY 1, 2")
+def ag18_chunk_stats(w):
+    return index.chunk_stats(w.chunks)
+
+
+@query("SELECT file_path, count(*) AS n FROM chunks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def ag19_top_files(w):
+    return index.top_files(w.chunks)
+
+
+@query("""SELECT doc_id, a + 1 AS line_start, least(a + 4, len(l)) AS line_end, sha256(array_to_string(l[a + 1 : a + 4], chr(10))) AS body_sha FROM (SELECT doc_id, l, unnest(range(0, greatest(1, len(l)), 2)) AS a FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))""")
+def wn9_line_windows(w):
+    rows = index.line_windows(w.documents, "doc_id", 4, 2)
+    return rows.select("doc_id", "line_start", "line_end", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"))
+
+
+@query("""SELECT id, sha256(concat(file_path, chunk_type, name, line_start)) AS chunk_id, sha256(coalesce(body, '')) AS content_hash FROM chunks""")
+def ix10_hashes(w):
+    return w.chunks.select("id", fn.chunk_id(F.col("file_path"), F.col("chunk_type"), F.col("name"), F.col("line_start")).alias("chunk_id"), fn.sha256_text(F.col("body")).alias("content_hash"))
+
+
+@query("SELECT path FROM (SELECT id AS path, md5(coalesce(body, '')) AS hash FROM chunks) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT concat('c', doc_id) AS path, md5(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 3 > 0) o WHERE o.path = n.path AND o.hash = n.hash)")
+def ix1_changed(w):
+    files = w.chunks.select(F.col("id").alias("path"), F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("hash"))
+    known = w.documents.where("doc_id % 3 > 0").select(F.concat(F.lit("c"), "doc_id").alias("path"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+    return index.changed(files, known).select("path")
+
+
+@query("""SELECT t.id, string_agg(DISTINCT concat(c.name, '@', c.file_path), ',' ORDER BY concat(c.name, '@', c.file_path)) AS callers FROM chunks c JOIN chunks t ON t.name = c.next_name AND t.id <> c.id
+ WHERE c.next_package = '' OR regexp_replace(t.file_path, '/?[^/]*$', '') = c.next_package OR ends_with(regexp_replace(t.file_path, '/?[^/]*$', ''), concat('/', c.next_package)) GROUP BY t.id""")
+def jn19_reverse_calls(w):
+    rows = index.reverse_calls(w.refs)
+    return rows.select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("called_by", lambda r: F.concat(r["name"], F.lit("@"), r["file"])))), ",").alias("callers"))
+
+
+# --- documents ---
+
+
+@query("SELECT source, doc_id, taken FROM (SELECT source, doc_id, least(least(n_chars, 5000), 20000 - b)::BIGINT AS taken, b FROM (SELECT *, coalesce(sum(least(n_chars, 5000)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents)) WHERE b < 20000")
+def wn6_byte_budget(w):
+    return documents.byte_budget(w.documents, ["source"], ["doc_id"], F.col("n_chars"), 20000, 5000).select("source", "doc_id", "taken")
+
+
+@query("SELECT source, doc_id FROM (SELECT *, min(CASE WHEN s > 9000 THEN rn END) OVER (PARTITION BY source) AS o FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)) WHERE rn <= 4 AND (o IS NULL OR rn < o)")
+def wn7_whole_budget(w):
+    return documents.whole_budget(w.documents, ["source"], ["doc_id"], F.col("n_chars"), 9000).select("source", "doc_id")
+
+
+@query("SELECT doc_id, format('doc-{:03d}', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS canonical_id FROM documents")
+def wn8_numbering(w):
+    return documents.numbered(w.documents, ["source"], ["doc_id"], "doc").select("doc_id", "canonical_id")
+
+
+@query("SELECT doc_id AS requirement FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def jn17_uncovered(w):
+    return documents.uncovered(w.documents.select(F.col("doc_id").alias("requirement")), w.labels.select(F.array("doc_id").alias("requirements")))
+
+
+@query("SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang")
+def wn5_first_seen(w):
+    return documents.first_seen(w.documents, "lang", "doc_id").select("lang", "doc_id")
+
+
+@query("""SELECT source, bool_and(r = 'met') AS all_met, bool_and(r = 'unmet') AS all_unmet, CASE max(CASE WHEN r = 'unmet' AND q THEN 2 WHEN r <> 'met' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status
+ FROM (SELECT source, CASE WHEN toxic = 1 THEN 'unmet' WHEN quality = 1 THEN 'met' ELSE 'unassessable' END AS r, doc_id % 5 > 0 AS q FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+def ag26_report_status(w):
+    rows = w.documents.join(w.labels, "doc_id").select("source", F.when(F.col("toxic") == 1, "unmet").when(F.col("quality") == 1, "met").otherwise("unassessable").alias("result"), (F.col("doc_id") % 5 > 0).alias("required"))
+    return documents.report_status(rows, ["source"])
+
+
+@query("SELECT source AS doc, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END), 4) AS stripped, avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END) > 0.5 AS rejected FROM documents GROUP BY 1")
+def ag29_stripped(w):
+    return documents.stripped_share(w.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("path")), w.labels.select(F.col("doc_id").alias("path")))
+
+
+# --- events ---
+
+
+@query("SELECT id, event_type FROM log WHERE user_id = 5 AND id > 100 ORDER BY id LIMIT 100")
+def str1_since(w):
+    return events.since(w.log, 100, 100, user_id=5).select("id", "event_type")
+
+
+@query("SELECT id, (event_data->>'$.k')::BIGINT AS k FROM log")
+def fn13_json(w):
+    return w.log.select("id", F.get_json_object(fn.json_or_text(F.col("event_data")), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT conv_id, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS text_sha FROM conversations GROUP BY conv_id")
+def ag24_text(w):
+    return events.text_of(w.conversations, "conv_id", "turn", "text").select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+
+
+@query("SELECT user_id AS entity_id, max_by(event_type, id) AS state, min(created_at) FILTER (event_type = 'running') AS started_at, min(created_at) FILTER (event_type IN ('purchase', 'logout')) AS completed_at FROM log GROUP BY 1")
+def str11_lifecycle(w):
+    rows = w.log.select(F.col("user_id").alias("entity_id"), F.col("id").alias("seq"), F.col("event_type").alias("state"), F.col("created_at").alias("at"))
+    return warehouse.lifecycle(rows, ("purchase", "logout"))
+
+
+@query("SELECT workflow_id, event_type AS criterion_id, max_by(event_data, id) AS result, min(id) AS first_seen FROM log GROUP BY 1, 2")
+def str15_latest_checks(w):
+    return events.latest_checks(w.log.select("workflow_id", F.col("event_type").alias("criterion_id"), F.col("event_data").alias("result"), "id"))

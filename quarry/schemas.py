@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql import types as T
 
 _TELEMETRY = {
     "workflows": "id string, original_intent string, original_file string, current_state string, target_repo string, git_branch string, context_package_path string, verification_report_path string, max_depth bigint, max_files_changed bigint, max_duration_mins bigint, current_depth bigint, files_changed bigint, started_at string, created_at string, updated_at string, completed_at string, error_message string",
@@ -23,12 +23,15 @@ _GRAPH = {
     "chunk_mapping": "symbol_id string, chunk_id string",
     "graph_meta": "key string, value string",
 }
-_REF = "array<struct<name: string, package: string, file: string>>"
 _CHUNKS = {
-    "chunks": f"id string, project_name string, file_path string, language string, chunk_type string, name string, signature string, body string, description string, line_start int, line_end int, content_hash string, indexed_at timestamp, calls {_REF}, called_by {_REF}, types_used array<string>, implements_ifaces array<string>, imports array<string>, embedding array<float>"
+    "chunks": "id string, project_name string, file_path string, language string, chunk_type string, name string, signature string, body string, description string, line_start int, line_end int, content_hash string, indexed_at timestamp, calls refs, called_by refs, types_used strings, implements_ifaces strings, imports strings, embedding floats"
 }
 
-SCHEMAS: dict[str, StructType] = {name: _parse_datatype_string(ddl) for name, ddl in (_TELEMETRY | _GRAPH | _CHUNKS).items()}
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType()),
+    "refs": T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "package", "file")])),
+}
+SCHEMAS: dict[str, T.StructType] = {table: T.StructType([T.StructField(*(n, _TYPES[k])) for n, k in (c.split() for c in ddl.split(", "))]) for table, ddl in (_TELEMETRY | _GRAPH | _CHUNKS).items()}
 
 
 def assert_schema(df: DataFrame, table: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +76,6 @@ def ndjson(spark: SparkSession, path: str, schema: str, most: int = 1 << 20) ->
 
 def yaml_documents(listing: DataFrame, schema: str) -> DataFrame:
     """Documents of YAML files (``path, content``) as JSON text of their own, read with ``schema``; bad ones have null fields."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def to_json(s: pd.Series) -> pd.Series:
         import yaml
@@ -99,8 +98,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def tail_preview(listing: DataFrame, most: int) -> DataFrame:
     """The last ``most`` bytes of each file, what is not UTF-8 left out, and whether something was cut."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(s: pd.Series) -> pd.Series:
         return s.map(lambda b: bytes(b).decode("utf-8", "ignore"))

@@ -33,7 +33,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
     ``rules[k]`` is the pair that ``first_rule + k`` stands for.
     """
     seq, ends, rules = ids.astype(np.uint32), ends.astype(np.int64), []
-    bits = 18
+    bits = 16
     for _ in range(rounds):
         n, left = len(seq), most_rules - sum(map(len, rules))
         if n < 2 or left <= 0:
@@ -42,18 +42,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
         inner = np.ones(n - 1, bool)
         inner[ends[(ends > 0) & (ends < n)] - 1] = False
         slot = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
-        busy = np.bincount(slot[inner], minlength=1 << bits) >= least
-        at = np.flatnonzero(inner & busy[slot])
-        pairs, which, count = np.unique(codes[at], return_inverse=True, return_counts=True)
+        pair = np.zeros(1 << bits, np.uint64)  # one pair stands for a slot; others there wait for a later round
+        pair[slot[inner]] = codes[inner]
+        at = np.flatnonzero(inner & (pair[slot] == codes))
+        slot = slot[at]
+        count = np.bincount(slot, minlength=1 << bits)
         chosen = np.flatnonzero(count >= least)
         if not len(chosen):
             break
         if len(chosen) > left:
             chosen = chosen[np.argsort(-count[chosen], kind="stable")[:left]]
-        number = np.full(len(pairs), -1, np.int64)
+        number = np.full(1 << bits, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        hit = number[which] >= 0
-        at, new = at[hit], number[which][hit]
+        new = number[slot]
+        at, new = at[new >= 0], new[new >= 0]
+        pairs = pair
         # of hits that overlap, every second one from the left is replaced
         fresh = np.append(True, np.diff(at) > 1)
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -143,7 +146,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_a_part:
         if held:
             yield flush()
 
-    out = docs.select(part.cast("int").alias("part"), "doc_id", "text").repartition(len(cuts) + 1, "part")
+    out = docs.select(part.cast("int").alias("part"), "doc_id", "text").repartitionById(len(cuts) + 1, F.col("part"))
     out.sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, FILE).write.mode("overwrite").parquet(path)
 
 

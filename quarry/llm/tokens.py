@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Distinct pieces that one worker remembers; later ones are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Pieces that one call encodes together.
 _TOGETHER = 400
 

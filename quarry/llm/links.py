@@ -32,14 +32,16 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def in_units(keyed: DataFrame, keys: list[str], row_id: str, block: int) -> DataFrame:
+def in_units(keyed: DataFrame, keys: list[str], row_id: str, block: int, singles: bool = True) -> DataFrame:
     """Deal the rows of ``keyed`` (any columns, ``keys`` and ``row_id``) to units.
 
     Adds ``unit_a, unit_b`` (blocks, ``unit_a <= unit_b``) and ``own`` (this row's
-    block). Buckets of one row are left out: nothing links there.
+    block). Without ``singles``, buckets of one row are left out: nothing links there.
+    Otherwise only buckets beyond a block are looked up, which are few.
     """
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_n")).where(F.col("bucket_n") > 1)
-    rows = keyed.join(sizes, keys).withColumn("blocks", F.ceil(F.col("bucket_n") / block).cast("int"))
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_n")).where(F.col("bucket_n") > (block if singles else 1))
+    rows = keyed.join(sizes, keys, "left" if singles else "inner")
+    rows = rows.withColumn("blocks", F.ceil(F.coalesce("bucket_n", F.lit(1)) / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(row_id, F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other)

@@ -106,7 +106,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = 512) -
                 table = np.tile(np.arange(TABLES), len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(keys.ravel()), pa.array(np.repeat(rep[own], TABLES))], names=["t", "key", "rep"])
 
-    units = in_units(reps.select("label", "rep", "v").mapInArrow(spread, "t int, key long, rep long"), ["t", "key"], "rep", block)
+    units = in_units(reps.select("label", "rep", "v").mapInArrow(spread, "t int, key long, rep long"), ["t", "key"], "rep", block, singles=False)
     order = ["t", "key", "unit_a", "unit_b"]
     units = units.join(reps, "rep").select(*order, "own", "rep", "n", "label", "v").repartition(*order).sortWithinPartitions(*order)
     out = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("b", pa.int64())])

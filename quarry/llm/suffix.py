@@ -248,9 +248,10 @@ def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 3_000_000, tex
 
     def meet(batches):
         """Digests of a range, sorted; those found twice are repeated, in all shards that hold them."""
-        t = pa.Table.from_batches(list(batches), schema=answer)
-        if not t.num_rows:
+        held_ = list(batches)
+        if not sum(b.num_rows for b in held_):
             return
+        t = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=answer) for b in held_])
         d = np.array([x for x in t.column("digest").to_pylist()], "S16")
         ranked = np.sort(d)
         twice = np.searchsorted(ranked, d, "right") - np.searchsorted(ranked, d, "left") > 1
@@ -309,11 +310,10 @@ def removal_report(docs: DataFrame, width: int = 400) -> DataFrame:
 
 def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; characters cut in two go as a whole."""
-    rows = numbered(docs)
-    got = judged_texts(rows, width).where("n_removed > 0")
-    texts = got.mapInArrow(_decoded, "rid long, new_text string")
-    new = F.coalesce("new_text", "text")
-    return rows.join(texts, "rid", "left").withColumn("text", new).select(*docs.columns)
+    rows = numbered(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")))  # so that no name clashes
+    texts = judged_texts(rows, width).where("n_removed > 0").mapInArrow(_decoded, "rid long, new_text string")
+    joined = rows.join(texts, "rid", "left")
+    return joined.select(F.col("row").withField("text", F.coalesce("new_text", "text")).alias("row")).select("row.*")
 
 
 def _decoded(batches):

@@ -16,11 +16,16 @@ from quarry.llm.queries import vocabulary
 from quarry.llm.shared import documents, staged
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns) and ``text``: what an operator adds can't clash with columns of the documents."""
+    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality by nearest neighbours: documents whose score is under 0.5 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     space = quality.train(docs, quality.known_labels(labels))
-    return quality.predict(docs, space).where("predicted = 1").select(*docs.columns)
+    return quality.predict(_wrapped(docs), space).where("predicted = 1").select("row.*")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = langid.train(docs.where(~held & F.col("lang").isNotNull()))
-    return langid.predict(docs, model, margin=0.001).where("not rejected").select(*docs.columns)
+    return langid.predict(_wrapped(docs), model, margin=0.001).where("not rejected").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 #: Distinct pieces that one worker remembers; later ones are encoded each time.
 REMEMBERED = 900_000
 #: Pieces that one call encodes together.
-_TOGETHER = 400
+_TOGETHER = 100
 
 
 class WordEncoder:
@@ -93,11 +93,21 @@ class WordEncoder:
 
     def _resolve(self, pieces: set[str]) -> dict[str, bytes | bool]:
         """The ids of unknown pieces; False: the piece needs its whole text."""
-        atoms = {p: self._atoms(p) for p in pieces}
+        known, same = self.known, self.spaced
+        atoms: dict[str, tuple[str, ...] | list[str] | None] = {}
+        need: set[str] = set()
+        for p in pieces:
+            if p.isalpha():
+                keys = (p if same or not p.isascii() else p.lower(),)
+            else:
+                keys = self._atoms(p)
+            atoms[p] = keys
+            if keys:
+                need.update(keys)
         spare: dict[str, bytes | bool] = {}
-        self._learn(list({k for ks in atoms.values() if ks for k in ks if k not in self.known}), spare)
-        get = self.known.get
-        new = {p: False if ks is None else b"".join([spare[k] if k in spare else get(k) for k in ks]) for p, ks in atoms.items()}
+        self._learn([k for k in need if k not in known], spare)
+        of = lambda k: spare[k] if k in spare else known[k]
+        new = {p: False if ks is None else of(ks[0]) if len(ks) == 1 else b"".join(map(of, ks)) for p, ks in atoms.items()}
         if len(self.known) < self.remembered:
             self.known.update(spare)
             self.known.update((p, v) for p, v in new.items() if "\n" not in p)

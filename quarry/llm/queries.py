@@ -67,4 +67,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only vector links can be said in SQL: tokenizers, XXH64, compression and trained scores can't."""
+    return {"op1_pstable": OP1_SQL}
+
+
+OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0),
+ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+ r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.vec_id WHERE r.c < e.b),
+ m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+ SELECT m.vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id) AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m"""

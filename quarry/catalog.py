@@ -541,3 +541,117 @@ def str11_lifecycle(w):
 @query("SELECT workflow_id, event_type AS criterion_id, max_by(event_data, id) AS result, min(id) AS first_seen FROM log GROUP BY 1, 2")
 def str15_latest_checks(w):
     return events.latest_checks(w.log.select("workflow_id", F.col("event_type").alias("criterion_id"), F.col("event_data").alias("result"), "id"))
+
+
+# --- further shapes ---
+
+
+@query("SELECT id, round(tokens_in * p / 1e6 + tokens_out * 2 * p / 1e6, 4) AS cost FROM (SELECT id, tokens_in, tokens_out, CASE provider WHEN 'A' THEN 3.0 WHEN 'N' THEN 15.0 ELSE 0 END AS p FROM calls)")
+def jn27_priced(w):
+    prices = w.spark.createDataFrame([("A", 3.0, 6.0), ("N/", 15.0, 30.0)], "endpoint string, per_million_in double, per_million_out double")
+    calls = w.calls.withColumn("endpoint", F.concat("provider", F.when(F.col("id") % 2 == 0, "/").otherwise("")))
+    return analytics.priced(calls, prices).select("id", "cost")
+
+
+@query("SELECT pipeline_run_id AS grp, round(sum(estimated_cost_usd), 4) AS cost, max_by(model, row(id, model)) AS model, string_agg(DISTINCT concat(step, '=1'), ',' ORDER BY concat(step, '=1')) AS tools FROM calls WHERE pipeline_run_id IN (SELECT pipeline_run_id FROM calls GROUP BY 1 HAVING count(*) = count(DISTINCT step)) GROUP BY 1")
+def ag22_merged_results(w):
+    plain_runs = w.calls.groupBy("pipeline_run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("step").alias("m")).where("n = m").select("pipeline_run_id")
+    rows = w.calls.join(plain_runs, "pipeline_run_id", "left_semi").select(F.col("pipeline_run_id").alias("grp"), F.struct("id", "model").alias("seq"), F.col("estimated_cost_usd").alias("cost"), "model", F.create_map("step", F.lit(1)).alias("tools"))
+    tools = F.array_join(F.transform(F.array_sort(F.map_entries("tools")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return analytics.merged_results(rows).select("grp", "cost", "model", tools.alias("tools"))
+
+
+@query("SELECT id, CASE WHEN ends_with(t, 'started') THEN 'active' WHEN ends_with(t, 'warning') THEN 'warning' WHEN ends_with(t, 'rejected') OR ends_with(t, 'failed') THEN 'error' WHEN ends_with(t, 'completed') THEN 'success' ELSE 'info' END AS status FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'build_completed' WHEN 1 THEN 'verify_failed' WHEN 2 THEN 'scope_started' ELSE event_type END AS t FROM log)")
+def prj11_event_status(w):
+    t = F.when(F.col("id") % 4 == 0, "build_completed").when(F.col("id") % 4 == 1, "verify_failed").when(F.col("id") % 4 == 2, "scope_started").otherwise(F.col("event_type"))
+    return w.log.select("id", analytics.event_status(t).alias("status"))
+
+
+@query("SELECT source AS base, string_agg(DISTINCT p, ',' ORDER BY p) AS files FROM (SELECT concat(source, '.go') AS source, concat(source, CASE WHEN doc_id % 2 = 0 THEN '_test.go' ELSE '.go' END) AS p FROM documents) GROUP BY 1")
+def jn25_segments(w):
+    paths = w.documents.select(F.concat("source", F.when(F.col("doc_id") % 2 == 0, "_test.go").otherwise(".go")).alias("path")).distinct()
+    return documents.segments(paths).select("base", F.array_join("files", ",").alias("files"))
+
+
+@query("SELECT file_path, line, symbol_id FROM (SELECT l.file_path, l.line, s.id AS symbol_id, row_number() OVER (PARTITION BY l.file_path, l.line ORDER BY s.line_start, s.id) rn FROM (SELECT DISTINCT file_path, line_start + 3 AS line FROM symbols) l JOIN symbols s ON s.file_path = l.file_path AND l.line BETWEEN s.line_start AND s.line_end) WHERE rn = 1")
+def jn24_first_containing(w):
+    lines = w.symbols.select("file_path", (F.col("line_start") + 3).alias("line")).distinct()
+    return graph.enclosing(lines, w.symbols, innermost=False).select("file_path", "line", "symbol_id")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 3 = 0 THEN concat('pkg/m', n_nationkey, '.py') WHEN n_nationkey % 3 = 1 THEN concat('pkg/m', n_nationkey, '/__init__.py') END AS file FROM nation")
+def jn20_module_files(w):
+    k = F.col("n_nationkey")
+    imports = w.nation.select(k.alias("id"), F.concat(F.lit("pkg.m"), k).alias("module"))
+    files = w.nation.where(k % 3 < 2).select(F.concat(F.lit("pkg/m"), k, F.when(k % 3 == 0, ".py").otherwise("/__init__.py")).alias("path"))
+    return graph.module_files(imports, files).select("id", "file")
+
+
+@query("SELECT doc_id AS ref, CASE WHEN doc_id % 5 > 0 THEN format('task-{:03d}', doc_id) END AS canonical_id FROM documents WHERE doc_id < 100")
+def jn16_remapped(w):
+    refs = w.documents.where("doc_id < 100").select(F.col("doc_id").alias("ref"))
+    ids = refs.where("ref % 5 > 0").withColumn("canonical_id", F.format_string("task-%03d", "ref"))
+    return documents.remapped(refs, ids).select("ref", "canonical_id")
+
+
+@query("""SELECT concat('id:', lower(k)) AS key, CASE max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END) WHEN 2 THEN 'unmet' WHEN 1 THEN 'met' ELSE 'unassessable' END AS result, bool_or(k <> 'SRC3') AS required
+ FROM (SELECT upper(source) AS k, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY k""")
+def jn18_merged_criteria(w):
+    catalog = w.documents.select(F.upper("source").alias("id"), F.lit("").alias("description"), (F.upper("source") != "SRC3").alias("required"), F.lit(1).alias("ord")).distinct()
+    results = w.documents.join(w.labels, "doc_id").select(F.col("source").alias("id"), F.lit("").alias("description"), F.when(F.col("toxic") == 1, " UNMET").when(F.col("quality") == 1, "met").otherwise("odd").alias("result"), F.lit(None).cast("string").alias("note"), F.col("doc_id").cast("int").alias("ord"))
+    return documents.merged_criteria(catalog, results).select("key", "result", "required")
+
+
+@query("SELECT 'doc' || doc_id % 10 AS doc, concat('f', doc_id) AS path, CASE WHEN doc_id % 3 = 2 AND doc_id % 2 = 1 THEN 'new' ELSE 'modify' END AS kind FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 2")
+def val6_split_scope(w):
+    d = F.col("doc_id")
+    paths = w.documents.select(F.concat(F.lit("doc"), d % 10).alias("doc"), F.concat(F.lit("f"), d).alias("path"), F.when(d % 3 == 2, "new").otherwise("modify").alias("kind"), d.alias("ord"))
+    listing = w.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("f"), d).alias("path"))
+    return documents.split_scope(paths, listing).select("doc", "path", "kind")
+
+
+@query("SELECT entry, count(*) AS depth FROM (SELECT DISTINCT file_path AS entry FROM chunks UNION SELECT DISTINCT split_part(file_path, '/', 1) FROM chunks) t, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR contains(entry, '/') GROUP BY entry")
+def tk13_file_tree(w):
+    return documents.file_tree(w.chunks.select(F.col("file_path").alias("path")), 1_000_000).select("entry", "depth")
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS additions, (p_partkey % 7)::BIGINT AS deletions FROM part")
+def ag35_diff_stat(w):
+    summary = F.format_string("2 files changed, %d insertions(+), %d deletions(-)", "p_size", F.col("p_partkey") % 7)
+    rows = w.part.select("p_partkey", summary.alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("names"))
+    return documents.diff_stat(rows).select("p_partkey", "additions", "deletions")
+
+
+@query("SELECT DISTINCT file_path FROM (SELECT file_path FROM chunks UNION SELECT file_path FROM symbols)")
+def set3_changed_files(w):
+    return w.chunks.select("file_path").union(w.symbols.select("file_path")).distinct()
+
+
+@query("SELECT id, event_data->>'$.k' AS k, concat('{\"workflow_id\":\"', workflow_id, '\"}') AS tag FROM log WHERE id < 50")
+def fn15_event_json(w):
+    rows = w.log.where("id < 50")
+    merged = fn.merge_json(F.col("event_data"), F.col("workflow_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return rows.select("id", F.get_json_object(merged, "$.k").alias("k"), F.to_json(F.struct(F.get_json_object(merged, "$.workflow_id").alias("workflow_id"))).alias("tag"))
+
+
+@query("SELECT c_custkey, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS took FROM (SELECT c_custkey, c_custkey * 17 AS s FROM customer)")
+def fn19_durations(w):
+    return w.customer.select("c_custkey", fn.human_duration(F.col("c_custkey") * 17).alias("took"))
+
+
+@query("SELECT user_id, event_type AS tool, count(*) AS n FROM log GROUP BY 1, 2")
+def ag23_tool_counts(w):
+    rows = w.log.select("user_id", F.format_string('{"type":"tool_use","tool":{"name":"%s"}}', "event_type").alias("line"))
+    return events.tool_counts(events.records(rows), ["user_id"])
+
+
+@query("SELECT user_id, (max_by(id, id) % 9)::DOUBLE AS cost FROM log GROUP BY 1")
+def str3_last_result(w):
+    rows = w.log.select("user_id", "id", F.format_string('{"type":"result","total_cost_usd":%d.0}', F.col("id") % 9).alias("line"))
+    return events.last_result(events.records(rows), "user_id", "id").select("user_id", F.col("total_cost_usd").alias("cost"))
+
+
+@query("SELECT n_name AS role, coalesce(r_name, '') AS model FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 3")
+def val10_roles(w):
+    table = w.nation.select(F.col("n_name").alias("role"), F.col("n_regionkey").alias("provider"))
+    return documents.roles(table, w.region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("provider"), F.col("r_name").alias("model"))).select("role", "model")

@@ -117,3 +117,31 @@ def merged_metrics(parts: DataFrame) -> DataFrame:
     name = F.nullif(F.trim("model"), F.lit(""))
     n = F.countDistinct(name)
     return parts.groupBy("grp").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.when(n == 0, "").when(n == 1, F.max(name)).otherwise("multiple").alias("model"))
+
+
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Cost of calls by the price of their endpoint (per million tokens), its trailing slash aside; no price, no cost."""
+    key = F.rtrim("endpoint", F.lit("/"))
+    table = prices.select(key.alias("_key"), "per_million_in", "per_million_out")
+    rows = calls.withColumn("_key", key).join(table, "_key", "left").drop("_key")
+    cost = (F.col("tokens_in") * F.col("per_million_in") + F.col("tokens_out") * F.col("per_million_out")) / 1e6
+    return rows.withColumn("cost", F.coalesce(cost, F.lit(0.0)))
+
+
+def merged_results(results: DataFrame) -> DataFrame:
+    """Of each group's results in order (``grp, seq, cost, model, tools map``): summed cost, the last model named, tool counts added."""
+    head = results.groupBy("grp").agg(F.sum("cost").alias("cost"), F.max_by(F.nullif("model", F.lit("")), F.when(F.col("model") != "", F.col("seq"))).alias("model"))
+    tools = results.select("grp", F.explode("tools").alias("tool", "n")).groupBy("grp", "tool").agg(F.sum("n").alias("n"))
+    tools = tools.groupBy("grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"))  # tools of one group
+    return head.join(tools, "grp", "left")
+
+
+#: Display status of event types that end a step (fixed values); others are information.
+EVENT_STATUS = {"completed": "success", "failed": "error", "rejected": "error", "warning": "warning", "started": "active"}
+
+
+def event_status(event_type: Column) -> Column:
+    out = F.lit("info")
+    for suffix, status in EVENT_STATUS.items():
+        out = F.when(event_type.endswith(suffix), status).otherwise(out)
+    return out

@@ -129,3 +129,62 @@ def overridden(config: DataFrame) -> DataFrame:
 
 def roles(role_table: DataFrame, providers: DataFrame) -> DataFrame:
     return role_table.join(providers.select("provider", "model"), "provider", "left").withColumn("model", F.coalesce("model", F.lit(""))).orderBy("role")
+
+
+def work_orders(tasks: DataFrame) -> DataFrame:
+    """Flattened plan tasks (``flat_tasks``) as work orders: one struct of what a run needs."""
+    t = F.col("task")
+    return tasks.select("plan_id", F.struct(t["id"].alias("id"), t["title"].alias("title"), F.col("epic").alias("epic_id"), t["known_files"].alias("known_files"), t["requirements"].alias("requirements")).alias("work_order"))
+
+
+def one_task(tasks: DataFrame, task_id: str) -> DataFrame:
+    """A task with its epic; no row if the plan lacks it."""
+    return tasks.where(F.col("task.id") == task_id)
+
+
+def assembled(epics: DataFrame, responses: DataFrame) -> DataFrame:
+    """A plan's epics (``epic_ord, epic``) with the tasks answered for each (``epic_ord, task_ord, task``), in order."""
+    held = responses.groupBy("epic_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_ord", "task"))), lambda x: x["task"]).alias("tasks"))  # tasks of one epic
+    return epics.join(held, "epic_ord", "left").withColumn("tasks", F.coalesce("tasks", F.array().cast(held.schema["tasks"].dataType)))
+
+
+def tagged_by_audit(tasks: DataFrame) -> DataFrame:
+    """Audited tasks (``change``): only added and modified ones carry their source."""
+    return tasks.withColumn("audit_source", F.when(F.col("change").isin("added", "modified"), F.col("change")))
+
+
+def subject_segments(subjects: DataFrame, segments_: DataFrame) -> DataFrame:
+    """Segments (``base, files``) that criteria's subjects (``subject``) name, and a synthetic one for each that none holds."""
+    held = segments_.select("base", F.explode("files").alias("subject"))
+    rows = subjects.select("subject").distinct().join(held, "subject", "left")
+    return rows.select("subject", F.coalesce("base", "subject").alias("base"), F.col("base").isNull().alias("synthetic"))
+
+
+def split_scope(paths: DataFrame, listing: DataFrame) -> DataFrame:
+    """Scope output (``doc, path, kind`` of modify, new or reference; ``ord``): missing files to modify or
+    to refer to are stripped, new files that exist are to be modified, after all others."""
+    rows = paths.join(listing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    moved = (F.col("kind") == "new") & F.col("there")
+    rows = rows.where((F.col("kind") == "new") | F.col("there"))
+    return rows.select("doc", "path", F.when(moved, "modify").otherwise(F.col("kind")).alias("kind"), (F.col("ord") + F.when(moved, 1_000_000).otherwise(0)).alias("ord"))
+
+
+def file_tree(paths: DataFrame, most: int = 200) -> DataFrame:
+    """Sorted paths, ``most`` of them, with their directories, each before its first file: ``entry, depth, is_dir, ord``."""
+    rows = paths.select("path").distinct().orderBy("path").limit(most)
+    rows = rows.withColumn("n", F.row_number().over(Window.orderBy("path")))  # at most ``most`` rows
+    parts = F.split("path", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("entry"), i.alias("depth"), (i < F.size(parts)).alias("is_dir")))
+    out = rows.select("n", F.inline(heads))
+    return out.groupBy("entry", "depth", "is_dir").agg(F.min("n").alias("n")).withColumn("ord", F.row_number().over(Window.orderBy("n", "depth")))
+
+
+def diff_stat(summaries: DataFrame) -> DataFrame:
+    """``additions, deletions, files`` of text such as ``3 files changed, 10 insertions(+), 2 deletions(-)``; names count as files."""
+    n = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(summary, '{pattern}', 1) as bigint)"), F.lit(0))
+    return summaries.withColumns({"additions": n(r"(\\d+) insertion"), "deletions": n(r"(\\d+) deletion"), "files": F.size("names")})
+
+
+def text_changes(plans: DataFrame) -> DataFrame:
+    """Lines of an audit's change text that say something."""
+    return plans.withColumn("changes", F.filter(F.split(F.coalesce("audit_change_text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))

@@ -123,3 +123,48 @@ def enclosing(lines: DataFrame, symbols: DataFrame, innermost: bool = True, step
     rows = rows.where("line between line_start and line_end")
     pick = Window.partitionBy("file_path", "line").orderBy(F.desc("line_start") if innermost else F.asc("line_start"), "symbol_id")
     return rows.withColumn("rn", F.row_number().over(pick)).where("rn = 1").drop("rn", "block")
+
+
+def python_calls(files: DataFrame) -> DataFrame:
+    """``path, caller, line, kind, module, name`` of the calls in Python files (``path, text``).
+
+    ``kind``: ``name`` for a bare name, ``self`` for a method of the own class (its name in ``module``),
+    ``qualified`` for ``module.name``. Resolution is left to joins. Files that don't parse give none.
+    """
+    import ast
+
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["text"]):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError):
+                    continue
+                todo = [(tree, "", "")]
+                for node, owner, cls in todo:
+                    for n in ast.iter_child_nodes(node):
+                        own, within = owner, cls
+                        if isinstance(n, ast.ClassDef):
+                            within = n.name
+                        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                            own = f"{cls}.{n.name}" if cls else n.name
+                        elif isinstance(n, ast.Call):
+                            g = n.func
+                            if isinstance(g, ast.Name):
+                                rows.append((path, owner, n.lineno, "name", "", g.id))
+                            elif isinstance(g, ast.Attribute) and isinstance(g.value, ast.Name):
+                                mine = g.value.id == "self" and cls
+                                rows.append((path, owner, n.lineno, "self" if mine else "qualified", cls if mine else g.value.id, g.attr))
+                        todo.append((n, own, within))
+            yield pd.DataFrame(rows, columns=["path", "caller", "line", "kind", "module", "name"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, caller string, line int, kind string, module string, name string")
+
+
+def self_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls of a class's own methods (``module`` is the class), at confidence 0.95."""
+    own = symbols.select(F.col("file_path").alias("path"), F.col("receiver").alias("module"), "name", F.col("id").alias("target_id"))
+    return calls.where("kind = 'self'").join(own, ["path", "module", "name"]).withColumn("confidence", F.lit(0.95))

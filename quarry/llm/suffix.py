@@ -30,7 +30,8 @@ from .shared import bucketed, parts, small_batches, staged
 #: Bytes of the string whose hash makes an anchor.
 GRAM = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_FENCE = 256
+#: Ends a piece in a shard's text; no byte of UTF-8 has this value.
+_FENCE = 255
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,35 +77,44 @@ def runs(raw: bytes, width: int, up: np.ndarray, down: np.ndarray) -> tuple[np.n
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by Larsson-Sadakane: ranks by six symbols, then each group of equal
+    """Suffixes in order, by Larsson-Sadakane: ranks by five symbols, then each group of equal
     rank is refined by the rank that stands ``reach`` further on, ``reach`` doubling; groups
     of one rest."""
     n = len(text)
-    padded = np.append(text.astype(np.uint64) + np.uint64(1), np.zeros(6, np.uint64))
+    bits = int(n + 2).bit_length()
+    mask = np.uint64((1 << bits) - 1)
+
+    def in_order(key: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted keys stood, and the keys; places ride in the low bits where they fit."""
+        if key_bits + bits > 64:
+            move = np.argsort(key, kind="stable")
+            return move, key[move]
+        packed = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+        return (packed & mask).astype(np.int64), packed >> np.uint64(bits)
+
+    padded = np.append(text.astype(np.uint64) + np.uint64(1), np.zeros(5, np.uint64))
     key = np.zeros(n, np.uint64)
-    for k in range(6):
-        key = key * np.uint64(300) + padded[k : k + n]
-    order = np.argsort(key)
-    sorted_ = key[order]
-    head = np.append(True, sorted_[1:] != sorted_[:-1])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    reach = 6
+    for k in range(5):
+        key = key * np.uint64(258) + padded[k : k + n]
+    order, key = in_order(key, 41)
+    head = np.append(True, key[1:] != key[:-1])
+    rank = np.zeros(n + 1, np.uint64)  # of a suffix: the first place of its group, plus one; 0 beyond the end
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
+    reach = 5
+    open_ = np.arange(n)
     while True:
-        open_ = np.flatnonzero(~(head & np.append(head[1:], True)))  # places whose suffixes are not settled
+        alone = head & np.append(head[1:], True)
+        open_ = open_[~alone[open_]]  # places whose suffixes are not settled
         if not len(open_):
-            break
+            return order
         suffix = order[open_]
-        key = rank[suffix] * (n + 2) + rank[np.minimum(suffix + reach, n)] + 1
-        move = np.argsort(key)
-        suffix, key = suffix[move], key[move]
+        move, key = in_order(rank[suffix] << np.uint64(bits) | rank[np.minimum(suffix + reach, n)], 2 * bits)
+        suffix = suffix[move]
         order[open_] = suffix
         fresh = np.append(True, key[1:] != key[:-1])
         head[open_] = fresh
-        rank[suffix] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(open_)), 0))]
+        rank[suffix] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(open_)), 0))] + 1
         reach *= 2
-    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
@@ -114,7 +124,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     place has in common is at least what the last one had, less one, so few symbols are compared.
     """
     n = len(text)
-    text = np.append(text, -1)
+    padded = np.append(text.astype(np.uint64), np.zeros(8, np.uint64))
+    eight = np.zeros(n, np.uint64)  # the eight symbols from each place, the first one lowest
+    for k in range(8):
+        eight |= padded[k : k + n] << np.uint64(8 * k)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     by_length = np.argsort(-lengths, kind="stable")
@@ -126,12 +139,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
         i = starts[:active] + t
         j = before[i]
         own = np.where(j < 0, 0, np.maximum(had[:active] - 1, 0))
-        open_ = np.flatnonzero((j >= 0) & (own < most))
+        end = np.minimum(most, n - np.maximum(i, j))
+        open_ = np.flatnonzero((j >= 0) & (own < end))
         while len(open_):
-            a, b = i[open_] + own[open_], j[open_] + own[open_]
-            open_ = open_[text[np.minimum(a, n)] == text[np.minimum(b, n)]]
-            own[open_] += 1
-            open_ = open_[own[open_] < most]
+            differ = eight[i[open_] + own[open_]] ^ eight[j[open_] + own[open_]]
+            low = differ & (~differ + np.uint64(1))
+            own[open_] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+            open_ = open_[(differ == 0) & (own[open_] < end[open_])]
+        own = np.minimum(own, np.maximum(end, 0))
         common[i] = had[:active] = own
     return common[order]
 
@@ -140,7 +155,7 @@ def classes(pieces: list[bytes], width: int) -> np.ndarray:
     """A number for each window of each piece, one after the other: equal for equal windows only."""
     lengths = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(lengths + 1) - (lengths + 1)
-    text = np.full(int((lengths + 1).sum()), _FENCE, np.int32)
+    text = np.full(int((lengths + 1).sum()), _FENCE, np.uint8)
     body = np.ones(len(text), bool)
     body[starts + lengths] = False
     text[body] = np.frombuffer(b"".join(pieces), np.uint8)
@@ -159,7 +174,7 @@ def _spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 3_000_000, text_part: int = 4000) -> tuple[DataFrame, DataFrame]:
+def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 1_000_000, deal_bytes: int = 3_000_000, text_part: int = 4000) -> tuple[DataFrame, DataFrame]:
     """``rows``: rid (unique long), text. Returns the rows as a table bucketed by ``rid``, and
     ``rid, first, last``: runs of windows that occur elsewhere too."""
     spark = rows.sparkSession
@@ -195,7 +210,7 @@ def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 3_000_000, tex
     content = staged(content.select("anchor", "dig", "times", "at", "kinds", "size"), "content")
     whole = seen.join(content.where("times > 1").select("anchor", "dig"), ["anchor", "dig"], "left_semi").select("rid", "first", "last")
 
-    open_ = content.where("kinds > 1").withColumn("deal", F.ceil(F.col("size") / shard_bytes).cast("int"))
+    open_ = content.where("kinds > 1").withColumn("deal", F.ceil(F.col("size") / deal_bytes).cast("int"))
     total = open_.agg(F.sum(F.col("at.last") - F.col("at.first") + width)).first()[0] or 0
     shards = parts(total, shard_bytes)
     salt = F.pmod(F.xxhash64("dig", F.lit("salt")), F.col("deal"))

@@ -210,7 +210,7 @@ def test_removal_of_repeats(spark):
         want.append((d, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     for shard in (3_000_000, 2000):  # one shard, and anchors dealt to many
         original = suffix.repeats.__defaults__
-        suffix.repeats.__defaults__ = (400, shard, 5)
+        suffix.repeats.__defaults__ = (400, shard, shard, 5)
         try:
             got = [tuple(r) for r in suffix.removal_report(docs(spark, rows)).collect()]
         finally:

@@ -561,6 +561,15 @@ def ag22_merged_results(w):
     return analytics.merged_results(rows).select("grp", "cost", "model", tools.alias("tools"))
 
 
+@query("""SELECT grp, round(sum(cost), 4) AS cost, max_by(model, row(last, model)) AS model, string_agg(concat(step, '=', n), ',' ORDER BY step) AS tools
+ FROM (SELECT pipeline_run_id AS grp, step, count(*) AS n, sum(estimated_cost_usd) AS cost, max(id) AS last, max_by(model, row(id, model)) AS model FROM calls GROUP BY 1, 2) GROUP BY grp""")
+def ag22_all_results(w):
+    """Every run, those with repeated steps too: their counters add up."""
+    rows = w.calls.select(F.col("pipeline_run_id").alias("grp"), F.struct("id", "model").alias("seq"), F.col("estimated_cost_usd").alias("cost"), "model", F.create_map("step", F.lit(1)).alias("tools"))
+    tools = F.array_join(F.transform(F.array_sort(F.map_entries("tools")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return analytics.merged_results(rows).select("grp", "cost", "model", tools.alias("tools"))
+
+
 @query("SELECT id, CASE WHEN ends_with(t, 'started') THEN 'active' WHEN ends_with(t, 'warning') THEN 'warning' WHEN ends_with(t, 'rejected') OR ends_with(t, 'failed') THEN 'error' WHEN ends_with(t, 'completed') THEN 'success' ELSE 'info' END AS status FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'build_completed' WHEN 1 THEN 'verify_failed' WHEN 2 THEN 'scope_started' ELSE event_type END AS t FROM log)")
 def prj11_event_status(w):
     t = F.when(F.col("id") % 4 == 0, "build_completed").when(F.col("id") % 4 == 1, "verify_failed").when(F.col("id") % 4 == 2, "scope_started").otherwise(F.col("event_type"))

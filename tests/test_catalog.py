@@ -32,3 +32,15 @@ def test_matches_sql(spark, duck, sf, name):
     assert sorted(cols) == sorted(df.columns)
     want = sorted(tuple(plain(v) for v in r) for r in got.fetchall())
     assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def test_merged_results_of_every_run(spark, sf):
+    """Brute force: counters of repeated steps add up, and no run is left out."""
+    table = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect():
+        steps = table.setdefault(f"run-{r['l_orderkey']}", {})
+        step = f"step{r['l_linenumber']}"
+        steps[step] = steps.get(step, 0) + 1
+    want = {g: ",".join(f"{k}={n}" for k, n in sorted(steps.items())) for g, steps in table.items()}
+    assert any(n > 1 for steps in table.values() for n in steps.values())
+    assert {r["grp"]: r["tools"] for r in catalog.queries()["ag22_all_results"](spark, sf).collect()} == want

@@ -429,6 +429,24 @@ def vs4_multi_query(w):
     return retrieval.merged(retrieval.multi_top_k(w.embeddings, _vectors(w, [3, 7, 19, 40]), 10, "vec_id"))
 
 
+_ALL_HITS = f"WITH RECURSIVE h AS (SELECT query, id, d, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, {_DIST} AS d FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q))"
+
+
+def _asked(w):
+    return w.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+
+
+@query(f"{_ALL_HITS} SELECT query, id, round(d, 4) AS distance, rank FROM h WHERE rank <= 10")
+def tk6_all_top_k(w):
+    """Every hundredth vector asks."""
+    return retrieval.joined_top_k(w.embeddings, _asked(w), 10, "vec_id").select("query", "id", "distance", "rank")
+
+
+@query(f"{_ALL_HITS} SELECT id, hits, round(best, 4) AS best_score, row_number() OVER (ORDER BY hits DESC, best DESC, id) AS rank FROM (SELECT id, count(*) AS hits, max(1 - d) AS best FROM h WHERE rank <= 10 GROUP BY id)")
+def vs4_all_queries(w):
+    return retrieval.merged(retrieval.joined_top_k(w.embeddings, _asked(w), 10, "vec_id"))
+
+
 @query("""WITH RECURSIVE d AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM chunks ORDER BY id LIMIT 18), r AS (SELECT d.rank, c.id AS from_id, c.next_name AS name FROM d JOIN chunks c USING (id)),
  s AS (SELECT c.id, min(r.rank) AS seen FROM r JOIN chunks c ON c.name = r.name WHERE c.id NOT IN (SELECT id FROM d) GROUP BY c.id) SELECT id, hop_rank FROM (SELECT id, row_number() OVER (ORDER BY seen, id) AS hop_rank FROM s) WHERE hop_rank <= 30 - (SELECT count(*) FROM d)""")
 def vs6_hops(w):
@@ -603,6 +621,13 @@ def jn16_remapped(w):
     return documents.remapped(refs, ids).select("ref", "canonical_id")
 
 
+@query("SELECT doc_id AS ref, CASE WHEN doc_id % 5 > 0 THEN format('task-{:03d}', doc_id) END AS canonical_id FROM documents")
+def jn16_all_refs(w):
+    refs = w.documents.select(F.col("doc_id").alias("ref"))
+    ids = refs.where("ref % 5 > 0").withColumn("canonical_id", F.format_string("task-%03d", "ref"))
+    return documents.remapped(refs, ids).select("ref", "canonical_id")
+
+
 @query("""SELECT concat('id:', lower(k)) AS key, CASE max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END) WHEN 2 THEN 'unmet' WHEN 1 THEN 'met' ELSE 'unassessable' END AS result, bool_or(k <> 'SRC3') AS required
  FROM (SELECT upper(source) AS k, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY k""")
 def jn18_merged_criteria(w):
@@ -643,6 +668,12 @@ def fn15_event_json(w):
     return rows.select("id", F.get_json_object(merged, "$.k").alias("k"), F.to_json(F.struct(F.get_json_object(merged, "$.workflow_id").alias("workflow_id"))).alias("tag"))
 
 
+@query("SELECT id, event_data->>'$.k' AS k, concat('{\"workflow_id\":\"', workflow_id, '\"}') AS tag FROM log")
+def fn15_all_events(w):
+    merged = fn.merge_json(F.col("event_data"), F.col("workflow_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return w.log.select("id", F.get_json_object(merged, "$.k").alias("k"), F.to_json(F.struct(F.get_json_object(merged, "$.workflow_id").alias("workflow_id"))).alias("tag"))
+
+
 @query("SELECT c_custkey, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS took FROM (SELECT c_custkey, c_custkey * 17 AS s FROM customer)")
 def fn19_durations(w):
     return w.customer.select("c_custkey", fn.human_duration(F.col("c_custkey") * 17).alias("took"))

@@ -41,6 +41,15 @@ def multi_top_k(chunks: DataFrame, queries: list[list[float]], k: int = 10, id_:
     return rows.drop("part")
 
 
+def joined_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id", vector: str = "embedding") -> DataFrame:
+    """As ``multi_top_k``, for queries that are a table (``query, q``) of any size: every pair's distance is taken."""
+    rows = chunks.select(F.col(id_).alias("id"), F.col(vector).alias("v")).crossJoin(queries.select("query", "q"))
+    rows = rows.select("query", "id", l2(F.col("v"), F.col("q")).alias("distance")).withColumn("part", F.spark_partition_id())
+    for keys in (["query", "part"], ["query"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return rows.drop("part")
+
+
 def merged(hits: DataFrame) -> DataFrame:
     """Hits of several queries by id: how many, and the best score; most hits first."""
     out = hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.max(1 - F.col("distance")).alias("best_score"))

@@ -44,3 +44,16 @@ def test_merged_results_of_every_run(spark, sf):
     want = {g: ",".join(f"{k}={n}" for k, n in sorted(steps.items())) for g, steps in table.items()}
     assert any(n > 1 for steps in table.values() for n in steps.values())
     assert {r["grp"]: r["tools"] for r in catalog.queries()["ag22_all_results"](spark, sf).collect()} == want
+
+
+def test_whole_tables_are_read(spark, sf):
+    """No id subsets: a row for each document and event, and k hits for each hundredth vector."""
+    run = {n: catalog.queries()[n](spark, sf) for n in ("jn16_all_refs", "fn15_all_events", "tk6_all_top_k", "vs4_all_queries")}
+    ids = {t: sorted(r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()) for t, c in (("documents", "doc_id"), ("events", "event_id"), ("embeddings", "vec_id"))}
+    assert sorted(r["ref"] for r in run["jn16_all_refs"].collect()) == ids["documents"] and max(ids["documents"]) >= 100
+    assert sorted(r["id"] for r in run["fn15_all_events"].collect()) == ids["events"]
+    asked = [k for k in ids["embeddings"] if k % 100 == 0]
+    hits = run["tk6_all_top_k"].collect()
+    assert sorted(r["query"] for r in hits) == sorted(asked * 10)
+    assert {r["id"] for r in hits if r["rank"] == 1} == set(asked)  # each is its own nearest
+    assert sum(r["hits"] for r in run["vs4_all_queries"].collect()) == 10 * len(asked)

@@ -29,14 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language by compression: documents without a clear language go.
-
-    A margin of a thousandth suffices here: what is rejected leaves the corpus, and
-    a short text in a plain language may well be that close.
-    """
+    """Language by compression: documents without a clear language go, by the operator's own margin."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = langid.train(docs.where(~held & F.col("lang").isNotNull()))
-    return langid.predict(_wrapped(docs), model, margin=0.001).where("not rejected").select("row.*")
+    return langid.predict(_wrapped(docs), model).where("not rejected").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

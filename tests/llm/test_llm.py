@@ -319,6 +319,30 @@ def test_language(spark):
     assert got[103]["lang_pred"] == "aa" and langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_stage_rejects_foreign_and_mixed_texts(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").where("lang is not null and length(text) > 300")
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs_.collect()]
+    by = {}
+    for _, lang, text in rows:
+        by.setdefault(lang, []).append(text.split())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain, foreign, mixed = [], [], []
+    for k in range(120):
+        a, b = rng.sample(sorted(by), 2)
+        n = rng.choice([8, 20, 60, 200])
+        one, other = rng.choice(by[a])[:n], rng.choice(by[b])[:n]
+        plain.append((10_000 + k, None, " ".join(one)))
+        foreign.append((20_000 + k, None, " ".join(one).lower().translate(str.maketrans(letters, "".join(rng.sample(letters, 26))))))
+        mixed.append((30_000 + k, None, " ".join(w for pair in zip(one, other) for w in pair)))
+    got = corpus_pipeline.keep_language(spark, spark.createDataFrame(rows + plain + foreign + mixed, "doc_id long, lang string, text string"), sf)
+    kept = {r["doc_id"] for r in got.collect()}
+    share = [len(kept & {r[0] for r in part}) / len(part) for part in (rows, plain, foreign, mixed)]
+    assert share[0] >= 0.97 and share[1] >= 0.95, share
+    assert share[2] <= 0.2 and share[3] <= 0.75, share  # at a margin of 0.001: 0.63 and 0.98
+
+
 def test_pipeline_stages(spark, tmp_path, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -27,14 +27,15 @@ from .tokens import encoder
 FILE = "part int, shard int, doc_ids binary, n_ids binary, begins binary, rules binary, rule_lengths binary, first_rule long, width int, sequence binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6, least: int = 24, most_rules: int = 16_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 24, most_rules: int = 16_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(sequence, ends in it, rules)``. ``ends``: where each document ends in ``ids``, ascending.
 
-    ``rules[k]`` is the pair that ``first_rule + k`` stands for.
+    ``rules[k]`` is the pair that ``first_rule + k`` stands for. Rounds go on until no
+    pair occurs ``least`` times or there are ``most_rules``, which keeps ids short.
     """
     seq, ends, rules = ids.astype(np.uint32), ends.astype(np.int64), []
     bits = 16
-    for _ in range(rounds):
+    while True:
         n, left = len(seq), most_rules - sum(map(len, rules))
         if n < 2 or left <= 0:
             break
@@ -42,14 +43,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6
         inner = np.ones(n - 1, bool)
         inner[ends[(ends > 0) & (ends < n)] - 1] = False
         slot = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
-        pair = np.zeros(1 << bits, np.uint64)  # one pair stands for a slot; others there wait for a later round
-        pair[slot[inner]] = codes[inner]
-        at = np.flatnonzero(inner & (pair[slot] == codes))
+        # the most frequent pair stands for a slot, the lesser code of equals; only slots with enough hits are counted
+        busy = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << bits) >= least)[slot])
+        found, times = np.unique(codes[busy], return_counts=True)
+        found, times = found[times >= least], times[times >= least]
+        if not len(found):
+            break
+        home = (found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.lexsort((found, -times))[::-1]  # what is written last stays
+        pair, count = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        pair[home[order]], count[home[order]] = found[order], times[order]
+        at = busy[pair[slot[busy]] == codes[busy]]
         slot = slot[at]
-        count = np.bincount(slot, minlength=1 << bits)
         chosen = np.flatnonzero(count >= least)
-        if not len(chosen):
-            break
         if len(chosen) > left:
             chosen = chosen[np.argsort(-count[chosen], kind="stable")[:left]]
         number = np.full(1 << bits, -1, np.int32)

@@ -51,6 +51,18 @@ def test_repair_round_trip_and_random_access():
     assert all(lengths[k] == len(repair.expand(np.array([1000 + k]), rules, 1000)) for k in range(0, len(rules), 7))
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.tile(rng.integers(0, 40_000, 300), 30), rng.zipf(1.3, 120_000) % 40_000]).astype(np.uint32)
+    ends = np.array([9000, 20_000, len(ids)])
+    seq, cut, rules = repair.compress(ids, ends, 40_000)
+    pairs = {}
+    for lo, hi in zip([0, *cut[:-1]], cut):
+        for pair in zip(seq[lo : hi - 1].tolist(), seq[lo + 1 : hi].tolist()):
+            pairs[pair] = pairs.get(pair, 0) + 1
+    assert max(pairs.values()) < 24 and (repair.expand(seq, rules, 40_000) == ids).all()
+
+
 def test_id_files(spark, tmp_path):
     path = str(tmp_path / "ids")
     repair.write(docs(spark), path, vocabulary("word_bpe_49k.json"), 1, docs_a_part=3, ids_a_shard=50)

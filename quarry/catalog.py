@@ -393,6 +393,13 @@ def jn21_unique_names(w):
     return graph.unique_names(calls, w.symbols.where("kind = 'method' and package = 'pkg3'")).select("call_id", "target_id", "confidence")
 
 
+@query("SELECT id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id AS id, concat('P', doc_id % 900) AS name FROM documents) c JOIN (SELECT name, min(id) AS target_id FROM symbols GROUP BY name HAVING count(*) = 1) s USING (name)")
+def jn21_all_names(w):
+    """Unique among all symbols; where every name has several, no rows are right."""
+    calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"))
+    return graph.unique_names(calls, w.symbols).select("call_id", "target_id", "confidence")
+
+
 @query("SELECT call_id, min(s.id) AS target_id FROM (SELECT doc_id AS call_id, concat('P', doc_id % 900) AS name, concat('pkg', doc_id % 3) AS module FROM documents) c JOIN symbols s ON s.name = c.name AND starts_with(s.package, c.module) GROUP BY call_id")
 def jn22_qualified_names(w):
     calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"), F.concat(F.lit("pkg"), F.col("doc_id") % 3).alias("module"))

@@ -57,3 +57,13 @@ def test_whole_tables_are_read(spark, sf):
     assert sorted(r["query"] for r in hits) == sorted(asked * 10)
     assert {r["id"] for r in hits if r["rank"] == 1} == set(asked)  # each is its own nearest
     assert sum(r["hits"] for r in run["vs4_all_queries"].collect()) == 10 * len(asked)
+
+
+def test_unique_names_among_all_symbols(spark):
+    """A name that is unique in one package only is no hit; one of another package is."""
+    from types import SimpleNamespace
+
+    symbols = [("a", "P1", "method", "pkg3"), ("b", "P1", "function", "pkg4"), ("c", "P2", "function", "pkg5"), ("d", "P3", "method", "pkg3")]
+    world = SimpleNamespace(documents=spark.createDataFrame([(1,), (2,), (903,), (4,)], "doc_id long"), symbols=spark.createDataFrame(symbols, "id string, name string, kind string, package string"))
+    got = {(r["call_id"], r["target_id"], r["confidence"]) for r in catalog._QUERIES["jn21_all_names"](world).collect()}
+    assert got == {(2, "c", 0.85), (903, "d", 0.85)}

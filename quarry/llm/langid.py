@@ -25,6 +25,8 @@ from .shared import crc_mod, small_batches, widened
 
 #: Texts sampled for each language, and the bytes of its dictionary.
 SAMPLE, DICTIONARY = 300, 100_000
+#: Places of a long text that its part of the dictionary comes from.
+PIECES = 8
 #: Least margin of a text that is not rejected. At this share a short text must differ by
 #: several bytes too. Fitted on rows not held out: see the README.
 MARGIN = 0.05
@@ -40,12 +42,38 @@ def letters(text: str) -> str:
 def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries by language, from rows with ``doc_id, text, lang``."""
     rows = stratified(docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.length("text") > 0), "lang", sample)
-    # an even share of each text bounds what reaches the driver; only dictionaries are cut, never what is classified
-    share = max(1, 4 * size // sample)
-    got: dict[str, list[tuple[str, str]]] = {}
-    for r in rows.select("lang", F.col("doc_id").cast("string").alias("d"), F.substring("text", 1, share).alias("t")).orderBy(F.xxhash64("d"), "d", "t").collect():
-        got.setdefault(r["lang"], []).append(letters(r["t"]))
-    return {lang: "\n".join(texts).encode()[-size:] for lang, texts in sorted(got.items())}
+    # pieces spread over each text bound what reaches the driver; only dictionaries are cut, never what is classified
+    share = max(PIECES, 4 * size // sample)
+    got: dict[str, list[list[str]]] = {}
+    for r in rows.select("lang", F.col("doc_id").cast("string").alias("d"), spread("text", share).alias("t")).orderBy(F.xxhash64("d"), "d", "t").collect():
+        got.setdefault(r["lang"], []).append([letters(t) for t in r["t"]])
+    return {lang: dictionary(texts, size) for lang, texts in sorted(got.items())}
+
+
+def spread(text: str, most: int) -> F.Column:
+    """The whole text where it has at most ``most`` characters, else pieces of that total, one from each equal stretch, placed by a hash."""
+    size, n = most // PIECES, F.length(text)
+
+    def piece(k: int) -> F.Column:
+        lo, hi = F.floor(n * k / PIECES), F.floor(n * (k + 1) / PIECES)
+        at = lo + F.pmod(F.xxhash64(F.col(text), F.lit(k)), F.greatest(hi - lo - size + 1, F.lit(1)))
+        return F.col(text).substr((at + 1).cast("int"), F.lit(size))
+
+    return F.when(n <= most, F.array(F.col(text))).otherwise(F.array(*map(piece, range(PIECES))))
+
+
+def dictionary(texts: list[list[str]], size: int) -> bytes:
+    """Of every text as much as an even bound allows, so that all together take at most ``size`` bytes."""
+    raw = [[t.encode() for t in pieces] for pieces in texts]
+
+    def held(bound: int) -> list[bytes]:
+        return [b" ".join(p[: bound // len(pieces)].decode(errors="ignore").encode() for p in pieces) for pieces in raw]
+
+    lo, hi = 0, size + 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if len(b"\n".join(held(mid))) <= size else (lo, mid)
+    return b"\n".join(held(lo))[:size]
 
 
 class Compressors:

@@ -331,6 +331,17 @@ def test_language(spark):
     assert got[103]["lang_pred"] == "aa" and langid.identify(df.limit(0)).count() == 0
 
 
+def test_dictionary_takes_all_texts_from_all_over(spark):
+    header = "the same header of every file " * 100
+    rows = [(k, "aa", header + f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 1000) for k in range(60)]
+    made = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 60, 20_000)["aa"].decode()
+    assert len(made.encode()) <= 20_000
+    assert all(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" in made for k in range(60))
+    assert made.count("header") < made.count("word")
+    short = langid.train(spark.createDataFrame([(1, "aa", "bosko é tarlin")], "doc_id long, lang string, text string"))["aa"]
+    assert short.decode() == "bosko é tarlin"
+
+
 def test_language_stage_rejects_foreign_and_mixed_texts(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(5)

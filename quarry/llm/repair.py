@@ -1,15 +1,17 @@
 """Token ids on disk: Re-Pair grammar compression per shard, with random access.
 
-A shard is a run of documents in ascending ``doc_id``. Rounds replace its
-frequent adjacent id pairs by nonterminals (many pairs a round, none across a
-document's end). A row of the file holds the rules, their expansion lengths, the
-compressed sequence and where each document begins in it, so one document
-decodes alone. Files are Parquet with binary columns, so that any store that
-Spark writes to will do.
+A shard is a run of documents in ascending ``doc_id``. Frequent adjacent id pairs
+are replaced by nonterminals, again and again (many pairs a round, none across a
+document's end), until no pair occurs ``LEAST`` times. A row of the file holds the
+rules, their expansion lengths, the compressed sequence and where each document
+begins in it: one document decodes alone, and so does any run of token positions,
+found by the expansion lengths. Files are Parquet with binary columns, so that any
+store that Spark writes to will do.
 
 Defined results: null or empty text gives the end id alone; rows with equal or
-null ``doc_id`` are kept, one after the other (null first, ties by text); an
-empty table writes no shard; further columns are ignored.
+null ``doc_id`` are kept, one after the other (null first, ties in the order of the
+input); a very long text fills a shard of its own, whole; an empty table writes no
+shard; further columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -18,26 +20,30 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import parts, small_batches
 from .tokens import encoder
 
-FILE = "part int, shard int, doc_ids binary, n_ids binary, begins binary, rules binary, rule_lengths binary, first_rule long, width int, sequence binary"
+#: A pair is replaced while it occurs so often in a shard.
+LEAST = 24
+FILE = "part int, shard int, n_null int, doc_ids binary, n_ids binary, begins binary, rules binary, rule_lengths binary, first_rule long, width int, sequence binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 24, most_rules: int = 16_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(sequence, ends in it, rules)``. ``ends``: where each document ends in ``ids``, ascending.
 
-    ``rules[k]`` is the pair that ``first_rule + k`` stands for. Rounds go on until no
-    pair occurs ``least`` times or there are ``most_rules``, which keeps ids short.
+    ``rules[k]`` is the pair that ``first_rule + k`` stands for. A round counts exactly, and
+    replaces the most frequent pair of each slot of a hash; rounds go on until no pair
+    occurs ``least`` times.
     """
     seq, ends, rules = ids.astype(np.uint32), ends.astype(np.int64), []
     bits = 16
     while True:
-        n, left = len(seq), most_rules - sum(map(len, rules))
-        if n < 2 or left <= 0:
+        n = len(seq)
+        if n < 2:
             break
         codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         inner = np.ones(n - 1, bool)
@@ -56,8 +62,6 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = 24
         at = busy[pair[slot[busy]] == codes[busy]]
         slot = slot[at]
         chosen = np.flatnonzero(count >= least)
-        if len(chosen) > left:
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")[:left]]
         number = np.full(1 << bits, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
         new = number[slot]
@@ -109,73 +113,65 @@ def document(shard: dict, k: int) -> np.ndarray:
     return expand(seq[begins[k] : begins[k + 1]], rules, shard["first_rule"])
 
 
-def cut_points(docs: DataFrame, n: int) -> list[int]:
-    """At most ``n - 1`` ascending doc_ids that cut the table to even parts."""
-    if n < 2:
-        return []
-    got = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"]
-    return sorted(set(got or []))
+def tokens(shard: dict, start: int, stop: int) -> np.ndarray:
+    """Random access: ids ``start`` to ``stop`` of a file row, all its documents counted as one sequence.
+
+    Expansion lengths tell which symbols cover them; only those are decoded.
+    """
+    rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
+    seq = np.frombuffer(shard["sequence"], f"<u{shard['width']}").astype(np.int64)
+    stands_for = np.append(np.frombuffer(shard["rule_lengths"], "<i8"), 1)
+    ends = np.cumsum(stands_for[np.where(seq >= shard["first_rule"], seq - shard["first_rule"], -1)])
+    a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+    skip = start - (int(ends[a - 1]) if a else 0)
+    return expand(seq[a:b], rules, shard["first_rule"])[skip : skip + max(0, stop - start)]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_a_part: int = 4000, ids_a_shard: int = 1_000_000) -> None:
     """Encode every text, append ``end_id``, compress and write the files."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    cuts = cut_points(docs, parts(docs.count(), docs_a_part))
-    part = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(
-        F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if len(cuts) < 16 else _rank(cuts)
-    )
+    n_parts = parts(docs.count(), docs_a_part)
 
     def run(batches):
         words = encoder(vocabulary)
         first = words.tok.get_vocab_size()
         end = np.array([end_id], "<u4").tobytes()
-        held, part, shard, size = [], None, 0, 0
+        part = TaskContext.get().partitionId()
+        held, shard, size = [], 0, 0
 
         def flush():
-            docs_ = np.array([-(2**63) if d is None else d for d, _ in held], "<i8")
+            docs_ = np.array([d for d, _ in held if d is not None], "<i8")  # those without id come first
             n = np.array([len(x) // 4 for _, x in held], np.int64)
             seq, ends, rules = compress(np.frombuffer(b"".join(x for _, x in held), "<u4"), np.cumsum(n), first)
             width = 2 if max(first + len(rules), int(seq.max(initial=0)) + 1) <= 65536 else 4
-            row = [part, shard, docs_.tobytes(), n.astype("<i8").tobytes(), np.append(0, ends).astype("<i8").tobytes(), rules.astype("<u4").tobytes()]
+            row = [part, shard, len(held) - len(docs_), docs_.tobytes(), n.astype("<i8").tobytes(), np.append(0, ends).astype("<i8").tobytes(), rules.astype("<u4").tobytes()]
             row += [expansion_lengths(rules, first).astype("<i8").tobytes(), first, width, seq.astype(f"<u{width}").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
 
         for b in batches:
-            for p, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words.encode(b.column(2).to_pylist())):
-                if held and (p != part or size >= ids_a_shard):
+            for d, ids in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist())):
+                if held and size >= ids_a_shard:
                     yield flush()
-                    shard, held, size = (shard + 1 if p == part else 0), [], 0
-                part = p
+                    shard, held, size = shard + 1, [], 0
                 held.append((d, ids + end))
                 size += len(ids) // 4 + 1
         if held:
             yield flush()
 
-    out = docs.select(part.cast("int").alias("part"), "doc_id", "text").repartitionById(len(cuts) + 1, F.col("part"))
-    out.sortWithinPartitions("part", "doc_id", "text").mapInArrow(run, FILE).write.mode("overwrite").parquet(path)
-
-
-def _rank(cuts: list[int]) -> F.Column:
-    """How many cuts lie below doc_id, by halving a literal list."""
-
-    def half(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
-
-    return half(0, len(cuts))
+    # ranges of ids, ties dealt by their place in the input, so that no id fills a task
+    out = docs.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(n_parts, "doc_id", "at").sortWithinPartitions("doc_id", "at")
+    out.select("doc_id", "text").mapInArrow(run, FILE).write.mode("overwrite").parquet(path)
 
 
-_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int32(), pa.binary()]
-_NAMES = ["part", "shard", "doc_ids", "n_ids", "begins", "rules", "rule_lengths", "first_rule", "width", "sequence"]
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int32(), pa.binary()]
+_NAMES = ["part", "shard", "n_null", "doc_ids", "n_ids", "begins", "rules", "rule_lengths", "first_rule", "width", "sequence"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``part, shard, k, doc_id, n_tokens, ids_crc32, ids`` of each document of the files, decoded.
+    """``part, shard, k, doc_id, n_tokens, at, ids_crc32`` of each document of the files, decoded.
 
-    ``k``: place in the shard; ``ids``: little-endian unsigned 32-bit bytes (pruned if unused).
+    ``k``: its place in the shard; ``at``: the ids of the shard before it.
     """
 
     def run(batches):
@@ -185,15 +181,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = expand(np.frombuffer(s["sequence"], f"<u{s['width']}"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), s["first_rule"])
                 assert len(begins) == len(n) + 1 and len(ids) == n.sum(), "the file is damaged"
                 raw, at = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(n)) * 4
-                docs_ = np.frombuffer(s["doc_ids"], "<i8")
+                docs_ = [None] * s["n_null"] + np.frombuffer(s["doc_ids"], "<i8").tolist()
                 crc = [zlib.crc32(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["part"]] * m, pa.int32()), pa.array([s["shard"]] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([None if d == -(2**63) else d for d in docs_.tolist()], pa.int64()), pa.array(n), pa.array((at[:-1] // 4)), pa.array(crc, pa.int64())],
+                    [pa.array([s["part"]] * m, pa.int32()), pa.array([s["shard"]] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(docs_, pa.int64()), pa.array(n), pa.array((at[:-1] // 4)), pa.array(crc, pa.int64())],
                     names=["part", "shard", "k", "doc_id", "n_tokens", "at", "ids_crc32"],
                 )
 
-    files = spark.read.schema(FILE).parquet(path).select("part", "shard", "doc_ids", "n_ids", "begins", "rules", "first_rule", "width", "sequence")
+    files = spark.read.schema(FILE).parquet(path).select("part", "shard", "n_null", "doc_ids", "n_ids", "begins", "rules", "first_rule", "width", "sequence")
     return files.mapInArrow(run, "part int, shard int, k int, doc_id long, n_tokens long, at long, ids_crc32 long")
 
 

@@ -1,10 +1,13 @@
-"""Whole-text encoding with the public ``tokenizers`` library, cached by word.
-
-A text is cut at single spaces. Both vocabularies start a new pre-token there,
-so the ids of the pieces, one after the other, are the ids of the text. Pieces
-for which that may not hold (empty ones, other white space at an edge) send the
-whole text to the library. Every distinct piece goes through the library once
-per worker; later ones are looked up.
+"""Whole-text encoding with the public ``tokenizers`` library, remembered by word.
+
+A text is cut at its spaces. Both vocabularies start a new pre-token there, so
+the ids of the pieces, one after the other, are the ids of the text. A piece falls
+into atoms the same way: lines, and a full stop or comma after letters. Atoms go
+through the library, many in one call, once per worker; pieces are looked up.
+Where a cut may change the result (white space at an edge, the name of a special
+token anywhere), the whole text goes to the library. What a worker has seen before
+never changes a result: atoms after a space, atoms at the start of a line and whole
+pieces are kept in tables of their own.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ import os
 
 import numpy as np
 
-#: Distinct pieces that one worker remembers; later ones are encoded each time.
-REMEMBERED = 900_000
-#: Pieces that one call encodes together.
+#: Distinct pieces that one worker remembers, and the longest; others are encoded each time.
+REMEMBERED, LONGEST = 700_000, 64
+#: Atoms that one call of the library encodes together.
 _TOGETHER = 100
+#: Letters under this code point were letters in every edition of Unicode that a library may carry.
+_OLD = "ɐ"
 
 
 class WordEncoder:
@@ -27,14 +32,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings are ordinary text
         self.remembered = remembered
-        self.known: dict[str, bytes | bool] = {}
-        self.spaced = self.ids(" a") != self.ids("a")
-        self.break_id = self.ids("\n")[0] if self.spaced else None
+        self.spaced = self.ids(" a") != self.ids("a")  # a space belongs to the word after it; else white space is dropped
+        self.known: dict[str, bytes | None] = {}  # pieces after a space; None: the text needs the library
+        self.first: dict[str, bytes | None] = {}  # openings of texts
+        self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
+        self.mark = {c: self.raw(c) for c in ".,"}
+        self.line_break = self.raw("\n")
         names = (self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size()))
         self.opens = np.array([t.startswith("Ġ") for t in names])
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.fence = next(c for c in "™♪©ª" if self.spaced or len(self.ids(c)) == 1)
+        self.fence_id = self.ids(self.fence)[0]
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -42,97 +52,112 @@ class WordEncoder:
     def raw(self, text: str | None) -> bytes:
         return np.array(self.ids(text or ""), "<u4").tobytes()
 
-    def _atoms(self, piece: str) -> list[str] | None:
-        """Keys of the parts of a piece that encode alone: a word after a space, a word after
-        a line break (led by one), a full stop or comma after letters (led by a tab)."""
+    def _atoms(self, piece: str, spaced: bool) -> list[tuple[bool, str]] | None:
+        """``(after a space, text)`` of what encodes alone; marks and line breaks as themselves. None: nothing is sure."""
         found = []
         for i, line in enumerate(piece.split("\n")):
             if self.spaced:
                 if not line or line[0].isspace() or line[-1].isspace():
                     return None
+                if i:
+                    found.append((False, "\n"))
             elif not line:
                 continue
-            core = line[:-1] if line[-1] in ".," and line[:-1].isalpha() else line
-            found.append(("\n" if self.spaced and i else "") + (core if self.spaced or not core.isascii() else core.lower()))
-            if core is not line:
-                found.append("\t" + line[-1])
+            core = line[:-1]
+            cut = line[-1] in ".," and core.isalpha() and max(core) < _OLD and "İ" not in core
+            core = core if cut else line
+            found.append((spaced and not i, core if self.spaced or not core.isascii() else core.lower()))
+            if cut:
+                found.append((False, line[-1]))
         return found
 
-    def _learn(self, keys: list[str], into: dict[str, bytes | bool]) -> None:
-        """Ids of atoms, many in one call of the library."""
-        kinds: dict[str, list[str]] = {" ": [], "\n": []}
-        for k in keys:
-            if k[0] == "\t" or self.fence in k:
-                into[k] = self.raw(k[1:]) if k[0] in "\t" else self.raw(" " * (self.spaced and k[0] != "\n") + k)
+    def _learn(self, words: list[str], after_space: bool, into: dict[str, bytes]) -> None:
+        """Ids of atoms, many in one call."""
+        own = []
+        for w in words:
+            if self.fence in w and not self.spaced:
+                into[w] = self.raw(w)
             else:
-                kinds["\n" if k[0] == "\n" else " "].append(k)
-        for kind, own in kinds.items():
-            groups = [own[i : i + _TOGETHER] for i in range(0, len(own), _TOGETHER)]
-            if not self.spaced:
-                texts = [f" {self.fence} ".join(g) for g in groups]
+                own.append(w)
+        groups = [own[i : i + _TOGETHER] for i in range(0, len(own), _TOGETHER)]
+        joined = f" {self.fence} " if not self.spaced else " " if after_space else "\n"
+        texts = [(" " if after_space else "") + joined.join(g) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            if after_space:
+                cuts = np.flatnonzero(self.opens[ids])
+                ends = np.append(cuts[1:], len(ids))
             else:
-                texts = ["".join(g)[1:] if kind == "\n" else " " + " ".join(g) for g in groups]
-            for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                if not self.spaced:
-                    at = np.flatnonzero(ids == self.ids(self.fence)[0])
-                    cuts, ends, lead = np.append(0, at + 1), np.append(at, len(ids)), b""
-                elif kind == " ":
-                    cuts, lead = np.flatnonzero(self.opens[ids]), b""
-                    ends = np.append(cuts[1:], len(ids))
-                else:
-                    at, lead = np.flatnonzero(ids == self.break_id), np.array([self.break_id], "<u4").tobytes()
-                    cuts, ends = np.append(0, at + 1), np.append(at, len(ids))
-                if len(cuts) != len(g):  # not expected; one at a time stays right
-                    for k in g:
-                        into[k] = self.raw(" " * (self.spaced and kind == " ") + k)
-                    continue
-                flat = ids.tobytes()
-                for k, x, y in zip(g, (cuts * 4).tolist(), (ends * 4).tolist()):
-                    into[k] = lead + flat[x:y]
-
-    def _resolve(self, pieces: set[str]) -> dict[str, bytes | bool]:
-        """The ids of unknown pieces; False: the piece needs its whole text."""
-        known, same = self.known, self.spaced
-        atoms: dict[str, tuple[str, ...] | list[str] | None] = {}
-        need: set[str] = set()
+                at = np.flatnonzero(ids == (self.ids("\n")[0] if self.spaced else self.fence_id))
+                cuts, ends = np.append(0, at + 1), np.append(at, len(ids))
+            if len(cuts) != len(g):  # not expected; one at a time stays right
+                into.update((w, self.raw(" " * after_space + w)) for w in g)
+                continue
+            flat = ids.tobytes()
+            into.update((w, flat[x:y]) for w, x, y in zip(g, (cuts * 4).tolist(), (ends * 4).tolist()))
+
+    def _resolve(self, pieces: set[str], spaced: bool) -> dict[str, bytes | None]:
+        """The ids of pieces that are not known yet."""
+        fixed = {"\n": self.line_break, **self.mark}
+        atoms: dict[str, list[tuple[bool, str]] | None] = {}
+        need: tuple[set[str], set[str]] = (set(), set())
         for p in pieces:
             if p.isalpha():
-                keys = (p if same or not p.isascii() else p.lower(),)
+                keys = [(spaced, p if self.spaced or not p.isascii() else p.lower())]
+            elif not p and not spaced:
+                keys = []
             else:
-                keys = self._atoms(p)
+                keys = self._atoms(p, spaced)
             atoms[p] = keys
-            if keys:
-                need.update(keys)
-        spare: dict[str, bytes | bool] = {}
-        self._learn([k for k in need if k not in known], spare)
-        of = lambda k: spare[k] if k in spare else known[k]
-        new = {p: False if ks is None else of(ks[0]) if len(ks) == 1 else b"".join(map(of, ks)) for p, ks in atoms.items()}
-        if len(self.known) < self.remembered:
-            self.known.update(spare)
-            self.known.update((p, v) for p, v in new.items() if "\n" not in p)
-        return new
+            for after, w in keys or ():
+                if after or w not in fixed:
+                    need[after].add(w)
+        tables = []
+        for after, held in ((False, self.at_start), (True, self.after_space)):
+            got: dict[str, bytes] = {}
+            self._learn([w for w in need[after] if w not in held], after, got)
+            if len(held) < self.remembered:
+                held.update((w, v) for w, v in got.items() if len(w) <= LONGEST)
+            tables.append((got, held))
+
+        def ids(after: bool, w: str) -> bytes:
+            if not after and w in fixed:
+                return fixed[w]
+            got, held = tables[after]
+            return got[w] if w in got else held[w]
+
+        return {p: None if ks is None else b"".join([ids(*k) for k in ks]) for p, ks in atoms.items()}
+
+    def _table(self, pieces: set[str], held: dict[str, bytes | None], spaced: bool) -> dict[str, bytes | None]:
+        """A table that holds at least ``pieces``."""
+        fresh = pieces.difference(held)
+        if not fresh:
+            return held
+        new = self._resolve(fresh, spaced)
+        if len(held) + len(new) <= self.remembered and max(map(len, new)) <= LONGEST:
+            held.update(new)
+            return held
+        table = {p: held[p] for p in pieces if p not in new} | new
+        if len(held) < self.remembered:
+            held.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
+        return table
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
-        get, out, open_ = self.known.get, [], []
-        for t in texts:
-            s = (t or "").split(" ")
-            lead = s.pop(0) if self.spaced else ""
-            got = list(map(get, s))
-            out.append((lead, got))
-            if None in got:
-                open_.append((s, got))
-        if open_:
-            new = self._resolve({p for s, got in open_ for p, g in zip(s, got) if g is None})
-            for s, got in open_:
-                got[:] = [new[p] if g is None else g for p, g in zip(s, got)]
+        cut = [(t or "").split(" ") for t in texts]
+        leads = [c.pop(0) if self.spaced else "" for c in cut]
+        known = self._table(set().union(*cut), self.known, self.spaced).__getitem__
+        first = self._table(set(leads), self.first, False).__getitem__
         done = []
-        for t, (lead, got) in zip(texts, out):
-            if False in got or lead and lead[-1].isspace():
+        for t, lead, c in zip(texts, leads, cut):
+            head = first(lead)
+            if head is None or t and any(s in t for s in self.special):
+                done.append(self.raw(t))
+                continue
+            try:
+                done.append(head + b"".join(map(known, c)))
+            except TypeError:  # a piece without ids of its own
                 done.append(self.raw(t))
-            else:
-                done.append((self.raw(lead) if lead else b"") + b"".join(got))
         return done
 
 

@@ -28,13 +28,27 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_word_encoder_is_the_library(name):
-    w = tokens.WordEncoder(vocabulary(name), remembered=50)
-    texts = [t for _, t in ODD] + [" a", "a ", "™ x ™", "x\n\ny", "\n a", "Of.\nThe,\nend", "İ Σς K"]
-    for _ in range(2):
+VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+#: Parts of random texts: marks, white space of all kinds, letters that change when lower-cased or composed, special tokens.
+PARTS = ["a", "B", "foo", "Bar", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'S", "'t", "'", "İ", "Σ", "ς", "ß", "e\u0301", "é", "\u0301", "한", "\u1112", "\u1161", "1", "²", "½", "Ⅷ", "x1", "™", "ª", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\x1c", "\x85", "\u00a0", "\u3000", "\u180e", "\u200b", "😀", "İ.", "word.", "word,", "Word.\nThe", "--", "K", "ŉ", "\r\n", "\x0b", "...", ".,", "\ufeff", "𝒳", "Ꭰ", "Ა", "ﬁ"]
+
+
+@pytest.mark.parametrize("remembered", [100_000, 30])
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_encoder_is_the_library_however_warm(name, remembered):
+    """Random texts, in batches, against the tokenizer as loaded; one encoder for all of them."""
+    from tokenizers import Tokenizer
+
+    plain, w, rng = Tokenizer.from_file(vocabulary(name)), tokens.WordEncoder(vocabulary(name), remembered), random.Random(11)
+    seen = 0
+    while seen < 4000:
+        texts = ["".join(rng.choice(PARTS) if rng.random() < 0.7 else rng.choice([" ", "a", "x "]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 30))]
         for t, got in zip(texts, w.encode(texts)):
-            assert np.frombuffer(got, "<u4").tolist() == w.ids(t or ""), repr(t)
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        seen += len(texts)
+    texts = [t for _, t in ODD] + ["x\nfoo", "a \nfoo", "word. x", "a \t. b", "İ.", "q" * 5000 + " x"]
+    for t, got in zip(texts, w.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
 def test_repair_round_trip_and_random_access():
@@ -48,6 +62,9 @@ def test_repair_round_trip_and_random_access():
     for k in range(len(ends)):
         assert (repair.document(row, k) == ids[lo[k] : ends[k]]).all()
     lengths = repair.expansion_lengths(rules, 1000)
+    row["rule_lengths"] = lengths.astype("<i8").tobytes()
+    for start, stop in [(0, 1), (7, 7), (990, 1010), (0, 30_000), (29_999, 30_000)]:
+        assert (repair.tokens(row, start, stop) == ids[start:stop]).all()
     assert all(lengths[k] == len(repair.expand(np.array([1000 + k]), rules, 1000)) for k in range(0, len(rules), 7))
 
 
@@ -92,6 +109,31 @@ def test_local_search_beats_best_fit():
         assert sorted(i for b in last for i in b) == list(range(40)) and all(sum(n[b]) <= 100 for b in last)
 
 
+def test_local_search_leaves_no_step():
+    """No move, one-for-one or two-for-one exchange between any two bins raises the sum of squares, by trying all."""
+    rng = random.Random(4)
+    for _ in range(25):
+        n = np.array([rng.choice([rng.randrange(30, 70), rng.randrange(1, 40)]) for _ in range(24)])
+        bins = packing.pack(n, 100)
+        fill = [int(sum(n[b])) for b in bins]
+        if len(bins) == -(-int(n.sum()) // 100):
+            continue
+        for i, j in ((i, j) for i in range(len(bins)) for j in range(len(bins)) if i != j and fill[i] < 100 and fill[j] < 100):
+            gives = [(a,) for a in bins[j]] + [(a, b) for k, a in enumerate(bins[j]) for b in bins[j][k + 1 :]]
+            for back in [0, *(int(n[t]) for t in bins[i])]:
+                for g in gives:
+                    x = int(sum(n[list(g)])) - back
+                    after = fill[i] + x
+                    assert after > 100 or x <= 0 or after**2 + (fill[j] - x) ** 2 <= fill[i] ** 2 + fill[j] ** 2
+
+
+def test_packing_of_repeated_rows(spark):
+    """A third of the rows are one document: they spread over groups, and each row is packed."""
+    found = packing.pieces(docs(spark, [(1, "one same text")] * 40 + [(None, None)] * 20 + [(k, f"text {k}") for k in range(60)]), vocabulary("byte_bpe_50k.json"), 0, 64)
+    rows = packing.packed(found, 64, group_rows=10).collect()
+    assert len(rows) == 120 and len({r["sequence_id"] >> 32 for r in rows if r["doc_id"] == 1}) > 4
+
+
 def test_packing(spark):
     got = packing.pack_documents(docs(spark), vocabulary("byte_bpe_50k.json"), capacity=64).collect()
     enc = tokens.WordEncoder(vocabulary("byte_bpe_50k.json"))

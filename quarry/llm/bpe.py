@@ -1,34 +1,47 @@
 """Byte-level BPE with Spark's higher-order functions, and decoding.
 
-Texts are cut to words by the vocabulary's pattern. Words that are tokens stand
-for themselves; each other distinct word of a block of texts becomes an array of
-its bytes' ids once, and a fold over that array merges its lowest-ranked adjacent
-pair, step by step, until none is left. Ranks are looked up in a literal: all id
-pairs whose bytes make a token, placed in two hash tables so that a lookup reads
-two places at most. Documents refer to words by number, so nothing is shuffled.
-Decoding maps ids to the literal pieces of the vocabulary and joins them.
+Texts are cut to words by the vocabulary's pattern. Words that are tokens stand for
+themselves. The other distinct words of a block of texts get numbers; documents
+refer to them by number. All blocks' words meet by their bytes, so that each becomes
+an array of its bytes' ids once, and a fold over that array merges its lowest-ranked
+adjacent pair, step by step, until none is left. Ranks are looked up in a literal map
+from id pairs: one array of offsets by left id, one of entries at offset plus right
+id. The ids of the words go back to their blocks, where documents are put together.
+Decoding concatenates the binary pieces of the ids.
+
+A word that occurs in very many blocks is folded once for each ``BLOCKS`` of them, so
+that no group grows with the corpus. Words over ``LONG`` bytes would make the fold
+quadratic: they are merged with a heap, to the same ids.
 
 Defined results: null text counts as empty (no ids, digests of the empty string);
 rows repeat as given, with null ``doc_id`` too; special tokens' names in a text are
-ordinary text; an empty table gives no rows; other columns are never read.
+ordinary text; very long texts and words are encoded whole; of equally ranked pairs
+the leftmost merges first; an empty table gives no rows; other columns, whatever
+their names, are never read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import bucketed, parts, small_batches
 
-#: No rank: no token is made of this pair.
-_NONE = 1 << 30
-#: Bytes of text that share one list of distinct words.
-BLOCK = 12_000_000
+#: Characters of text that share one list of distinct words.
+BLOCK = 40_000_000
+#: Blocks whose words share one fold, and the longest word (bytes) that is folded.
+BLOCKS, LONG = 1000, 200
+#: Letters under this code point were letters in every edition of Unicode.
+_OLD = "ɐ"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,156 +49,229 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class PairTable:
-    """Ranks of id pairs in two tables (cuckoo hashing): entries ``pair << 16 | rank``, 0 where free."""
+def mergeable(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """By left id, then right id: the rank of the token that the two make."""
+    pairs: dict[int, dict[int, int]] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                pairs.setdefault(a, {})[b] = rank
+    return pairs
 
-    def __init__(self, ranks: dict[bytes, int]):
-        pairs = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    pairs[a << 16 | b] = rank
-        self.sizes = [self._prime(int(len(pairs) * 1.4) + 11), self._prime(int(len(pairs) * 1.4) + 1009)]
-        self.tables = [[0] * n for n in self.sizes]
-        for pair, rank in pairs.items():
-            entry, side = pair << 16 | rank, 0
-            for _ in range(500):
-                at = self._slot(entry >> 16, side)
-                entry, self.tables[side][at] = self.tables[side][at], entry
-                if not entry:
-                    break
-                side ^= 1
-            else:
-                raise RuntimeError("the pairs don't fit their tables")
 
-    @staticmethod
-    def _prime(n: int) -> int:
-        while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-            n += 1
-        return n
+class PairMap:
+    """A literal map from id pairs to ranks: ``entries[offsets[left] + right]`` is ``left << 16 | rank``.
+
+    Rows of one left id, the longest first, are laid over each other where they leave no two
+    entries in one place (row displacement).
+    """
 
-    def _slot(self, pair: int, side: int) -> int:
-        return pair % self.sizes[0] if not side else ((pair >> 16) * 7919 + (pair & 65535) * 104729) % self.sizes[1]
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = mergeable(ranks)
+        n = max(ranks.values()) + 1
+        size = 8 * sum(map(len, pairs.values())) + 2 * n + 4096
+        self.entries, taken = np.zeros(size, np.int64), np.zeros(size, bool)
+        self.offsets = np.full(n, size, np.int64)  # beyond the end: no pair
+        begin: dict[int, int] = {}  # where rows of a length may still fit
+        for left, row in sorted(pairs.items(), key=lambda kv: (-len(kv[1]), kv[0])):
+            right = np.array(sorted(row))
+            at, step = begin.get(len(row), 0), 512
+            while True:
+                clash = taken[(at + np.arange(step))[:, None] + (right - right[0])[None, :]].any(1)
+                if not clash.all():
+                    at += int(np.flatnonzero(~clash)[0])
+                    break
+                at += step
+            begin[len(row)] = at
+            place = at + right - right[0]
+            taken[place] = True
+            self.entries[place] = left << 16 | np.array([row[b] for b in right.tolist()])
+            self.offsets[left] = at - int(right[0])
+        self.entries = self.entries[: int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1]
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The rank of two adjacent ids' token, ``_NONE`` if there is none."""
-        one, two = (F.from_json(F.lit(json.dumps(t)), "array<bigint>") for t in self.tables)
-        pair = F.shiftleft(a.cast("long"), 16) + b
-        first = F.get(one, (pair % self.sizes[0]).cast("int"))
-        second = F.get(two, ((a.cast("long") * 7919 + b.cast("long") * 104729) % self.sizes[1]).cast("int"))
-        low = F.lit(65535).cast("long")
-        return F.when(F.shiftright(first, 16) == pair, first.bitwiseAND(low)).when(F.shiftright(second, 16) == pair, second.bitwiseAND(low)).otherwise(F.lit(_NONE)).cast("int")
+        """The rank of two adjacent ids' token, null if there is none."""
+        entries, offsets = (F.from_json(F.lit(json.dumps(t.tolist())), kind) for t, kind in ((self.entries, "array<bigint>"), (self.offsets, "array<int>")))
+        found = F.get(entries, F.get(offsets, a) + b)
+        return F.when(F.shiftright(found, 16) == a, found.bitwiseAND(F.lit(65535)))
 
 
-def merged(word: Column, table: PairTable) -> Column:
+def merged(word: Column, table: PairMap) -> Column:
     """Fold the ranked merges over an array of ids of single bytes."""
 
-    def let(value: Column, then):
-        return F.get(F.transform(F.array(value), then), F.lit(0))
+    def step(ids: Column, _: Column) -> Column:
+        # ranks with their places in the low bits, so that the least one names both
+        ranked = F.transform(ids, lambda a, i: F.shiftleft(table.rank(a, F.get(ids, i + 1)), 16) + i)
 
-    def step(state: Column, _: Column) -> Column:
-        ids = state["ids"]
-        ranks = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: table.rank(a, F.get(ids, i + 1)))
+        def merge(least: Column) -> Column:
+            at, rank = least.bitwiseAND(F.lit(65535)).cast("int"), F.shiftright(least, 16).cast("int")
+            return F.when(least.isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))))
 
-        def merge(r: Column) -> Column:
-            least, place = F.array_min(r), F.array_position(r, F.array_min(r)).cast("int")
-            joined = F.concat(F.slice(ids, F.lit(1), place - 1), F.array(least), F.slice(ids, place + 2, F.size(ids)))
-            more = least < _NONE
-            return F.struct(F.when(more, joined).otherwise(ids).alias("ids"), (more & (F.size(ids) > 2)).alias("more"))
+        return F.get(F.transform(F.array(F.array_min(ranked)), merge), F.lit(0))
 
-        return F.when(state["more"], let(ranks, merge)).otherwise(state)
+    return F.aggregate(F.slice(word, 2, 1 << 30), word, step)
 
-    start = F.struct(word.alias("ids"), (F.size(word) > 1).alias("more"))
-    return F.when(F.size(word) < 2, word).otherwise(F.aggregate(F.slice(word, 2, 1 << 30), start, step, lambda s: s["ids"]))
 
+def merged_long(ids: list[int], pairs: dict[int, dict[int, int]]) -> list[int]:
+    """The same merges of a long word: pairs wait in a heap by rank and place."""
+    n = len(ids)
+    ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
 
-def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int) -> DataFrame:
-    """Rows of ``words`` (ids of bytes, or of the whole word) and ``docs`` (``doc_id``, word numbers)."""
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    def push(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            rank = pairs.get(ids[i], {}).get(ids[after[i]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[after[i]]))
 
-    def run(batches):
-        import regex
+    for i in range(n - 1):
+        push(i)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i] if ids[i] == a else n
+        if j >= n or ids[j] != b:
+            continue  # one of the two has merged meanwhile
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        push(before[i])
+        push(i)
+    return [x for x in ids if x >= 0]
 
-        cut = regex.compile(pattern).findall
-        number: dict[str, int] = {}
-        seen: dict[str, bytes | None] = {}
-        state = {"ids": [], "refs": [], "size": 0}
-
-        def numbers(words: list[str]) -> bytes:
-            return np.array([number.setdefault(w, len(number)) for w in words], np.int32).tobytes()
-
-        def piece(p: str) -> bytes | None:
-            """Word numbers of a piece that follows a single space; None if it can't stand alone."""
-            return None if not p or p[0].isspace() or p[-1].isspace() else numbers(cut(" " + p))
-
-        def emit() -> pa.RecordBatch:
-            raw = [w.encode("utf-8", "surrogatepass") for w in number]
-            whole = [ranks.get(w) for w in raw]
-            arrays = [single[np.frombuffer(w, np.uint8)] if k is None else np.array([k], np.int32) for w, k in zip(raw, whole)]
-            words = _lists(arrays)
-            refs = [np.frombuffer(r, np.int32) for r in state["refs"]]
-            rows = pa.StructArray.from_arrays([pa.array(state["ids"], pa.int64()), _lists(refs)], names=["doc_id", "at"])
-            out = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (words, rows)]
-            number.clear(), seen.clear()
-            state.update(ids=[], refs=[], size=0)
-            return pa.RecordBatch.from_arrays(out, names=["words", "docs"])
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = text or ""
-                head, *rest = text.split(" ")
-                got = [numbers(cut(head)) if not head or not head[-1].isspace() else None]
-                for p in rest:
-                    if p not in seen:
-                        seen[p] = piece(p)
-                    got.append(seen[p])
-                state["ids"].append(doc)
-                state["refs"].append(numbers(cut(text)) if None in got else b"".join(got))
-                state["size"] += len(text)
-                if state["size"] >= block:
-                    yield emit()
-        if state["ids"]:
-            yield emit()
+ROWS = "block long, doc_id long, refs binary, number int, bytes array<tinyint>, ids array<int>"
+_SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("refs", pa.binary()), ("number", pa.int32()), ("bytes", pa.list_(pa.int8())), ("ids", pa.list_(pa.int32()))])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "words array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>")
 
+def _lists(parts_: list, kind: str) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts_)]).astype(np.int32)
+    flat = np.frombuffer(b"".join(parts_), np.int8) if kind == "b" else np.array([x for p in parts_ for x in p], np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
 
+class Cutter:
+    """Word references of texts: a token's id, or ``first`` plus the number of another word of this block."""
 
-def once(df: DataFrame, **values: Column) -> DataFrame:
-    """Work ``values`` out once a row: an explode of one element keeps them from being inlined."""
-    return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_one")).select(*[c for c in df.columns if c not in values], *[F.col(f"_one.{k}").alias(k) for k in values])
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.first = max(ranks.values()) + 1
+        self.ranks = {}
+        for token, rank in ranks.items():
+            try:
+                self.ranks[token.decode()] = rank
+            except UnicodeDecodeError:  # part of a character, so no word of its own
+                pass
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, bytes | None] = {}
+        self.number: dict[str, int] = {}
+
+    def refs(self, words: list[str]) -> bytes:
+        out = array("i")
+        for w in words:
+            r = self.ranks.get(w)
+            out.append(self.first + self.number.setdefault(w, len(self.number)) if r is None else r)
+        return out.tobytes()
+
+    def piece(self, p: str) -> bytes | None:
+        """References of what follows a single space; None if it can't stand alone."""
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        if p.isalpha() and max(p) < _OLD:
+            return self.refs([" " + p])
+        return self.refs(self.find(" " + p))
+
+    def cut(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        for p in set().union(*split).difference(self.seen):
+            self.seen[p] = self.piece(p)
+        get, out = self.seen.__getitem__, []
+        for t, head, s in zip(texts, heads, split):
+            try:
+                if head and head[-1].isspace():
+                    raise TypeError
+                out.append(self.refs(self.find(head)) + b"".join(map(get, s)))
+            except TypeError:  # a piece that can't stand alone
+                out.append(self.refs(self.find(t or "")))
+        return out
+
+
+def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int) -> DataFrame:
+    """Rows of documents (``block, doc_id, refs``) and of the words they refer to (``block, number``, and
+    ``bytes``, or ``ids`` if long)."""
+    single = [ranks[bytes([b])] for b in range(256)]
+
+    def run(batches):
+        cutter, size = Cutter(ranks, pattern), 0
+        pairs: dict = {}
+        at = TaskContext.get().partitionId() << 24
+
+        def words():
+            raw = [w.encode("utf-8", "surrogatepass") for w in cutter.number]
+            short = [k for k, w in enumerate(raw) if len(w) <= LONG]
+            for lo in range(0, len(short), 20_000):
+                own = short[lo : lo + 20_000]
+                yield batch(len(own), number=pa.array(own, pa.int32()), bytes=_lists([raw[k] for k in own], "b"))
+            long = [k for k, w in enumerate(raw) if len(w) > LONG]
+            if long and not pairs:
+                pairs.update(mergeable(ranks))
+            if long:
+                yield batch(len(long), number=pa.array(long, pa.int32()), ids=_lists([merged_long([single[b] for b in raw[k]], pairs) for k in long], "i"))
+
+        def batch(n: int, **cols) -> pa.RecordBatch:
+            cols["block"] = pa.array(np.full(n, at))
+            return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(n, f.type)) for f in _SCHEMA], schema=_SCHEMA)
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield batch(len(texts), doc_id=b.column(0), refs=pa.array(cutter.cut(texts), pa.binary()))
+            size += sum(len(t) for t in texts if t)
+            if size >= block:
+                yield from words()
+                cutter.clear()
+                at, size = at + 1, 0
+        yield from words()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     small_batches(docs.sparkSession)
     ranks = load_ranks(path)
-    table = PairTable(ranks)
+    n_blocks = parts(docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0, block)
+    held = bucketed(_cut_to_blocks(docs, ranks, pattern, block), "words", min(20_000, 4 * n_blocks), "block", moved=False)
+    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+    word = F.transform("bytes", lambda b: F.get(single, F.pmod(b.cast("int"), F.lit(256))))
+    short = held.where("bytes is not null").select("block", "number", "bytes").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(parts(n_blocks, BLOCKS))))
+    same = Window.partitionBy("bytes", "salt").orderBy("block")
+    short = short.withColumn("nth", F.row_number().over(same)).withColumn("folded", F.when(F.col("nth") == 1, merged(word, PairMap(ranks))))
+    short = short.withColumn("ids", F.first("folded", True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    words = short.select("block", "number", "ids").unionByName(held.where("ids is not null").select("block", "number", "ids"))
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    vocabulary = F.from_json(F.lit(json.dumps([p.hex() for p in pieces])), "array<string>")
-    rows = _blocks(docs, ranks, pattern, block)
-    rows = once(rows, words=F.transform("words", lambda w: merged(w, table)))
-    written = lambda ids: F.struct(
-        F.size(ids).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.array_join(F.transform(ids, lambda t: F.get(vocabulary, t)), "").alias("hex")
-    )
-    rows = once(rows, words=F.transform("words", written))
-    words = F.col("words")
-    of = lambda at, field: F.transform(at, lambda i: F.get(words, i)[field])
-    each = F.transform(
-        "docs",
-        lambda d: F.struct(
-            d["doc_id"].alias("doc_id"),
-            F.aggregate(of(d["at"], "n"), F.lit(0).cast("long"), lambda n, k: n + k).alias("n_tokens"),
-            F.sha2(F.array_join(of(d["at"], "ids"), ",").cast("binary"), 256).alias("ids_sha256"),
-            F.sha2(F.unhex(F.array_join(of(d["at"], "hex"), "")), 256).alias("decoded_sha256"),
-        ),
-    )
-    return rows.select(F.inline(each))
+
+    def assemble(texts: pa.Table, own: pa.Table) -> pa.Table:
+        n = len(pieces)
+        number, lists = own.column("number").to_numpy(), own.column("ids").combine_chunks()
+        order = np.argsort(number)
+        size = np.append(np.ones(n, np.int64), np.diff(np.asarray(lists.offsets))[order] if len(order) else [])
+        ids = lists.take(pa.array(order)).to_pylist()
+        written = [*map(str, range(n)), *(",".join(map(str, x)) for x in ids)]
+        binary = [*pieces, *(b"".join([pieces[t] for t in x]) for x in ids)]
+        rows: list[tuple] = []
+        for doc, raw in zip(texts.column("doc_id").to_pylist(), texts.column("refs").to_pylist()):
+            refs = np.frombuffer(raw, np.int32)
+            at = refs.tolist()
+            rows.append((doc, int(size[refs].sum()), hashlib.sha256(",".join([written[k] for k in at]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[k] for k in at])).hexdigest()))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, out.types)], schema=out)
+
+    texts = held.where("refs is not null").select("block", "doc_id", "refs")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,8 +1,9 @@
 """Helpers that every operator of this subpackage uses.
 
 Intermediate tables go to the folder that the cluster names in
-``spark.checkpoint.dir``, which driver and executors share. A machine-local
-folder is used only where that setting is absent (tests on one machine).
+``spark.checkpoint.dir``, which driver and executors share. Without that setting a
+local folder serves a session on one machine; on a cluster it is an error, as
+executors don't see each other's disks.
 """
 
 from __future__ import annotations
@@ -10,26 +11,35 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _LOCAL: list[str] = []
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets one of our own only if none is set."""
+    """The shared folder of the session; one of our own only if none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
     return _LOCAL[0]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str, table: str | None = None) -> None:
     try:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         jvm = spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -37,31 +47,63 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as a write lasts."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors. They are removed when the driver ends.
+    The files outlive lost executors. They are removed by ``drop``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._own_files = (path, None)
+    return out
 
 
-def bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key``: later joins on it move no rows of it."""
+def bucketed(df: DataFrame, name: str, n: int, key: str, moved: bool = True) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key``: later joins and groups on it move no rows of it.
+
+    With ``moved`` rows of a bucket meet in a file first; without, every task writes its own files,
+    which is right where a task has few buckets.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
-    atexit.register(_remove, spark, path)
-    return spark.table(table)
+    with setting(spark, _CLEANUP, "true"):
+        (df.repartition(n, key) if moved else df).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_remove, spark, path, table)
+    out = spark.table(table)
+    out._own_files = (path, table)
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove the files of ``staged`` or ``bucketed`` tables that nothing will read again."""
+    for df in frames:
+        _remove(df.sparkSession, *df._own_files)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Bound the rows of one Arrow batch, so that long texts do not fill a worker.
+
+    The setting is read when a query runs, so it stays; a lower one of the caller's holds.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def widened(df: DataFrame, **added: str) -> StructType:

@@ -309,7 +309,7 @@ def test_bpe(spark):
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     rows = [r for r in ODD] + [(20, "Hello naïve Straßenbahnhaltestelle antidisestablishmentarianism 12345 ∑ßµ 한국어 텍스트  x\n\n y")]
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
-    got = {r["doc_id"]: r for r in bpe.encode_and_decode(docs(spark, rows), path, public_tokenizers.PATTERN, block=50).collect()}
+    got = {r["doc_id"]: r for r in bpe.encode_and_decode(docs(spark, rows), path, public_tokenizers.PATTERN, block=20_000).collect()}
     assert len(got) == len(rows)
     for d, t in rows:
         ids = enc.encode_ordinary(t or "")
@@ -319,11 +319,35 @@ def test_bpe(spark):
     assert bpe.encode_and_decode(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_pair_table_finds_every_pair():
+def test_pair_map_finds_every_pair():
     ranks = {b"a": 0, b"b": 1, b"ab": 2, b"aba": 3}
-    t = bpe.PairTable(ranks)
-    flat = [e for s in t.tables for e in s if e]
-    assert {(e >> 32, e >> 16 & 65535, e & 65535) for e in flat} == {(0, 1, 2), (2, 0, 3)}
+    t = bpe.PairMap(ranks)
+    found = {(a, b): int(t.entries[t.offsets[a] + b]) for a in range(4) for b in range(4) if 0 <= t.offsets[a] + b < len(t.entries)}
+    assert {(a, b, e & 65535) for (a, b), e in found.items() if e >> 16 == a and e} == {(0, 1, 2), (2, 0, 3)}
+    ranks = bpe.load_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    t, pairs = bpe.PairMap(ranks), bpe.mergeable(ranks)
+    for a, row in pairs.items():
+        b = np.array(sorted(row))
+        e = t.entries[t.offsets[a] + b]
+        assert (e >> 16 == a).all() and (e & 65535).tolist() == [row[x] for x in b.tolist()]
+    assert all(t.offsets[a] >= len(t.entries) for a in range(len(t.offsets)) if a not in pairs)
+
+
+def test_bpe_of_random_and_long_words(spark):
+    """Random texts against tiktoken; words of 10 to 60,000 letters, which the fold leaves to a heap."""
+    import public_tokenizers
+    import tiktoken
+
+    path, rng = vocabulary("byte_bpe_multi_50k.tiktoken"), random.Random(3)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rows = [(k, "".join(rng.choice(PARTS) if rng.random() < 0.8 else " " for _ in range(rng.randrange(14)))) for k in range(600)]
+    rows += [(1000 + k, "".join(rng.choice("abcdeEétz") for _ in range(n))) for k, n in enumerate([10, 199, 200, 201, 999, 60_000])]
+    rows += [(2000, "a" * 5000), (2001, "ab" * 130)]
+    got = {r["doc_id"]: r for r in bpe.encode_and_decode(docs(spark, rows), path, public_tokenizers.PATTERN, block=30_000).collect()}
+    for d, t in rows:
+        ids = enc.encode_ordinary(t)
+        assert got[d]["n_tokens"] == len(ids) and got[d]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), repr(t)
+        assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
 def labelled(spark):

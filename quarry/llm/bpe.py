@@ -73,21 +73,25 @@ class PairMap:
         size = 8 * sum(map(len, pairs.values())) + 2 * n + 4096
         self.entries, taken = np.zeros(size, np.int64), np.zeros(size, bool)
         self.offsets = np.full(n, size, np.int64)  # beyond the end: no pair
-        begin: dict[int, int] = {}  # where rows of a length may still fit
-        for left, row in sorted(pairs.items(), key=lambda kv: (-len(kv[1]), kv[0])):
-            right = np.array(sorted(row))
-            at, step = begin.get(len(row), 0), 512
-            while True:
-                clash = taken[(at + np.arange(step))[:, None] + (right - right[0])[None, :]].any(1)
-                if not clash.all():
-                    at += int(np.flatnonzero(~clash)[0])
-                    break
-                at += step
-            begin[len(row)] = at
-            place = at + right - right[0]
+        at = 0  # longer rows have filled what lies before
+        rows = sorted(((left, np.array(sorted(row))) for left, row in pairs.items()), key=lambda r: (-len(r[1]), r[0]))
+        for left, right in rows:
+            if len(right) > 1:
+                while True:
+                    clash = taken[(at + np.arange(64))[:, None] + (right - right[0])[None, :]].any(1)
+                    if not clash.all():
+                        at += int(np.flatnonzero(~clash)[0])
+                        break
+                    at += 64
+                place = at + right - right[0]
+                taken[place] = True
+                self.entries[place] = left << 16 | np.array([pairs[left][b] for b in right.tolist()])
+                self.offsets[left] = at - int(right[0])
+        alone = [(left, int(right[0])) for left, right in rows if len(right) == 1]
+        for (left, right), place in zip(alone, np.flatnonzero(~taken)[: len(alone)].tolist()):  # rows of one fill what is free
             taken[place] = True
-            self.entries[place] = left << 16 | np.array([row[b] for b in right.tolist()])
-            self.offsets[left] = at - int(right[0])
+            self.entries[place] = left << 16 | pairs[left][right]
+            self.offsets[left] = place - right
         self.entries = self.entries[: int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1]
 
     def rank(self, a: Column, b: Column) -> Column:

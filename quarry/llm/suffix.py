@@ -4,16 +4,22 @@ Every window of ``width`` bytes has an anchor: the leftmost of its least-hashed
 ``GRAM``-byte strings. Equal windows have equal anchors at equal places, so a
 document falls into runs of windows with one anchor each, and only runs whose
 anchor occurs again can hold a repeated window. Runs of equal content repeat as a
-whole. What differs goes, once each, to shards by anchor. A shard sorts its
-suffixes by Larsson-Sadakane refinement and reads common prefixes off Kasai's
-array. An anchor with more content than a shard takes is dealt to several; their
-window digests, each shard's equal ones merged, meet in ranges of digests and are
-found there by binary search. No window is dropped, sampled or judged twice.
+whole: they meet by anchor and digest, 128 bits together. What differs goes, once
+each, to shards by anchor. A shard sorts its suffixes by Larsson-Sadakane refinement
+and reads common prefixes off Kasai's array. An anchor with more content than a
+shard takes is dealt to several; their window digests, each shard's equal ones
+merged, meet in ranges of digests and are found there by binary search. No window
+is dropped, sampled or judged twice.
+
+Two rules: by the first, every byte goes that is covered by a window which also
+starts anywhere else. With ``keep_first``, the first place of each window (by row,
+then position) is spared, so that one copy of a passage stays.
 
 Defined results: null text counts as empty; texts under ``width`` bytes keep all;
-repeated rows count as documents of their own, so both lose what they share; rows
+repeated rows count as documents of their own, so by the first rule both lose what
+they share; very long texts are searched whole, a text that repeats itself too; rows
 with a null ``doc_id`` are handled as any other; an empty table gives no rows; other
-columns are never read by ``repeats`` and kept by ``without_repeats``.
+columns, whatever their names, are never read, and are kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, parts, small_batches, staged
+from .shared import bucketed, drop, parts, small_batches, staged, widened
 
 #: Bytes of the string whose hash makes an anchor.
 GRAM = 64
@@ -76,10 +82,10 @@ def runs(raw: bytes, width: int, up: np.ndarray, down: np.ndarray) -> tuple[np.n
     return h[place[first]], first, np.append(first[1:], len(place)) - 1
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, enough: int | None = None) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane: ranks by five symbols, then each group of equal
     rank is refined by the rank that stands ``reach`` further on, ``reach`` doubling; groups
-    of one rest."""
+    of one rest. With ``enough``, suffixes that agree in so many symbols may stay in text order."""
     n = len(text)
     bits = int(n + 2).bit_length()
     mask = np.uint64((1 << bits) - 1)
@@ -105,7 +111,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while True:
         alone = head & np.append(head[1:], True)
         open_ = open_[~alone[open_]]  # places whose suffixes are not settled
-        if not len(open_):
+        if not len(open_) or enough and reach >= enough:
             return order
         suffix = order[open_]
         move, key = in_order(rank[suffix] << np.uint64(bits) | rank[np.minimum(suffix + reach, n)], 2 * bits)
@@ -120,8 +126,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
     """Kasai: symbols (``most`` at most) that each suffix has in common with the one before it in order.
 
-    Kasai's walk goes along every piece of the text (``starts``, ``lengths``) in step; what a
-    place has in common is at least what the last one had, less one, so few symbols are compared.
+    Kasai's walk goes along the first ``lengths`` places of every piece of the text in step, each from
+    its start; what a place has in common is at least what the last one had, less one, so few symbols
+    are compared. Elsewhere the result is 0. Suffixes that agree in ``most`` symbols must be in text order
+    or in their own; either way the last place's predecessor, moved on by one, stands before this one.
     """
     n = len(text)
     padded = np.append(text.astype(np.uint64), np.zeros(8, np.uint64))
@@ -159,9 +167,9 @@ def classes(pieces: list[bytes], width: int) -> np.ndarray:
     body = np.ones(len(text), bool)
     body[starts + lengths] = False
     text[body] = np.frombuffer(b"".join(pieces), np.uint8)
-    order = suffix_array(text)
-    common = common_prefixes(text, order, starts, lengths, width)
+    order = suffix_array(text, width)
     counts = lengths - width + 1
+    common = common_prefixes(text, order, starts, counts, width)  # a suffix that is no window holds a fence, so it equals none
     at = np.repeat(starts, counts) + (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
     number = np.empty(len(text), np.int64)
     number[order] = np.cumsum(common < width)
@@ -174,41 +182,44 @@ def _spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 1_000_000, deal_bytes: int = 3_000_000, text_part: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """``rows``: rid (unique long), text. Returns the rows as a table bucketed by ``rid``, and
-    ``rid, first, last``: runs of windows that occur elsewhere too."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    held = bucketed(rows, "texts", parts(rows.count(), text_part, 6), "rid")
+def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_bytes: int = 1_000_000, deal_bytes: int = 3_000_000) -> DataFrame:
+    """``held``: a table bucketed by rid (unique long), with text. Returns ``rid, first, last``, staged: runs of
+    windows that go by the rule."""
+    small_batches(held.sparkSession)
 
     def find(batches):
         from xxhash import xxh3_64_intdigest
 
         up, down = _powers(1 << 16)
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if len(raw) > len(up):
                     up, down = _powers(2 * len(raw))
                 h, first, last = runs(raw, width, up, down)
+                if not len(h):
+                    continue
                 dig = np.array([xxh3_64_intdigest(raw[x : y + width]) for x, y in zip(first.tolist(), last.tolist())], np.uint64)
                 # adjacent runs of equal content (text that repeats itself) make one row
-                head = np.flatnonzero(np.append(True, (dig[1:] != dig[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+                head = np.flatnonzero(np.append(True, (dig[1:] != dig[:-1]) | (h[1:] != h[:-1])))
                 n = np.diff(np.append(head, len(h)))
-                if not len(h):
-                    continue
-                for c, v in zip(cols, (h[head].view(np.int64), dig[head].view(np.int64), np.full(len(head), rid), first[head], last[head + n - 1], n)):
+                for c, v in zip(cols, (h[head].view(np.int64), dig[head].view(np.int64), np.full(len(head), rid), first[head], last[head], last[head + n - 1], n)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=["anchor", "dig", "rid", "first", "last", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=["anchor", "dig", "rid", "first", "head", "last", "n"])
 
-    seen = staged(held.select("rid", "text").mapInArrow(find, "anchor long, dig long, rid long, first long, last long, n long"), "runs")
+    # head: the last window of the first of n adjacent equal runs
+    seen = staged(held.select("rid", "text").mapInArrow(find, "anchor long, dig long, rid long, first long, head long, last long, n long"), "runs")
     # each content of an anchor once, with how often it stands somewhere
-    content = seen.groupBy("anchor", "dig").agg(F.sum("n").alias("times"), F.min(F.struct("rid", "first", "last")).alias("at"))
+    content = seen.groupBy("anchor", "dig").agg(F.sum("n").alias("times"), F.min(F.struct("rid", "first", "head", "last")).alias("at"))
     per_anchor = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.last") - F.col("at.first") + width).alias("size"))
     content = content.join(per_anchor.where("kinds > 1"), "anchor", "left").where("times > 1 or kinds > 1")
     content = staged(content.select("anchor", "dig", "times", "at", "kinds", "size"), "content")
-    whole = seen.join(content.where("times > 1").select("anchor", "dig"), ["anchor", "dig"], "left_semi").select("rid", "first", "last")
+    whole = seen.join(content.where("times > 1").select("anchor", "dig", "at"), ["anchor", "dig"])
+    if keep_first:  # of the first place of a content, what follows its first run goes
+        is_first = (F.col("rid") == F.col("at.rid")) & (F.col("first") == F.col("at.first"))
+        whole = whole.withColumn("first", F.when(is_first, F.col("head") + 1).otherwise(F.col("first"))).where("first <= last")
+    whole = whole.select("rid", "first", "last")
 
     open_ = content.where("kinds > 1").withColumn("deal", F.ceil(F.col("size") / deal_bytes).cast("int"))
     total = open_.agg(F.sum(F.col("at.last") - F.col("at.first") + width)).first()[0] or 0
@@ -230,15 +241,21 @@ def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 1_000_000, dea
     answer = pa.schema([("rid", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary()), ("sure", pa.bool_())])
 
     def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rid", "ascending"), ("first", "ascending")])  # so that the first place of a class comes first
         raw, rid, first = table.column("piece").to_pylist(), table.column("rid").to_numpy(), table.column("first").to_numpy()
         known, dealt = table.column("known").to_numpy(), table.column("dealt").to_numpy()
         number = classes(raw, width)
         counts = np.array([len(p) - width + 1 for p in raw])
         owner = np.repeat(np.arange(len(raw)), counts)
-        names, number, often = np.unique(number, return_inverse=True, return_counts=True)
+        _, leads, number, often = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
         sure = often > 1
-        sure[number[known[owner]]] = True
-        hit = sure[number] & ~known[owner]
+        if keep_first:
+            hit = np.ones(len(number), bool)
+            hit[leads] = False
+            sure[:] = False
+        else:
+            sure[number[known[owner]]] = True
+            hit = sure[number] & ~known[owner]
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         out: list[list] = [[], [], [], [], []]
 
@@ -251,10 +268,8 @@ def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 1_000_000, dea
             a, b = _spans(hit[ends[k] - counts[k] : ends[k]])
             for x, y in zip(a.tolist(), b.tolist()):
                 put(k, x, y, None, True)
-        # windows of dealt anchors: one of each class goes on to meet those of other shards
-        wide = np.flatnonzero(dealt[owner])
-        _, one = np.unique(number[wide], return_index=True)
-        for w in wide[one].tolist():
+        # windows of dealt anchors: the first of each class goes on to meet those of other shards
+        for w in leads[dealt[owner[leads]]].tolist():
             k, x = int(owner[w]), int(offset[w])
             put(k, x, x, hashlib.blake2b(raw[k][x : x + width], digest_size=16).digest(), bool(sure[number[w]]))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, answer.types)], schema=answer)
@@ -262,21 +277,26 @@ def repeats(rows: DataFrame, width: int = 400, shard_bytes: int = 1_000_000, dea
     judged = staged(pieces.groupBy("shard").applyInArrow(judge, "rid long, first long, last long, digest binary, sure boolean"), "judged")
 
     def meet(batches):
-        """Digests of a range, sorted; those found twice are repeated, in all shards that hold them."""
+        """Digests of a range, sorted; those found twice are repeated, in all shards that hold them (but for the first)."""
         held_ = list(batches)
         if not sum(b.num_rows for b in held_):
             return
-        t = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=answer) for b in held_])
+        t = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=answer) for b in held_]).sort_by([("rid", "ascending"), ("first", "ascending")])
         d = np.array([x for x in t.column("digest").to_pylist()], "S16")
-        ranked = np.sort(d)
-        twice = np.searchsorted(ranked, d, "right") - np.searchsorted(ranked, d, "left") > 1
-        yield from t.filter(pa.array(twice & ~t.column("sure").to_numpy())).to_batches()
+        order = np.argsort(d, kind="stable")
+        ranked = d[order]
+        left = np.searchsorted(ranked, d, "left")
+        goes = np.searchsorted(ranked, d, "right") - left > 1
+        goes &= order[left] != np.arange(len(d)) if keep_first else ~t.column("sure").to_numpy()
+        yield from t.filter(pa.array(goes)).to_batches()
 
     apart = judged.where("digest is not null")
     far = parts(apart.count(), 500_000)
     met = apart.repartition(far, "digest").mapInArrow(meet, judged.schema)
     found = whole.unionByName(judged.where("digest is null").select("rid", "first", "last")).unionByName(met.select("rid", "first", "last"))
-    return held, found
+    found = staged(found, "repeats")
+    drop(seen, content, judged)
+    return found
 
 
 def _merged(asks: list[dict], width: int) -> list[tuple[int, int]]:
@@ -290,48 +310,57 @@ def _merged(asks: list[dict], width: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number ``rid``, fixed by writing the rows once."""
-    return staged(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
+def _held(docs: DataFrame, rows_a_part: int) -> DataFrame:
+    """The one copy of the rows that is written: ``rid``, ``row`` (all columns but the text) and ``text``, bucketed by ``rid``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    spare = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*others, F.lit(0).alias(spare)).alias("row"), F.col("text").cast("string").alias("text"))
+    return bucketed(rows, "texts", parts(docs.count(), rows_a_part, 6), "rid")
 
 
-def judged_texts(rows: DataFrame, width: int = 400) -> DataFrame:
-    """``rid, kept (binary), n_bytes, n_removed, n_spans, kept_sha256`` of rows with ``rid`` and ``text``."""
-    held, found = repeats(rows.select("rid", F.col("text").cast("string")), width)
+def judged_texts(held: DataFrame, found: DataFrame, width: int = 400) -> DataFrame:
+    """``row, text, kept (binary, null: nothing goes), n_bytes, n_removed, n_spans, kept_sha256`` of the rows of ``held``."""
     asks = found.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("asks"))  # windows of one text
-    names = ["rid", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    added = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    joined = held.join(asks, "rid", "left").select("row", "text", "asks")
 
     def run(batches):
         for b in batches:
             out = []
-            for rid, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 gone = _merged(spans or [], width)
                 kept = b"".join(raw[a:b] for a, b in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(raw)]))
-                out.append((rid, kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+                out.append((kept if gone else None, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], names=["row", "text", *added])
 
-    joined = held.join(asks, "rid", "left").select("rid", "text", "asks")
-    return joined.mapInArrow(run, "rid long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, widened(joined.drop("asks"), **added))
 
 
-def removal_report(docs: DataFrame, width: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    rows = numbered(docs.select("doc_id", "text"))
-    return judged_texts(rows, width).join(rows.select("rid", "doc_id"), "rid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def removal_report(docs: DataFrame, width: int = 400, rows_a_part: int = 4000) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, by the first rule."""
+    held = _held(docs.select("doc_id", "text"), rows_a_part)
+    return judged_texts(held, repeats(held, width), width).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; characters cut in two go as a whole."""
-    rows = numbered(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")))  # so that no name clashes
-    texts = judged_texts(rows, width).where("n_removed > 0").mapInArrow(_decoded, "rid long, new_text string")
-    joined = rows.join(texts, "rid", "left")
-    return joined.select(F.col("row").withField("text", F.coalesce("new_text", "text")).alias("row")).select("row.*")
+def without_repeats(docs: DataFrame, width: int = 400, keep_first: bool = False, drop_empty: bool = False, rows_a_part: int = 4000) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; characters cut in two go as a whole.
+
+    ``drop_empty``: rows of which nothing is left go (those that were empty before stay).
+    """
+    held = _held(docs, rows_a_part)
+    cut = judged_texts(held, repeats(held, width, keep_first), width).select("row", "text", "kept")
+    texts = cut.mapInArrow(_decoded, widened(cut.drop("kept"), emptied="boolean"))
+    if drop_empty:
+        texts = texts.where("not emptied")
+    return texts.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _decoded(batches):
     for b in batches:
-        kept = b.column(b.schema.get_field_index("kept")).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["rid", "new_text"])
+        old, kept = b.column(1).to_pylist(), b.column(2).to_pylist()
+        text = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(old, kept)]
+        emptied = [k is not None and not t for t, k in zip(text, kept)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(emptied, pa.bool_())], names=["row", "text", "emptied"])

@@ -262,15 +262,33 @@ def test_removal_of_repeats(spark):
             if seen[b[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         want.append((d, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    for shard in (3_000_000, 2000):  # one shard, and anchors dealt to many
-        original = suffix.repeats.__defaults__
-        suffix.repeats.__defaults__ = (400, shard, shard, 5)
-        try:
-            got = [tuple(r) for r in suffix.removal_report(docs(spark, rows)).collect()]
-        finally:
-            suffix.repeats.__defaults__ = original
-        key = lambda r: (r[0] is None, r[0] or 0, r[1:])
-        assert sorted(got, key=key) == sorted(want, key=key)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    kinds = (1_000_000, 3_000_000), (2000, 2000)  # one shard, and anchors dealt to many
+    original = suffix.repeats.__defaults__
+    try:
+        for shard, deal in kinds:
+            suffix.repeats.__defaults__ = (400, False, shard, deal)
+            got = [tuple(r) for r in suffix.removal_report(docs(spark, rows), rows_a_part=5).collect()]
+            assert sorted(got, key=key) == sorted(want, key=key)
+        texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+        for shard, deal in kinds:  # the first place stays
+            suffix.repeats.__defaults__ = (400, True, shard, deal)
+            one = spark.createDataFrame([(d, t, "y") for d, t in rows], "doc_id long, text string, rid string").coalesce(1)
+            order = one.collect()
+            met, left = set(), {}
+            for r in order:
+                b = (r["text"] or "").encode()
+                gone = bytearray(len(b))
+                for k in range(len(b) - 399):
+                    if b[k : k + 400] in met:
+                        gone[k : k + 400] = b"\1" * 400
+                    met.add(b[k : k + 400])
+                left[r["doc_id"]] = None if r["text"] is None else bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+            assert texts(suffix.without_repeats(one, 400, True)) == left
+            kept = texts(suffix.without_repeats(one, 400, True, drop_empty=True))
+            assert kept == {d: t for d, t in left.items() if t != "" or not dict(rows)[d]} and len(kept) < len(left)
+    finally:
+        suffix.repeats.__defaults__ = original
     kept = suffix.without_repeats(docs(spark, rows))
     assert kept.columns == docs(spark).columns
     by = {r["doc_id"]: r for r in kept.collect()}

@@ -26,6 +26,7 @@ import base64
 import hashlib
 import heapq
 import json
+import struct
 from array import array
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bucketed, parts, small_batches
+from .shared import bucketed, parts, small_batches, staged
 
 #: Characters of text that share one list of distinct words.
 BLOCK = 40_000_000
@@ -42,6 +43,7 @@ BLOCK = 40_000_000
 BLOCKS, LONG = 1000, 200
 #: Letters under this code point were letters in every edition of Unicode.
 _OLD = "ɐ"
+_ONE = struct.Struct("=i")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -144,6 +146,16 @@ def merged_long(ids: list[int], pairs: dict[int, dict[int, int]]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _planes(refs: bytes) -> bytes:
+    """The three low bytes of each reference, all lowest ones first: files take half the room."""
+    return np.frombuffer(refs, np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    low, mid, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int32)
+    return low | mid << 8 | high << 16
+
+
 ROWS = "block long, doc_id long, refs binary, number int, bytes array<tinyint>, ids array<int>"
 _SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("refs", pa.binary()), ("number", pa.int32()), ("bytes", pa.list_(pa.int8())), ("ids", pa.list_(pa.int32()))])
 
@@ -174,19 +186,19 @@ class Cutter:
         self.seen: dict[str, bytes | None] = {}
         self.number: dict[str, int] = {}
 
+    def ref(self, word: str) -> int:
+        r = self.ranks.get(word)
+        return self.first + self.number.setdefault(word, len(self.number)) if r is None else r
+
     def refs(self, words: list[str]) -> bytes:
-        out = array("i")
-        for w in words:
-            r = self.ranks.get(w)
-            out.append(self.first + self.number.setdefault(w, len(self.number)) if r is None else r)
-        return out.tobytes()
+        return array("i", map(self.ref, words)).tobytes()
 
     def piece(self, p: str) -> bytes | None:
         """References of what follows a single space; None if it can't stand alone."""
+        if p.isalpha() and (p.isascii() or max(p) < _OLD):
+            return _ONE.pack(self.ref(" " + p))
         if not p or p[0].isspace() or p[-1].isspace():
             return None
-        if p.isalpha() and max(p) < _OLD:
-            return self.refs([" " + p])
         return self.refs(self.find(" " + p))
 
     def cut(self, texts: list[str | None]) -> list[bytes]:
@@ -217,7 +229,8 @@ def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block
 
         def words():
             raw = [w.encode("utf-8", "surrogatepass") for w in cutter.number]
-            short = [k for k, w in enumerate(raw) if len(w) <= LONG]
+            assert cutter.first + len(raw) < 1 << 24, "a smaller block is needed"
+            short = sorted((k for k, w in enumerate(raw) if len(w) <= LONG), key=raw.__getitem__)  # like words side by side pack well
             for lo in range(0, len(short), 20_000):
                 own = short[lo : lo + 20_000]
                 yield batch(len(own), number=pa.array(own, pa.int32()), bytes=_lists([raw[k] for k in own], "b"))
@@ -233,7 +246,7 @@ def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield batch(len(texts), doc_id=b.column(0), refs=pa.array(cutter.cut(texts), pa.binary()))
+            yield batch(len(texts), doc_id=b.column(0), refs=pa.array(list(map(_planes, cutter.cut(texts))), pa.binary()))
             size += sum(len(t) for t in texts if t)
             if size >= block:
                 yield from words()
@@ -257,6 +270,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, block: int = BLO
     short = short.withColumn("nth", F.row_number().over(same)).withColumn("folded", F.when(F.col("nth") == 1, merged(word, PairMap(ranks))))
     short = short.withColumn("ids", F.first("folded", True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
     words = short.select("block", "number", "ids").unionByName(held.where("ids is not null").select("block", "number", "ids"))
+    words = staged(words.withColumn("ids", F.transform("ids", lambda t: (t - 32768).cast("smallint"))), "word-ids", "zstd")
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
@@ -265,16 +279,21 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, block: int = BLO
     def assemble(texts: pa.Table, own: pa.Table) -> pa.Table:
         n = len(pieces)
         number, lists = own.column("number").to_numpy(), own.column("ids").combine_chunks()
-        order = np.argsort(number)
-        size = np.append(np.ones(n, np.int64), np.diff(np.asarray(lists.offsets))[order] if len(order) else [])
-        ids = lists.take(pa.array(order)).to_pylist()
-        written = [*map(str, range(n)), *(",".join(map(str, x)) for x in ids)]
-        binary = [*pieces, *(b"".join([pieces[t] for t in x]) for x in ids)]
+        ends, flat = np.asarray(lists.offsets) - lists.offsets[0].as_py() if len(number) else np.zeros(1, int), (np.asarray(lists.flatten()).astype(np.int32) + 32768).tolist()
+        size = np.ones(n + len(number), np.int64)
+        size[n + number] = np.diff(ends)
+        written = list(map(str, range(n)))
+        binary = pieces + [b""] * len(number)
+        digits = written + [""] * len(number)
+        for k, x, y in zip((n + number).tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            ids = flat[x:y]
+            digits[k] = ",".join([written[t] for t in ids])
+            binary[k] = b"".join([pieces[t] for t in ids])
         rows: list[tuple] = []
         for doc, raw in zip(texts.column("doc_id").to_pylist(), texts.column("refs").to_pylist()):
-            refs = np.frombuffer(raw, np.int32)
+            refs = _from_planes(raw)
             at = refs.tolist()
-            rows.append((doc, int(size[refs].sum()), hashlib.sha256(",".join([written[k] for k in at]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[k] for k in at])).hexdigest()))
+            rows.append((doc, int(size[refs].sum()), hashlib.sha256(",".join([digits[k] for k in at]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[k] for k in at])).hexdigest()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, out.types)], schema=out)
 
     texts = held.where("refs is not null").select("block", "doc_id", "refs")

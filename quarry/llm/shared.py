@@ -58,7 +58,7 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The files outlive lost executors. They are removed by ``drop``, or when the driver ends.
@@ -66,7 +66,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, _CLEANUP, "true"):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_files = (path, None)

@@ -9,7 +9,10 @@ as a share of the second; a text whose margin is under ``MARGIN`` is rejected.
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; equal sizes go to the first language by name, with score 0; with
 one language the score is 1, with none all is ``und``; rows are kept one by one,
-repeated or not; columns with clashing names don't matter, only those named are read.
+repeated or not; of rows to learn from that share an id and a language the least text
+is taken; very long texts are compressed whole; other columns, whatever their names,
+are never read, but ``predict`` replaces those it adds. Letters are those of Unicode
+(categories L), with their marks (M).
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +35,16 @@ PIECES = 8
 #: several bytes too. Fitted on rows not held out: see the README.
 MARGIN = 0.05
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Effort of the compressor. Level 12 names 2 of 1,200 texts more rightly and takes 1.7 times as long.
+LEVEL = 9
+_OTHER, _OTHER_ASCII, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
-    """The words of a text, lower-cased, one space between them."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    """The words of a text, lower-cased, one space between them; empty without a letter."""
+    if text.isascii():
+        return _OTHER_ASCII.sub(" ", text.lower()).strip()
+    return _OTHER.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
@@ -77,7 +85,7 @@ def dictionary(texts: list[list[str]], size: int) -> bytes:
 
 
 class Compressors:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 12):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         import zstandard as z
 
         self.names = list(dictionaries)

@@ -1,17 +1,18 @@
 """Merkle-tree fingerprints of documents, by DataFrame functions alone.
 
 A text's sections are its lines; a section's paragraphs are its sentences, those of
-over six words cut to runs of six, so that a short text has several too. Leaves hash paragraphs, section nodes hash their leaves, the root
-hashes the section nodes. The fingerprint writes the tree out: the root (SHA-256),
-then for each section its node and its leaves. Roots test equality; sections and
-leaves that differ locate edits. A leaf is 64 bits, the upper 48 of the paragraph's
-XXH64, the lower 16 its length, so that likeness weighs paragraphs by length.
+over six words cut to runs of six, so that a short text has several too. Leaves are
+the SHA-256 of paragraphs, section nodes hash their leaves, the root hashes the section
+nodes, all of them whole. The fingerprint writes the tree out: the root, then for each
+section the first 16 digits of its node, and of its leaves with the paragraph's length
+after them. Roots test equality; sections and leaves that differ locate edits;
+likeness weighs paragraphs by length.
 
 Defined results: null text counts as empty (one section without a paragraph);
 the likeness of two empty texts is 1; of equal texts 1; rows with a null ``doc_id``
 come last in descending order; rows with equal ``doc_id`` follow each other by
-text; a single row is its own next; an empty table gives no rows; other columns
-are never read.
+text; a single row is its own next; an empty table gives no rows; very long texts
+are hashed whole; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from .shared import parts
 
 #: A paragraph: up to six words and the marks that end a sentence; or marks and spaces alone. Sections end at line breaks.
 _PARAGRAPH = r"(?:[^ .!?]+ ?){1,6}[.!?]*|[.!? ]+"
-_FEW = 1 << 16
+_SHORT = 16
 
 
 def leaf(paragraph: Column) -> Column:
-    return F.xxhash64(paragraph).bitwiseAND(F.lit(-_FEW)).bitwiseOR(F.least(F.length(paragraph), F.lit(_FEW - 1)).cast("long"))
+    """SHA-256 of a paragraph, then its length, in hexadecimal digits."""
+    return F.concat(F.sha2(paragraph.cast("binary"), 256), F.lower(F.hex(F.length(paragraph))))
 
 
 def sections(text: Column) -> Column:
@@ -37,11 +39,10 @@ def sections(text: Column) -> Column:
 
 def fingerprint(tree: Column) -> Column:
     """The tree as text: ``root;node:leaf,leaf;node:leaf``, from ``sections``."""
-    written = F.transform(tree, lambda s: F.array_join(F.transform(s, lambda x: F.lower(F.hex(x))), ","))
-    nodes = F.transform(written, lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.lit(":"), s))
-    body = F.array_join(nodes, ";")
-    roots = F.array_join(F.transform(nodes, lambda n: F.substring(n, 1, 16)), "")
-    return F.concat(F.sha2(roots.cast("binary"), 256), F.lit(";"), body)
+    nodes = F.transform(tree, lambda s: F.concat(F.sha2(F.array_join(s, ",").cast("binary"), 256), F.lit(":"), F.array_join(F.transform(s, lambda x: F.concat(F.substring(x, 1, _SHORT), F.substring(x, 65, _SHORT))), ",")))
+    written = F.transform(nodes, lambda n: F.concat(F.substring(n, 1, _SHORT), F.substring(n, 65, 1 << 30)))
+    roots = F.array_join(F.transform(nodes, lambda n: F.substring(n, 1, 64)), "")
+    return F.concat(F.sha2(roots.cast("binary"), 256), F.lit(";"), F.array_join(written, ";"))
 
 
 def leaves(print_: Column) -> Column:
@@ -51,7 +52,8 @@ def leaves(print_: Column) -> Column:
 
 def _weight(words: Column) -> Column:
     """Lengths of the paragraphs of leaves (one at least each)."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(1).cast("long"), F.coalesce(F.conv(F.substring(F.concat(F.lit("0000"), w), -4, 4), 16, 10).cast("long"), F.lit(0).cast("long"))))
+    length = lambda w: F.coalesce(F.conv(F.substring(w, _SHORT + 1, 16), 16, 10).cast("long"), F.lit(0).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(1).cast("long"), length(w)))
 
 
 def likeness(a: Column, b: Column) -> Column:

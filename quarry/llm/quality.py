@@ -8,8 +8,10 @@ documents, weight the votes of the nearest ``NEIGHBOURS``.
 
 Defined results: null text counts as empty; texts under two characters have no
 term and get the sample's share of label 1; so does every text where labelled
-rows are missing (0.5 without any); ties between equally near neighbours go to
-the first by id; repeated rows are scored alike; other columns are never read.
+rows are missing (0.5 without any); neighbours as near as the last one that counts
+all vote; repeated rows are scored alike; of labelled documents that share an id the
+least text is learned; very long texts are read whole; other columns, whatever their
+names, are never read, but ``predict`` replaces ``score`` and ``predicted``.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import stratified
+from .sampling import stratified, texts_of
 from .shared import crc_mod, small_batches, widened
 
 #: Labelled documents of each class, dimensions, neighbours and the power of similarity in a vote.
@@ -94,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | N
             rows = [terms(t).tolist() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], names=["d", "label", "terms"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
+    rows = texts_of(docs, chosen)
     got = rows.select(F.col("doc_id").cast("string").alias("d"), "label", "text").mapInArrow(run, "d string, label int, terms array<float>").toArrow()
     if not got.num_rows:
         return None

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _LOCAL: list[str] = []
+#: Tables of this driver, in the order of their writing.
+_MADE: list[DataFrame] = []
 #: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -70,6 +72,7 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_files = (path, None)
+    _MADE.append(out)
     return out
 
 
@@ -87,9 +90,19 @@ def bucketed(df: DataFrame, name: str, n: int, key: str, moved: bool = True) ->
     atexit.register(_remove, spark, path, table)
     out = spark.table(table)
     out._own_files = (path, table)
+    _MADE.append(out)
     return out
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Of the tables written inside, only the last one stays; all others are removed at the end."""
+    before = len(_MADE)
+    yield
+    drop(*_MADE[before:-1])
+    del _MADE[before:-1]
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove the files of ``staged`` or ``bucketed`` tables that nothing will read again."""
     for df in frames:

@@ -12,7 +12,9 @@ key meet in bounded units, are verified by bit count, and form components.
 Defined results: null texts and texts without words have fingerprint zero and link
 like any other; equal fingerprints always link; rows with a null ``doc_id`` get the
 component of their fingerprint (null if no row of it has an id); an empty table
-gives no rows; repeated rows are returned as often as given.
+gives no rows; repeated rows are returned as often as given; very long texts are read
+whole; of equal ids none is before the other, so ties need no order; other columns,
+whatever their names, are never read, and are kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -51,15 +53,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``docs`` with ``fp`` (64 bits as a long); ``text`` is dropped unless kept by the caller."""
+def fingerprints(docs: DataFrame, key: str, width: int = 4) -> DataFrame:
+    """The columns of ``docs`` but ``text``, and ``fp`` (64 bits as a long). ``key`` is made a long."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    others = [c for c in docs.columns if c != "text"]
+    docs = docs.select(*[F.col(c).cast("long") if c == key else F.col(c) for c in others], F.col("text").cast("string"))
 
     def run(batches):
         for b in batches:
-            got = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t, width) for t in b.column(len(others)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(got)], names=[*others, "fp"])
 
     return docs.mapInArrow(run, widened(docs.drop("text"), fp="long"))
 
@@ -191,16 +194,37 @@ def linked(fps: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, most: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; ``docs`` has ``doc_id`` and ``text``."""
-    found = staged(fingerprints(docs), "fingerprints")
-    own = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
+def _components(found: DataFrame, most: int) -> DataFrame:
+    """``fp, component`` of each distinct fingerprint of ``found``."""
+    own = staged(found.select("fp").distinct(), "fps")
     joined = components(linked(own, most))
-    named = own.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return found.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp")
+    return own.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id``; the fingerprint as 16 hexadecimal digits."""
-    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = staged(fingerprints(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "fingerprints")
+    named = _components(found, most)
+    first = found.groupBy("fp").agg(F.min("id").alias("first_id"))
+    named = named.join(first, "fp")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    return found.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = 4, small: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest ``doc_id`` (rows without one come last), the first of equal ones.
+
+    Rows are told apart by a number of their own, so that repeated and null ids lose nothing. The numbers of
+    what goes are broadcast if they are at most ``small``; else they are joined by a shuffle.
+    """
+    spare = "_" * (1 + max(map(len, docs.columns)))
+    rows = staged(docs.withColumn(spare, F.monotonically_increasing_id()), "rows", "zstd")
+    found = staged(fingerprints(rows.select(F.col(spare).alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id")), "id"), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "id")
+    first = found.groupBy("fp").agg(F.min(rank).alias("first"))  # of equal fingerprints, before any join
+    least = _components(found, most).join(first, "fp").groupBy("component").agg(F.min("first.id").alias("id"), F.min("first").alias("first"))
+    kept = least.select(F.col("first.id").alias("id"))
+    goes = staged(found.select("id").join(kept, "id", "left_anti").withColumnRenamed("id", spare), "copies")
+    few = goes.count() <= small
+    return rows.join(F.broadcast(goes) if few else goes, spare, "left_anti").select(*docs.columns)

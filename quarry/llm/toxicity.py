@@ -9,7 +9,9 @@ the offending sentences. Training reads a bounded sample of labelled documents
 Defined results: null and empty texts are one sentence without words and get the
 score of the bias; rows repeat as given; without labelled rows of both classes
 every score is 0; null labels and labels of unknown documents are not learned
-from; other columns are never read.
+from; of labelled documents that share an id the least text is learned; equally bad
+sentences: the first one is named; very long texts are read whole; other columns,
+whatever their names, are never read, but ``predict`` replaces those it adds.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import stratified
+from .sampling import stratified, texts_of
 from .shared import crc_mod, small_batches, widened
 
 #: Labelled documents of each class, features kept, and the least documents of a feature.
@@ -81,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """``docs``: doc_id, text; ``labels``: doc_id, label (0 or 1)."""
     small_batches(docs.sparkSession)
     chosen = stratified(labels.where(F.col("label").isin(0, 1)).select("doc_id", "label"), "label", sample)
-    bags = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most two samples of ids
+    bags = texts_of(docs, chosen).select("label", "text")
     per_class = {r["label"]: r["n"] for r in bags.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per_class) < 2:
         return None

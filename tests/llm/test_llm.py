@@ -13,7 +13,7 @@ pytest.importorskip("quarry.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from quarry.llm import bpe, langid, links, merkle, packing, pstable, quality, repair, simhash, suffix, tokens, toxicity  # noqa: E402
+from quarry.llm import bpe, langid, links, merkle, packing, pstable, quality, repair, sampling, simhash, suffix, tokens, toxicity  # noqa: E402
 from quarry.llm.queries import vocabulary  # noqa: E402
 
 ODD = [(1, None), (2, ""), (3, "a"), (4, "Hello  world\n don't STOP "), (5, "Hello  world\n don't STOP "), (None, "no id"), (6, "é😀 ̈x\t\x1cy　z"), (7, "word " * 6000), (8, "<|endoftext|> of.\nThe end.")]
@@ -460,9 +460,213 @@ def test_pipeline_stages(spark, tmp_path, sf):
         out.write.parquet(str(tmp_path / name))
         back = spark.read.parquet(str(tmp_path / name))
         if name == "near_duplicates":
-            groups = simhash.grouped(docs_).collect()
+            groups = simhash.near_duplicates(docs_).collect()
             assert sorted(r["doc_id"] for r in back.select("doc_id").collect()) == sorted({r["component_id"] for r in groups})
         if k < 4:
             assert back.columns == docs_.columns and 0 < back.count() <= docs_.count()
             docs_ = back
     assert json.dumps(back.columns)
+
+
+def linked_rows(fps):
+    """Component of each row, by trying all pairs."""
+    root = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4 and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if v == y else v for v in root]
+    return root
+
+
+def in_order(spark, rows, schema=SCHEMA):
+    """One part, so that the order of the rows is that of the list."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_one_of_each_loses_no_text(spark):
+    a, b, c = "one two three four five", "entirely other words stand here", "and a third text of some words"
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (None, "without an id one"), (None, "without an id one"), (None, a), (None, None), (None, ""), (12, "")]
+    root = linked_rows([brute_fp(t) for _, t in rows])
+    want = [min((rows[k] for k in range(len(rows)) if root[k] == r), key=lambda x: (x[0] is None, x[0] or 0)) for r in sorted(set(root))]
+    got = simhash.one_of_each(docs(spark, rows))
+    assert got.columns == docs(spark).columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=key)
+    assert kept == sorted(((d, t or "") for d, t in want), key=key)
+    assert [x[:1] for x in kept if x[1] in (a, b, c)] == [(3,), (5,), (9,)]
+    few = simhash.one_of_each(docs(spark, rows), small=0)  # the way without a broadcast
+    assert len(few.collect()) == len(kept) and simhash.one_of_each(empty(spark)).count() == 0
+
+
+def stage_rows():
+    """Documents with null and repeated ids, empty, very long and repeated texts, and columns named as what operators add."""
+    rng = random.Random(12)
+    words = ["alder", "birch", "cedar", "dogwood", "elder", "fir", "ginkgo", "hazel", "iris", "juniper", "kapok", "larch"]
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", ","]) for _ in range(n))
+    shared = prose(60)
+    rows = [(k, prose(40) + ". " + (shared if k % 7 == 0 else "") + prose(30)) for k in range(60)]
+    rows += [(None, prose(50)), (None, None), (3, rows[3][1]), (3, prose(30)), (None, rows[4][1]), (500, ""), (501, "x" * 600), (502, prose(9000)), (503, shared), (504, "12 !!")]
+    return [(d, t, "aa", "s", len(t or ""), 1.5, "p", 7) for d, t in rows]
+
+
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, rid int"
+
+
+def test_each_pipeline_stage_by_brute_force(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = stage_rows()
+    spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf_dir, one = str(tmp_path), in_order(spark, rows, STAGE_SCHEMA)
+    stages = dict(pipeline.STAGES)
+    got = {name: stages[name](spark, one, sf_dir) for name in stages}
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+    of = lambda name: sorted((tuple(r) for r in got[name].select(*one.columns).collect()), key=key)
+    assert all(got[n].columns == one.columns for n in list(stages)[:-1])
+
+    space = quality.train(one, quality.known_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    good = [r for r in rows if brute_quality(space, r[1]) >= 0.5]
+    assert of("quality") == sorted(good, key=key) and good
+
+    held = [zlib.crc32(str(r[0]).encode()) % 3 == 1 if r[0] is not None else False for r in rows]
+    model = langid.train(spark.createDataFrame([r for r, h in zip(rows, held) if not h], STAGE_SCHEMA))
+    clear = [r for r in rows if brute_language(model, r[1])[2]]
+    assert of("language") == sorted(clear, key=key) and 0 < len(clear) < len(rows)
+
+    root = linked_rows([brute_fp(r[1]) for r in rows])
+    first = [min((k for k in range(len(rows)) if root[k] == g), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)) for g in sorted(set(root))]
+    assert of("near_duplicates") == sorted((rows[k] for k in first), key=key)
+
+    met, left, width = set(), [], pipeline.REPEAT
+    for r in rows:
+        b = (r[1] or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - width + 1):
+            if b[k : k + width] in met:
+                gone[k : k + width] = b"\1" * width
+            met.add(b[k : k + width])
+        text = None if r[1] is None else bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+        if text or not b:
+            left.append((r[0], text, *r[2:4], r[4] if text is None else len(text), *r[5:]))
+    assert of("repeats") == sorted(left, key=key) and len(left) < len(rows)
+
+    plain = tokens.WordEncoder(vocabulary("byte_bpe_50k.json"))
+    packed = got["packing"].collect()
+    assert sum(r["length"] for r in packed) == sum(len(plain.ids(r[1] or "")) + 1 for r in rows)
+    nothing = spark.createDataFrame([], STAGE_SCHEMA)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, nothing, sf_dir).count() == 0, name
+    spark.createDataFrame(rows, STAGE_SCHEMA).coalesce(1).write.parquet(f"{sf_dir}/documents.parquet")
+    whole = pipeline.run(spark, sf_dir)
+    assert set(whole.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and whole.count() > 0
+
+
+def brute_quality(space, text):
+    """The vote on one text, neighbour by neighbour, from the space's own vectors."""
+    if space is None:
+        return 0.5
+    counts = quality.terms(text)
+    tf = counts[:-4]
+    if not tf.sum():
+        return space.share
+    weighted = np.log1p(1000 * tf / tf.sum()) * space.idf
+    x = np.append(weighted / np.linalg.norm(weighted), counts[-4:])
+    x = (x / np.linalg.norm(x)) @ space.axes
+    near = sorted(((float(x @ v / max(np.linalg.norm(x), 1e-12)), y) for v, y in zip(space.known, space.labels)), reverse=True)
+    least = near[: quality.NEIGHBOURS][-1][0]
+    votes = [(max(0.0, c) ** quality.POWER, y) for c, y in near if c >= least - 1e-12]
+    total = sum(v for v, _ in votes)
+    return sum(v * y for v, y in votes) / total if total else space.share
+
+
+def brute_language(model, text):
+    """``language, score, clear`` of one text, by compressing it afresh with each dictionary."""
+    import regex
+    import zstandard as z
+
+    words = " ".join(regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()))
+    if not regex.search(r"\p{L}", words) or not model:
+        return "und", 0.0, False
+    size = {}
+    for name, raw in model.items():
+        c = z.ZstdCompressor(level=langid.LEVEL, dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        size[name] = len(c.compress(words.encode()))
+    best = min(sorted(size), key=size.get)
+    rest = min((n for k, n in size.items() if k != best), default=None)
+    score = 1.0 if rest is None else (rest - size[best]) / rest
+    return best, score, score >= langid.MARGIN
+
+
+def test_scores_by_brute_force(spark, sf):
+    """Quality, toxicity and language of every document, worked out one by one from the trained model."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    space = quality.train(d, quality.known_labels(labels))
+    for r in quality.classify(d, labels).collect():
+        assert abs(r["score"] - brute_quality(space, texts[r["doc_id"]])) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5)
+    known = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    model = toxicity.train(d, spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in known], "doc_id long, label int"))
+    for r in toxicity.classify(d, labels).collect():
+        text, clean = texts[r["doc_id"]] or "", 1.0
+        parts_ = [x for x in re.findall(r"[^.!?\n]+[.!?]*", text) if x.strip()] or [""]
+        for x in parts_:
+            words = set(re.findall(r"[^\W\d_]+", x.lower()))
+            z = model.bias + sum(model.weights.get(w, 0.0) for w in words | {w[:4] + "*" for w in words if len(w) > 4})
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(r["score"] - (1 - clean)) < 1e-6
+    spoken = langid.train(d.where("lang is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
+    for r in langid.identify(d).collect():
+        want = brute_language(spoken, texts[r["doc_id"]])
+        assert (r["lang_pred"], r["rejected"]) == (want[0], not want[2]) and abs(r["score"] - want[1]) < 0.02
+
+
+def test_letters_are_those_of_unicode(spark):
+    model = {"aa": b"bosko tarlin merdu", "bb": b"xiqua zhenu wyqi"}
+    rows = [(1, "² ½ Ⅷ"), (2, "́ ̈"), (3, "12_34"), (4, "हिन्दी में"), (5, "bosko")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), model).collect()}
+    assert [got[k] for k in (1, 2, 3)] == ["und"] * 3 and got[4] != "und" and got[5] == "aa"
+    assert langid.letters("हिन्दी में") == "हिन्दी में"
+
+
+def test_samples_are_bounded(spark):
+    """However often an id or a value repeats."""
+    rows = [(k, "a") for k in range(2000)] + [(7, "a")] * 500 + [(k, "b") for k in range(30)] + [(None, "a"), (3, None)] + [(9000 + k, f"v{k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    for most in (20, 100):
+        got = sampling.stratified(df, "label", most, values=3).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["label"], []).append(r["doc_id"])
+        assert len(by) == 3 and all(len(v) <= most and len(v) == len(set(v)) for v in by.values()) and len(by["b"]) == min(30, most)
+        assert len(by["a"]) > 0.6 * most
+    texts = spark.createDataFrame([(7, f"t{k}") for k in range(300)] + [(8, None)], "doc_id long, text string")
+    assert sampling.texts_of(texts, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int")).orderBy("doc_id").collect() == [(7, 1, "t0"), (8, 0, "")]
+
+
+def brute_tree(text):
+    """``fingerprint, leaves with their lengths`` of a text."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nodes = []
+    for line in text.split("\n"):
+        leaves = [(sha(p), f"{len(p):x}") for p in re.findall(r"(?:[^ .!?]+ ?){1,6}[.!?]*|[.!? ]+", line)]
+        nodes.append((sha(",".join(a + n for a, n in leaves)), [a[:16] + n for a, n in leaves]))
+    return sha("".join(n for n, _ in nodes)) + ";" + ";".join(f"{n[:16]}:{','.join(x)}" for n, x in nodes), {x for _, own in nodes for x in own or [""]}
+
+
+def brute_likeness(a, b):
+    weight = lambda s: sum(max(1, int(x[16:] or "0", 16)) for x in s)
+    return 1.0 if a == b else 2 * weight(a & b) / (weight(a) + weight(b))
+
+
+def test_merkle_by_brute_force(spark, sf):
+    rows = [(d, t) for d, t in ODD if d is not None] + [(50, "," * 70_000), (51, "," * 70_000 + "x"), (52, "a b c. d e!\n\nf g h i j k l m\nn"), (53, "a b c. d e!\n\nf g h i j k l m\no")]
+    rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in merkle.compare_with_edits(docs(spark, rows)).collect()}
+    for k, (d, t) in enumerate(order):
+        t, nx = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nx[: len(t) // 2]
+        (own, a), (changed, b), (_, c) = map(brute_tree, (t, edited, nx))
+        assert got[d]["fingerprint"] == own and got[d]["edited_fingerprint"] == changed
+        assert abs(got[d]["near_edited"] - brute_likeness(a, b)) < 1e-9 and abs(got[d]["near_next"] - brute_likeness(a, c)) < 1e-9

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm import langid, packing, quality, simhash, suffix
 from quarry.llm.queries import vocabulary
-from quarry.llm.shared import documents, staged
+from quarry.llm.shared import documents, passing, staged
+
+
+#: Bytes of a passage that counts as repeated: some fifty words.
+REPEAT = 250
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -36,15 +40,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash groups: the document of the smallest id stays (each row of a null id, which names none)."""
-    groups = simhash.grouped(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """SimHash groups: the row of the smallest id stays; rows without an id come after those with one."""
+    return simhash.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix arrays: passages of 400 bytes or more that occur elsewhere are cut out; n_chars follows the text."""
-    cut = suffix.without_repeats(docs)
-    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Suffix arrays: passages of ``REPEAT`` bytes or more that stand at an earlier place too are cut out, so
+    that the first one stays; rows of which nothing is left go; n_chars follows the text."""
+    cut = suffix.without_repeats(docs, REPEAT, keep_first=True, drop_empty=True)
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return cut.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, from ``documents``."""
+    """The stages, one after the other, from ``documents``. What a stage has staged goes once its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with passing():
+            out = stage(spark, docs, sf_dir)
+            docs = staged(out, name)
     return STAGES[-1][1](spark, docs, sf_dir)

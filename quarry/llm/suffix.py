@@ -4,7 +4,8 @@ Every window of ``width`` bytes has an anchor: the leftmost of its least-hashed
 ``GRAM``-byte strings. Equal windows have equal anchors at equal places, so a
 document falls into runs of windows with one anchor each, and only runs whose
 anchor occurs again can hold a repeated window. Runs of equal content repeat as a
-whole: they meet by anchor and digest, 128 bits together. What differs goes, once
+whole: they meet by anchor and digest, 128 bits together. What differs, but agrees
+with another run on one side of the anchor as far as a shared window must, goes, once
 each, to shards by anchor. A shard sorts its suffixes by Larsson-Sadakane refinement
 and reads common prefixes off Kasai's array. An anchor with more content than a
 shard takes is dealt to several; their window digests, each shard's equal ones
@@ -36,6 +37,8 @@ from .shared import bucketed, drop, parts, small_batches, staged, widened
 #: Bytes of the string whose hash makes an anchor.
 GRAM = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Columns of a run of windows with one anchor, all of them whole numbers.
+_RUN = ["anchor", "dig", "rid", "first", "head", "last", "n", "left", "right"]
 #: Ends a piece in a shard's text; no byte of UTF-8 has this value.
 _FENCE = 255
 
@@ -48,10 +51,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def gram_hashes(raw: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-    """Hash of each ``GRAM``-byte string, equal for equal strings wherever they stand."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(raw) - GRAM + 1]
+def _sums(raw: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, at: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Hash of each string from ``at`` to ``end``, equal for equal strings wherever they stand."""
+    h = (sums[end] - sums[at]) * down[at]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -72,14 +78,28 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
     return place[:n]
 
 
-def runs(raw: bytes, width: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, last window)`` of each run of windows with one anchor."""
+def runs(raw: bytes, width: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each run of windows with one anchor: its hash, first and last window, and hashes of the strings on either side.
+
+    A window that two runs share reaches at least half of what it has beside its anchor to one side; so the runs
+    agree in the string of that length there. Its hash is 0 where no window of the run reaches so far.
+    """
     if len(raw) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gram_hashes(np.frombuffer(raw, np.uint8), up, down)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2)
+    text = np.frombuffer(raw, np.uint8)
+    sums, n = _sums(text, up), len(text)
+    h = _hashes(sums, down, slice(0, n - GRAM + 1), slice(GRAM, n + 1))
     place = anchors(h, width - GRAM + 1)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return h[place[first]], first, np.append(first[1:], len(place)) - 1
+    last = np.append(first[1:], len(place)) - 1
+    gram, half = place[first], (width - GRAM) // 2
+    left, right = gram - half, gram + GRAM + half
+    sides = []
+    for fits, x, y in ((first <= left, left, gram), (last + width >= right, gram + GRAM, right)):
+        own = np.zeros(len(first), np.uint64)
+        own[fits] = _hashes(sums, down, x[fits], y[fits]) | np.uint64(1)
+        sides.append(own)
+    return h[gram], first, last, *sides
 
 
 def suffix_array(text: np.ndarray, enough: int | None = None) -> np.ndarray:
@@ -192,26 +212,26 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
 
         up, down = _powers(1 << 16)
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in _RUN]
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if len(raw) > len(up):
                     up, down = _powers(2 * len(raw))
-                h, first, last = runs(raw, width, up, down)
+                h, first, last, left, right = runs(raw, width, up, down)
                 if not len(h):
                     continue
                 dig = np.array([xxh3_64_intdigest(raw[x : y + width]) for x, y in zip(first.tolist(), last.tolist())], np.uint64)
                 # adjacent runs of equal content (text that repeats itself) make one row
                 head = np.flatnonzero(np.append(True, (dig[1:] != dig[:-1]) | (h[1:] != h[:-1])))
                 n = np.diff(np.append(head, len(h)))
-                for c, v in zip(cols, (h[head].view(np.int64), dig[head].view(np.int64), np.full(len(head), rid), first[head], last[head], last[head + n - 1], n)):
+                for c, v in zip(cols, (h[head].view(np.int64), dig[head].view(np.int64), np.full(len(head), rid), first[head], last[head], last[head + n - 1], n, left[head].view(np.int64), right[head].view(np.int64))):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=["anchor", "dig", "rid", "first", "head", "last", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=_RUN)
 
     # head: the last window of the first of n adjacent equal runs
-    seen = staged(held.select("rid", "text").mapInArrow(find, "anchor long, dig long, rid long, first long, head long, last long, n long"), "runs")
+    seen = staged(held.select("rid", "text").mapInArrow(find, ", ".join(f"{c} long" for c in _RUN)), "runs", "zstd")
     # each content of an anchor once, with how often it stands somewhere
-    content = seen.groupBy("anchor", "dig").agg(F.sum("n").alias("times"), F.min(F.struct("rid", "first", "head", "last")).alias("at"))
+    content = seen.groupBy("anchor", "dig").agg(F.sum("n").alias("times"), F.min(F.struct("rid", "first", "head", "last", "left", "right")).alias("at"))
     per_anchor = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.last") - F.col("at.first") + width).alias("size"))
     content = content.join(per_anchor.where("kinds > 1"), "anchor", "left").where("times > 1 or kinds > 1")
     content = staged(content.select("anchor", "dig", "times", "at", "kinds", "size"), "content")
@@ -221,7 +241,13 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
         whole = whole.withColumn("first", F.when(is_first, F.col("head") + 1).otherwise(F.col("first"))).where("first <= last")
     whole = whole.select("rid", "first", "last")
 
-    open_ = content.where("kinds > 1").withColumn("deal", F.ceil(F.col("size") / deal_bytes).cast("int"))
+    open_ = content.where("kinds > 1")
+    for side in ("left", "right"):  # contents that agree with another one of their anchor on a side
+        of = F.col(f"at.{side}")
+        twins = open_.where(of != 0).groupBy("anchor", of.alias("side")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        open_ = open_.withColumn("side", of).join(twins.select("anchor", "side", F.lit(True).alias(f"twin_{side}")), ["anchor", "side"], "left").drop("side")
+    asked_from = staged(open_.where("twin_left or twin_right"), "open")
+    open_ = asked_from.withColumn("deal", F.ceil(F.col("size") / deal_bytes).cast("int"))
     total = open_.agg(F.sum(F.col("at.last") - F.col("at.first") + width)).first()[0] or 0
     shards = parts(total, shard_bytes)
     salt = F.pmod(F.xxhash64("dig", F.lit("salt")), F.col("deal"))
@@ -295,7 +321,7 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
     met = apart.repartition(far, "digest").mapInArrow(meet, judged.schema)
     found = whole.unionByName(judged.where("digest is null").select("rid", "first", "last")).unionByName(met.select("rid", "first", "last"))
     found = staged(found, "repeats")
-    drop(seen, content, judged)
+    drop(seen, content, asked_from, judged)
     return found
 
 

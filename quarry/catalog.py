@@ -86,9 +86,16 @@ def fil6_chunk_filter(w):
     return retrieval.chunk_filter(w.chunks, "en", "long", "src_/").select("id", "file_path")
 
 
-@query("SELECT DISTINCT file_path FROM chunks WHERE regexp_matches(file_path, '^src1[^/]*/.*en[^/]\\.md$')")
+@query("SELECT DISTINCT p AS file_path FROM (SELECT concat(CASE WHEN length(body) % 2 = 0 THEN 'x/' ELSE '' END, file_path) AS p FROM chunks) t WHERE regexp_matches(p, '^src1[^/]*/en[^/]\\.md$') OR regexp_matches(p, '(^|/)src4/') OR regexp_matches(p, '^(.*/)?[d-f][^/]*3\\.md$')")
 def fil12_glob(w):
-    return w.chunks.where(fn.matches_glob(F.col("file_path"), ["src1*/**/en?.md"]) | fn.matches_glob(F.col("file_path"), ["nothing/"])).select("file_path").distinct()
+    rows = w.chunks.select(F.concat(F.when(F.length("body") % 2 == 0, "x/").otherwise(""), "file_path").alias("file_path"))
+    return rows.where(fn.matches_glob(F.col("file_path"), ["src1*/en?.md", "src4/", "**/[d-f]*3.md"])).distinct()
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, concat(CASE turn % 4 WHEN 0 THEN 'Go  test ' WHEN 1 THEN 'It passes ' ELSE '' END, text) AS c FROM conversations) t WHERE NOT regexp_matches(c, '(?i)\\bgo\\s+(build|test|vet)\\b|\\bpasses\\b|\\bcompiles\\b') AND len(list_filter(regexp_split_to_array(trim(c), '\\s+'), lambda x: x <> '')) > 4")
+def fil13_criteria(w):
+    rows = w.conversations.select("conv_id", "turn", F.concat(F.when(F.col("turn") % 4 == 0, "Go  test ").when(F.col("turn") % 4 == 1, "It passes ").otherwise(""), "text").alias("criterion"))
+    return retrieval.telling(rows).select("conv_id", "turn")
 
 
 @query("SELECT DISTINCT file_path FROM chunks WHERE file_path = 'src3' OR starts_with(file_path, 'src3/') OR file_path = 'src11/en1.md'")
@@ -108,19 +115,26 @@ def tk1_recent_runs(w):
     return warehouse.recent_runs(w.runs).select("id", "agreement", "total_tokens")
 
 
-@query("SELECT t.id, t.workflow_id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state NOT IN ('completed', 'failed', 'cancelled', 'awaiting_review')")
+@query("SELECT t.id, t.workflow_id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state NOT IN ('paused', 'human_review', 'awaiting_review', 'review_needed', 'completed', 'failed')")
 def jn1_next_runnable(w):
     return warehouse.next_runnable(w.tasks, w.workflows).select("id", "workflow_id")
 
 
-@query("SELECT t.id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state IN ('running', 'pending') AND f.current_depth < f.max_depth AND f.files_changed < f.max_files_changed AND t.attempts < t.max_attempts")
+@query("SELECT t.id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state NOT IN ('paused', 'human_review', 'awaiting_review', 'review_needed', 'completed', 'failed') AND f.current_depth < f.max_depth AND f.files_changed < f.max_files_changed AND t.attempts < t.max_attempts")
 def str9_claimable(w):
     return warehouse.claimable(w.tasks, w.workflows).select("id")
 
 
-@query("SELECT id FROM tasks WHERE error_message IN ('timeout', 'transient') AND attempts < max_attempts")
+@query("SELECT t.id FROM tasks t JOIN workflows f ON f.id = t.workflow_id WHERE t.state = 'pending' AND f.current_state NOT IN ('paused', 'human_review', 'awaiting_review', 'review_needed', 'completed', 'failed') ORDER BY t.created_at, t.id LIMIT 1")
+def tk5_next_task(w):
+    return warehouse.next_task(w.tasks, w.workflows).select("id")
+
+
+@query("SELECT id FROM tasks WHERE attempts < max_attempts AND (error_message IS NULL OR error_message = 'timeout')")
 def str10_retryable(w):
-    return warehouse.retryable(w.tasks).select("id")
+    """Timeouts are transient, fatal errors are not, and what has no class may be tried again."""
+    kind = F.when(F.col("error_message") == "timeout", "retryable").when(F.col("error_message") == "fatal", "fatal")
+    return warehouse.retryable(w.tasks.withColumn("error_class", kind)).select("id")
 
 
 @query("SELECT plan_task_id, id FROM (SELECT *, row_number() OVER (PARTITION BY plan_task_id ORDER BY created_at DESC, id DESC) rn FROM runs WHERE plan_task_id IS NOT NULL) WHERE rn = 1")
@@ -135,7 +149,7 @@ def wn4_latest_per_workflow(w):
 
 @query("""SELECT workflow_id, current_state, run_id, verify_result, round(call_cost, 4) AS call_cost FROM (SELECT f.id AS workflow_id, f.current_state, r.id AS run_id, r.verify_result, CASE WHEN r.id IS NULL THEN NULL ELSE coalesce((SELECT sum(estimated_cost_usd) FROM calls c WHERE c.pipeline_run_id = r.id), 0) END AS call_cost, f.updated_at
  FROM workflows f LEFT JOIN (SELECT *, rank() OVER (PARTITION BY workflow_id ORDER BY created_at DESC) rn FROM runs) r ON r.workflow_id = f.id AND r.rn = 1)
- ORDER BY CASE current_state WHEN 'running' THEN 0 WHEN 'awaiting_review' THEN 1 ELSE 2 END, updated_at DESC, workflow_id, run_id NULLS FIRST LIMIT 50 OFFSET 10""")
+ ORDER BY CASE current_state WHEN 'running' THEN 0 WHEN 'human_review' THEN 1 WHEN 'awaiting_review' THEN 1 ELSE 2 END, updated_at DESC, workflow_id, run_id NULLS FIRST LIMIT 50 OFFSET 10""")
 def tk3_workflow_list(w):
     return warehouse.workflow_list(w.workflows, w.runs, w.calls, offset=10).select("workflow_id", "current_state", "run_id", "verify_result", "call_cost")
 
@@ -146,7 +160,7 @@ def jn6_session_list(w):
     return warehouse.session_list(w.sessions, w.runs, w.plans, w.workflows).select("session_id", "n_runs", "n_plans", "current_state")
 
 
-@query("""SELECT DISTINCT r.session_id, r.workflow_id, CASE f.current_state WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' WHEN 'cancelled' THEN 'failed' WHEN 'awaiting_review' THEN 'awaiting_review' ELSE 'running' END AS state
+@query("""SELECT DISTINCT r.session_id, r.workflow_id, CASE f.current_state WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' WHEN 'human_review' THEN 'awaiting_review' ELSE 'running' END AS state
  FROM runs r JOIN sessions s ON s.id = r.session_id AND s.kind = 'run_only' JOIN workflows f ON f.id = r.workflow_id""")
 def jn12_state_mirror(w):
     return warehouse.state_mirror(w.runs, w.sessions, w.workflows).select("session_id", "workflow_id", "state")
@@ -158,12 +172,15 @@ def prj8_workflow_detail(w):
     return d.select("workflow_id", "run_id", F.array_join(F.transform("calls", lambda c: c["id"].cast("string")), ",").alias("call_ids"))
 
 
-@query("""SELECT id, phase, status FROM (SELECT id, 'scope' AS phase, CASE WHEN scope_completed_at IS NOT NULL THEN 'completed' WHEN scope_started_at IS NOT NULL THEN 'active' ELSE 'pending' END AS status FROM runs
- UNION ALL SELECT id, 'build', CASE WHEN build_completed_at IS NOT NULL THEN 'completed' WHEN build_started_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs
- UNION ALL SELECT id, 'verify', CASE WHEN verify_completed_at IS NOT NULL THEN 'completed' WHEN verify_started_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs
- UNION ALL SELECT id, 'review', CASE WHEN human_result = 'approved' THEN 'completed' WHEN human_result = 'rejected' THEN 'failed' WHEN verify_completed_at IS NOT NULL THEN 'active' ELSE 'pending' END FROM runs)""")
+_PHASE = "CASE WHEN {p}_started_at IS NOT NULL AND {p}_completed_at IS NOT NULL THEN 'completed' WHEN {p}_started_at IS NOT NULL THEN CASE WHEN err AND last_open = '{p}' THEN 'failed' ELSE 'active' END ELSE 'pending' END"
+
+
+@query("""WITH RECURSIVE r AS (SELECT runs.*, f.current_state, project = 'p1' AS err, CASE WHEN verify_started_at IS NOT NULL AND verify_completed_at IS NULL THEN 'verify' WHEN build_started_at IS NOT NULL AND build_completed_at IS NULL THEN 'build' WHEN scope_started_at IS NOT NULL AND scope_completed_at IS NULL THEN 'scope' END AS last_open FROM runs JOIN workflows f ON f.id = workflow_id) """
+ + " UNION ALL ".join(f"SELECT id, '{p}' AS phase, {_PHASE.format(p=p)} AS status FROM r" for p in ("scope", "build", "verify")) + " UNION ALL SELECT id, 'review', CASE WHEN human_result IS NOT NULL THEN 'completed' WHEN current_state IN ('awaiting_review', 'human_review') THEN 'active' ELSE 'pending' END FROM r")
 def prj7_phase_status(w):
-    return warehouse.phase_status(w.runs).select("id", "phase", "status")
+    states = w.workflows.select(F.col("id").alias("workflow_id"), "current_state")
+    rows = w.runs.join(states, "workflow_id").withColumn("error_message", F.when(F.col("project") == "p1", "boom"))
+    return warehouse.phase_status(rows).select("id", "phase", "status")
 
 
 # --- aggregates ---
@@ -318,7 +335,7 @@ def _tasks(w):
 
 
 _STATUS = f"""WITH RECURSIVE {_TASKS}, last AS (SELECT * FROM (SELECT runs.*, f.current_state, row_number() OVER (PARTITION BY plan_task_id ORDER BY runs.created_at DESC, runs.id DESC) rn FROM runs JOIN workflows f ON f.id = workflow_id WHERE plan_task_id IS NOT NULL) WHERE rn = 1),
- s AS (SELECT t.task_id, t.dep, CASE WHEN verify_result = 'PASS' AND human_result = 'approved' THEN 'complete' WHEN human_result = 'rejected' OR current_state IN ('failed', 'cancelled') THEN 'failed' WHEN current_state = 'awaiting_review' THEN 'awaiting-review' WHEN current_state = 'completed' THEN 'failed' WHEN current_state IS NOT NULL THEN 'in-progress' END AS st FROM t LEFT JOIN last ON plan_task_id = task_id),
+ s AS (SELECT t.task_id, t.dep, CASE WHEN verify_result = 'PASS' AND human_result = 'approved' THEN 'complete' WHEN current_state = 'failed' OR human_result = 'rejected' OR verify_result = 'FAIL' THEN 'failed' WHEN current_state IN ('human_review', 'review_needed') THEN 'awaiting-review' WHEN current_state = 'completed' THEN 'failed' WHEN current_state IS NOT NULL THEN 'in-progress' END AS st FROM t LEFT JOIN last ON plan_task_id = task_id),
  z AS (SELECT s.task_id, coalesce(s.st, CASE WHEN s.task_id <> 'task-0' AND coalesce(d.st, '') <> 'complete' THEN 'blocked' ELSE 'not-started' END) AS status FROM s LEFT JOIN s d ON d.task_id = s.dep) """
 
 
@@ -387,12 +404,6 @@ def set4_edge_dedup(w):
     return graph.cross_file_edges(w.edges).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id AS id, concat('P', doc_id % 900) AS name FROM documents) c JOIN (SELECT name, min(id) AS target_id FROM symbols WHERE kind = 'method' AND package = 'pkg3' GROUP BY name HAVING count(*) = 1) s USING (name)")
-def jn21_unique_names(w):
-    calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"))
-    return graph.unique_names(calls, w.symbols.where("kind = 'method' and package = 'pkg3'")).select("call_id", "target_id", "confidence")
-
-
 @query("SELECT id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id AS id, concat('P', doc_id % 900) AS name FROM documents) c JOIN (SELECT name, min(id) AS target_id FROM symbols GROUP BY name HAVING count(*) = 1) s USING (name)")
 def jn21_all_names(w):
     """Unique among all symbols; where every name has several, no rows are right."""
@@ -417,25 +428,6 @@ def jn23_enclosing(w):
 _DIST = "sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))"
 
 
-def _vectors(w, ids):
-    rows = w.embeddings.where(F.col("vec_id").isin(ids)).orderBy("vec_id").collect()  # the queries themselves
-    return [list(r["embedding"]) for r in rows]
-
-
-@query(f"SELECT e.vec_id, round({_DIST}, 4) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY {_DIST}, e.vec_id LIMIT 10")
-def tk6_vector_top_k(w):
-    return retrieval.top_k(w.embeddings, _vectors(w, [7])[0], 10, "vec_id").select("vec_id", "distance")
-
-
-_MERGED = f"""WITH RECURSIVE h AS (SELECT vec_id AS id, d FROM (SELECT e.vec_id, {_DIST} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) rn FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (3, 7, 19, 40)) q) WHERE rn <= 10),
- m AS (SELECT id, count(*) AS hits, max(1 - d) AS best FROM h GROUP BY id) SELECT id, hits, round(best, 4) AS best_score, row_number() OVER (ORDER BY hits DESC, best DESC, id) AS rank FROM m"""
-
-
-@query(_MERGED)
-def vs4_multi_query(w):
-    return retrieval.merged(retrieval.multi_top_k(w.embeddings, _vectors(w, [3, 7, 19, 40]), 10, "vec_id"))
-
-
 _ALL_HITS = f"WITH RECURSIVE h AS (SELECT query, id, d, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, {_DIST} AS d FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q))"
 
 
@@ -492,10 +484,11 @@ def ix1_changed(w):
     return index.changed(files, known).select("path")
 
 
-@query("""SELECT t.id, string_agg(DISTINCT concat(c.name, '@', c.file_path), ',' ORDER BY concat(c.name, '@', c.file_path)) AS callers FROM chunks c JOIN chunks t ON t.name = c.next_name AND t.id <> c.id
- WHERE c.next_package = '' OR regexp_replace(t.file_path, '/?[^/]*$', '') = c.next_package OR ends_with(regexp_replace(t.file_path, '/?[^/]*$', ''), concat('/', c.next_package)) GROUP BY t.id""")
+@query("""WITH RECURSIVE g AS (SELECT *, regexp_replace(file_path, '/?[^/]*$', '') AS dir FROM chunks) SELECT t.id, string_agg(DISTINCT concat(c.name, '@', c.file_path), ',' ORDER BY concat(c.name, '@', c.file_path)) AS callers FROM g c JOIN g t ON t.name = c.next_name AND t.id <> c.id AND t.language <> 'de'
+ WHERE c.next_package = '' OR contains(c.file_path, c.next_package) OR t.dir = c.next_package OR ends_with(t.dir, concat('/', c.next_package)) GROUP BY t.id""")
 def jn19_reverse_calls(w):
-    rows = index.reverse_calls(w.refs)
+    """All but the German chunks stand for Go."""
+    rows = index.reverse_calls(w.refs.withColumn("language", F.when(F.col("language") != "de", "go")))
     return rows.select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("called_by", lambda r: F.concat(r["name"], F.lit("@"), r["file"])))), ",").alias("callers"))
 
 
@@ -527,11 +520,40 @@ def wn5_first_seen(w):
     return documents.first_seen(w.documents, "lang", "doc_id").select("lang", "doc_id")
 
 
-@query("""SELECT source, bool_and(r = 'met') AS all_met, bool_and(r = 'unmet') AS all_unmet, CASE max(CASE WHEN r = 'unmet' AND q THEN 2 WHEN r <> 'met' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status
- FROM (SELECT source, CASE WHEN toxic = 1 THEN 'unmet' WHEN quality = 1 THEN 'met' ELSE 'unassessable' END AS r, doc_id % 5 > 0 AS q FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+@query("""SELECT source, bool_and(r = 'met') AS all_met, bool_and(r = 'unmet') AS all_unmet, CASE greatest(max(CASE WHEN r = 'unmet' AND q THEN 2 WHEN r <> 'met' THEN 1 ELSE 0 END), max(CASE WHEN ends_with(source, '1') OR ends_with(source, '2') OR ends_with(source, '3') THEN 1 ELSE 0 END)) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status
+ FROM (SELECT concat(source, '-', doc_id % 97) AS source, CASE WHEN toxic = 1 THEN 'unmet' WHEN quality = 1 THEN 'met' ELSE 'unassessable' END AS r, doc_id % 5 > 0 AS q FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
 def ag26_report_status(w):
-    rows = w.documents.join(w.labels, "doc_id").select("source", F.when(F.col("toxic") == 1, "unmet").when(F.col("quality") == 1, "met").otherwise("unassessable").alias("result"), (F.col("doc_id") % 5 > 0).alias("required"))
-    return documents.report_status(rows, ["source"])
+    """A report for each source and remainder: criteria from labels, and drift, issues or concerns by its last digit."""
+    rows = w.documents.join(w.labels, "doc_id").select(F.concat("source", F.lit("-"), F.col("doc_id") % 97).alias("source"), F.when(F.col("toxic") == 1, "unmet").when(F.col("quality") == 1, "met").otherwise("unassessable").alias("result"), (F.col("doc_id") % 5 > 0).alias("required"))
+    flags = rows.select("source").distinct().withColumns({name: F.col("source").endswith(digit) for name, digit in (("drift", "1"), ("issues", "2"), ("concerns", "3"))})
+    return documents.report_status(rows, ["source"], flags)
+
+
+_PLAN = """WITH RECURSIVE t AS (SELECT concat('t', p_partkey) AS task_id, p_partkey AS ord, lower(trim(concat(' Title ', p_partkey % 150))) AS title, list_transform(range(p_partkey % 11), lambda i: concat('f', (p_partkey % 30 * (i + 1)) % 90)) AS files, p_size % 15 AS criteria, concat('r', p_partkey % 40) AS req, concat('t', p_partkey - 3 + p_partkey % 5) AS dep FROM part),
+ s AS (SELECT *, CASE WHEN len(files) < 2 THEN '' ELSE array_to_string(list_sort(files), '|') END AS fs FROM t)"""
+
+
+@query(_PLAN + """ SELECT task_id, 3 AS rule FROM s WHERE title IN (SELECT title FROM s GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT task_id, 4 FROM s WHERE len(files) > 8 UNION ALL SELECT task_id, 5 FROM s WHERE criteria > 12
+ UNION ALL SELECT s.task_id, 6 FROM s LEFT JOIN s d ON d.task_id = s.dep WHERE d.ord IS NULL OR d.ord >= s.ord UNION ALL SELECT task_id, 7 FROM s WHERE fs <> '' AND fs IN (SELECT fs FROM s GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT concat('r', i), 8 FROM range(50) r(i) WHERE concat('r', i) NOT IN (SELECT req FROM s)""")
+def val4_plan_violations(w):
+    k = F.col("p_partkey")
+    listed = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), f)).otherwise(F.array().cast("array<string>"))
+    tasks = w.part.select(
+        F.concat(F.lit("t"), k).alias("task_id"), k.alias("ord"), F.concat(F.lit(" Title "), k % 150).alias("title"), listed((k % 11).cast("int"), lambda i: F.concat(F.lit(" ./f"), (k % 30 * i) % 90)).alias("known_files"),
+        listed(F.col("p_size") % 15, lambda i: i.cast("string")).alias("criteria"), F.array(F.concat(F.lit("r"), k % 40)).alias("requirements"), F.array(F.concat(F.lit("t"), k - 3 + k % 5)).alias("depends_on"),
+    )
+    requirements = w.spark.range(50).select(F.concat(F.lit("r"), "id").alias("requirement"))
+    return documents.plan_violations(requirements, tasks).select("task_id", "rule")
+
+
+@query("""SELECT doc_id AS owner, CASE WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN k = 3 THEN 3 WHEN k = 4 THEN 5 ELSE 4 END AS rule FROM (SELECT doc_id, doc_id % 7 AS k FROM documents) d WHERE k IN (1, 2, 3, 4) OR doc_id NOT IN (SELECT doc_id FROM labels)""")
+def val5_known_files(w):
+    """Known files are those of labelled documents."""
+    d = F.col("doc_id")
+    path = F.when(d % 7 == 1, " ./ ").when(d % 7 == 2, F.concat(F.lit("/f"), d)).when(d % 7 == 3, F.concat(F.lit("a/../../f"), d)).when(d % 7 == 4, "src/").otherwise(F.concat(F.lit("./x/../f"), d))
+    listing = w.labels.select(F.concat(F.lit("f"), d).alias("path"), F.lit(False).alias("is_dir")).union(w.spark.createDataFrame([("src", True)], "path string, is_dir boolean"))
+    return documents.known_file_violations(w.documents.select(d.alias("owner"), path.alias("path")), listing).select("owner", "rule")
 
 
 @query("SELECT source AS doc, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END), 4) AS stripped, avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END) > 0.5 AS rejected FROM documents GROUP BY 1")
@@ -578,14 +600,6 @@ def jn27_priced(w):
     return analytics.priced(calls, prices).select("id", "cost")
 
 
-@query("SELECT pipeline_run_id AS grp, round(sum(estimated_cost_usd), 4) AS cost, max_by(model, row(id, model)) AS model, string_agg(DISTINCT concat(step, '=1'), ',' ORDER BY concat(step, '=1')) AS tools FROM calls WHERE pipeline_run_id IN (SELECT pipeline_run_id FROM calls GROUP BY 1 HAVING count(*) = count(DISTINCT step)) GROUP BY 1")
-def ag22_merged_results(w):
-    plain_runs = w.calls.groupBy("pipeline_run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("step").alias("m")).where("n = m").select("pipeline_run_id")
-    rows = w.calls.join(plain_runs, "pipeline_run_id", "left_semi").select(F.col("pipeline_run_id").alias("grp"), F.struct("id", "model").alias("seq"), F.col("estimated_cost_usd").alias("cost"), "model", F.create_map("step", F.lit(1)).alias("tools"))
-    tools = F.array_join(F.transform(F.array_sort(F.map_entries("tools")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return analytics.merged_results(rows).select("grp", "cost", "model", tools.alias("tools"))
-
-
 @query("""SELECT grp, round(sum(cost), 4) AS cost, max_by(model, row(last, model)) AS model, string_agg(concat(step, '=', n), ',' ORDER BY step) AS tools
  FROM (SELECT pipeline_run_id AS grp, step, count(*) AS n, sum(estimated_cost_usd) AS cost, max(id) AS last, max_by(model, row(id, model)) AS model FROM calls GROUP BY 1, 2) GROUP BY grp""")
 def ag22_all_results(w):
@@ -595,9 +609,11 @@ def ag22_all_results(w):
     return analytics.merged_results(rows).select("grp", "cost", "model", tools.alias("tools"))
 
 
-@query("SELECT id, CASE WHEN ends_with(t, 'started') THEN 'active' WHEN ends_with(t, 'warning') THEN 'warning' WHEN ends_with(t, 'rejected') OR ends_with(t, 'failed') THEN 'error' WHEN ends_with(t, 'completed') THEN 'success' ELSE 'info' END AS status FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'build_completed' WHEN 1 THEN 'verify_failed' WHEN 2 THEN 'scope_started' ELSE event_type END AS t FROM log)")
+@query("SELECT id, CASE WHEN t IN ('phase_start', 'build_stdout') THEN 'running' WHEN t IN ('phase_complete', 'run_complete') THEN 'completed' WHEN t = 'phase_error' THEN 'failed' WHEN t = 'run_awaiting_review' THEN 'awaiting_review' ELSE 'pending' END AS status FROM (SELECT id, CASE id % 7 WHEN 0 THEN 'phase_start' WHEN 1 THEN 'build_stdout' WHEN 2 THEN 'phase_complete' WHEN 3 THEN 'run_complete' WHEN 4 THEN 'phase_error' WHEN 5 THEN 'run_awaiting_review' ELSE event_type END AS t FROM log)")
 def prj11_event_status(w):
-    t = F.when(F.col("id") % 4 == 0, "build_completed").when(F.col("id") % 4 == 1, "verify_failed").when(F.col("id") % 4 == 2, "scope_started").otherwise(F.col("event_type"))
+    t = F.col("event_type")
+    for k, name in enumerate(("phase_start", "build_stdout", "phase_complete", "run_complete", "phase_error", "run_awaiting_review")):
+        t = F.when(F.col("id") % 7 == k, name).otherwise(t)
     return w.log.select("id", analytics.event_status(t).alias("status"))
 
 
@@ -621,13 +637,6 @@ def jn20_module_files(w):
     return graph.module_files(imports, files).select("id", "file")
 
 
-@query("SELECT doc_id AS ref, CASE WHEN doc_id % 5 > 0 THEN format('task-{:03d}', doc_id) END AS canonical_id FROM documents WHERE doc_id < 100")
-def jn16_remapped(w):
-    refs = w.documents.where("doc_id < 100").select(F.col("doc_id").alias("ref"))
-    ids = refs.where("ref % 5 > 0").withColumn("canonical_id", F.format_string("task-%03d", "ref"))
-    return documents.remapped(refs, ids).select("ref", "canonical_id")
-
-
 @query("SELECT doc_id AS ref, CASE WHEN doc_id % 5 > 0 THEN format('task-{:03d}', doc_id) END AS canonical_id FROM documents")
 def jn16_all_refs(w):
     refs = w.documents.select(F.col("doc_id").alias("ref"))
@@ -668,20 +677,13 @@ def set3_changed_files(w):
     return w.chunks.select("file_path").union(w.symbols.select("file_path")).distinct()
 
 
-@query("SELECT id, event_data->>'$.k' AS k, concat('{\"workflow_id\":\"', workflow_id, '\"}') AS tag FROM log WHERE id < 50")
-def fn15_event_json(w):
-    rows = w.log.where("id < 50")
-    merged = fn.merge_json(F.col("event_data"), F.col("workflow_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    return rows.select("id", F.get_json_object(merged, "$.k").alias("k"), F.to_json(F.struct(F.get_json_object(merged, "$.workflow_id").alias("workflow_id"))).alias("tag"))
-
-
 @query("SELECT id, event_data->>'$.k' AS k, concat('{\"workflow_id\":\"', workflow_id, '\"}') AS tag FROM log")
 def fn15_all_events(w):
     merged = fn.merge_json(F.col("event_data"), F.col("workflow_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return w.log.select("id", F.get_json_object(merged, "$.k").alias("k"), F.to_json(F.struct(F.get_json_object(merged, "$.workflow_id").alias("workflow_id"))).alias("tag"))
 
 
-@query("SELECT c_custkey, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS took FROM (SELECT c_custkey, c_custkey * 17 AS s FROM customer)")
+@query("SELECT c_custkey, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm', CASE WHEN s % 60 > 0 THEN concat(' ', s % 60, 's') ELSE '' END) ELSE concat(s // 3600, 'h', CASE WHEN s % 3600 // 60 > 0 THEN concat(' ', s % 3600 // 60, 'm') ELSE '' END) END AS took FROM (SELECT c_custkey, c_custkey * 17 AS s FROM customer)")
 def fn19_durations(w):
     return w.customer.select("c_custkey", fn.human_duration(F.col("c_custkey") * 17).alias("took"))
 

@@ -114,7 +114,7 @@ def merge_json(payload: Column, workflow_id: Column, task_id: Column, session_id
 
 
 #: Keys of a tool's input that sum it up, the first present one counting (fixed values).
-SUMMARY_KEYS = ("command", "file_path", "pattern", "query", "description")
+SUMMARY_KEYS = ("file_path", "command", "pattern", "query", "url")
 
 
 def tool_summary(tool_input: Column, most: int = 80) -> Column:
@@ -156,8 +156,9 @@ def result_kind(raw: Column) -> Column:
 
 
 def criterion_key(id_: Column, description: Column) -> Column:
+    """By id if there is one, else by description; case and outer space don't count."""
     named = F.nullif(F.trim(id_), F.lit(""))
-    return F.lower(F.coalesce(F.concat(F.lit("id:"), named), F.concat(F.lit("desc:"), F.trim(description))))
+    return F.coalesce(F.concat(F.lit("id:"), F.lower(named)), F.concat(F.lit("description:"), F.lower(F.trim(F.coalesce(description, F.lit(""))))))
 
 
 def test_base(path: Column) -> Column:
@@ -181,11 +182,12 @@ def symbol_id(language: Column, package: Column, kind: Column, name: Column) ->
 
 
 #: Languages by file extension (fixed values).
-LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".sql": "sql", ".md": "markdown", ".yaml": "yaml", ".yml": "yaml"}
+LANGUAGES = {".go": "go", ".md": "markdown", ".ts": "typescript", ".tsx": "tsx", ".py": "python"}
 
 
 def language_of(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """By extension, whose case counts; empty for others."""
+    ext = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     out = F.lit("")
     for suffix, name in LANGUAGES.items():
         out = F.when(ext == suffix, name).otherwise(out)
@@ -199,9 +201,14 @@ def file_set(paths: Column) -> Column:
 
 
 def human_duration(seconds: Column) -> Column:
-    """``42s``, ``3m 5s`` or ``2h 7m``."""
+    """``42s``, ``3m 5s`` or ``2h 7m``; a second part of zero is left out (``3m``, ``2h``)."""
     s = seconds.cast("long")
-    return F.when(s.isNull(), F.lit("-")).when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+    m, h = F.floor(s / 60), F.floor(s / 3600)
+
+    def two(big: Column, a: str, small: Column, b: str) -> Column:
+        return F.when(small > 0, F.format_string(f"%d{a} %d{b}", big, small)).otherwise(F.format_string(f"%d{a}", big))
+
+    return F.when(s.isNull(), F.lit("-")).when(s < 60, F.format_string("%ds", s)).when(m < 60, two(m, "m", s % 60, "s")).otherwise(two(h, "h", m % 60, "m"))
 
 
 def money(usd: Column) -> Column:
@@ -218,17 +225,31 @@ def like_prefix(column: Column, prefix: str) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """Regular expression of a path glob: ``dir/`` takes all below, ``**/`` any depth, ``*`` and ``?`` one segment."""
-    tail = r".*" if glob.endswith("/") else ""
-    out, rest = "", glob.rstrip("/") + ("/" if tail else "")
+    """Regular expression of a path glob.
+
+    ``dir/`` takes all below a directory of that name, at any depth. ``*`` and ``?`` stay within a segment,
+    ``[a-z]`` and ``[^a-z]`` are classes, a backslash takes the next character as it is. A leading ``**/``
+    stands for any directories or none; elsewhere two stars are as one. A pattern that is malformed takes nothing.
+    """
+    if glob.endswith("/"):
+        return f"(^|/){re.escape(glob[:-1].removeprefix('**/'))}/"
+    lead, rest, out = ("(?:.*/)?", glob[3:], "") if glob.startswith("**/") else ("", glob, "")
     while rest:
-        for mark, made in (("**/", "(?:.*/)?"), ("**", ".*"), ("*", "[^/]*"), ("?", "[^/]")):
-            if rest.startswith(mark):
-                out, rest = out + made, rest[len(mark) :]
-                break
-        else:
-            out, rest = out + re.escape(rest[0]), rest[1:]
-    return f"^{out}{tail}$"
+        c = rest[0]
+        if c == "[":
+            m = re.match(r"\[(\^?)((?:\\.|[^\]\\])+)\]", rest)
+            if not m:
+                return "(?!)"
+            body = re.sub(r"([\[&~^])", r"\\\1", m[2])
+            out, rest = out + f"[{m[1]}{body}]", rest[m.end() :]
+            continue
+        if c == "\\":
+            if len(rest) == 1:
+                return "(?!)"
+            out, rest = out + re.escape(rest[1]), rest[2:]
+            continue
+        out, rest = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), rest[1:]
+    return f"^{lead}{out}$"
 
 
 def matches_glob(path: Column, globs: list[str]) -> Column:

@@ -136,12 +136,19 @@ def merged_results(results: DataFrame) -> DataFrame:
     return head.join(tools, "grp", "left")
 
 
-#: Display status of event types that end a step (fixed values); others are information.
-EVENT_STATUS = {"completed": "success", "failed": "error", "rejected": "error", "warning": "warning", "started": "active"}
+#: Display status of event types (fixed values); others are pending.
+EVENT_STATUS = {
+    "phase_start": "running",
+    "build_stdout": "running",
+    "phase_complete": "completed",
+    "run_complete": "completed",
+    "phase_error": "failed",
+    "run_awaiting_review": "awaiting_review",
+}
 
 
 def event_status(event_type: Column) -> Column:
-    out = F.lit("info")
-    for suffix, status in EVENT_STATUS.items():
-        out = F.when(event_type.endswith(suffix), status).otherwise(out)
+    out = F.lit("pending")
+    for name, status in EVENT_STATUS.items():
+        out = F.when(event_type == name, status).otherwise(out)
     return out

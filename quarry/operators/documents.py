@@ -34,7 +34,7 @@ def uncovered(requirements: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def first_seen(paths: DataFrame, key: str, order: str) -> DataFrame:
     """One row of each ``key``: the first by ``order``."""
-    return paths.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")
+    return paths.groupBy(key).agg(F.min_by(F.struct(*paths.columns), order).alias("r")).select("r.*")
 
 
 def byte_budget(files: DataFrame, group: list[str], order: list[str], size: Column, cap: int, each: int) -> DataFrame:
@@ -70,11 +70,18 @@ def merged_criteria(catalog: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("key", result.alias("result"), F.coalesce("required", F.lit(True)).alias("required"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), F.coalesce("cat_ord", F.lit(1 << 20) + F.col("seen")).alias("ord"))
 
 
-def report_status(criteria: DataFrame, group: list[str]) -> DataFrame:
-    """PASS, WARN or FAIL by the worst criterion; whether all are met, and whether all are unmet (false if there are none)."""
+def report_status(criteria: DataFrame, group: list[str], reports: DataFrame | None = None) -> DataFrame:
+    """PASS, WARN or FAIL by the worst criterion; whether all are met, and whether all are unmet (false if there are none).
+
+    ``reports`` (``group`` and the booleans ``drift``, ``issues``, ``concerns``: drift of scope or files out of it,
+    issues of pattern, concerns) raises a report to WARN where one is true, one without criteria too.
+    """
     r, need = F.col("result"), F.coalesce(F.col("required"), F.lit(True))
     level = F.when((r == "unmet") & need, 2).when(r != "met", 1).otherwise(0)
     out = criteria.groupBy(*group).agg(F.max(level).alias("level"), (F.bool_and(r == "met") & (F.count(F.lit(1)) > 0)).alias("all_met"), (F.bool_and(r == "unmet") & (F.count(F.lit(1)) > 0)).alias("all_unmet"))
+    if reports is not None:
+        flag = F.greatest(*[F.coalesce(F.col(c), F.lit(False)) for c in ("drift", "issues", "concerns")]).cast("int").alias("flag")
+        out = reports.select(*group, flag).join(out, group, "left").withColumn("level", F.greatest(F.coalesce("level", F.lit(0)), "flag")).drop("flag").fillna(False, ["all_met", "all_unmet"])
     return out.withColumn("status", F.when(F.col("level") == 2, "FAIL").when(F.col("level") == 1, "WARN").otherwise("PASS")).drop("level")
 
 
@@ -111,13 +118,45 @@ def task_violations(tasks: DataFrame, max_files: int = 8, max_criteria: int = 12
         rule(3, same_title, "titles must differ"),
         rule(4, tasks.where(F.size("known_files") > max_files), "too many files"),
         rule(5, tasks.where(F.size("criteria") > max_criteria), "too many criteria"),
-        rule(6, tasks.where(F.coalesce(F.size("requirements"), F.lit(0)) < 1), "no requirement is covered"),
+        rule(6, late, "dependencies must come earlier"),
         rule(7, same_files, "file sets must differ"),
-        rule(8, late, "dependencies must come earlier"),
     ]
     return reduce(DataFrame.unionByName, found)
 
 
+def plan_violations(requirements: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Those of the tasks, and requirements (``requirement``) that no task covers, as rule 8 with ``task_id`` the requirement's."""
+    open_ = uncovered(requirements.select("requirement"), tasks)
+    return task_violations(tasks).unionByName(open_.select(F.col("requirement").alias("task_id"), F.lit(8).alias("rule"), F.lit("no task covers the requirement").alias("message")))
+
+
+def known_file_violations(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """``owner, path, rule, message`` of known files (``owner, path``): the first rule that one breaks.
+
+    ``listing``: ``path, is_dir`` of what is there, relative to the root. Paths are cleaned first: outer space,
+    empty and ``.`` segments go, ``..`` takes the segment before it along.
+    """
+    raw = F.trim(F.coalesce("path", F.lit("")))
+
+    def add(held: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(held) > 0) & (F.coalesce(F.element_at(held, F.greatest(F.size(held), F.lit(1))), F.lit("")) != "..")
+        return F.when(part.isin("", "."), held).when(up, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.concat(held, F.array(part)))
+
+    parts = F.aggregate(F.split(raw, "/"), F.array().cast("array<string>"), add)
+    rows = files.withColumns({"clean": F.array_join(parts, "/"), "rooted": raw.startswith("/")})
+    there = listing.groupBy(F.col("path").alias("clean")).agg(F.max("is_dir").alias("is_dir"))
+    rows = rows.join(there, "clean", "left")
+    rules = [
+        (~F.col("rooted") & (F.col("clean") == ""), "invalid path"),
+        (F.col("rooted"), "the path must be relative"),
+        (F.col("clean").startswith(".."), "the path escapes the root"),
+        (F.col("is_dir").isNull(), "the path does not exist"),
+        (F.col("is_dir"), "the path is a directory"),
+    ]
+    rule = F.coalesce(*[F.when(c, F.struct(F.lit(k + 1).alias("rule"), F.lit(m).alias("message"))) for k, (c, m) in enumerate(rules)])
+    return rows.withColumn("v", rule).where("v is not null").select("owner", "path", "v.*")
+
+
 def first_error(violations: DataFrame) -> DataFrame:
     return violations.groupBy("task_id").agg(F.min(F.struct("rule", "message")).alias("v")).select("task_id", "v.*")
 

@@ -76,15 +76,20 @@ def enriched(chunks: DataFrame, body_bytes: int = 2000) -> DataFrame:
 def reverse_calls(chunks: DataFrame) -> DataFrame:
     """``id, called_by``: who calls each chunk (``id, name, file_path, calls``).
 
-    A call's package matches a chunk whose directory ends in it; an empty one matches any directory.
-    Chunks don't call themselves. The callers carry the call's package and their own file.
+    Targets are named Go chunks. A call's package matches a chunk whose directory ends in it; an empty package, or
+    one that the caller's own path contains, matches any directory too. Chunks don't call themselves. The callers
+    carry the call's package and their own file, once for each call.
     """
-    calls = chunks.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"), F.explode("calls").alias("c"))
-    calls = calls.select("caller_id", "caller", "caller_file", F.col("c.name").alias("name"), F.coalesce("c.package", F.lit("")).alias("package"))
-    directory = F.regexp_replace("file_path", "/?[^/]*$", "")
-    places = chunks.select("id", "name", F.explode(F.array_union(path_suffixes(directory), F.array(F.lit("")))).alias("package")).distinct()
-    hit = calls.join(places, ["name", "package"]).where("id <> caller_id")
-    out = hit.select("id", F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file")).alias("by")).distinct()
+    calls = chunks.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"), F.posexplode("calls").alias("pos", "c"))
+    calls = calls.select("caller_id", "pos", "caller", "caller_file", F.col("c.name").alias("name"), F.coalesce("c.package", F.lit("")).alias("package"))
+    cut = F.regexp_replace("file_path", "/?[^/]*$", "")
+    directory = F.when(cut == "", F.lit(".")).otherwise(cut)
+    go = chunks.where((F.col("language") == "go") & (F.coalesce("name", F.lit("")) != ""))
+    places = go.select("id", "name", F.explode(path_suffixes(directory)).alias("package"))
+    near = calls.where("package <> ''").join(places, ["name", "package"])
+    anywhere = calls.where((F.col("package") == "") | F.contains("caller_file", F.col("package"))).join(go.select("id", "name"), "name")
+    hit = near.unionByName(anywhere).where("id <> caller_id").dropDuplicates(["id", "caller_id", "pos"])
+    out = hit.select("id", F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file")).alias("by"))
     return out.groupBy("id").agg(F.array_sort(F.collect_list("by")).alias("called_by"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of criteria that say nothing about code (fixed values), dropped if the criterion is of four words or fewer.
-BOILERPLATE = r"(?i)\b(tests? pass|builds?|compiles?|lint|no regressions?|documentation)\b"
+#: Criteria about running builds and tests (fixed value).
+BOILERPLATE = r"(?i)\bgo\s+(build|test|vet)\b|\bpasses\b|\bcompiles\b"
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -81,10 +82,24 @@ def under_prefix(limited: DataFrame, prefix: str) -> DataFrame:
 
 
 def expansion(title: str, module: str, criteria: list[str], files: list[str]) -> list[str]:
-    """Queries of a work order: title, module, criteria that say something, files as ``directory base``."""
-    said = [c for c in criteria if not (re.search(BOILERPLATE, c) and len(c.split()) <= 4)]
-    named = [" ".join(x for x in f.rpartition("/")[::2] if x) for f in files]
-    return [q for q in (title, module, *said, *named) if q]
+    """Queries of a work order: title, module if there is one, criteria that say something, files as ``directory base``.
+
+    Criteria about builds and tests say nothing, and none of four words or fewer does; names of files go without
+    their extension.
+    """
+    said = [c for c in criteria if not re.search(BOILERPLATE, c) and len(c.split()) > 4]
+    named = []
+    for f in files:
+        directory, base = os.path.split(os.path.normpath(f))
+        base = base[: base.rindex(".")] if "." in base else base
+        named.append(f"{directory} {base}" if directory else base)
+    return [title, *([module] if module else []), *said, *named]
+
+
+def telling(criteria: DataFrame) -> DataFrame:
+    """Rows whose ``criterion`` says something, by the same two rules."""
+    words = F.size(F.filter(F.split(F.trim("criterion"), r"\s+"), lambda w: w != ""))
+    return criteria.where(~F.col("criterion").rlike(BOILERPLATE) & (words > 4))
 
 
 def rendered(rows: DataFrame) -> DataFrame:

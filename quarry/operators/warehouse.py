@@ -70,12 +70,21 @@ def recent_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return verdicts(runs).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
-def next_runnable(tasks: DataFrame, workflows: DataFrame, blocked: tuple[str, ...] = ("completed", "failed", "cancelled", "awaiting_review")) -> DataFrame:
+#: States of a workflow in which none of its tasks runs (fixed values).
+BLOCKED = ("paused", "human_review", "awaiting_review", "review_needed", "completed", "failed")
+
+
+def next_runnable(tasks: DataFrame, workflows: DataFrame) -> DataFrame:
     """Pending tasks of workflows that may run, oldest first."""
-    live = workflows.where(~F.col("current_state").isin(*blocked)).select(F.col("id").alias("workflow_id"), "current_state")
+    live = workflows.where(~F.col("current_state").isin(*BLOCKED)).select(F.col("id").alias("workflow_id"), "current_state")
     return tasks.where("state = 'pending'").join(live, "workflow_id").orderBy("created_at", "id")
 
 
+def next_task(tasks: DataFrame, workflows: DataFrame) -> DataFrame:
+    """The oldest task that may run, if there is one."""
+    return next_runnable(tasks, workflows).limit(1)
+
+
 def claimable(tasks: DataFrame, workflows: DataFrame) -> DataFrame:
     """Runnable tasks whose workflow is within its depth and file budgets and that have attempts left."""
     room = workflows.where("current_depth < max_depth and files_changed < max_files_changed").select(F.col("id").alias("workflow_id"))
@@ -87,8 +96,7 @@ def latest_per_task(runs: DataFrame, workflows: DataFrame | None = None) -> Data
     rows = runs.where(F.col("plan_task_id").isNotNull())
     if workflows is not None:
         rows = rows.join(workflows.select(F.col("id").alias("workflow_id"), "current_state"), "workflow_id")
-    last = Window.partitionBy("plan_task_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return rows.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
+    return rows.groupBy("plan_task_id").agg(F.max_by(F.struct(*rows.columns), F.struct("created_at", "id")).alias("r")).select("r.*")
 
 
 def latest_per_workflow(runs: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def call_totals(calls: DataFrame) -> DataFrame:
 
 
 def workflow_list(workflows: DataFrame, runs: DataFrame, calls: DataFrame, status: str | None = None, project: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Workflows with their latest run and its call cost: running first, then in review, newest within each."""
+    """Workflows with their latest run and its call cost: running first, then in review (human or awaited), newest within each."""
     last = latest_per_workflow(runs).join(call_totals(calls), "id", "left")
     last = last.select("workflow_id", F.col("id").alias("run_id"), "project", "verify_result", "human_result", F.coalesce("call_cost", F.lit(0.0)).alias("call_cost"))
     rows = workflows.select(F.col("id").alias("workflow_id"), "current_state", "updated_at").join(last, "workflow_id", "left")
@@ -111,7 +119,7 @@ def workflow_list(workflows: DataFrame, runs: DataFrame, calls: DataFrame, statu
         rows = rows.where(F.col("current_state") == status)
     if project:
         rows = rows.where(F.col("project") == project)
-    first = F.when(F.col("current_state") == "running", 0).when(F.col("current_state") == "awaiting_review", 1).otherwise(2)
+    first = F.when(F.col("current_state") == "running", 0).when(F.col("current_state").isin("human_review", "awaiting_review"), 1).otherwise(2)
     return rows.orderBy(first, F.desc("updated_at"), "workflow_id", "run_id").offset(offset).limit(limit)
 
 
@@ -119,8 +127,7 @@ def session_list(sessions: DataFrame, runs: DataFrame, plan_runs: DataFrame, wor
     """Sessions with counts of their runs and plan runs and the state of their newest workflow."""
     n_runs = runs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_runs"))
     n_plans = plan_runs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_plans"))
-    last = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id"))
-    state = runs.where("session_id is not null").withColumn("rn", F.row_number().over(last)).where("rn = 1").select("session_id", "workflow_id")
+    state = runs.where("session_id is not null").groupBy("session_id").agg(F.max_by("workflow_id", F.struct("created_at", "id")).alias("workflow_id"))
     state = state.join(workflows.select(F.col("id").alias("workflow_id"), "current_state"), "workflow_id", "left").select("session_id", "current_state")
     out = sessions.withColumnRenamed("id", "session_id")
     for more in (n_runs, n_plans, state):
@@ -157,11 +164,11 @@ def latest_artifact(artifacts: DataFrame, kind: str, session_id: str | None = No
 
 
 def state_mirror(runs: DataFrame, sessions: DataFrame, workflows: DataFrame) -> DataFrame:
-    """The state that each run-only session takes from its workflow."""
+    """The state that each run-only session takes from its workflow: review by a human is awaited, what hasn't ended runs."""
     held = sessions.where("kind = 'run_only'").select(F.col("id").alias("session_id"), F.col("state").alias("was"))
     rows = runs.select("session_id", "workflow_id").distinct().join(held, "session_id").join(workflows.select(F.col("id").alias("workflow_id"), "current_state"), "workflow_id")
     s = F.col("current_state")
-    to = F.when(s == "completed", "completed").when(s.isin("failed", "cancelled"), "failed").when(s == "awaiting_review", "awaiting_review").otherwise("running")
+    to = F.when(s == "human_review", "awaiting_review").when(s.isin("completed", "failed"), s).otherwise("running")
     return rows.withColumn("state", to)
 
 
@@ -250,9 +257,11 @@ def audit_stats(plan_runs: DataFrame) -> DataFrame:
 
 
 def plan_task_status(tasks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Status of each plan task (``task_id, depends_on array``) from its latest run; first rule that fits:
-    complete, failed, awaiting-review, in-progress, blocked, not-started."""
-    last = runs.select(F.col("plan_task_id").alias("task_id"), "verify_result", "human_result", F.col("current_state").alias("run_state"))
+    """Status of each plan task (``task_id, depends_on array``) from its latest run; the first rule that fits:
+    passed and approved is complete; a failed workflow, a rejection or a failed check is failed; review is
+    awaited; a workflow that completed otherwise is failed; any other run is in progress. Without a run: blocked
+    by a dependency that isn't complete, else not started."""
+    last = runs.select(F.col("plan_task_id").alias("task_id"), "verify_result", "human_result", F.col("current_state").alias("run_state"), F.lit(True).alias("has_run"))
     rows = tasks.join(last, "task_id", "left")
     passed = F.coalesce((F.col("verify_result") == "PASS") & (F.col("human_result") == "approved"), F.lit(False))
     done = rows.where(passed).select(F.col("task_id").alias("dep"))
@@ -260,15 +269,16 @@ def plan_task_status(tasks: DataFrame, runs: DataFrame) -> DataFrame:
     s = F.col("run_state")
     status = (
         F.when(passed, "complete")
+        .when(s == "failed", "failed")
         .when(F.col("human_result") == "rejected", "failed")
-        .when(s.isin("failed", "cancelled"), "failed")
-        .when(s == "awaiting_review", "awaiting-review")
+        .when(F.col("verify_result") == "FAIL", "failed")
+        .when(s.isin("human_review", "review_needed"), "awaiting-review")
         .when(s == "completed", "failed")
-        .when(s.isNotNull(), "in-progress")
+        .when(F.col("has_run"), "in-progress")
         .when(F.col("waits"), "blocked")
         .otherwise("not-started")
     )
-    return rows.join(waits, "task_id", "left").withColumn("status", status).drop("waits", "run_state")
+    return rows.join(waits, "task_id", "left").withColumn("status", status).drop("waits", "run_state", "has_run")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:
@@ -276,11 +286,23 @@ def status_counts(statuses: DataFrame) -> DataFrame:
 
 
 def phase_status(runs: DataFrame) -> DataFrame:
-    """Four rows a run: scope, build, verify and review, each completed, failed, active or pending."""
+    """Four rows a run (with ``current_state`` of its workflow and ``error_message``): scope, build, verify and review.
+
+    A phase that has started and ended is completed; one that only started is active, or failed if there is an
+    error and no later phase is open. Review is completed by any human result and active while one is awaited.
+    """
+    names = ("scope", "build", "verify")
+    opened = {p: F.coalesce(F.col(f"{p}_started_at"), F.lit("")) != "" for p in names}
+    ended = {p: F.coalesce(F.col(f"{p}_completed_at"), F.lit("")) != "" for p in names}
+    last_open = F.when(opened["verify"] & ~ended["verify"], "verify").when(opened["build"] & ~ended["build"], "build").when(opened["scope"] & ~ended["scope"], "scope")
+    error = F.coalesce(F.col("error_message"), F.lit("")) != ""
+
     def of(p: str) -> Column:
-        return F.when(F.col(f"{p}_completed_at").isNotNull(), "completed").when(F.col(f"{p}_started_at").isNotNull(), "active").otherwise("pending")
+        failed = error & (last_open == p)
+        return F.when(opened[p] & ended[p], "completed").when(opened[p] & failed, "failed").when(opened[p], "active").otherwise("pending")
 
-    review = F.when(F.col("human_result") == "approved", "completed").when(F.col("human_result") == "rejected", "failed").when(F.col("verify_completed_at").isNotNull(), "active").otherwise("pending")
+    awaited = F.col("current_state").isin("awaiting_review", "human_review")
+    review = F.when(F.coalesce(F.col("human_result"), F.lit("")) != "", "completed").when(awaited, "active").otherwise("pending")
     cells = [F.struct(F.lit(i).alias("ord"), F.lit(p).alias("phase"), s.alias("status")) for i, (p, s) in enumerate([*((p, of(p)) for p in ("scope", "build", "verify")), ("review", review)])]
     return runs.select("id", F.inline(F.array(*cells)))
 
@@ -297,8 +319,9 @@ def lifecycle(events: DataFrame, terminal: tuple[str, ...] = ("completed", "fail
     return events.groupBy("entity_id").agg(F.max_by("state", "seq").alias("state"), F.min(F.when(F.col("state") == "running", F.col("at"))).alias("started_at"), F.min(F.when(F.col("state").isin(*terminal), F.col("at"))).alias("completed_at"))
 
 
-def retryable(tasks: DataFrame, classes: tuple[str, ...] = ("timeout", "transient")) -> DataFrame:
-    return tasks.where(F.col("error_message").isin(*classes) & (F.col("attempts") < F.col("max_attempts")))
+def retryable(tasks: DataFrame) -> DataFrame:
+    """Failed tasks to try again: attempts are left, and their error (``error_class``) is transient or of no class."""
+    return tasks.where((F.coalesce("error_class", F.lit("retryable")) == "retryable") & (F.col("attempts") < F.col("max_attempts")))
 
 
 def forbidden(paths: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         "provider": "l_returnflag", "model": "concat('m', l_partkey % 4)", "tokens_in": "CAST(l_quantity * 10 AS BIGINT)", "tokens_out": "CAST(l_quantity AS BIGINT)", "latency_ms": "l_suppkey % 1000", "estimated_cost_usd": "l_extendedprice / 1000000", "success": "CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE 1 END", "created_at": "{l_shipdate+0}",
     }),
     "workflows": ("customer", {
-        "id": "concat('wf-', c_custkey)", "current_state": "CASE c_custkey % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'awaiting_review' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'pending' ELSE 'cancelled' END",
+        "id": "concat('wf-', c_custkey)", "current_state": "CASE c_custkey % 9 WHEN 0 THEN 'running' WHEN 1 THEN 'awaiting_review' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'pending' WHEN 5 THEN 'human_review' WHEN 6 THEN 'paused' WHEN 7 THEN 'review_needed' ELSE 'cancelled' END",
         "max_depth": "CAST(5 AS BIGINT)", "current_depth": "c_custkey % 7", "max_files_changed": "CAST(50 AS BIGINT)", "files_changed": "c_custkey % 60", "updated_at": "concat('2026-01-', 10 + c_custkey % 19)", "created_at": "concat('2025-12-', 10 + c_custkey % 19)",
     }),
     "sessions": ("nation", {"id": "concat('s-', n_nationkey)", "kind": "CASE WHEN n_nationkey % 2 = 0 THEN 'run_only' ELSE 'plan_only' END", "project": "concat('p', n_regionkey)", "state": "CASE WHEN n_nationkey % 3 = 0 THEN 'running' ELSE 'completed' END", "created_at": "concat('2026-02-', 10 + n_nationkey % 19)"}),

@@ -12,7 +12,7 @@ from ..functions.scalar import language_of, matches_glob
 from ..schemas import SCHEMAS, assert_schema
 
 #: Directories of other people's code (fixed values).
-VENDORED = ("node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build", "site-packages")
+VENDORED = ("venv", ".venv", "node_modules", "__pycache__", ".git", ".tox")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

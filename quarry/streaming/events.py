@@ -83,49 +83,76 @@ def latest_checks(events: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Queue:
-    """State of a run queue: idle, ready, running, paused or completed; items in order with a status each."""
+    """A run queue: its state (idle, ready, running, paused or completed), items in order with a status each, the
+    current item and why it is paused."""
 
     state: str = "idle"
     items: tuple[tuple[str, str], ...] = field(default=())
+    current: str = ""
+    pause_reason: str = ""
 
     def ids(self, status: str) -> list[str]:
         return [i for i, s in self.items if s == status]
 
+    def marked(self, item: str, status: str) -> "Queue":
+        return replace(self, items=tuple((i, status if i == item else s) for i, s in self.items))
+
+
+def _advanced(q: Queue) -> Queue:
+    """A running queue takes up its next pending item, or is completed."""
+    pending = q.ids("pending")
+    if not pending:
+        return replace(q, state="completed", current="")
+    return replace(q.marked(pending[0], "executing"), current=pending[0])
+
 
 def step(q: Queue, action: str, argument: str = "") -> Queue:
-    """The queue after an action; one that doesn't apply leaves it as it is."""
-    if action == "load":
-        ids = [x for x in argument.split(",") if x]
-        return Queue("ready" if ids else "idle", tuple((i, "pending") for i in ids))
-    if action == "start" and q.state in ("ready", "paused") and q.ids("pending"):
-        first = q.ids("pending")[0]
-        return Queue("running", tuple((i, "running" if i == first and s == "pending" else s) for i, s in q.items))
-    if action in ("done", "fail") and q.state == "running":
-        items = tuple((i, ("completed" if action == "done" else "failed") if s == "running" else s) for i, s in q.items)
-        if action == "fail":
-            return Queue("paused", items)  # a failure pauses what follows
-        pending = [i for i, s in items if s == "pending"]
-        return step(Queue("ready", items), "start") if pending else Queue("completed", items)
-    if action == "pause" and q.state == "running":
-        return replace(q, state="paused")
-    if action == "resume" and q.state == "paused":
-        return replace(q, state="running") if q.ids("running") else step(q, "start")
+    """The queue after an action; one that doesn't apply leaves it as it is.
+
+    Users add, remove, reorder, start, pause and continue. Of the current item, ``done``, ``fail`` and ``review``
+    (it waits for a human) are reported. A failure and a review pause the queue; continuing completes the item
+    that was under way and takes up the next one.
+    """
+    names = [x for x in argument.split(",") if x]
+    if action == "add":
+        state = "ready" if names and q.state in ("idle", "completed") else q.state
+        return replace(q, state=state, items=q.items + tuple((i, "pending") for i in names))
+    if action == "remove":
+        if argument not in dict(q.items) or dict(q.items)[argument] == "executing":
+            return q
+        left = replace(q, items=tuple(x for x in q.items if x[0] != argument))
+        return replace(left, state="idle") if left.state == "ready" and not left.ids("pending") else left
     if action == "reorder":
-        wanted, pending = [x for x in argument.split(",") if x], q.ids("pending")
-        if len(wanted) != len(pending) or any(x not in pending for x in wanted):
+        if sorted(names) != sorted(q.ids("pending")):
             return q
-        return replace(q, items=tuple((i, s) for i, s in q.items if s != "pending") + tuple((i, "pending") for i in wanted))
+        return replace(q, items=tuple(x for x in q.items if x[1] != "pending") + tuple((i, "pending") for i in names))
+    if action == "start" and q.state == "ready":
+        return _advanced(replace(q, state="running", pause_reason=""))
+    if action == "pause" and q.state == "running":
+        return replace(q, state="paused", pause_reason="user_requested")
+    if action == "continue" and q.state == "paused":
+        done = q.marked(q.current, "completed") if q.current in q.ids("executing") else q
+        return _advanced(replace(done, state="running", current="", pause_reason=""))
+    if not q.current or q.current not in q.ids("executing"):
+        return q
+    if action == "done":
+        done = replace(q.marked(q.current, "completed"), current="")
+        return _advanced(done) if done.state == "running" else done
+    if action == "fail":
+        return replace(q.marked(q.current, "failed"), state="paused", pause_reason="error", current="")
+    if action == "review":
+        return replace(q, state="paused", pause_reason="awaiting_review")
     return q
 
 
 def queue_states(actions: DataFrame) -> DataFrame:
-    """``queue_id, state, items`` after all ``actions`` (``queue_id, seq, action, argument``) in order."""
+    """``queue_id, state, items, pause_reason`` after all ``actions`` (``queue_id, seq, action, argument``) in order."""
     import pandas as pd
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         q = Queue()
         for a in frame.sort_values("seq").itertuples():
             q = step(q, a.action, a.argument or "")
-        return pd.DataFrame({"queue_id": [key[0]], "state": [q.state], "items": [",".join(f"{i}:{s}" for i, s in q.items)]})
+        return pd.DataFrame({"queue_id": [key[0]], "state": [q.state], "items": [",".join(f"{i}:{s}" for i, s in q.items)], "pause_reason": [q.pause_reason]})
 
-    return actions.groupBy("queue_id").applyInPandas(run, "queue_id string, state string, items string")
+    return actions.groupBy("queue_id").applyInPandas(run, "queue_id string, state string, items string, pause_reason string")

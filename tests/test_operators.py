@@ -86,7 +86,16 @@ def test_text_time_and_ranges(spark):
         (lambda: fn.test_base(F.col("a")), {"a": "x/y_test.go"}, "x/y.go"),
         (lambda: fn.diff_path(F.col("a")), {"a": "diff --git a/x b/y b/z"}, "y b/z"),
         (lambda: fn.path_suffixes(F.col("a")), {"a": "a/b/c"}, ["a/b/c", "b/c", "c"]),
-        (lambda: fn.language_of(F.col("a")), {"a": "x/y.TS"}, "typescript"),
+        (lambda: fn.language_of(F.col("a")), {"a": "x/y.ts"}, "typescript"),
+        (lambda: fn.language_of(F.col("a")), {"a": "x/y.TS"}, ""),
+        (lambda: fn.language_of(F.col("a")), {"a": "x/y.js"}, ""),
+        (lambda: fn.human_duration(F.lit(180)), {}, "3m"),
+        (lambda: fn.human_duration(F.lit(7200)), {}, "2h"),
+        (lambda: fn.criterion_key(F.lit(" "), F.col("a")), {"a": " It Works "}, "description:it works"),
+        (lambda: fn.tool_summary(F.col("a")), {"a": '{"command":"c","file_path":"p"}'}, "p"),
+        (lambda: fn.tool_summary(F.col("a")), {"a": '{"description":"d","url":"u"}'}, "u"),
+        (lambda: analytics.event_status(F.col("a")), {"a": "build_stdout"}, "running"),
+        (lambda: analytics.event_status(F.col("a")), {"a": "build_completed"}, "pending"),
         (lambda: fn.file_set(F.col("a")), {"a": [" b ", "./a"]}, "a|b"),
         (lambda: fn.file_set(F.col("a")), {"a": ["a"]}, ""),
         (lambda: fn.human_duration(F.lit(125)), {}, "2m 5s"),
@@ -100,7 +109,7 @@ def test_scalars(spark, expr, cols, want):
 
 
 def test_globs(spark):
-    for glob, path, want in (("docs/", "docs/a/b.md", True), ("**/*.go", "a/b/c.go", True), ("**/*.go", "c.go", True), ("*.go", "a/c.go", False), ("a?.py", "ab.py", True)):
+    for glob, path, want in (("docs/", "docs/a/b.md", True), ("**/*.go", "a/b/c.go", True), ("**/*.go", "c.go", True), ("*.go", "a/c.go", False), ("a?.py", "ab.py", True), ("docs/", "x/docs/y.md", True), ("docs/", "xdocs/y.md", False), ("**/vendor/", "a/vendor/b", True), ("[a-c]x.go", "bx.go", True), ("[^a-c]x.go", "bx.go", False), ("a/**/b.go", "a/c/d/b.go", False), ("a/**/b.go", "a/c/b.go", True), ("**/a/*.go", "x/a/c.go", True), ("[a", "[a", False), ("\\*.go", "*.go", True), ("\\*.go", "a.go", False)):
         assert one(spark, fn.matches_glob(F.col("a"), [glob]), a=path) is want
 
 
@@ -129,10 +138,10 @@ def test_pending_plans_settle(spark):
 
 
 def test_plan_status_rules(spark):
-    tasks = spark.createDataFrame([("1", []), ("2", []), ("3", ["1"]), ("4", []), ("5", ["1"]), ("6", ["2"])], "task_id string, depends_on array<string>")
-    runs = spark.createDataFrame([("1", "PASS", "approved", "completed"), ("2", "FAIL", "rejected", "completed"), ("3", "PASS", None, "awaiting_review"), ("4", None, None, "build")], "plan_task_id string, verify_result string, human_result string, current_state string")
+    tasks = spark.createDataFrame([("1", []), ("2", []), ("3", ["1"]), ("4", []), ("5", ["1"]), ("6", ["2"]), ("7", []), ("8", []), ("9", ["2"])], "task_id string, depends_on array<string>")
+    runs = spark.createDataFrame([("1", "PASS", "approved", "completed"), ("2", "FAIL", "rejected", "completed"), ("3", "PASS", None, "human_review"), ("4", None, None, "build"), ("7", "FAIL", None, "human_review"), ("8", "PASS", None, "completed"), ("9", "PASS", None, "awaiting_review")], "plan_task_id string, verify_result string, human_result string, current_state string")
     got = {r["task_id"]: r["status"] for r in warehouse.plan_task_status(tasks, runs).collect()}
-    assert got == {"1": "complete", "2": "failed", "3": "awaiting-review", "4": "in-progress", "5": "not-started", "6": "blocked"}
+    assert got == {"1": "complete", "2": "failed", "3": "awaiting-review", "4": "in-progress", "5": "not-started", "6": "blocked", "7": "failed", "8": "failed", "9": "in-progress"}
 
 
 def test_criteria_merge_and_status(spark):
@@ -152,7 +161,9 @@ def test_segments_and_violations(spark):
     assert sorted(map(tuple, (r["files"] for r in documents.segments(files).collect()))) == [("a.go", "a_test.go"), ("b.py",)]
     tasks = spark.createDataFrame([("t1", "Same ", ["a", "b"], ["c"], ["r"], [], 1), ("t2", "same", ["b", "a"], ["c"], [], ["t3"], 2), ("t3", "x", [], [], ["r"], [], 3)], "task_id string, title string, known_files array<string>, criteria array<string>, requirements array<string>, depends_on array<string>, ord int")
     got = sorted((r["task_id"], r["rule"]) for r in documents.task_violations(tasks).collect())
-    assert got == [("t1", 3), ("t1", 7), ("t2", 3), ("t2", 6), ("t2", 7), ("t2", 8)]
+    assert got == [("t1", 3), ("t1", 7), ("t2", 3), ("t2", 6), ("t2", 7)]
+    needs = spark.createDataFrame([("r",), ("s",)], "requirement string")
+    assert [r["task_id"] for r in documents.plan_violations(needs, tasks).where("rule = 8").collect()] == ["s"]
     assert {r["task_id"]: r["rule"] for r in documents.first_error(documents.task_violations(tasks)).collect()} == {"t1": 3, "t2": 3}
 
 
@@ -163,16 +174,16 @@ def test_budgets(spark):
 
 
 def test_expansion_and_index(spark):
-    qs = retrieval.expansion("Add cache", "internal/x", ["Tests pass", "Cache evicts old entries by age", "builds", "Lint"], ["internal/a/b.go", "c.go"])
-    assert qs == ["Add cache", "internal/x", "Cache evicts old entries by age", "internal/a b.go", "c.go"]
+    qs = retrieval.expansion("Add cache", "internal/x", ["Tests pass", "Cache evicts old entries by age", "The module compiles on every platform", "run go  vet on all of it", "no four words here"], ["internal/a/b.go", "c.go"])
+    assert qs == ["Add cache", "internal/x", "Cache evicts old entries by age", "internal/a b", "c"]
     md = spark.createDataFrame([("d", "intro\n## A\nx\n### sub\n## B\ny")], "doc string, text string")
     got = [(r["name"], r["line_start"], r["line_end"]) for r in index.markdown_sections(md, "doc").orderBy("section").collect()]
     assert got == [("A", 2, 4), ("B", 5, 6)]
     py = spark.createDataFrame([("m.py", "@d\ndef f():\n    pass\n\nclass C:\n    def m(self):\n        pass\n"), ("bad.py", "def (")], "path string, text string")
     assert sorted((r["chunk_type"], r["name"], r["line_start"], r["line_end"]) for r in index.python_chunks(py).collect()) == [("class", "C", 5, 7), ("function", "f", 1, 3), ("method", "C.m", 6, 7)]
     ref = "array<struct<name: string, package: string, file: string>>"
-    chunks = spark.createDataFrame([("1", "FuncA", "internal/pkg/file1.go", [("FuncB", "internal/pkg", None), ("FuncA", "", None)]), ("2", "FuncB", "internal/pkg/file2.go", [])], f"id string, name string, file_path string, calls {ref}")
-    assert [(r["id"], r["called_by"][0]["name"]) for r in index.reverse_calls(chunks).collect()] == [("2", "FuncA")]
+    chunks = spark.createDataFrame([("1", "FuncA", "internal/pkg/file1.go", "go", [("FuncB", "internal/pkg", None), ("FuncA", "", None), ("FuncC", "pkg", None), ("FuncD", "", None)]), ("2", "FuncB", "internal/pkg/file2.go", "go", []), ("3", "FuncC", "other/x.go", "go", []), ("4", "FuncD", "x.py", "python", [])], f"id string, name string, file_path string, language string, calls {ref}")
+    assert sorted((r["id"], r["called_by"][0]["name"]) for r in index.reverse_calls(chunks).collect()) == [("2", "FuncA"), ("3", "FuncA")]  # a package in the caller's path is anywhere
 
 
 def test_streams(spark, tmp_path):
@@ -192,9 +203,53 @@ def test_streams(spark, tmp_path):
 
 
 def test_queue(spark):
-    rows = [("q", i, a, x) for i, (a, x) in enumerate([("load", "a,b,c"), ("reorder", "c,b,a"), ("reorder", "c,b"), ("start", ""), ("done", ""), ("fail", "")])]
+    def after(*actions):
+        q = events.Queue()
+        for a in actions:
+            q = events.step(q, *a.split())
+        return q.state, ",".join(f"{i}:{s}" for i, s in q.items), q.pause_reason
+
+    assert after("add a") == ("ready", "a:pending", "")
+    assert after("start") == ("idle", "", "") and after("pause") == ("idle", "", "")
+    assert after("add a", "remove a") == ("idle", "", "") and after("add a", "remove x") == ("ready", "a:pending", "")
+    assert after("add a", "start", "remove a") == ("running", "a:executing", "")
+    assert after("add a,b", "start", "done", "done") == ("completed", "a:completed,b:completed", "")
+    assert after("add a", "start", "done", "add b") == ("ready", "a:completed,b:pending", "")
+    assert after("add a,b", "start", "fail") == ("paused", "a:failed,b:pending", "error")
+    assert after("add a,b", "start", "fail", "start") == ("paused", "a:failed,b:pending", "error")  # only a ready queue starts
+    assert after("add a,b", "start", "fail", "continue") == ("running", "a:failed,b:executing", "")
+    assert after("add a,b", "start", "review") == ("paused", "a:executing,b:pending", "awaiting_review")
+    assert after("add a,b", "start", "review", "continue") == ("running", "a:completed,b:executing", "")
+    assert after("add a,b", "start", "pause", "done") == ("paused", "a:completed,b:pending", "user_requested")
+    assert after("add a,b,c", "start", "reorder c,b", "reorder c") == ("running", "a:executing,c:pending,b:pending", "")
+    rows = [("q", i, *a.split()) for i, a in enumerate(["add a,b,c", "reorder c,b,a", "start -", "done -", "fail -"])]
     got = events.queue_states(spark.createDataFrame(rows, "queue_id string, seq int, action string, argument string")).first()
-    assert (got["state"], got["items"]) == ("paused", "c:completed,b:failed,a:pending")
+    assert (got["state"], got["items"], got["pause_reason"]) == ("paused", "c:completed,b:failed,a:pending", "error")
+
+
+def test_phases_states_and_flags(spark):
+    names = [f"{p}_{k}_at" for p in ("scope", "build", "verify") for k in ("started", "completed")]
+    rows = [("1", "s", "c", "s", None, None, None, None, "running", "x"), ("2", "s", "c", "s", "c", "s", "c", "rejected", "completed", None), ("3", None, "c", None, None, None, None, None, "human_review", None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ["id", *names, "human_result", "current_state", "error_message"]))
+    got = {}
+    for r in warehouse.phase_status(df).collect():
+        got.setdefault(r["id"], []).append(r["status"])
+    assert got == {"1": ["completed", "failed", "pending", "pending"], "2": ["completed"] * 4, "3": ["pending", "pending", "pending", "active"]}
+    met = spark.createDataFrame([("a", "met", True), ("b", "met", True), ("c", "unmet", True)], "doc string, result string, required boolean")
+    flags = spark.createDataFrame([("a", False, None, False), ("b", False, True, False), ("c", True, False, False), ("d", None, None, True)], "doc string, drift boolean, issues boolean, concerns boolean")
+    assert {r["doc"]: r["status"] for r in documents.report_status(met, ["doc"], flags).collect()} == {"a": "PASS", "b": "WARN", "c": "FAIL", "d": "WARN"}
+    tasks = spark.createDataFrame([("t1", "w1", "pending", "2"), ("t2", "w2", "pending", "1"), ("t3", "w3", "pending", "0")], "id string, workflow_id string, state string, created_at string")
+    flows = spark.createDataFrame([("w1", "running"), ("w2", "cancelled"), ("w3", "paused")], "id string, current_state string")
+    assert [r["id"] for r in warehouse.next_runnable(tasks, flows).collect()] == ["t2", "t1"] and warehouse.next_task(tasks, flows).first()["id"] == "t2"
+    tries = spark.createDataFrame([("a", 1, 2, "retryable"), ("b", 1, 2, None), ("c", 1, 2, "fatal"), ("d", 2, 2, None)], "id string, attempts int, max_attempts int, error_class string")
+    assert sorted(r["id"] for r in warehouse.retryable(tries).collect()) == ["a", "b"]
+
+
+def test_known_files(spark):
+    rows = [(k, p) for k, p in enumerate(["a.go", " ./x/../a.go ", "", ".", "/a.go", "../a.go", "x/../../a.go", "b.go", "dir/", None, "..hidden"])]
+    listing = spark.createDataFrame([("a.go", False), ("dir", True)], "path string, is_dir boolean")
+    got = {r["owner"]: r["rule"] for r in documents.known_file_violations(spark.createDataFrame(rows, "owner int, path string"), listing).collect()}
+    assert got == {2: 1, 3: 1, 4: 2, 5: 3, 6: 3, 7: 4, 8: 5, 9: 1, 10: 3}
 
 
 def test_sources(spark, tmp_path):

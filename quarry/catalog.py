@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as fn
-from .operators import analytics, documents, graph, index, retrieval, warehouse
+from .operators import analytics, documents, graph, index, retrieval, validation, warehouse
 from .plans.standins import TABLES, World, view_sql
 from .streaming import events
 
@@ -547,6 +547,47 @@ def val4_plan_violations(w):
     return documents.plan_violations(requirements, tasks).select("task_id", "rule")
 
 
+@query("SELECT k AS order_id, r AS rule FROM (SELECT p_partkey AS k FROM part) t, (SELECT unnest(range(1, 19)) AS r) n WHERE CASE r WHEN 1 THEN k % 11 = 0 WHEN 2 THEN k % 13 = 0 WHEN 3 THEN k % 5 = 2 WHEN 4 THEN k % 7 = 0 WHEN 5 THEN k % 17 = 0 WHEN 9 THEN k % 3 = k % 4 WHEN 10 THEN k % 19 = 0 WHEN 12 THEN k % 23 = 0 WHEN 13 THEN k % 29 = 0 WHEN 14 THEN k % 31 = 0 WHEN 15 THEN k % 37 = 0 WHEN 16 THEN k % 31 > 0 AND k % 2 = 0 AND k % 3 = 0 WHEN 17 THEN k % 37 > 0 AND k % 10 = 0 WHEN 18 THEN k % 37 = 0 OR (k % 10 = 0 AND k % 3 <> k % 4) ELSE false END")
+def val1_work_orders(w):
+    """Orders made to break one rule or another by the remainders of their number."""
+    k = F.col("p_partkey")
+    when = lambda n, broken, fine: F.when(k % n == 0, broken).otherwise(fine)
+    r = [F.concat(F.lit("r"), k % n) for n in (3, 4)]
+    ids = when(37, F.array().cast("array<string>"), F.array(r[0], when(10, "zz", r[1])))
+    kind = when(31, "", when(2, "precheck", "manual"))
+    criterion = F.struct(when(19, " ", "c").alias("id"), when(23, "", "d").alias("description"), when(29, F.lit(None).cast("boolean"), F.lit(True)).alias("required"), kind.alias("kind"), when(3, "", "x").alias("check"), ids.alias("requirement_ids"))
+    kinds = F.element_at(F.array(*map(F.lit, ("docs", "refactor", "bogus", "bug_fix", "bootstrap"))), (k % 5 + 1).cast("int"))
+    orders = w.part.select(
+        k.alias("order_id"), when(11, "", F.col("p_name")).alias("title"), when(13, "", "m").alias("target_module"), kinds.alias("type"), when(17, 1, 2).alias("schema_version"), when(7, F.array(F.lit("a"), F.lit(" ")), F.array(F.lit("a"))).alias("known_files"),
+        F.array(*[F.struct(x.alias("id")) for x in r]).alias("requirements"), F.array(criterion).alias("criteria"),
+    )
+    return validation.work_orders(orders).select("order_id", "rule")
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 > 0) AS direct, count(*) FILTER (doc_id % 3 = 0) AS hops FROM documents")
+def ag30_hit_counts(w):
+    return retrieval.hit_counts(w.documents.select((F.col("doc_id") % 3 == 0).alias("is_dependency_hop")))
+
+
+@query("SELECT id, file_path, language, chunk_type, name FROM chunks")
+def fil8_metadata(w):
+    return retrieval.metadata(w.chunks).select("id", "file_path", "language", "chunk_type", "name")
+
+
+@query("SELECT string_agg(id, ',' ORDER BY line_start, id) AS ids FROM chunks WHERE file_path = 'src3/en1.md'")
+def tk14_file_order(w):
+    rows = index.in_file_order(w.chunks, "src3/en1.md")
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "id"))), lambda x: x["id"]), ",").alias("ids")).select(F.nullif("ids", F.lit("")).alias("ids"))
+
+
+@query("SELECT path, coalesce(new.hash, old.hash) AS hash FROM (SELECT concat('c', doc_id) AS path, md5(text) AS hash FROM documents WHERE doc_id % 3 > 0) old FULL JOIN (SELECT concat('c', doc_id) AS path, md5(concat('x', text)) AS hash FROM documents WHERE doc_id % 2 = 0) new USING (path)")
+def ix14_after_upsert(w):
+    rows = w.documents.select(F.concat(F.lit("c"), "doc_id").alias("path"), "doc_id", "text")
+    known = rows.where("doc_id % 3 > 0").select("path", F.md5(F.col("text").cast("binary")).alias("hash"))
+    stored = rows.where("doc_id % 2 = 0").select("path", F.md5(F.concat(F.lit("x"), "text").cast("binary")).alias("hash"))
+    return index.after_upsert(known, stored)
+
+
 @query("""SELECT doc_id AS owner, CASE WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN k = 3 THEN 3 WHEN k = 4 THEN 5 ELSE 4 END AS rule FROM (SELECT doc_id, doc_id % 7 AS k FROM documents) d WHERE k IN (1, 2, 3, 4) OR doc_id NOT IN (SELECT doc_id FROM labels)""")
 def val5_known_files(w):
     """Known files are those of labelled documents."""

@@ -227,3 +227,13 @@ def diff_stat(summaries: DataFrame) -> DataFrame:
 def text_changes(plans: DataFrame) -> DataFrame:
     """Lines of an audit's change text that say something."""
     return plans.withColumn("changes", F.filter(F.split(F.coalesce("audit_change_text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+
+
+def descriptions(criteria: Column) -> Column:
+    """Descriptions of typed criteria, in order."""
+    return F.transform(criteria, lambda c: c["description"])
+
+
+def first_targets(targets: Column, n: int) -> Column:
+    """The first ``n``, in order."""
+    return F.slice(targets, 1, n)

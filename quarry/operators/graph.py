@@ -7,7 +7,9 @@ counts as visited once it is a substring of the path (``strict`` compares whole
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,3 +170,58 @@ def self_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls of a class's own methods (``module`` is the class), at confidence 0.95."""
     own = symbols.select(F.col("file_path").alias("path"), F.col("receiver").alias("module"), "name", F.col("id").alias("target_id"))
     return calls.where("kind = 'self'").join(own, ["path", "module", "name"]).withColumn("confidence", F.lit(0.95))
+
+
+def path_nodes(path: Column) -> Column:
+    """Ids along a path, in order."""
+    return F.split(path, ">")
+
+
+def merged_results(results: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """All rows of several analyzers, by table (symbols, edges, boundaries); repeated ones stay."""
+    names = sorted({n for r in results for n in r})
+    return {n: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r[n] for r in results if n in r]) for n in names}
+
+
+def analyzed(analyzers: dict[str, Callable[[], dict[str, DataFrame]]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Results of all analyzers that work, and the errors of those that don't."""
+    done, errors = [], {}
+    for name, run in analyzers.items():
+        try:
+            done.append(run())
+        except Exception as e:
+            errors[name] = str(e)
+    return merged_results(done), errors
+
+
+def formatted(targets: DataFrame, nodes: DataFrame, interfaces_: DataFrame) -> str:
+    """The blast radius of few targets as text for a prompt.
+
+    ``targets``: a row of ``symbols`` each; ``nodes``: ``root_id, direction`` (up or down), ``depth, confidence, edge_type``
+    and the node's ``name, file_path, line_start, signature``; ``interfaces_``: ``root_id, name, kind, file_path, line_start``.
+    """
+    rows = targets.orderBy("id").collect()  # those that a prompt holds
+    if not rows:
+        return ""
+    by: dict[tuple[str, str], list] = {}
+    for r in nodes.orderBy("depth", F.desc("confidence"), "name").collect():
+        by.setdefault((r["root_id"], r["direction"]), []).append(r)
+    for r in interfaces_.orderBy("name").collect():
+        by.setdefault((r["root_id"], "is"), []).append(r)
+    out = ["=== STRUCTURAL CONTEXT (call graph) ===", ""]
+    for t in rows:
+        out += [f"Target: {t['name']} ({t['kind']})", f"  File: {t['file_path']}:{t['line_start']}-{t['line_end']}"]
+        out += [f"  Signature: {t['signature']}"] * bool(t["signature"]) + [""]
+        for way, title in (("up", "UPSTREAM (callers — changes here may require updates to these):"), ("down", "DOWNSTREAM (callees — this function depends on these):"), ("is", "IMPLEMENTS:")):
+            held = by.get((t["id"], way), [])
+            if not held:
+                continue
+            out.append(f"  {title}")
+            for n in held:
+                head = f"{n['name']} ({n['kind']})" if way == "is" else f"[depth {n['depth']}, confidence {n['confidence']:.1f}, {n['edge_type']}] {n['name']}"
+                out += [f"    {head}", f"      File: {n['file_path']}:{n['line_start']}"]
+                if way != "is" and n["signature"]:
+                    out.append(f"      Signature: {n['signature']}")
+            out.append("")
+        out.append("")
+    return "\n".join(out) + "\n"

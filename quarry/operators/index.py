@@ -120,3 +120,17 @@ def described(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
 def relations(chunks: DataFrame) -> DataFrame:
     names = lambda c: F.array_join(F.transform(c, lambda r: r["name"]), ", ")
     return chunks.select("id", F.concat_ws("\n", F.concat(F.lit("Calls: "), F.nullif(names("calls"), F.lit(""))), F.concat(F.lit("Called by: "), F.nullif(names("called_by"), F.lit("")))).alias("block"))
+
+
+def known_hashes(hashes: DataFrame, version: str, current: str, force: bool = False) -> DataFrame:
+    """Recorded hashes that still hold: none after a change of the schema's version, or by force."""
+    return hashes.limit(0) if force or version != current else hashes
+
+
+def after_upsert(known: DataFrame, stored: DataFrame) -> DataFrame:
+    """Hashes (``path, hash``) once the chunks of ``stored`` files are written: theirs replace older ones."""
+    return known.join(stored.select("path"), "path", "left_anti").unionByName(stored.select("path", "hash"))
+
+
+def in_file_order(chunks: DataFrame, path: str) -> DataFrame:
+    return chunks.where(F.col("file_path") == path).orderBy("line_start", "id")

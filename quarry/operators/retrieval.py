@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 #: Criteria about running builds and tests (fixed value).
 BOILERPLATE = r"(?i)\bgo\s+(build|test|vet)\b|\bpasses\b|\bcompiles\b"
@@ -104,3 +106,51 @@ def telling(criteria: DataFrame) -> DataFrame:
 
 def rendered(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.format_string("### %s (%s:%d)\n%s", "name", "file_path", "line_start", F.coalesce("signature", F.lit(""))).alias("block"))
+
+
+def metadata(chunks: DataFrame) -> DataFrame:
+    """What lists and statistics need; bodies and vectors are not read."""
+    return chunks.select(*[c for c in chunks.columns if c not in ("body", "embedding")])
+
+
+def code_refs(refs: Column) -> Column:
+    """References of chunks as those of answers: ``function, file``."""
+    return F.transform(refs, lambda r: F.struct(r["name"].alias("function"), r["file"].alias("file")))
+
+
+def hit_counts(results: DataFrame) -> DataFrame:
+    """How many results are direct hits and how many come by a hop (``is_dependency_hop``)."""
+    hop = F.coalesce(F.col("is_dependency_hop"), F.lit(False))
+    return results.agg(F.count_if(~hop).alias("direct"), F.count_if(hop).alias("hops"))
+
+
+#: Put before the text of a query, not of a document (fixed value).
+QUERY_PREFIX = "Represent this query for searching relevant code: "
+
+
+def embedded(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], query: bool = False, batch: int = 32) -> DataFrame:
+    """Add ``embedding`` of the column ``text``, asked for in batches; an answer of another length is an error."""
+
+    def run(frames):
+        for f in frames:
+            texts = [(QUERY_PREFIX if query else "") + (t or "") for t in f[text]]
+            found: list[list[float]] = []
+            for at in range(0, len(texts), batch):
+                got = embedder(texts[at : at + batch])
+                if len(got) != len(texts[at : at + batch]):
+                    raise ValueError(f"{len(texts[at : at + batch])} texts, {len(got)} vectors")
+                found += got
+            yield f.assign(embedding=found)
+
+    schema = StructType([f for f in rows.schema.fields if f.name != "embedding"] + [StructField("embedding", ArrayType(FloatType()))])
+    return rows.drop("embedding").mapInPandas(run, schema)
+
+
+def searched(enriched: Callable[[], DataFrame], basic: Callable[[], DataFrame], k: int = 10) -> DataFrame:
+    """The enriched search; if it can't be done, ``k`` results of the basic one, without hops and counts."""
+    try:
+        found = enriched()
+        found.schema  # a plan that can't be analysed fails here
+        return found
+    except Exception:
+        return basic().limit(k)

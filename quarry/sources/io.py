@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the warehouse, of the graph or the chunks; empty if nothing was written yet."""
     try:
         return assert_schema(spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}"), name)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SCHEMAS[name])
 
@@ -103,3 +104,36 @@ def tail_preview(listing: DataFrame, most: int) -> DataFrame:
         return s.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
     return listing.select("path", text(F.substring("content", -most, most)).alias("preview"), "length", (F.col("length") > most).alias("cut"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """``path, hash`` as saved; empty if there is no such file or it can't be read."""
+    schema = "path string, hash string"
+    try:
+        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("path is not null and hash is not null")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows
+
+
+def save_file_hashes(hashes: DataFrame, path: str) -> None:
+    hashes.select("path", "hash").write.mode("overwrite").json(path)
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """A row's fields as one JSON text, nulls left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("response"))
+
+
+def register_artifact(spark: SparkSession, root: str, artifact: dict, created_at: str) -> DataFrame:
+    """Append a file to the table of artifacts, with its size; type and path are needed. Returns the row."""
+    if not artifact.get("artifact_type") or not artifact.get("path"):
+        raise ValueError("an artifact needs a type and a path")
+    size = spark.read.format("binaryFile").load(artifact["path"]).agg(F.max("length")).first()[0]
+    names = SCHEMAS["artifacts"].names
+    row = {**dict.fromkeys(names), **artifact, "size_bytes": size, "created_at": created_at}
+    out = spark.createDataFrame([tuple(row[n] for n in names)], SCHEMAS["artifacts"])
+    append(out, root, "artifacts")
+    return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as fn
-from quarry.operators import analytics, documents, graph, index, retrieval, warehouse
+from quarry.operators import analytics, documents, graph, index, retrieval, validation, warehouse
 from quarry.schemas import SCHEMAS, assert_schema, normalize_plan_runs
 from quarry.sources import io
 from quarry.streaming import events
@@ -283,3 +283,92 @@ def test_agreement_definitions(spark):
     df = spark.createDataFrame([("1", "WARN", "approved"), ("2", "PASS", "approved"), ("3", "FAIL", None)], "id string, verify_result string, human_result string")
     assert [r["a"] for r in df.orderBy("id").select(analytics.agreed(F.col("verify_result"), F.col("human_result")).alias("a")).collect()] == [0, 1, None]
     assert warehouse.agreement_pivot(df).first()["agreement_pct"] == 100
+
+
+ORDER = "order_id string, title string, target_module string, type string, schema_version int, known_files array<string>, requirements array<struct<id: string>>, criteria array<struct<id: string, description: string, required: boolean, kind: string, check: string, requirement_ids: array<string>>>"
+
+
+def test_work_orders(spark):
+    good = {"order_id": "ok", "title": "t", "target_module": "m", "type": "docs", "schema_version": 2, "known_files": ["a"], "requirements": [("r1",)], "criteria": [("c1", "d", True, "manual", None, ["r1"])]}
+    bad = [
+        ({"title": ""}, [1]), ({"target_module": None}, [2]), ({"type": "odd"}, [3]), ({"known_files": ["a", " "]}, [4]), ({"schema_version": 1}, [5]), ({"requirements": []}, [6, 17]), ({"criteria": []}, [7, 18]),
+        ({"requirements": [("r1",), (" ",)]}, [8, 18]), ({"requirements": [("r1",), ("r1",)]}, [9]), ({"criteria": [(None, "d", True, "manual", None, ["r1"])]}, [10]), ({"criteria": good["criteria"] * 2}, [11]),
+        ({"criteria": [("c", " ", True, "manual", None, ["r1"])]}, [12]), ({"criteria": [("c", "d", None, "manual", None, ["r1"])]}, [13]), ({"criteria": [("c", "d", True, "", None, ["r1"])]}, [14]), ({"criteria": [("c", "d", True, "manual", None, [])]}, [15, 18]),
+        ({"criteria": [("c", "d", True, " precheck", " ", ["r1"])]}, [16]), ({"criteria": [("c", "d", True, "manual", None, ["r1", "x"])]}, [17]), ({"requirements": [("r1",), ("r2",)]}, [18]),
+    ]
+    rows = [good] + [good | {"order_id": str(k)} | change for k, (change, _) in enumerate(bad)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ORDER)
+    got = {}
+    for r in validation.work_orders(df).collect():
+        got.setdefault(r["order_id"], []).append(r["rule"])
+    assert {k: sorted(v) for k, v in got.items()} == {str(k): want for k, (_, want) in enumerate(bad)}
+
+
+def test_raw_responses_and_routing(spark, tmp_path):
+    schema = "response_id string, requirements array<struct<id: string>>, epics array<struct<epic_ref: string, title: string, description: string, covers: array<string>>>"
+    epic = ("e", "t", "d", ["r"])
+    rows = [("ok", [("r",)], [epic]), ("free", [], [epic]), ("none", None, None), ("dup", [("r",), ("r",)], [epic, epic]), ("bare", [("",)], [(" ", "", None, None)]), ("unknown", [("q",)], [epic])]
+    got = {}
+    for r in validation.epic_responses(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r["response_id"], []).append(r["rule"])
+    assert got == {"none": [1], "dup": [3, 5], "bare": [2, 4, 6, 7], "unknown": [8]}
+    tasks = spark.createDataFrame([("a", []), ("b", [("t",), ("t",)]), ("c", [("",)]), ("d", [("t",)])], "response_id string, tasks array<struct<task_ref: string>>")
+    assert sorted((r["response_id"], r["rule"]) for r in validation.task_responses(tasks).collect()) == [("a", 1), ("b", 3), ("c", 2)]
+    assert validation.model_routing({}, {}, []) == ["providers are needed"] and validation.model_routing({"p": "x"}, {"build": "p"}, ["build"]) == []
+    assert len(validation.model_routing({"p": " "}, {"scope": "q"}, ["build", "scope"])) == 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").symlink_to("/")
+    assert validation.safe_path(str(tmp_path), "in/new/x.txt").endswith("/in/new/x.txt") and validation.safe_path(str(tmp_path), "/in").endswith("/in")
+    for bad in ("../x", "in/../../x", "out/etc"):
+        with pytest.raises(ValueError):
+            validation.safe_path(str(tmp_path), bad)
+
+
+def test_search_parts(spark):
+    chunks = spark.createDataFrame([("1", "n", "b", [0.5], "a.go", 9), ("2", "m", "c", [0.1], "a.go", 3)], "id string, name string, body string, embedding array<float>, file_path string, line_start int")
+    assert retrieval.metadata(chunks).columns == ["id", "name", "file_path", "line_start"]
+    assert [r["id"] for r in index.in_file_order(chunks, "a.go").collect()] == ["2", "1"]
+    hits = spark.createDataFrame([(True,), (False,), (None,)], "is_dependency_hop boolean")
+    assert tuple(retrieval.hit_counts(hits).first()) == (2, 1)
+    texts = spark.createDataFrame([(k, f"t{k}") for k in range(70)], "k int, text string").coalesce(1)
+    out = retrieval.embedded(texts, "text", lambda x: [[float(len(t)), float(len(x))] for t in x], query=True).collect()
+    assert {r["embedding"][1] for r in out} == {32.0, 6.0} and out[0]["embedding"][0] == len(retrieval.QUERY_PREFIX) + 2
+    with pytest.raises(Exception, match="vectors"):
+        retrieval.embedded(texts, "text", lambda x: [[0.0]]).collect()
+    assert retrieval.searched(lambda: chunks.select("missing"), lambda: chunks, 1).count() == 1 and retrieval.searched(lambda: chunks, lambda: None).count() == 2
+    assert one(spark, graph.path_nodes(F.col("a")), a="x>y") == ["x", "y"] and one(spark, documents.first_targets(F.col("a"), 2), a=["x", "y", "z"]) == ["x", "y"]
+    refs = spark.createDataFrame([([("f", "p", "x.go")],)], "calls array<struct<name: string, package: string, file: string>>").select(retrieval.code_refs(F.col("calls")).alias("r")).first()["r"]
+    assert [tuple(r) for r in refs] == [("f", "x.go")]
+    good, bad = (lambda: {"edges": edges(spark, [("A", "B", "CALLS", 1.0)])}), (lambda: 1 / 0)
+    tables, errors = graph.analyzed({"go": good, "python": bad, "ts": good})
+    assert tables["edges"].count() == 2 and list(errors) == ["python"]
+
+
+def test_blast_as_text(spark):
+    targets = spark.createDataFrame([("t", "Run", "function", "a.go", 1, 9, "func Run()")], "id string, name string, kind string, file_path string, line_start int, line_end int, signature string")
+    nodes = spark.createDataFrame([("t", "up", 1, 0.9, "CALLS", "Main", "m.go", 3, "")], "root_id string, direction string, depth int, confidence double, edge_type string, name string, file_path string, line_start int, signature string")
+    face = spark.createDataFrame([("t", "Runner", "interface", "r.go", 2)], "root_id string, name string, kind string, file_path string, line_start int")
+    text = graph.formatted(targets, nodes, face)
+    assert text.startswith("=== STRUCTURAL CONTEXT (call graph) ===\n\nTarget: Run (function)\n  File: a.go:1-9\n  Signature: func Run()\n\n  UPSTREAM")
+    assert "    [depth 1, confidence 0.9, CALLS] Main\n      File: m.go:3\n\n  IMPLEMENTS:\n    Runner (interface)\n      File: r.go:2\n" in text
+    assert "DOWNSTREAM" not in text and graph.formatted(targets.limit(0), nodes, face) == ""
+
+
+def test_index_state_and_artifacts(spark, tmp_path):
+    known = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
+    at = str(tmp_path / "hashes")
+    assert io.file_hashes(spark, at).count() == 0
+    io.save_file_hashes(known, at)
+    assert sorted(map(tuple, io.file_hashes(spark, at).collect())) == [("a", "1"), ("b", "2")]
+    (tmp_path / "bad.json").write_text("{not json")
+    assert io.file_hashes(spark, str(tmp_path / "bad.json")).count() == 0
+    assert index.known_hashes(known, "1", "2").count() == 0 and index.known_hashes(known, "2", "2", force=True).count() == 0 and index.known_hashes(known, "2", "2").count() == 2
+    stored = spark.createDataFrame([("b", "3"), ("c", "4")], "path string, hash string")
+    assert sorted(map(tuple, index.after_upsert(known, stored).collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
+    (tmp_path / "x.txt").write_text("12345")
+    root = str(tmp_path / "w")
+    row = io.register_artifact(spark, root, {"id": "1", "artifact_type": "report", "path": str(tmp_path / "x.txt")}, "2026-01-01 00:00:00").first()
+    assert row["size_bytes"] == 5 and io.table(spark, root, "artifacts").count() == 1
+    with pytest.raises(ValueError):
+        io.register_artifact(spark, root, {"path": "x"}, "2026-01-01 00:00:00")
+    assert io.responses(spark.createDataFrame([(1, None)], "a int, b string")).first()["response"] == '{"a":1}'

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import stratified
-from .shared import crc_mod, small_batches, widened
+from .shared import crc_mod, kept_in_worker, small_batches, widened
 
 #: Texts sampled for each language, and the bytes of its dictionary.
 SAMPLE, DICTIONARY = 300, 100_000
@@ -105,23 +105,21 @@ class Compressors:
         return self.names[best], 1.0 if rest is None else (rest - sizes[best]) / rest
 
 
-_READY: dict[int, Compressors] = {}
-
-
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """Add ``lang_pred, score, rejected`` to the rows of ``docs``, which has ``text``."""
     small_batches(docs.sparkSession)
     added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     docs = docs.drop(*added)
     schema = widened(docs, **added)
-    token = hash(tuple(dictionaries.items()))
+    token = f"languages {hash(tuple(dictionaries.items()))}"
 
     def run(batches):
-        if token not in _READY:
-            _READY.clear()
-            _READY[token] = Compressors(dictionaries)
+        held = kept_in_worker(token)
+        if not held:
+            held["compressors"] = Compressors(dictionaries)
+        classify = held["compressors"].classify
         for b in batches:
-            got = [_READY[token].classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            got = [classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             more = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([x == UNKNOWN or s < margin for x, s in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *added])
 

@@ -11,8 +11,9 @@ Defined results: null vectors, zero vectors, those with null or non-finite
 components and those whose label is null link with nothing (one row, no links, a
 component of their own); vectors of different length never link; rows with a null
 ``vec_id`` are returned without component, not kept and without links; rows that
-repeat an id are vectors of their own that share its name; an empty table gives
-no rows; other columns are never read.
+repeat an id are vectors of their own that share its name, told apart by a number of
+each distinct vector; very long vectors are compared whole; an empty table gives no
+rows; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components, forest, in_units
-from .shared import small_batches, staged
+from .shared import small_batches, staged, widened
 
 #: Tables, hashes a key, and the width of a quantised step (in units of the unit sphere).
 TABLES, HASHES, WIDTH = 32, 12, 1.6
@@ -84,7 +85,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = 512) -
         (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    reps = staged(rows.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    own = rows.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
 
     def normal(b: pa.RecordBatch, k: int):
         """Row numbers and unit vectors, by length."""
@@ -98,25 +99,28 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = 512) -
             x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows or vanishes
             yield own, x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    def spread(batches):
+    def keyed(batches):
         for b in batches:
-            label, rep = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for own, unit in normal(b, 2):
-                keys = table_keys(unit, label[own])
-                table = np.tile(np.arange(TABLES), len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(keys.ravel()), pa.array(np.repeat(rep[own], TABLES))], names=["t", "key", "rep"])
-
-    units = in_units(reps.select("label", "rep", "v").mapInArrow(spread, "t int, key long, rep long"), ["t", "key"], "rep", block, singles=False)
+            label, keys = np.asarray(b.column(0)), np.empty((b.num_rows, TABLES), np.int64)
+            for at, unit in normal(b, 1):
+                keys[at] = table_keys(unit, label[at])
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TABLES)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=[*b.schema.names, "keys"])
+
+    # keys are worked out once and go with their vector, so that no rounding can tell two of its copies apart
+    reps = own.mapInArrow(keyed, widened(own, keys="array<bigint>"))
+    reps = staged(reps.withColumn("cls", F.monotonically_increasing_id()), "vectors")
+    units = in_units(reps.select("cls", F.posexplode("keys").alias("t", "key")), ["t", "key"], "cls", block, singles=False)
     order = ["t", "key", "unit_a", "unit_b"]
-    units = units.join(reps, "rep").select(*order, "own", "rep", "n", "label", "v").repartition(*order).sortWithinPartitions(*order)
-    out = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("b", pa.int64())])
+    units = units.join(reps, "cls").select(*order, "own", "cls", "n", "label", "v", "keys").repartition(*order).sortWithinPartitions(*order)
+    out = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("b", pa.int64())])
 
-    def compare(cols: list[np.ndarray], new: np.ndarray, lists: pa.Array):
-        """Degrees (``rep, n``) and a spanning set of links (``rep, b``) of whole units."""
+    def compare(cols: list[np.ndarray], new: np.ndarray, lists: pa.Array, key_lists: pa.Array):
+        """Degrees (``cls, n``) and a spanning set of links (``cls, b``) of whole units."""
         t, _, ua, ub, own, rep, n, label = cols
-        group = np.cumsum(new)
+        group, keys = np.cumsum(new), np.asarray(key_lists.flatten()).reshape(-1, TABLES)
         for rows_, unit in normal(pa.RecordBatch.from_arrays([lists], names=["v"]), 0):
-            i, j = _links(group[rows_], (ua != ub)[rows_], own[rows_], t[rows_], label[rows_], table_keys(unit, label[rows_]), unit, least)
+            i, j = _links(group[rows_], (ua != ub)[rows_], own[rows_], t[rows_], label[rows_], keys[rows_], unit, least)
             if not len(i):
                 continue
             names, at = np.unique(rep[rows_], return_inverse=True)
@@ -140,17 +144,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = 512) -
             cut = int(np.flatnonzero(new)[-1])
             held = t.slice(cut)
             if cut:
-                yield from compare([c[:cut] for c in cols], new[:cut], t.slice(0, cut).column(8).combine_chunks())
+                yield from compare([c[:cut] for c in cols], new[:cut], *(t.slice(0, cut).column(k).combine_chunks() for k in (8, 9)))
         if held is not None and held.num_rows:
             held = held.combine_chunks()
             cols = [np.asarray(held.column(k).combine_chunks()).astype(np.int64) for k in range(8)]
-            yield from compare(cols, np.append(True, np.zeros(held.num_rows - 1, bool)), held.column(8).combine_chunks())
-
-    found = staged(units.mapInArrow(run, "rep long, n long, b long"), "vector-links")
-    degree = found.where("b is null").groupBy("rep").agg(F.sum("n").alias("more"))
-    joined = components(found.where("b is not null").select(F.col("rep").alias("a"), "b"))
-    known = reps.join(degree, "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("label", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+            yield from compare(cols, np.append(True, np.zeros(held.num_rows - 1, bool)), *(held.column(k).combine_chunks() for k in (8, 9)))
+
+    found = staged(units.mapInArrow(run, "cls long, n long, b long"), "vector-links")
+    degree = found.where("b is null").groupBy("cls").agg(F.sum("n").alias("more"))
+    joined = components(found.where("b is not null").select(F.col("cls").alias("a"), "b"))
+    known = reps.drop("keys").join(degree, "cls", "left").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least_ids = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = known.join(least_ids, "component").select("label", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.where("fine").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

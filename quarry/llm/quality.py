@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import stratified, texts_of
-from .shared import crc_mod, small_batches, widened
+from .shared import crc_mod, kept_in_worker, small_batches, widened
 
 #: Labelled documents of each class, dimensions, neighbours and the power of similarity in a vote.
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 1500, 32, 15, 8
@@ -114,6 +114,7 @@ def predict(docs: DataFrame, space: Space | None) -> DataFrame:
     schema = widened(docs, score="double", predicted="int")
 
     def run(batches):
+        kept_in_worker("quality")
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             score = np.full(len(texts), 0.5)

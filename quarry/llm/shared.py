@@ -119,6 +119,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. That of another operator is dropped
+    first: workers live as long as the session, and tables of words and models would add up."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def widened(df: DataFrame, **added: str) -> StructType:
     """The schema of ``df`` with columns added, by name and type."""
     return StructType([*df.schema.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in added.items())])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components, forest, in_units
-from .shared import small_batches, staged, widened
+from .shared import kept_in_worker, small_batches, staged, widened
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Cuts of a fingerprint's bits to segments.
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, key: str, width: int = 4) -> DataFrame:
     docs = docs.select(*[F.col(c).cast("long") if c == key else F.col(c) for c in others], F.col("text").cast("string"))
 
     def run(batches):
+        kept_in_worker("simhash")
         for b in batches:
             got = np.array([fingerprint(t, width) for t in b.column(len(others)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(got)], names=[*others, "fp"])
@@ -147,7 +148,9 @@ def linked(fps: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
     """``a, b``: a spanning set of the links between distinct ``fp`` that differ in ``most`` (up to 4) bits."""
 
     def spread(batches):
-        golay = Golay()
+        held = kept_in_worker("simhash")
+        golay = held.get("golay") or Golay()
+        held["golay"] = golay
         for b in batches:
             held = np.asarray(b.column(0)).astype(np.int64)
             row, key = keys(held.view(np.uint64), golay)
@@ -170,6 +173,7 @@ def linked(fps: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
 
     def run(batches):
         """Rows come sorted by unit; a unit that a batch may have cut waits for the next one."""
+        kept_in_worker("simhash")
         held = None
         for b in batches:
             cols = [np.asarray(c).astype(np.int64) for c in b.columns]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, drop, parts, small_batches, staged, widened
+from .shared import bucketed, drop, kept_in_worker, parts, small_batches, staged, widened
 
 #: Bytes of the string whose hash makes an anchor.
 GRAM = 64
@@ -210,6 +210,7 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
     def find(batches):
         from xxhash import xxh3_64_intdigest
 
+        kept_in_worker("suffix")
         up, down = _powers(1 << 16)
         for b in batches:
             cols: list[list] = [[] for _ in _RUN]

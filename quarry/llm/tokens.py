@@ -16,8 +16,10 @@ import os
 
 import numpy as np
 
+from .shared import kept_in_worker
+
 #: Distinct pieces that one worker remembers, and the longest; others are encoded each time.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Atoms that one call of the library encodes together.
 _TOGETHER = 100
 #: Letters under this code point were letters in every edition of Unicode that a library may carry.
@@ -133,12 +135,13 @@ class WordEncoder:
         fresh = pieces.difference(held)
         if not fresh:
             return held
+        most = self.remembered if held is self.known else self.remembered // 5  # openings are few
         new = self._resolve(fresh, spaced)
-        if len(held) + len(new) <= self.remembered and max(map(len, new)) <= LONGEST:
+        if len(held) + len(new) <= most and max(map(len, new)) <= LONGEST:
             held.update(new)
             return held
         table = {p: held[p] for p in pieces if p not in new} | new
-        if len(held) < self.remembered:
+        if len(held) < most:
             held.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
         return table
 
@@ -161,12 +164,9 @@ class WordEncoder:
         return done
 
 
-_LOADED: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary and worker process."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    held = kept_in_worker(f"tokens {path}")
+    if not held:
+        held["encoder"] = WordEncoder(path)
+    return held["encoder"]

@@ -233,6 +233,15 @@ def test_vector_links(spark):
     assert got[908][1] == 907 and pstable.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    """Rows that share an id are vectors of their own: only what links counts."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.01, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, c, 0), (3, a, 1), (5, a, 0), (5, a, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in pstable.near_duplicates(df).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (5, 2, 1, False), (5, 2, 1, False)])
+
+
 def test_suffix_arrays():
     rng = random.Random(4)
     text = np.array([rng.choice([1, 2, 3]) for _ in range(300)], np.int32)

@@ -456,6 +456,27 @@ def vs6_hops(w):
 # --- index ---
 
 
+@query("SELECT id, name, line_start FROM symbols WHERE file_path = 'src/f7.go'")
+def fil9_symbols_of_file(w):
+    return graph.symbols_in(w.symbols, "src/f7.go").select("id", "name", "line_start")
+
+
+@query("SELECT id, target_id FROM edges WHERE source_id = 'go:pkg:function:P5'")
+def fil9_edges_from(w):
+    return graph.edges_of(w.edges, source="go:pkg:function:P5").select("id", "target_id")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT workflow_id) AS m FROM (SELECT f.id AS workflow_id FROM workflows f JOIN (SELECT *, rank() OVER (PARTITION BY workflow_id ORDER BY created_at DESC) rn FROM runs) r ON r.workflow_id = f.id AND r.rn = 1 WHERE r.session_id = 's-4' AND f.current_state = 'running')")
+def fil4_workflows_of_session(w):
+    rows = warehouse.workflow_list(w.workflows, w.runs, w.calls, "running", None, 1_000_000, 0, "s-4")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("workflow_id").alias("m"))
+
+
+@query("SELECT c_custkey, concat(CASE WHEN s // 60 > 0 THEN concat(s // 60, 'm ') ELSE '' END, s % 60, 's') AS took, format('${:.2f}', c_acctbal) AS money, format('{:.1f}%', c_custkey % 101 * 1.0) AS pct FROM (SELECT *, c_custkey * 7 AS s FROM customer)")
+def fn19_charts(w):
+    return w.customer.select("c_custkey", fn.chart_duration(F.col("c_custkey") * 7).alias("took"), fn.chart_money(F.col("c_acctbal")).alias("money"), fn.chart_percent((F.col("c_custkey") % 101) / 100).alias("pct"))
+
+
 @query("SELECT kind, value, count(*) AS n FROM (SELECT 'all' AS kind, '' AS value FROM chunks UNION ALL SELECT 'language', language FROM chunks UNION ALL SELECT 'chunk_type', chunk_type FROM chunks) GROUP BY 1, 2")
 def ag18_chunk_stats(w):
     return index.chunk_stats(w.chunks)

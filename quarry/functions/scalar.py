@@ -48,11 +48,9 @@ def chunk_id(path: Column, kind: Column, name: Column, line_start: Column) -> Co
 def truncate_bytes(text: Column, n: int, ellipsis: str = "") -> Column:
     """At most ``n`` bytes of UTF-8, then ``ellipsis`` if something was cut; a character cut in two goes."""
 
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else x.encode()[:n].decode("utf-8", "ignore") + ellipsis)
-
-    return F.when(F.octet_length(text) > n, cut(text)).otherwise(text)
+    heads = [F.substring(text.cast("binary"), 1, n - k).cast("string") for k in range(min(n, 3) + 1)]  # a character has four bytes at most
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads], F.lit(""))
+    return F.when(F.octet_length(text) > n, F.concat(cut, F.lit(ellipsis))).otherwise(text)
 
 
 def slug(title: Column, most: int = 50) -> Column:
@@ -194,9 +192,24 @@ def language_of(path: Column) -> Column:
     return out
 
 
+def clean_path(path: Column) -> Column:
+    """The shortest path of the same place: empty and ``.`` segments go, ``..`` takes the segment before it along; ``.`` if nothing is left."""
+
+    def add(held: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(held) > 0) & (F.coalesce(F.element_at(held, F.greatest(F.size(held), F.lit(1))), F.lit("")) != "..")
+        return F.when(part.isin("", "."), held).when(up, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.concat(held, F.array(part)))
+
+    rooted = path.startswith("/")
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
+    parts = F.when(rooted, F.filter(parts, lambda p: p != "..")).otherwise(parts)
+    joined = F.array_join(parts, "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
 def file_set(paths: Column) -> Column:
-    """Trimmed, cleaned, sorted paths in one text; empty for fewer than two."""
-    clean = F.array_sort(F.filter(F.transform(paths, lambda p: F.regexp_replace(F.trim(p), r"^(\./)+", "")), lambda p: p != ""))
+    """Trimmed, cleaned, sorted paths in one text; empty for fewer than two. A path named twice counts twice."""
+    named = F.filter(F.transform(paths, lambda p: F.trim(p)), lambda p: p != "")
+    clean = F.array_sort(F.transform(named, clean_path))
     return F.when(F.size(clean) < 2, F.lit("")).otherwise(F.array_join(clean, "|"))
 
 
@@ -211,6 +224,20 @@ def human_duration(seconds: Column) -> Column:
     return F.when(s.isNull(), F.lit("-")).when(s < 60, F.format_string("%ds", s)).when(m < 60, two(m, "m", s % 60, "s")).otherwise(two(h, "h", m % 60, "m"))
 
 
+def chart_duration(seconds: Column) -> Column:
+    """``3m 0s``, or ``42s`` under a minute; seconds are rounded half up, minutes are not."""
+    m, s = F.floor(seconds / 60), F.floor(seconds % 60 + 0.5)
+    return F.when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def chart_money(usd: Column) -> Column:
+    return F.format_string("$%.2f", usd)
+
+
+def chart_percent(part: Column) -> Column:
+    return F.format_string("%.1f%%", part * 100)
+
+
 def money(usd: Column) -> Column:
     return F.format_string("$%.4f", usd)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import criterion_key, file_set, result_kind, test_base
+from ..functions.scalar import clean_path, criterion_key, file_set, result_kind, test_base
 
 
 def flat_tasks(plans: DataFrame) -> DataFrame:
@@ -133,21 +133,14 @@ def plan_violations(requirements: DataFrame, tasks: DataFrame) -> DataFrame:
 def known_file_violations(files: DataFrame, listing: DataFrame) -> DataFrame:
     """``owner, path, rule, message`` of known files (``owner, path``): the first rule that one breaks.
 
-    ``listing``: ``path, is_dir`` of what is there, relative to the root. Paths are cleaned first: outer space,
-    empty and ``.`` segments go, ``..`` takes the segment before it along.
+    ``listing``: ``path, is_dir`` of what is there, relative to the root. Paths are trimmed and cleaned first.
     """
     raw = F.trim(F.coalesce("path", F.lit("")))
-
-    def add(held: Column, part: Column) -> Column:
-        up = (part == "..") & (F.size(held) > 0) & (F.coalesce(F.element_at(held, F.greatest(F.size(held), F.lit(1))), F.lit("")) != "..")
-        return F.when(part.isin("", "."), held).when(up, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.concat(held, F.array(part)))
-
-    parts = F.aggregate(F.split(raw, "/"), F.array().cast("array<string>"), add)
-    rows = files.withColumns({"clean": F.array_join(parts, "/"), "rooted": raw.startswith("/")})
+    rows = files.withColumns({"clean": clean_path(raw), "rooted": raw.startswith("/")})
     there = listing.groupBy(F.col("path").alias("clean")).agg(F.max("is_dir").alias("is_dir"))
     rows = rows.join(there, "clean", "left")
     rules = [
-        (~F.col("rooted") & (F.col("clean") == ""), "invalid path"),
+        (F.col("clean") == ".", "invalid path"),
         (F.col("rooted"), "the path must be relative"),
         (F.col("clean").startswith(".."), "the path escapes the root"),
         (F.col("is_dir").isNull(), "the path does not exist"),

@@ -109,10 +109,26 @@ def unique_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def qualified_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls (``module, name``): the first symbol of the name whose package starts with the module, at 0.7."""
-    rows = calls.join(symbols.select("name", "package", F.col("id").alias("target_id")), "name").where(F.col("package").startswith(F.col("module")))
-    first = Window.partitionBy("call_id").orderBy("target_id")
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").withColumn("confidence", F.lit(0.7))
+    """Calls (``call_id, module, name``): the first symbol of the name whose package starts with the module, at 0.7.
+
+    First by ``ord``, the order of extraction, where symbols have one; else by id.
+    """
+    order = F.col("ord") if "ord" in symbols.columns else F.col("id")
+    rows = calls.join(symbols.select("name", "package", F.struct(order.alias("ord"), F.col("id").alias("target_id")).alias("_hit")), "name").where(F.col("package").startswith(F.col("module")))
+    held = [c for c in calls.columns if c not in ("call_id", "name")]
+    out = rows.groupBy("call_id", "name").agg(*[F.first(c).alias(c) for c in held], F.min("_hit").alias("_hit"))
+    return out.withColumns({"target_id": F.col("_hit.target_id"), "confidence": F.lit(0.7)}).drop("_hit")
+
+
+def symbols_in(symbols: DataFrame, file_path: str) -> DataFrame:
+    return symbols.where(F.col("file_path") == file_path).orderBy("line_start", "id")
+
+
+def edges_of(edges: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    """Edges from a symbol, to one, or between two."""
+    for column, value in (("source_id", source), ("target_id", target)):
+        edges = edges.where(F.col(column) == value) if value else edges
+    return edges
 
 
 def enclosing(lines: DataFrame, symbols: DataFrame, innermost: bool = True, step: int = 64) -> DataFrame:

@@ -102,9 +102,11 @@ def purge_path(chunks: DataFrame, path: str) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Counts by language and by type, and in all, as ``kind, value, n``."""
+    """Counts by language and by type, and in all, as ``kind, value, n``; ``latest``: when a chunk was last indexed, if that is known."""
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("all", F.lit("")), ("language", F.col("language")), ("chunk_type", F.col("chunk_type")))])
-    return chunks.select(F.inline(cells)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    at = [F.col("indexed_at")] if "indexed_at" in chunks.columns else []
+    latest = [F.max("indexed_at").alias("latest")] if at else []
+    return chunks.select(*at, F.inline(cells)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), *latest)
 
 
 def top_files(chunks: DataFrame, n: int = 10) -> DataFrame:

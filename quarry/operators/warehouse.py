@@ -110,15 +110,15 @@ def call_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.col("pipeline_run_id").alias("id")).agg(F.sum("estimated_cost_usd").alias("call_cost"), F.count(F.lit(1)).alias("calls"))
 
 
-def workflow_list(workflows: DataFrame, runs: DataFrame, calls: DataFrame, status: str | None = None, project: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def workflow_list(workflows: DataFrame, runs: DataFrame, calls: DataFrame, status: str | None = None, project: str | None = None, limit: int = 50, offset: int = 0, session: str | None = None) -> DataFrame:
     """Workflows with their latest run and its call cost: running first, then in review (human or awaited), newest within each."""
     last = latest_per_workflow(runs).join(call_totals(calls), "id", "left")
-    last = last.select("workflow_id", F.col("id").alias("run_id"), "project", "verify_result", "human_result", F.coalesce("call_cost", F.lit(0.0)).alias("call_cost"))
+    last = last.select("workflow_id", F.col("id").alias("run_id"), "project", "session_id", "verify_result", "human_result", F.coalesce("call_cost", F.lit(0.0)).alias("call_cost"))
     rows = workflows.select(F.col("id").alias("workflow_id"), "current_state", "updated_at").join(last, "workflow_id", "left")
     if status:
         rows = rows.where(F.col("current_state") == status)
-    if project:
-        rows = rows.where(F.col("project") == project)
+    for column, value in (("project", project), ("session_id", session)):
+        rows = rows.where(F.col(column) == value) if value else rows
     first = F.when(F.col("current_state") == "running", 0).when(F.col("current_state").isin("human_review", "awaiting_review"), 1).otherwise(2)
     return rows.orderBy(first, F.desc("updated_at"), "workflow_id", "run_id").offset(offset).limit(limit)
 

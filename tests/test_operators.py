@@ -98,6 +98,14 @@ def test_text_time_and_ranges(spark):
         (lambda: analytics.event_status(F.col("a")), {"a": "build_completed"}, "pending"),
         (lambda: fn.file_set(F.col("a")), {"a": [" b ", "./a"]}, "a|b"),
         (lambda: fn.file_set(F.col("a")), {"a": ["a"]}, ""),
+        (lambda: fn.file_set(F.col("a")), {"a": ["x/../b//c", " a/./b/ ", " "]}, "a/b|b/c"),
+        (lambda: fn.clean_path(F.col("a")), {"a": "/../a/b/.."}, "/a"),
+        (lambda: fn.clean_path(F.col("a")), {"a": "x/.."}, "."),
+        (lambda: fn.clean_path(F.col("a")), {"a": "../../a/../b"}, "../../b"),
+        (lambda: fn.chart_duration(F.lit(119.6)), {}, "1m 60s"),
+        (lambda: fn.chart_percent(F.lit(0.456)), {}, "45.6%"),
+        (lambda: fn.truncate_bytes(F.col("a"), 5, "..."), {"a": "é😀x"}, "é..."),
+        (lambda: fn.truncate_bytes(F.col("a"), 6, "..."), {"a": "é😀x"}, "é😀..."),
         (lambda: fn.human_duration(F.lit(125)), {}, "2m 5s"),
         (lambda: fn.merge_json(F.col("a"), F.lit("w"), F.lit(None).cast("string"), F.lit("s")), {"a": '{"session_id":"own"}'}, '{"session_id":"own","workflow_id":"w"}'),
         (lambda: fn.tool_summary(F.col("a")), {"a": '{"query":"q","file_path":"p"}'}, "p"),

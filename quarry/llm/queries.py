@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, merkle, packing, pstable, quality, repair, simhash, suffix, toxicity
-from .shared import documents, shared_dir, staged
+from .shared import documents, remove, shared_dir, staged
 
 
 def vocabulary(name: str) -> str:
@@ -25,7 +25,9 @@ def op1_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     repair.write(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=1)
-    return repair.starts(staged(repair.read(spark, path), "decoded")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read_back = staged(repair.read(spark, path), "decoded")
+    remove(spark, path)
+    return repair.starts(read_back).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = LE
         inner[ends[(ends > 0) & (ends < n)] - 1] = False
         slot = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
         # the most frequent pair stands for a slot, the lesser code of equals; only slots with enough hits are counted
-        busy = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << bits) >= least)[slot])
+        busy = np.flatnonzero(inner & (np.bincount(slot, minlength=1 << bits) >= least)[slot])
         found, times = np.unique(codes[busy], return_counts=True)
         found, times = found[times >= least], times[times >= least]
         if not len(found):
@@ -77,8 +77,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = LE
         seq[at] = base + new
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        before = np.concatenate([[0], np.cumsum(keep)])
-        seq, ends = seq[keep], before[ends]
+        seq, ends = seq[keep], ends - np.searchsorted(at + 1, ends)
     return seq, ends, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
@@ -105,6 +104,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     return seq
 
 
+def expand_whole(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """``expand`` of a whole sequence: rules are expanded once (``lengths``), then laid out in one go.
+
+    Rules of a round don't overlap in the ids, so all expansions together are no longer than a few shards.
+    """
+    flat = np.concatenate([np.arange(first_rule, dtype=np.uint32), expand(first_rule + np.arange(len(rules)), rules, first_rule)])
+    where = np.concatenate([np.arange(first_rule), first_rule + np.cumsum(lengths) - lengths])[seq]
+    n = np.concatenate([np.ones(first_rule, np.int64), lengths])[seq]
+    begins = np.cumsum(n) - n
+    return flat[np.repeat(where - begins, n) + np.arange(int(n.sum()))]
+
+
 def document(shard: dict, k: int) -> np.ndarray:
     """Random access: the ids of the ``k``-th document of a file row, decoding nothing else."""
     begins = np.frombuffer(shard["begins"], "<i8")
@@ -178,7 +189,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for s in b.to_pylist():
                 begins, n = np.frombuffer(s["begins"], "<i8"), np.frombuffer(s["n_ids"], "<i8")
-                ids = expand(np.frombuffer(s["sequence"], f"<u{s['width']}"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), s["first_rule"])
+                ids = expand_whole(np.frombuffer(s["sequence"], f"<u{s['width']}"), np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["rule_lengths"], "<i8"), s["first_rule"])
                 assert len(begins) == len(n) + 1 and len(ids) == n.sum(), "the file is damaged"
                 raw, at = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(n)) * 4
                 docs_ = [None] * s["n_null"] + np.frombuffer(s["doc_ids"], "<i8").tolist()
@@ -189,7 +200,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "shard", "k", "doc_id", "n_tokens", "at", "ids_crc32"],
                 )
 
-    files = spark.read.schema(FILE).parquet(path).select("part", "shard", "n_null", "doc_ids", "n_ids", "begins", "rules", "first_rule", "width", "sequence")
+    files = spark.read.schema(FILE).parquet(path).select("part", "shard", "n_null", "doc_ids", "n_ids", "begins", "rules", "rule_lengths", "first_rule", "width", "sequence")
     return files.mapInArrow(run, "part int, shard int, k int, doc_id long, n_tokens long, at long, ids_crc32 long")
 
 

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def _remove(spark: SparkSession, path: str, table: str | None = None) -> None:
+def remove(spark: SparkSession, path: str, table: str | None = None) -> None:
     try:
         if table:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -69,7 +69,7 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with setting(spark, _CLEANUP, "true"):
         df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_files = (path, None)
     _MADE.append(out)
@@ -87,7 +87,7 @@ def bucketed(df: DataFrame, name: str, n: int, key: str, moved: bool = True) ->
     path = f"{shared_dir(spark)}/{table}"
     with setting(spark, _CLEANUP, "true"):
         (df.repartition(n, key) if moved else df).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    atexit.register(_remove, spark, path, table)
+    atexit.register(remove, spark, path, table)
     out = spark.table(table)
     out._own_files = (path, table)
     _MADE.append(out)
@@ -106,7 +106,7 @@ def passing() -> Iterator[None]:
 def drop(*frames: DataFrame) -> None:
     """Remove the files of ``staged`` or ``bucketed`` tables that nothing will read again."""
     for df in frames:
-        _remove(df.sparkSession, *df._own_files)
+        remove(df.sparkSession, *df._own_files)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -65,6 +65,10 @@ def test_repair_round_trip_and_random_access():
     row["rule_lengths"] = lengths.astype("<i8").tobytes()
     for start, stop in [(0, 1), (7, 7), (990, 1010), (0, 30_000), (29_999, 30_000)]:
         assert (repair.tokens(row, start, stop) == ids[start:stop]).all()
+    assert (repair.expand_whole(seq, rules, lengths, 1000) == ids).all()
+    one = np.full(5000, 7, np.uint32)  # nothing but one id
+    seq, _, rules = repair.compress(one, np.array([5000]), 10)
+    assert (repair.expand_whole(seq, rules, repair.expansion_lengths(rules, 10), 10) == one).all() and len(seq) < 500
     assert all(lengths[k] == len(repair.expand(np.array([1000 + k]), rules, 1000)) for k in range(0, len(rules), 7))
 
 

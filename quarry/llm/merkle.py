@@ -10,8 +10,8 @@ likeness weighs paragraphs by length.
 
 Defined results: null text counts as empty (one section without a paragraph);
 the likeness of two empty texts is 1; of equal texts 1; rows with a null ``doc_id``
-come last in descending order; rows with equal ``doc_id`` follow each other by
-text; a single row is its own next; an empty table gives no rows; very long texts
+come last in descending order; rows with equal ``doc_id`` follow each other in the
+order of the input; a single row is its own next; an empty table gives no rows; very long texts
 are hashed whole; other columns, whatever their names, are never read.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parts
+from .shared import bucketed, parts, staged
 
 #: A paragraph: up to six words and the marks that end a sentence; or marks and spaces alone. Sections end at line breaks.
 _PARAGRAPH = r"(?:[^ .!?]+ ?){1,6}[.!?]*|[.!? ]+"
@@ -80,32 +80,24 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, rows_a_part: int = 2000) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next row by descending ``doc_id``; the last one's is the first.
 
-    Rows go to ranges of ``doc_id`` and follow each other within them; a range also
-    gets the first row of the range that comes next, so that no task sees all rows.
+    Rows go to ranges and are written there once. Within a range they follow each other; the last row of a range
+    gets the first one of the range that comes next. Rows of one id are dealt by their place in the input, so that
+    no id fills a task.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     n = parts(docs.count(), rows_a_part)
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-    rank = _rank(cuts, 0, len(cuts))  # nulls stand below every id
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(rank))
-    firsts = {r["part"]: r["first"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}  # one of each range
-    order = sorted(firsts, reverse=True)
-    if not order:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    before = {after: part for part, after in zip(order, [*order[1:], order[0]])}
-    asked = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])])
-    heads = docs.where(F.when(F.col("part") == -1, F.lit(True)).otherwise(F.col("doc_id").isin([v for v in firsts.values() if v is not None])))
-    heads = heads.groupBy("part").agg(F.min("text").alias("text")).select(asked[F.col("part")].alias("part"), F.lit(True).alias("head"), "text")
-    rows = docs.withColumn("head", F.lit(False)).unionByName(heads.withColumn("doc_id", F.lit(None).cast("long")))
-    near = Window.partitionBy("part").orderBy("head", F.desc_nulls_last("doc_id"), "text")
-    return rows.withColumn("next_text", F.lead("text").over(near)).where(~F.col("head")).select("doc_id", "text", "next_text")
-
-
-def _rank(cuts: list[int], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("doc_id") <= cuts[mid], _rank(cuts, lo, mid)).otherwise(_rank(cuts, mid + 1, hi))
+    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "at").withColumn("part", F.spark_partition_id())
+    held = bucketed(dealt, "ranges", min(n, 20_000), "part", moved=False)
+    place = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "at")  # ascending: by descending id, nulls last
+    ends = held.groupBy("part").agg(F.min_by("text", place).alias("head"), F.max_by(F.struct("doc_id", "text", "at"), place).alias("tail"))
+    ends = staged(ends, "ends")  # two rows of each range
+    order = Window.orderBy("part")  # of a number for each range
+    after = ends.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
+    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("next_text"))
+    tails = ends.select("part", "tail").join(after, "part").join(heads, "after").select("tail.doc_id", "tail.text", "next_text")
+    near = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "at")
+    inner = held.withColumn("next_text", F.lead("text").over(near)).where("next_text is not null").select("doc_id", "text", "next_text")
+    return inner.unionByName(tails)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

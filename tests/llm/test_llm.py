@@ -328,9 +328,14 @@ def test_merkle(spark):
 
 def test_merkle_next_over_parts(spark):
     rows = [(k, f"t{k}") for k in range(0, 97, 3)]
-    got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(docs(spark, rows), rows_a_part=4).collect()}
-    ids = sorted((d for d, _ in rows), reverse=True)
-    assert got == {d: f"t{ids[(k + 1) % len(ids)]}" for k, d in enumerate(ids)}
+    for each in (4, 1, 100):
+        got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(docs(spark, rows), rows_a_part=each).collect()}
+        ids = sorted((d for d, _ in rows), reverse=True)
+        assert got == {d: f"t{ids[(k + 1) % len(ids)]}" for k, d in enumerate(ids)}
+    rows = [(None, f"n{k}") for k in range(20)] + [(7, f"s{k}") for k in range(20)] + [(-(2**63), "low"), (2**63 - 1, "high")]  # hot ids spread over ranges
+    got = [tuple(r) for r in merkle.with_next(in_order(spark, [(d, t, 0.0, "", "", 0, "") for d, t in rows]), rows_a_part=3).collect()]
+    order = ["high", *(f"s{k}" for k in range(20)), "low", *(f"n{k}" for k in range(20))]
+    assert {t: nx for _, t, nx in got} == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
 
 def test_bpe(spark):

@@ -185,7 +185,7 @@ def prj7_phase_status(w):
 
 # --- aggregates ---
 
-_STATS = ", ".join([f"sum(CASE WHEN verify_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS verify_{r.lower()}" for r in ("PASS", "WARN", "FAIL")] + [f"sum(CASE WHEN human_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS human_{r}" for r in ("approved", "rejected")] + [f"round(avg(epoch({p}_completed_at::TIMESTAMP) - epoch({p}_started_at::TIMESTAMP)), 4) AS avg_{p}_s" for p in ("scope", "build", "verify")] + [f"sum({p}_tokens_{d})::BIGINT AS {p}_tokens_{d}" for p in ("scope", "build", "verify") for d in ("in", "out")])
+_STATS = ", ".join([f"sum(CASE WHEN verify_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS verify_{r.lower()}" for r in ("PASS", "WARN", "FAIL")] + [f"sum(CASE WHEN human_result = '{r}' THEN 1 ELSE 0 END)::BIGINT AS human_{r}" for r in ("approved", "rejected")] + ["sum(CASE WHEN human_result IS NULL THEN 1 ELSE 0 END)::BIGINT AS human_pending"] + [f"round(avg(epoch({p}_completed_at::TIMESTAMP) - epoch({p}_started_at::TIMESTAMP)), 4) AS avg_{p}_s" for p in ("scope", "build", "verify")] + [f"sum({p}_tokens_{d})::BIGINT AS {p}_tokens_{d}" for p in ("scope", "build", "verify") for d in ("in", "out")])
 
 
 @query(f"SELECT count(*) AS total_runs, {_STATS}, round(sum(build_cost_usd), 4) AS build_cost_usd FROM runs")

@@ -179,7 +179,7 @@ def pipeline_stats(runs: DataFrame) -> DataFrame:
     """Global counts, mean phase durations and sums; sums over no rows stay null."""
     outs = [F.count(F.lit(1)).alias("total_runs")]
     outs += [_sum_if(F.col("verify_result") == r).alias(f"verify_{r.lower()}") for r in ("PASS", "WARN", "FAIL")]
-    outs += [_sum_if(F.col("human_result") == r).alias(f"human_{r}") for r in ("approved", "rejected")]
+    outs += [_sum_if(F.col("human_result") == r).alias(f"human_{r}") for r in ("approved", "rejected")] + [_sum_if(F.col("human_result").isNull()).alias("human_pending")]
     outs += [F.avg(seconds_between(F.col(f"{p}_started_at"), F.col(f"{p}_completed_at"))).alias(f"avg_{p}_s") for p in ("scope", "build", "verify")]
     outs += [F.sum(f"{p}_tokens_{d}").alias(f"{p}_tokens_{d}") for p in ("scope", "build", "verify") for d in ("in", "out")]
     return runs.agg(*outs, F.sum("build_cost_usd").alias("build_cost_usd"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as fn
-from quarry.operators import analytics, documents, graph, index, retrieval, validation, warehouse
+from quarry.operators import analytics, documents, graph, index, render, retrieval, validation, warehouse
 from quarry.schemas import SCHEMAS, assert_schema, normalize_plan_runs
 from quarry.sources import io
 from quarry.streaming import events
@@ -380,3 +380,21 @@ def test_index_state_and_artifacts(spark, tmp_path):
     with pytest.raises(ValueError):
         io.register_artifact(spark, root, {"path": "x"}, "2026-01-01 00:00:00")
     assert io.responses(spark.createDataFrame([(1, None)], "a int, b string")).first()["response"] == '{"a":1}'
+
+
+def test_reports_as_text(spark):
+    rows = [(1, "E1", "First", 1, "T1", "one", "complete"), (1, "E1", "First", 2, "T2", "two", "awaiting-review"), (2, "E2", "Second", 1, "T3", "three", "blocked")]
+    df = spark.createDataFrame(rows, "epic_ord int, epic_id string, epic_title string, task_ord int, task_id string, title string, status string")
+    assert render.plan_status("p.yaml", df) == "Plan: p.yaml\nSummary: complete 1  failed 0  in-progress 0  awaiting-review 1  blocked 1  not-started 0\n\nE1 First\n  [complete] T1 one\n  [awaiting-review] T2 two\n\nE2 Second\n  [blocked] T3 three\n\n"
+    assert render.plan_status("p", df.limit(0)).endswith("not-started 0\n\n")
+    chunks = spark.createDataFrame([("a.go", "go", "function", datetime(2026, 1, 2, 3, 4, 5)), ("a.go", "go", "type", datetime(2026, 1, 1)), ("b.md", "markdown", "section", None)], "file_path string, language string, chunk_type string, indexed_at timestamp")
+    text = render.chunk_report(chunks)
+    assert "Total chunks: 3\n  Indexed at:   2026-01-02 03:04:05\n\nBy language:\n  go: 2\n  markdown: 1\n" in text and text.endswith("Top 10 files by chunk count:\n  a.go: 2\n  b.md: 1\n")
+    assert "Total chunks: 0" in render.chunk_report(chunks.drop("indexed_at").limit(0))
+    runs = spark.createDataFrame([], SCHEMAS["pipeline_runs"])
+    names = SCHEMAS["pipeline_runs"].names
+    given = {"id": "r", "workflow_id": "workflow-1", "verify_result": "PASS", "scope_tokens_in": 1234567, "created_at": "2026-01-01 00:00:00", "build_cost_usd": 1.5}
+    runs = spark.createDataFrame([tuple(given.get(n) for n in names)], SCHEMAS["pipeline_runs"])
+    text = render.pipeline_report(runs)
+    assert "PASS 1 (100%)  WARN 0 (0%)" in text and "pending 1" in text and "Scope:   1,234,567 in  /  0 out" in text and "Build cost: $1.50" in text
+    assert text.endswith("workflow    -               PASS    -           -         pending     1,234,567\n")

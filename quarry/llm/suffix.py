@@ -242,11 +242,13 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
         whole = whole.withColumn("first", F.when(is_first, F.col("head") + 1).otherwise(F.col("first"))).where("first <= last")
     whole = whole.select("rid", "first", "last")
 
-    open_ = content.where("kinds > 1")
+    open_, sides = content.where("kinds > 1"), []
     for side in ("left", "right"):  # contents that agree with another one of their anchor on a side
         of = F.col(f"at.{side}")
-        twins = open_.where(of != 0).groupBy("anchor", of.alias("side")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = open_.withColumn("side", of).join(twins.select("anchor", "side", F.lit(True).alias(f"twin_{side}")), ["anchor", "side"], "left").drop("side")
+        twins = content.where("kinds > 1").where(of != 0).groupBy("anchor", of.alias("side")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        twins = staged(twins.select("anchor", "side", F.lit(True).alias(f"twin_{side}")), "twins")  # written, so that a join may split a hot side
+        sides.append(twins)
+        open_ = open_.withColumn("side", of).join(twins, ["anchor", "side"], "left").drop("side")
     asked_from = staged(open_.where("twin_left or twin_right"), "open")
     open_ = asked_from.withColumn("deal", F.ceil(F.col("size") / deal_bytes).cast("int"))
     total = open_.agg(F.sum(F.col("at.last") - F.col("at.first") + width)).first()[0] or 0
@@ -322,7 +324,7 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
     met = apart.repartition(far, "digest").mapInArrow(meet, judged.schema)
     found = whole.unionByName(judged.where("digest is null").select("rid", "first", "last")).unionByName(met.select("rid", "first", "last"))
     found = staged(found, "repeats")
-    drop(seen, content, asked_from, judged)
+    drop(seen, content, *sides, asked_from, judged)
     return found
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, pstable, quality, repair, simhash, suffix, toxicity
+from . import bpe, firstfit, langid, merkle, negatives, packing, pstable, quality, repair, simhash, suffix, toxicity, whitening
 from .shared import documents, remove, shared_dir, staged
 
 
@@ -64,13 +64,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond the range of a long is null here; the operator gives it whole."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_firstfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = firstfit.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks all others; every seventh bears another label than its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only vector links can be said in SQL: tokenizers, XXH64, compression and trained scores can't."""
-    return {"op1_pstable": OP1_SQL}
+    """Vector links and hard negatives can be said in SQL: tokenizers, XXH64, compression, eigenvectors and trained scores can't."""
+    return {"op1_pstable": OP1_SQL, "op13_negatives": OP13_SQL}
 
 
 OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0),
@@ -78,3 +95,11 @@ OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x
  r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.vec_id WHERE r.c < e.b),
  m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
  SELECT m.vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id) AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m"""
+
+OP13_SQL = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank, other AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+ QUALIFY rank <= 5"""

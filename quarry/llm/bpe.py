@@ -17,7 +17,9 @@ Defined results: null text counts as empty (no ids, digests of the empty string)
 rows repeat as given, with null ``doc_id`` too; special tokens' names in a text are
 ordinary text; very long texts and words are encoded whole; of equally ranked pairs
 the leftmost merges first; an empty table gives no rows; other columns, whatever
-their names, are never read.
+their names, are never read. A vocabulary of more than 65,536 ids is an error, and so are
+some 12,000,000 distinct words beyond the vocabulary within the texts of one Arrow batch
+(1,000 texts, or one that is very long).
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .shared import bucketed, parts, small_batches, staged
 
-#: Characters of text that share one list of distinct words.
-BLOCK = 40_000_000
+#: Characters of text, and distinct words that are no tokens, that share one list of words.
+BLOCK, WORDS = 40_000_000, 1 << 22
+#: Ids of a vocabulary, which ranks and references leave room for, and references of a block.
+IDS, REFS = 1 << 16, 1 << 24
 #: Blocks whose words share one fold, and the longest word (bytes) that is folded.
 BLOCKS, LONG = 1000, 200
 #: Letters under this code point were letters in every edition of Unicode.
@@ -72,8 +76,10 @@ class PairMap:
     def __init__(self, ranks: dict[bytes, int]):
         pairs = mergeable(ranks)
         n = max(ranks.values()) + 1
+        if n > IDS:
+            raise ValueError(f"{n} ids; {IDS} at most")
         size = 8 * sum(map(len, pairs.values())) + 2 * n + 4096
-        self.entries, taken = np.zeros(size, np.int64), np.zeros(size, bool)
+        self.entries, taken = np.full(size, -1), np.zeros(size, bool)  # -1: free, and the pair of no id
         self.offsets = np.full(n, size, np.int64)  # beyond the end: no pair
         at = 0  # longer rows have filled what lies before
         rows = sorted(((left, np.array(sorted(row))) for left, row in pairs.items()), key=lambda r: (-len(r[1]), r[0]))
@@ -229,7 +235,8 @@ def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block
 
         def words():
             raw = [w.encode("utf-8", "surrogatepass") for w in cutter.number]
-            assert cutter.first + len(raw) < 1 << 24, "a smaller block is needed"
+            if cutter.first + len(raw) > REFS:
+                raise ValueError(f"one text has {len(raw)} distinct words that are no tokens")
             short = sorted((k for k, w in enumerate(raw) if len(w) <= LONG), key=raw.__getitem__)  # like words side by side pack well
             for lo in range(0, len(short), 20_000):
                 own = short[lo : lo + 20_000]
@@ -248,7 +255,7 @@ def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block
             texts = b.column(1).to_pylist()
             yield batch(len(texts), doc_id=b.column(0), refs=pa.array(list(map(_planes, cutter.cut(texts))), pa.binary()))
             size += sum(len(t) for t in texts if t)
-            if size >= block:
+            if size >= block or len(cutter.number) >= WORDS:
                 yield from words()
                 cutter.clear()
                 at, size = at + 1, 0

@@ -13,14 +13,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _LOCAL: list[str] = []
-#: Tables of this driver, in the order of their writing.
-_MADE: list[DataFrame] = []
+#: Tables written in the current ``passing`` block, in their order; each thread has blocks of its own.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
 #: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,8 +72,13 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._own_files = (path, None)
-    _MADE.append(out)
+    return _noted(out, path, None)
+
+
+def _noted(out: DataFrame, path: str, table: str | None) -> DataFrame:
+    out._own_files = (path, table)
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -89,18 +95,21 @@ def bucketed(df: DataFrame, name: str, n: int, key: str, moved: bool = True) ->
         (df.repartition(n, key) if moved else df).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
     atexit.register(remove, spark, path, table)
     out = spark.table(table)
-    out._own_files = (path, table)
-    _MADE.append(out)
-    return out
+    return _noted(out, path, table)
 
 
 @contextmanager
 def passing() -> Iterator[None]:
-    """Of the tables written inside, only the last one stays; all others are removed at the end."""
-    before = len(_MADE)
-    yield
-    drop(*_MADE[before:-1])
-    del _MADE[before:-1]
+    """Of the tables that this thread writes inside, only the last one stays; after an error none does."""
+    made: list[DataFrame] = []
+    token = _MADE.set(made)
+    last = None
+    try:
+        yield
+        last = made[-1] if made else None
+    finally:
+        _MADE.reset(token)
+        drop(*[df for df in made if df is not last])
 
 
 def drop(*frames: DataFrame) -> None:

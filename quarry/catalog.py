@@ -46,10 +46,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_functions, catalog_state  # noqa: F401  they register theirs
+
     return {name: lambda spark, sf_dir, f=f: settled(f(World(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -76,7 +79,7 @@ def fil15_prefix(w):
     return warehouse.by_prefix(w.runs, "RUN-1_5").select("id", "created_at")
 
 
-@query("SELECT id, file_path FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.%')")
+@query("SELECT id, file_path FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.ts')")
 def fil11_without_tests(w):
     return w.symbols.where(~graph._test_file(F.col("file_path"))).select("id", "file_path")
 
@@ -357,7 +360,7 @@ def jn15_unmet_dependencies(w):
 # --- graph ---
 
 _DOWN = """WITH RECURSIVE hop AS (SELECT source_id AS a, target_id AS b, confidence FROM edges WHERE confidence >= 0.7 AND edge_type <> 'IMPLEMENTS' AND target_id NOT IN (SELECT id FROM boundaries)),
- walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, concat(a, '>', b) AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
+ walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, b AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
  UNION ALL SELECT root_id, b, depth + 1, hop.confidence, concat(path, '>', b) FROM walk JOIN hop ON hop.a = walk.id WHERE depth < 3 AND NOT contains(path, b) AND b <> root_id),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, id ORDER BY depth, confidence DESC, path) rn FROM walk) WHERE rn = 1 AND id IN (SELECT id FROM symbols))
  SELECT root_id, id, depth::BIGINT AS depth, round(confidence, 4) AS confidence, path FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, confidence DESC, id) k FROM best) WHERE k <= 30"""
@@ -369,19 +372,19 @@ def _roots(w):
 
 @query(_DOWN)
 def gr4_blast_down(w):
-    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), False, graph.BlastOptions(min_confidence=0.7)).drop("name", "file_path")
+    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), False, graph.BlastOptions(min_confidence=0.7)).drop("name", "file_path", "edge_type")
 
 
 _UP = """WITH RECURSIVE hop AS (SELECT target_id AS a, source_id AS b, confidence FROM edges WHERE confidence >= 0.7 AND edge_type IN ('CALLS')),
- walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, concat(a, '>', b) AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
+ walk AS (SELECT a AS root_id, b AS id, 1 AS depth, confidence, b AS path FROM hop WHERE a IN ('go:pkg:function:P5', 'go:pkg:function:P77')
  UNION ALL SELECT root_id, b, depth + 1, hop.confidence, concat(path, '>', b) FROM walk JOIN hop ON hop.a = walk.id WHERE depth < 2 AND NOT contains(path, b) AND b <> root_id AND b NOT IN (SELECT id FROM boundaries)),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, id ORDER BY depth, confidence DESC, path) rn FROM walk) WHERE rn = 1 AND id IN (SELECT id FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.%')))
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, id ORDER BY depth, confidence DESC, path) rn FROM walk) WHERE rn = 1 AND id IN (SELECT id FROM symbols WHERE NOT (file_path ILIKE '%_test.go' OR file_path ILIKE '%test_%' OR file_path ILIKE '%.test.ts')))
  SELECT root_id, id, depth::BIGINT AS depth, round(confidence, 4) AS confidence, path FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, confidence DESC, id) k FROM best) WHERE k <= 50"""
 
 
 @query(_UP)
 def gr3_blast_up(w):
-    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), True, graph.BlastOptions(2, 50, 0.7, ("CALLS",), False)).drop("name", "file_path")
+    return graph.blast(w.symbols, w.edges, w.boundaries, _roots(w), True, graph.BlastOptions(2, 50, 0.7, ("CALLS",), False)).drop("name", "file_path", "edge_type")
 
 
 @query("SELECT DISTINCT e.source_id AS root_id, s.id, s.name, s.file_path FROM edges e JOIN symbols s ON s.id = e.target_id WHERE e.edge_type = 'IMPLEMENTS' AND e.source_id IN ('go:pkg:function:P5', 'go:pkg:function:P77')")
@@ -404,11 +407,15 @@ def set4_edge_dedup(w):
     return graph.cross_file_edges(w.edges).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id AS id, concat('P', doc_id % 900) AS name FROM documents) c JOIN (SELECT name, min(id) AS target_id FROM symbols GROUP BY name HAVING count(*) = 1) s USING (name)")
+_NAMED = "CASE WHEN id LIKE '%7' THEN id ELSE name END"
+
+
+@query(f"SELECT doc_id AS call_id, target_id, 0.85 AS confidence FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN concat('go:pkg:function:P', doc_id) ELSE concat('P', doc_id % 900) END AS name FROM documents) c JOIN (SELECT {_NAMED} AS name, min(id) AS target_id FROM symbols GROUP BY 1 HAVING count(*) = 1) s USING (name)")
 def jn21_all_names(w):
-    """Unique among all symbols; where every name has several, no rows are right."""
-    calls = w.documents.select(F.col("doc_id").alias("call_id"), F.concat(F.lit("P"), F.col("doc_id") % 900).alias("name"))
-    return graph.unique_names(calls, w.symbols).select("call_id", "target_id", "confidence")
+    """Unique among all symbols: here those whose id ends in 7 bear a name of their own."""
+    k = F.col("doc_id")
+    calls = w.documents.select(k.alias("call_id"), F.when(k % 10 == 7, F.concat(F.lit("go:pkg:function:P"), k)).otherwise(F.concat(F.lit("P"), k % 900)).alias("name"))
+    return graph.unique_names(calls, w.symbols.withColumn("name", F.expr(_NAMED))).select("call_id", "target_id", "confidence")
 
 
 @query("SELECT call_id, min(s.id) AS target_id FROM (SELECT doc_id AS call_id, concat('P', doc_id % 900) AS name, concat('pkg', doc_id % 3) AS module FROM documents) c JOIN symbols s ON s.name = c.name AND starts_with(s.package, c.module) GROUP BY call_id")
@@ -446,11 +453,20 @@ def vs4_all_queries(w):
     return retrieval.merged(retrieval.joined_top_k(w.embeddings, _asked(w), 10, "vec_id"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM chunks ORDER BY id LIMIT 18), r AS (SELECT d.rank, c.id AS from_id, c.next_name AS name FROM d JOIN chunks c USING (id)),
+_RANKED = f"{_ALL_HITS}, m AS (SELECT concat('c', id) AS id, row_number() OVER (ORDER BY count(*) DESC, max(1 - d) DESC, concat('c', id)) AS rank FROM h WHERE rank <= 10 GROUP BY h.id), d AS (SELECT * FROM m WHERE rank <= 18)"
+
+
+def _hits(w):
+    """Hits of every hundredth vector; vector n is that of chunk cn."""
+    hits = retrieval.joined_top_k(w.embeddings, _asked(w), 10, "vec_id")
+    return hits.withColumn("id", F.concat(F.lit("c"), F.col("id").cast("string")))
+
+
+@query(_RANKED + """, r AS (SELECT d.rank, c.next_name AS name FROM d JOIN chunks c USING (id)),
  s AS (SELECT c.id, min(r.rank) AS seen FROM r JOIN chunks c ON c.name = r.name WHERE c.id NOT IN (SELECT id FROM d) GROUP BY c.id) SELECT id, hop_rank FROM (SELECT id, row_number() OVER (ORDER BY seen, id) AS hop_rank FROM s) WHERE hop_rank <= 30 - (SELECT count(*) FROM d)""")
 def vs6_hops(w):
-    direct = w.chunks.select("id").orderBy("id").limit(18).withColumn("rank", F.row_number().over(Window.orderBy("id")))
-    return retrieval.hops(direct, w.refs.select("id", "name", "calls", "called_by"))
+    """The best merged hits of all searches are the direct ones."""
+    return retrieval.hops(retrieval.budgeted(retrieval.merged(_hits(w))), w.refs.select("id", "name", "calls", "called_by"))
 
 
 # --- index ---
@@ -554,8 +570,8 @@ _PLAN = """WITH RECURSIVE t AS (SELECT concat('t', p_partkey) AS task_id, p_part
  s AS (SELECT *, CASE WHEN len(files) < 2 THEN '' ELSE array_to_string(list_sort(files), '|') END AS fs FROM t)"""
 
 
-@query(_PLAN + """ SELECT task_id, 3 AS rule FROM s WHERE title IN (SELECT title FROM s GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT task_id, 4 FROM s WHERE len(files) > 8 UNION ALL SELECT task_id, 5 FROM s WHERE criteria > 12
- UNION ALL SELECT s.task_id, 6 FROM s LEFT JOIN s d ON d.task_id = s.dep WHERE d.ord IS NULL OR d.ord >= s.ord UNION ALL SELECT task_id, 7 FROM s WHERE fs <> '' AND fs IN (SELECT fs FROM s GROUP BY 1 HAVING count(*) > 1)
+@query(_PLAN + """ SELECT task_id, 3 AS rule FROM s WHERE ord > (SELECT min(f.ord) FROM s f WHERE f.title = s.title) UNION ALL SELECT task_id, 4 FROM s WHERE len(files) > 8 UNION ALL SELECT task_id, 5 FROM s WHERE criteria > 12
+ UNION ALL SELECT s.task_id, 6 FROM s LEFT JOIN s d ON d.task_id = s.dep WHERE d.ord IS NULL OR d.ord >= s.ord UNION ALL SELECT task_id, 7 FROM s WHERE fs <> '' AND ord > (SELECT min(f.ord) FROM s f WHERE f.fs = s.fs)
  UNION ALL SELECT concat('r', i), 8 FROM range(50) r(i) WHERE concat('r', i) NOT IN (SELECT req FROM s)""")
 def val4_plan_violations(w):
     k = F.col("p_partkey")

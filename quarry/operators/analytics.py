@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day, seconds_between, share
+from .scans import trailing
 from .warehouse import call_totals, optional
 
 PHASES = ("scope", "build", "verify")
@@ -90,8 +91,8 @@ def verify_distribution(runs: DataFrame) -> DataFrame:
 
 def rolling_agreement(trends: DataFrame, series: list[str] | None = None, n: int = 10) -> DataFrame:
     """Per cent of agreement over the last ``n`` judged runs of each ``series`` (of all, if none is named)."""
-    over = Window.partitionBy(*(series or [])).orderBy("created_at", "id").rowsBetween(1 - n, 0)
-    return trends.where("human_agreed is not null").withColumn("rate", F.avg(F.col("human_agreed").cast("double")).over(over) * 100)
+    judged = trends.where("human_agreed is not null")
+    return trailing(judged, series or [], ["created_at", "id"], n, F.avg(F.col("human_agreed").cast("double")), "rate").withColumn("rate", F.col("rate") * 100)
 
 
 def phase_totals(calls: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_path, criterion_key, file_set, result_kind, test_base
+from .scans import row_numbers, scanned
 
 
 def flat_tasks(plans: DataFrame) -> DataFrame:
@@ -18,8 +19,7 @@ def flat_tasks(plans: DataFrame) -> DataFrame:
 
 def numbered(tasks: DataFrame, group: list[str], order: list[str], prefix: str) -> DataFrame:
     """Canonical ids ``prefix-001`` in order."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return tasks.withColumn("canonical_id", F.format_string(f"{prefix}-%03d", n))
+    return row_numbers(tasks, group, order, "_rn").withColumn("canonical_id", F.format_string(f"{prefix}-%03d", "_rn")).drop("_rn")
 
 
 def remapped(refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -39,18 +39,18 @@ def first_seen(paths: DataFrame, key: str, order: str) -> DataFrame:
 
 def byte_budget(files: DataFrame, group: list[str], order: list[str], size: Column, cap: int, each: int) -> DataFrame:
     """Files in order until ``cap`` is spent: each at most ``each``, the last cut to what is left. Adds ``taken``."""
-    want = F.least(F.coalesce(size, F.lit(0)), F.lit(each))
-    before = F.coalesce(F.sum("want").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = files.withColumn("want", want).withColumn("before", before).where(F.col("before") < cap)
-    return rows.withColumn("taken", F.least("want", F.lit(cap) - F.col("before")).cast("long")).drop("want", "before")
+    want = F.least(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)), F.lit(each))
+    rows = scanned(files.withColumn("_want", want), group, order, {"want": F.col("_want")}, below={"want": cap})
+    return rows.withColumn("taken", F.least("_want", F.lit(cap) - F.col("before_want")).cast("long")).drop("_want", "before_want")
 
 
 def whole_budget(files: DataFrame, group: list[str], order: list[str], size: Column, cap: int, most: int = 4) -> DataFrame:
     """Whole files in order, ``most`` of them at most, up to the first that would exceed ``cap``."""
     w = Window.partitionBy(*group).orderBy(*order)
-    rows = files.withColumns({"sum_": F.sum(size).over(w), "rn_": F.row_number().over(w)})
+    rows = files.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= most)  # each task keeps ``most`` of a group
+    rows = rows.withColumn("sum_", F.sum(size).over(w))
     over = F.min(F.when(F.col("sum_") > cap, F.col("rn_"))).over(Window.partitionBy(*group))
-    return rows.withColumn("over_", over).where((F.col("rn_") <= most) & (F.col("over_").isNull() | (F.col("rn_") < F.col("over_")))).drop("sum_", "rn_", "over_")
+    return rows.withColumn("over_", over).where(F.col("over_").isNull() | (F.col("rn_") < F.col("over_"))).drop("sum_", "rn_", "over_")
 
 
 def merged_criteria(catalog: DataFrame, results: DataFrame) -> DataFrame:
@@ -98,36 +98,78 @@ def stripped_share(paths: DataFrame, listing: DataFrame, threshold: float = 0.5)
     return out.withColumn("rejected", F.col("stripped") > threshold)
 
 
+def _later_twins(tasks: DataFrame, name: Column, of: list[str]) -> DataFrame:
+    """Tasks whose ``name`` an earlier one (by ``ord``) bears too; a null name is no name."""
+    rows = tasks.withColumn("_name", name).where("_name is not null")
+    first = rows.groupBy(*of, "_name").agg(F.min("ord").alias("_first"))
+    return rows.join(first, [*of, "_name"]).where("ord > _first").drop("_name", "_first")
+
+
 #: Rules of a plan's tasks by number; the first that fails is a task's error.
-def task_violations(tasks: DataFrame, max_files: int = 8, max_criteria: int = 12) -> DataFrame:
-    """``task_id, rule, message`` of ``task_id, title, known_files, criteria, requirements, depends_on, ord``."""
-    def rule(n: int, rows: DataFrame, message: str) -> DataFrame:
-        return rows.select("task_id", F.lit(n).alias("rule"), F.lit(message).alias("message"))
-
-    twice = tasks.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    title = F.lower(F.trim("title"))
-    same_title = tasks.join(tasks.groupBy(title.alias("t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), title == F.col("t"), "left_semi")
-    files = file_set(F.col("known_files"))
-    same_files = tasks.where(files != "").join(tasks.groupBy(files.alias("f")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and f <> ''"), files == F.col("f"), "left_semi")
-    deps = tasks.select("task_id", "ord", F.explode("depends_on").alias("dep"))
-    earlier = tasks.select(F.col("task_id").alias("dep"), F.col("ord").alias("dep_ord"))
-    late = deps.join(earlier, "dep", "left").where("dep_ord is null or dep_ord >= ord")
+def task_violations(tasks: DataFrame, max_files: int = 8, max_criteria: int = 12, of: list[str] | None = None) -> DataFrame:
+    """``task_id, rule, message, ord, pos`` of ``task_id, title, known_files, criteria, requirements, depends_on, ord``.
+
+    Of equal titles and file sets the later ones are at fault. ``pos`` is the place of what broke a rule in its list.
+    Several plans are told apart by the columns ``of``, which are added.
+    """
+    of = of or []
+
+    def rule(n: int, rows: DataFrame, message: str, pos: Column | None = None) -> DataFrame:
+        return rows.select(*of, "task_id", F.lit(n).alias("rule"), F.lit(message).alias("message"), F.col("ord").cast("long").alias("ord"), (F.lit(0) if pos is None else pos).cast("int").alias("pos"))
+
+    files = F.nullif(file_set(F.col("known_files")), F.lit(""))
+    deps = tasks.select(*of, "task_id", "ord", F.posexplode("depends_on").alias("_pos", "dep"))
+    earlier = tasks.groupBy(*of, F.col("task_id").alias("dep")).agg(F.max("ord").alias("dep_ord"))
+    late = deps.join(earlier, [*of, "dep"], "left").where("dep_ord is null or dep_ord >= ord")
     found = [
         rule(1, tasks.where("coalesce(trim(title), '') = ''"), "a title is needed"),
-        rule(2, twice, "ids must be unique"),
-        rule(3, same_title, "titles must differ"),
+        rule(2, _later_twins(tasks, F.col("task_id"), of), "ids must be unique"),
+        rule(3, _later_twins(tasks, F.lower(F.trim("title")), of), "titles must differ"),
         rule(4, tasks.where(F.size("known_files") > max_files), "too many files"),
         rule(5, tasks.where(F.size("criteria") > max_criteria), "too many criteria"),
-        rule(6, late, "dependencies must come earlier"),
-        rule(7, same_files, "file sets must differ"),
+        rule(6, late, "dependencies must come earlier", F.col("_pos")),
+        rule(7, _later_twins(tasks, files, of), "file sets must differ"),
     ]
     return reduce(DataFrame.unionByName, found)
 
 
+#: Rule numbers of known files within a plan: 60 and those of ``known_file_violations``.
+KNOWN_FILE = 60
+#: The order in which a task's rules are asked: known files come before dependencies.
+_ASKED = {3: 1, 4: 2, 5: 3, 6: 5, 7: 6}
+
+
 def plan_violations(requirements: DataFrame, tasks: DataFrame) -> DataFrame:
     """Those of the tasks, and requirements (``requirement``) that no task covers, as rule 8 with ``task_id`` the requirement's."""
     open_ = uncovered(requirements.select("requirement"), tasks)
-    return task_violations(tasks).unionByName(open_.select(F.col("requirement").alias("task_id"), F.lit(8).alias("rule"), F.lit("no task covers the requirement").alias("message")))
+    held = task_violations(tasks).select("task_id", "rule", "message")
+    return held.unionByName(open_.select(F.col("requirement").alias("task_id"), F.lit(8).alias("rule"), F.lit("no task covers the requirement").alias("message")))
+
+
+def first_plan_errors(requirements: DataFrame, tasks: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """``plan_id, task_id, rule, message``: the error that a check of each plan from first to last task stops at.
+
+    ``tasks`` as for ``task_violations`` with ``plan_id``; of a task its title, its number of files and of criteria, its
+    known files one by one (where a ``listing`` of the repository is given), its dependencies one by one and its file set
+    are asked. Requirements (``plan_id, requirement, ord``) are asked once all tasks are in order. Titles and ids are
+    taken as present and unique, as an earlier check (``first_document_errors``) has it.
+    """
+    of = ["plan_id"]
+    asked = lambda rule: F.coalesce(*[F.when(rule == k, F.lit(v)) for k, v in _ASKED.items()])
+    place = lambda step: F.struct(F.lit(0).alias("stage"), F.col("ord"), step.alias("step"), F.col("pos"))
+    cells = lambda: F.struct("task_id", "rule", "message")
+    rows = task_violations(tasks, of=of).where(F.col("rule").isin(*_ASKED))
+    found = rows.select("plan_id", place(asked(F.col("rule"))).alias("place"), cells().alias("error"))
+    if listing is not None:
+        files = tasks.select("plan_id", "task_id", "ord", F.posexplode("known_files").alias("pos", "path"))
+        bad = known_file_violations(files.select(F.struct("plan_id", "task_id", F.col("ord").cast("long").alias("ord"), "pos").alias("owner"), "path"), listing)
+        bad = bad.select("owner.*", (F.col("rule") + KNOWN_FILE).alias("rule"), "message")
+        found = found.unionByName(bad.select("plan_id", place(F.lit(4)).alias("place"), cells().alias("error")))
+    named = tasks.select("plan_id", F.explode("requirements").alias("requirement"))
+    open_ = requirements.join(named, ["plan_id", "requirement"], "left_anti")
+    last = F.struct(F.lit(1).alias("stage"), F.col("ord").cast("long").alias("ord"), F.lit(0).alias("step"), F.lit(0).alias("pos"))
+    found = found.unionByName(open_.select("plan_id", last.alias("place"), F.struct(F.col("requirement").alias("task_id"), F.lit(8).alias("rule"), F.lit("no task covers the requirement").alias("message")).alias("error")))
+    return found.groupBy("plan_id").agg(F.min(F.struct("place", "error")).alias("first")).select("plan_id", "first.error.*")
 
 
 def known_file_violations(files: DataFrame, listing: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Symbol graphs: bounded blast radius, targets, interfaces, and resolution of Python calls.
 
-The frontier is widened one depth at a time, so that the rows of each depth are a
-plain join; paths are kept, as the cycle guard is part of the semantics: an id
+The frontier is widened one depth at a time and written, so that each depth is one
+join with the edges; paths are kept, as the cycle guard is part of the semantics: an id
 counts as visited once it is a substring of the path (``strict`` compares whole ids).
 """
 
@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 @dataclass(frozen=True)
 class BlastOptions:
@@ -33,15 +35,52 @@ def resolve(symbols: DataFrame, name_or_id: str) -> DataFrame:
 
 def _test_file(path: Column) -> Column:
     """``_`` of the patterns stands for any character, and case doesn't count, as in the tool whose answers these are."""
-    return path.ilike("%_test.go") | path.ilike("%test_%") | path.ilike("%.test.%")
+    return path.ilike("%_test.go") | path.ilike("%test_%") | path.ilike("%.test.ts")
+
+
+def inner_ids(ids: DataFrame) -> DataFrame:
+    """``id, holds``: of each ``id`` that has another one of them as a proper part, those parts, sorted.
+
+    Ids are cut only at places where the first three characters of some id stand, and to lengths that ids have.
+    """
+    names = ids.select("id").distinct()
+    heads = names.select(F.substring("id", 1, 3).alias("head")).distinct()
+    lengths = names.select(F.length("id").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # as many as an id has characters
+    places = names.select("id", F.explode(F.sequence(F.lit(1), F.length("id"))).alias("p")).withColumn("head", F.expr("substring(id, p, 3)"))
+    places = places.join(heads, "head").join(F.broadcast(lengths))
+    fits = F.filter("lengths", lambda n: (n < F.length("id")) & (F.col("p") + n - 1 <= F.length("id")))
+    parts = places.select("id", "p", F.explode(fits).alias("n")).select("id", F.expr("substring(id, p, n)").alias("part"))
+    return parts.join(names.select(F.col("id").alias("part")), "part").groupBy("id").agg(F.array_sort(F.collect_set("part")).alias("holds"))  # parts of one id
+
+
+#: Edges of a symbol beyond which they are dealt to several tasks.
+HUB = 10_000
+
+
+def _dealt(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hops`` (``at, to``) with ``part``: edges of a hub in parts of about ``HUB``; and ``at, parts`` of the hubs."""
+    hubs = hops.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
+    hubs = written(hubs, "hubs")
+    return hops.join(hubs, "at", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")), F.lit(0)).cast("int")).drop("parts"), hubs
+
+
+def _met(frontier: DataFrame, hops: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The frontier (``at``) beside its edges; at a hub each row goes to all of its parts."""
+    rows = frontier.join(hubs, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return rows.join(hops, ["at", "part"]).drop("part")
 
 
 def blast(symbols: DataFrame, edges: DataFrame, boundaries: DataFrame, roots: DataFrame, upstream: bool, options: BlastOptions = BlastOptions()) -> DataFrame:
-    """``root_id, id, name, file_path, depth, confidence, path`` of what each root (``root_id``) is called by
-    (upstream) or calls. Of the ways to a symbol the shortest counts, then the most confident, then the first path.
+    """``root_id, id, name, file_path, depth, confidence, path, edge_type`` of what each root (``root_id``, any number of
+    them) is called by (upstream) or calls. Of the ways to a symbol the shortest counts, then the most confident, then
+    the first path, which begins behind the root.
 
     Boundary symbols never appear: downstream they are cut everywhere, upstream beyond the first hop.
-    A symbol that calls itself is at depth 1. Confidence is that of the last hop.
+    A symbol that calls itself is at depth 1. Confidence and type are those of the last hop.
+
+    Each depth is one join of the frontier, as written, with the edges. What a root's way to a symbol rules out
+    later is what stands on it: the symbols, which were reached sooner, and (but for ``strict``) ids that are part of
+    theirs. Of ways that rule out the same only the first goes on, so that a symbol is in a root's frontier about once.
     """
     use = edges.where(F.col("confidence") >= options.min_confidence)
     if options.edge_types:
@@ -49,23 +88,40 @@ def blast(symbols: DataFrame, edges: DataFrame, boundaries: DataFrame, roots: Da
     if not upstream:
         use = use.where("edge_type <> 'IMPLEMENTS'")
     here, there = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    hops = use.select(F.col(here).alias("at"), F.col(there).alias("to"), "confidence")
-    inner = hops.join(boundaries.select(F.col("id").alias("to")), "to", "left_anti").select("at", "to", "confidence")
-    first = (hops if upstream else inner).join(roots.select("root_id", F.col("root_id").alias("at")), "at")
-    level = first.select("root_id", F.col("to").alias("id"), F.lit(1).alias("depth"), "confidence", F.concat("root_id", F.lit(">"), "to").alias("path"))
-    found = level
-    for depth in range(2, options.depth + 1):
-        seen = F.array_contains(F.split("path", ">"), F.col("to")) if options.strict else F.contains("path", F.col("to"))
-        level = level.select("root_id", F.col("id").alias("at"), "path").join(inner, "at").where(~seen & (F.col("to") != F.col("root_id")))
-        level = level.select("root_id", F.col("to").alias("id"), F.lit(depth).alias("depth"), "confidence", F.concat("path", F.lit(">"), "to").alias("path"))
-        found = found.unionByName(level)
-    best = Window.partitionBy("root_id", "id").orderBy("depth", F.desc("confidence"), "path")
-    found = found.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
-    found = found.join(symbols.select("id", "name", "file_path"), "id")
+    hops = use.groupBy(F.col(here).alias("at"), F.col(there).alias("to")).agg(F.min(F.struct((-F.col("confidence")).alias("less"), "edge_type")).alias("last"))
+    hops = hops.join(boundaries.select(F.col("id").alias("to")).distinct().withColumn("outer", F.lit(True)), "to", "left")
+    if options.strict:
+        hops = hops.withColumn("holds", F.array().cast("array<string>"))
+    else:
+        holds = inner_ids(use.select(F.col(there).alias("id"))).withColumnRenamed("id", "to")
+        hops = hops.join(holds, "to", "left").withColumn("holds", F.coalesce("holds", F.array().cast("array<string>")))
+    hops, hubs = _dealt(hops)
+    hops = written(hops, "hops")
+    inner = hops.where("outer is null")
+    level = roots.select("root_id", F.col("root_id").alias("at"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("ruled")).where("root_id is not null").distinct()
+    levels: list[DataFrame] = []
+    for depth in range(1, options.depth + 1):
+        rows = _met(level, hops if upstream and depth == 1 else inner, hubs)
+        if depth > 1:
+            seen = F.array_contains(F.split("path", ">"), F.col("to")) if options.strict else F.contains("path", F.col("to"))
+            rows = rows.where(~seen & (F.col("to") != F.col("root_id")))
+        path, ruled = F.concat_ws(">", "path", "to"), F.array_sort(F.array_union("ruled", "holds"))
+        rows = rows.select("root_id", F.col("to").alias("id"), ruled.alias("ruled"), path.alias("path"), F.struct(F.col("last.less"), path.alias("path"), F.col("last.edge_type")).alias("way"))
+        rows = rows.groupBy("root_id", "id", "ruled").agg(F.min("path").alias("path"), F.min("way").alias("way"))
+        for before in levels:
+            rows = rows.join(before.select("root_id", "id", "ruled"), ["root_id", "id", "ruled"], "left_anti")
+            rows = rows.join(before.where(F.size("ruled") == 0).select("root_id", "id"), ["root_id", "id"], "left_anti")
+        levels.append(written(rows.withColumn("depth", F.lit(depth)), "frontier"))
+        if levels[-1].isEmpty():
+            break
+        level = levels[-1].select("root_id", F.col("id").alias("at"), "path", "ruled")
+    found = reduce(DataFrame.unionByName, [f.select("root_id", "id", F.struct("depth", "way").alias("best")) for f in levels])
+    found = found.groupBy("root_id", "id").agg(F.min("best").alias("best")).join(symbols.select("id", "name", "file_path"), "id")
+    found = found.select("root_id", "id", "name", "file_path", "best.depth", (-F.col("best.way.less")).alias("confidence"), F.col("best.way.path").alias("path"), F.col("best.way.edge_type").alias("edge_type"))
     if not options.include_tests:
         found = found.where(~_test_file(F.col("file_path")))
     within = Window.partitionBy("root_id").orderBy("depth", F.desc("confidence"), "id")
-    return found.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= options.budget).drop("rn").select("root_id", "id", "name", "file_path", "depth", "confidence", "path")
+    return found.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= options.budget).drop("rn")
 
 
 def interfaces(symbols: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -73,8 +129,19 @@ def interfaces(symbols: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
     return rows.join(symbols.select("id", "name", "file_path"), "id").distinct()
 
 
-def known_file_roots(symbols: DataFrame, files: list[str]) -> DataFrame:
-    return symbols.where(F.col("file_path").isin(*files) & F.col("kind").isin("function", "method")).select(F.col("id").alias("root_id"))
+def known_file_roots(symbols: DataFrame, files: DataFrame, by: str = "id") -> DataFrame:
+    """``asked_id, root_id``: the functions and methods of known files (``path``), each with the root it is asked by.
+
+    By ``id`` that is the symbol itself. By ``name``, the symbol that its name stands for: the one whose id is that
+    name, else the first by id that bears it; so symbols of one name share a root.
+    """
+    asked = symbols.where(F.col("kind").isin("function", "method")).join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    if by == "id":
+        return asked.select(F.col("id").alias("asked_id"), F.col("id").alias("root_id"))
+    first = symbols.groupBy("name").agg(F.min("id").alias("first_id"))
+    exact = symbols.select(F.col("id").alias("name"), F.col("id").alias("exact_id"))
+    rows = asked.select(F.col("id").alias("asked_id"), "name").join(first, "name").join(exact, "name", "left")
+    return rows.select("asked_id", F.coalesce("exact_id", "first_id").alias("root_id"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -89,6 +156,11 @@ def store_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(last, "id", "left_anti").unionByName(last)
 
 
+def store_boundaries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Boundary symbols, inserted or replaced by id, as ``store_symbols``."""
+    return store_symbols(old, new)
+
+
 def cross_file_edges(edges: DataFrame) -> DataFrame:
     """One edge for each source, target and type, but IMPORTS stay as they are."""
     return edges.where("edge_type = 'IMPORTS'").unionByName(edges.where("edge_type <> 'IMPORTS'").dropDuplicates(["source_id", "target_id", "edge_type"]))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chunk_id, path_suffixes, sha256_text, truncate_bytes
+from .skew import salted_join
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -73,12 +74,13 @@ def enriched(chunks: DataFrame, body_bytes: int = 2000) -> DataFrame:
     return rows.withColumn("body", truncate_bytes(F.col("body"), body_bytes))
 
 
-def reverse_calls(chunks: DataFrame) -> DataFrame:
-    """``id, called_by``: who calls each chunk (``id, name, file_path, calls``).
+def reverse_call_edges(chunks: DataFrame) -> DataFrame:
+    """``id, caller_id, pos, by``: a row for each call and each chunk that it may mean (``id, name, file_path, calls``).
 
     Targets are named Go chunks. A call's package matches a chunk whose directory ends in it; an empty package, or
-    one that the caller's own path contains, matches any directory too. Chunks don't call themselves. The callers
-    carry the call's package and their own file, once for each call.
+    one that the caller's own path contains, matches any directory too. Chunks don't call themselves. The caller
+    carries the call's package and its own file, once for each call. A name that very many chunks bear and call is
+    dealt to many tasks.
     """
     calls = chunks.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"), F.posexplode("calls").alias("pos", "c"))
     calls = calls.select("caller_id", "pos", "caller", "caller_file", F.col("c.name").alias("name"), F.coalesce("c.package", F.lit("")).alias("package"))
@@ -86,11 +88,20 @@ def reverse_calls(chunks: DataFrame) -> DataFrame:
     directory = F.when(cut == "", F.lit(".")).otherwise(cut)
     go = chunks.where((F.col("language") == "go") & (F.coalesce("name", F.lit("")) != ""))
     places = go.select("id", "name", F.explode(path_suffixes(directory)).alias("package"))
-    near = calls.where("package <> ''").join(places, ["name", "package"])
-    anywhere = calls.where((F.col("package") == "") | F.contains("caller_file", F.col("package"))).join(go.select("id", "name"), "name")
-    hit = near.unionByName(anywhere).where("id <> caller_id").dropDuplicates(["id", "caller_id", "pos"])
-    out = hit.select("id", F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file")).alias("by"))
-    return out.groupBy("id").agg(F.array_sort(F.collect_list("by")).alias("called_by"))
+    deal = ["caller_id", "pos"]
+    # what means any directory would meet its own again among the near ones
+    wide = (F.col("package") == "") | F.contains("caller_file", F.col("package"))
+    near = salted_join(calls.where(~wide), places.distinct(), ["name", "package"], deal)
+    anywhere = salted_join(calls.where(wide), go.select("id", "name"), ["name"], deal)
+    hit = near.unionByName(anywhere).where("id <> caller_id")
+    return hit.select("id", "caller_id", "pos", F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file")).alias("by"))
+
+
+def reverse_calls(chunks: DataFrame, parts: int = 64) -> DataFrame:
+    """``id, called_by``: who calls each chunk, by ``reverse_call_edges``. Callers of a chunk are put together in two
+    levels; its list, as long as it is called, is one value of the result."""
+    some = reverse_call_edges(chunks).groupBy("id", F.pmod(F.xxhash64("caller_id"), F.lit(parts)).alias("_part")).agg(F.collect_list("by").alias("by"))
+    return some.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("by"))).alias("called_by"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -119,9 +130,27 @@ def described(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
     return rows.withColumn("embed_text", F.concat(F.coalesce("signature", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))))
 
 
-def relations(chunks: DataFrame) -> DataFrame:
-    names = lambda c: F.array_join(F.transform(c, lambda r: r["name"]), ", ")
-    return chunks.select("id", F.concat_ws("\n", F.concat(F.lit("Calls: "), F.nullif(names("calls"), F.lit(""))), F.concat(F.lit("Called by: "), F.nullif(names("called_by"), F.lit("")))).alias("block"))
+#: Layout of relationships (fixed values).
+RELATIONS = "=== RELATIONSHIP CONTEXT ===\n"
+RELATION_LINES = {"calls": "  Calls: ", "called_by": "  Called by: ", "types_used": "  Types used: ", "implements_ifaces": "  Implements: "}
+
+
+def relations(chunks: DataFrame, order: str = "line_start") -> DataFrame:
+    """``file_path, block``: the relationships of each file's named chunks, in order; a file without any has no row.
+
+    References are named with their package in parentheses. A list column may be missing.
+    """
+    def named(c: str) -> Column:
+        if c in ("types_used", "implements_ifaces"):
+            return F.array_join(c, ", ")
+        return F.array_join(F.transform(c, lambda r: F.when(F.coalesce(r["package"], F.lit("")) != "", F.concat(r["name"], F.lit(" ("), r["package"], F.lit(")"))).otherwise(r["name"])), ", ")
+
+    lines = [F.when(F.size(c) > 0, F.concat(F.lit(head), named(c), F.lit("\n"))) for c, head in RELATION_LINES.items() if c in chunks.columns]
+    said = F.concat_ws("", *lines)
+    rows = chunks.where(F.coalesce("name", F.lit("")) != "").withColumn("_said", said).where("_said <> ''")
+    cell = F.struct(F.col(order).alias("ord"), F.col("id"), F.concat(F.lit("Function: "), "name", F.lit("\n"), "_said", F.lit("\n")).alias("text"))
+    out = rows.groupBy("file_path").agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # chunks of one file
+    return out.select("file_path", F.concat(F.lit(RELATIONS), F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("block"))
 
 
 def known_hashes(hashes: DataFrame, version: str, current: str, force: bool = False) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..sources.scratch import written
+from . import blocks
+from .scans import row_numbers
+from .skew import salted_join
+
 #: Criteria about running builds and tests (fixed value).
 BOILERPLATE = r"(?i)\bgo\s+(build|test|vet)\b|\bpasses\b|\bcompiles\b"
 
@@ -45,37 +50,66 @@ def multi_top_k(chunks: DataFrame, queries: list[list[float]], k: int = 10, id_:
 
 
 def joined_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id", vector: str = "embedding") -> DataFrame:
-    """As ``multi_top_k``, for queries that are a table (``query, q``) of any size: every pair's distance is taken."""
-    rows = chunks.select(F.col(id_).alias("id"), F.col(vector).alias("v")).crossJoin(queries.select("query", "q"))
-    rows = rows.select("query", "id", l2(F.col("v"), F.col("q")).alias("distance")).withColumn("part", F.spark_partition_id())
-    for keys in (["query", "part"], ["query"]):
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "id"))).where(F.col("rank") <= k)
-    return rows.drop("part")
+    """As ``multi_top_k``, for queries that are a table (``query, q``) of any size.
+
+    Blocks of queries meet blocks of rows; of each pair of blocks one matrix product is taken, and ``k`` rows a query
+    leave it. Vectors with nulls or without finite numbers, and those of another length, are no query's hits.
+    """
+    rows = blocks.top_k(blocks.packed(chunks, id_, vector), blocks.packed(queries, "query", "q"), k)
+    nearest = Window.partitionBy("query").orderBy("distance", "id")
+    return rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def merged(hits: DataFrame) -> DataFrame:
-    """Hits of several queries by id: how many, and the best score; most hits first."""
-    out = hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.max(1 - F.col("distance")).alias("best_score"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("best_score"), "id")))
+def merged(hits: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """Hits of several queries by id, and by request where columns name one (``of``): how many, and the best score; most hits first."""
+    by = of or []
+    out = hits.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("hits"), F.max(1 - F.col("distance")).alias("best_score"))
+    return row_numbers(out, by, [-F.col("hits"), -F.col("best_score"), "id"], "rank")
 
 
-def budgeted(ranked: DataFrame, most: int = 30, direct_share: float = 0.6) -> DataFrame:
-    """The direct hits that the budget takes: ``direct_share`` of ``most``."""
-    return ranked.where(F.col("rank") <= int(most * direct_share))
+def budgeted(ranked: DataFrame, most: int = 30, direct_share: int = 60) -> DataFrame:
+    """The direct hits that the budget takes: ``direct_share`` per cent of ``most``, rounded down."""
+    return ranked.where(F.col("rank") <= most * direct_share // 100)
 
 
-def hops(direct: DataFrame, chunks: DataFrame, most: int = 30) -> DataFrame:
+def hops(direct: DataFrame, chunks: DataFrame, most: int = 30, of: list[str] | None = None) -> DataFrame:
     """Chunks named by the direct hits' ``calls``, then ``called_by``, first seen first, within what the budget has left.
 
-    References go by bare name. ``direct`` has ``id, rank``; ``chunks`` has ``id, name, calls, called_by``.
+    References go by bare name. ``direct`` has ``id, rank`` (and ``of``, the columns of its request); ``chunks`` has
+    ``id, name, calls, called_by``. What direct hits leave of ``most`` is the hops' room.
     """
-    own = direct.select("id", "rank").join(chunks, "id")
-    refs = [own.select("rank", F.lit(kind).alias("kind"), F.posexplode(F.transform(column, lambda r: r["name"])).alias("pos", "name")) for kind, column in enumerate(("calls", "called_by"))]
-    rows = refs[0].unionByName(refs[1]).join(chunks.select("name", F.col("id").alias("hop_id")), "name").join(direct.select(F.col("id").alias("hop_id")), "hop_id", "left_anti")
-    first = rows.groupBy("hop_id").agg(F.min(F.struct("rank", "kind", "pos", "hop_id")).alias("seen"))
-    first = first.withColumn("hop_rank", F.row_number().over(Window.orderBy("seen")))
-    room = direct.agg((F.lit(most) - F.count(F.lit(1))).alias("room"))  # one row
-    return first.join(F.broadcast(room)).where("hop_rank <= room").select(F.col("hop_id").alias("id"), "hop_rank")
+    by = of or []
+    own = direct.select(*by, "id", "rank").join(chunks, "id")
+    refs = [own.select(*by, "rank", F.lit(kind).alias("kind"), F.posexplode(F.transform(column, lambda r: r["name"])).alias("pos", "name")) for kind, column in enumerate(("calls", "called_by"))]
+    named = refs[0].unionByName(refs[1]).groupBy(*by, "name").agg(F.min(F.struct("rank", "kind", "pos")).alias("at"))  # a name is looked up once
+    rows = salted_join(named, chunks.select("name", F.col("id").alias("hop_id")), ["name"], [*by, "name"])
+    rows = rows.join(direct.select(*by, F.col("id").alias("hop_id")), [*by, "hop_id"], "left_anti")
+    first = rows.groupBy(*by, "hop_id").agg(F.min(F.struct("at.rank", "at.kind", "at.pos", "hop_id")).alias("seen"))
+    within = Window.partitionBy(*by).orderBy("seen")
+    first = first.withColumn("hop_rank", F.row_number().over(within)).where(F.col("hop_rank") <= most)  # each task keeps ``most``
+    room = direct.groupBy(*by).agg((F.lit(most) - F.count(F.lit(1))).alias("room"))
+    first = first.join(room, by) if by else first.join(F.broadcast(room))  # one row
+    return first.where("hop_rank <= room").select(*by, F.col("hop_id").alias("id"), "hop_rank")
+
+
+def search(hits: DataFrame, basic: DataFrame, requests: DataFrame, chunks: DataFrame, most: int = 30, basic_k: int = 10) -> DataFrame:
+    """``request, id, ord, is_dependency_hop, query_hit_count, score`` of every request, as one plan.
+
+    ``hits`` (``request, query, id, distance``): what the queries of a request found. Of a request that worked
+    (``requests``: ``request, failed``; null is false), merged hits come first, 60 per cent of ``most`` or as many as
+    there are, then hops for what they leave. Of one that failed, the first ``basic_k`` of ``basic``
+    (``request, id, distance, rank``) come, without hops and counts.
+    """
+    state = requests.select("request", F.coalesce("failed", F.lit(False)).alias("failed"))
+    works, fails = (state.where(c).select("request") for c in (~F.col("failed"), F.col("failed")))
+    direct = written(budgeted(merged(hits.join(works, "request", "left_semi"), ["request"]), most), "direct")
+    count = lambda c: F.col(c).cast("long").alias("query_hit_count")
+    found = direct.select("request", "id", F.col("rank").cast("long").alias("ord"), F.lit(False).alias("is_dependency_hop"), count("hits"), F.col("best_score").alias("score"))
+    more = hops(direct, chunks, most, ["request"]).join(direct.groupBy("request").agg(F.count(F.lit(1)).alias("n")), "request")
+    more = more.select("request", "id", (F.col("hop_rank") + F.col("n")).cast("long").alias("ord"), F.lit(True).alias("is_dependency_hop"), F.lit(0).cast("long").alias("query_hit_count"), F.lit(0.0).alias("score"))
+    plain = basic.join(fails, "request", "left_semi").where(F.col("rank") <= basic_k)
+    plain = plain.select("request", "id", F.col("rank").cast("long").alias("ord"), F.lit(False).alias("is_dependency_hop"), F.lit(0).cast("long").alias("query_hit_count"), (1 - F.col("distance")).alias("score"))
+    return found.unionByName(more).unionByName(plain)
 
 
 def under_prefix(limited: DataFrame, prefix: str) -> DataFrame:
@@ -104,8 +138,22 @@ def telling(criteria: DataFrame) -> DataFrame:
     return criteria.where(~F.col("criterion").rlike(BOILERPLATE) & (words > 4))
 
 
+#: Layout of a result and of a block of results (fixed values).
+RESULT = "[Score: %.2f] %s — %s (lines %d-%d)\n  %s\n  %s"
+RESULTS = "=== SEMANTICALLY RELEVANT CODE (via RAG) ===\n"
+
+
 def rendered(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.format_string("### %s (%s:%d)\n%s", "name", "file_path", "line_start", F.coalesce("signature", F.lit(""))).alias("block"))
+    """``id, block``: results (chunks with ``score``) as text."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("id", F.format_string(RESULT, F.coalesce("score", F.lit(0.0)), text("file_path"), text("name"), F.coalesce("line_start", F.lit(0)), F.coalesce("line_end", F.lit(0)), text("description"), text("signature")).alias("block"))
+
+
+def results_block(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The blocks of each request's results (``by``; few rows each) in order, as one text; a request without results has none."""
+    blocks_ = rendered(rows.withColumn("id", F.struct(*by, F.col(order).alias("_ord"))))
+    cells = F.array_sort(F.collect_list(F.struct(F.col("id._ord").alias("ord"), "block")))
+    return blocks_.groupBy(*[F.col(f"id.{c}").alias(c) for c in by]).agg(F.concat(F.lit(RESULTS), F.array_join(F.transform(cells, lambda c: F.concat(c["block"], F.lit("\n\n"))), "")).alias("block"))
 
 
 def metadata(chunks: DataFrame) -> DataFrame:

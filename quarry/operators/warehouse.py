@@ -96,7 +96,8 @@ def latest_per_task(runs: DataFrame, workflows: DataFrame | None = None) -> Data
     rows = runs.where(F.col("plan_task_id").isNotNull())
     if workflows is not None:
         rows = rows.join(workflows.select(F.col("id").alias("workflow_id"), "current_state"), "workflow_id")
-    return rows.groupBy("plan_task_id").agg(F.max_by(F.struct(*rows.columns), F.struct("created_at", "id")).alias("r")).select("r.*")
+    newest = Window.partitionBy("plan_task_id").orderBy(F.desc("created_at"), F.desc("id"))  # tasks keep one row each before rows move
+    return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
 
 
 def latest_per_workflow(runs: DataFrame) -> DataFrame:
@@ -111,7 +112,11 @@ def call_totals(calls: DataFrame) -> DataFrame:
 
 
 def workflow_list(workflows: DataFrame, runs: DataFrame, calls: DataFrame, status: str | None = None, project: str | None = None, limit: int = 50, offset: int = 0, session: str | None = None) -> DataFrame:
-    """Workflows with their latest run and its call cost: running first, then in review (human or awaited), newest within each."""
+    """Workflows with their latest run and its call cost: running first, then in review (human or awaited), newest within each.
+
+    A ``limit`` of 0 or less is 50, a negative ``offset`` 0.
+    """
+    limit, offset = limit if limit > 0 else 50, max(offset, 0)
     last = latest_per_workflow(runs).join(call_totals(calls), "id", "left")
     last = last.select("workflow_id", F.col("id").alias("run_id"), "project", "session_id", "verify_result", "human_result", F.coalesce("call_cost", F.lit(0.0)).alias("call_cost"))
     rows = workflows.select(F.col("id").alias("workflow_id"), "current_state", "updated_at").join(last, "workflow_id", "left")
@@ -314,9 +319,13 @@ def apply_phase_updates(runs: DataFrame, updates: DataFrame, columns: list[str])
     return rows.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*runs.columns)
 
 
-def lifecycle(events: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled")) -> DataFrame:
-    """From state changes (``entity_id, seq, state, at``): the last state, the first start, the first terminal time."""
-    return events.groupBy("entity_id").agg(F.max_by("state", "seq").alias("state"), F.min(F.when(F.col("state") == "running", F.col("at"))).alias("started_at"), F.min(F.when(F.col("state").isin(*terminal), F.col("at"))).alias("completed_at"))
+def lifecycle(events: DataFrame, terminal: tuple[str, ...] = ("completed", "failed", "cancelled"), starting: tuple[str, ...] = ("running",)) -> DataFrame:
+    """From state changes (``entity_id, seq, state, at``): the last state, the first start, the first terminal time.
+
+    An entity starts with its first change to one of ``starting``; with its first change of all, if none is named.
+    """
+    begun = F.col("state").isin(*starting) if starting else F.lit(True)
+    return events.groupBy("entity_id").agg(F.max_by("state", "seq").alias("state"), F.min(F.when(begun, F.col("at"))).alias("started_at"), F.min(F.when(F.col("state").isin(*terminal), F.col("at"))).alias("completed_at"))
 
 
 def retryable(tasks: DataFrame) -> DataFrame:

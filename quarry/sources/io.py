@@ -50,13 +50,14 @@ def new_mappings(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
 
 
-def files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """``path`` (below the root), ``content, length, modified, language`` of the files that the globs take; vendored ones never."""
+def files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, vendored: bool = False) -> DataFrame:
+    """``path`` (below the root), ``content, length, modified, language`` of the files that the globs take; with ``vendored``
+    those of other people's code too, as the walk of an index has it."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
     rows = rows.select(F.substring(path, len(base) + 2, 1 << 30).alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
-    rows = rows.where(~F.col("path").rlike("(^|/)(" + "|".join(v.replace(".", r"\.") for v in VENDORED) + ")/"))
+    rows = rows if vendored else rows.where(~F.col("path").rlike("(^|/)(" + "|".join(v.replace(".", r"\.") for v in VENDORED) + ")/"))
     rows = rows.where(matches_glob(F.col("path"), include)) if include else rows
     rows = rows.where(~matches_glob(F.col("path"), exclude)) if exclude else rows
     return rows.withColumn("language", language_of(F.col("path")))

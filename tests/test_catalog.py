@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quarry import catalog
+from quarry.operators import graph
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -61,9 +62,7 @@ def test_whole_tables_are_read(spark, sf):
 
 def test_unique_names_among_all_symbols(spark):
     """A name that is unique in one package only is no hit; one of another package is."""
-    from types import SimpleNamespace
-
-    symbols = [("a", "P1", "method", "pkg3"), ("b", "P1", "function", "pkg4"), ("c", "P2", "function", "pkg5"), ("d", "P3", "method", "pkg3")]
-    world = SimpleNamespace(documents=spark.createDataFrame([(1,), (2,), (903,), (4,)], "doc_id long"), symbols=spark.createDataFrame(symbols, "id string, name string, kind string, package string"))
-    got = {(r["call_id"], r["target_id"], r["confidence"]) for r in catalog._QUERIES["jn21_all_names"](world).collect()}
-    assert got == {(2, "c", 0.85), (903, "d", 0.85)}
+    symbols = spark.createDataFrame([("a", "P1"), ("b", "P1"), ("c", "P2"), ("d", "P3")], "id string, name string")
+    calls = spark.createDataFrame([(1, "P1"), (2, "P2"), (3, "P3"), (4, "P4")], "call_id int, name string")
+    got = {(r["call_id"], r["target_id"], r["confidence"]) for r in graph.unique_names(calls, symbols).collect()}
+    assert got == {(2, "c", 0.85), (3, "d", 0.85)}

@@ -169,10 +169,10 @@ def test_segments_and_violations(spark):
     assert sorted(map(tuple, (r["files"] for r in documents.segments(files).collect()))) == [("a.go", "a_test.go"), ("b.py",)]
     tasks = spark.createDataFrame([("t1", "Same ", ["a", "b"], ["c"], ["r"], [], 1), ("t2", "same", ["b", "a"], ["c"], [], ["t3"], 2), ("t3", "x", [], [], ["r"], [], 3)], "task_id string, title string, known_files array<string>, criteria array<string>, requirements array<string>, depends_on array<string>, ord int")
     got = sorted((r["task_id"], r["rule"]) for r in documents.task_violations(tasks).collect())
-    assert got == [("t1", 3), ("t1", 7), ("t2", 3), ("t2", 6), ("t2", 7)]
+    assert got == [("t2", 3), ("t2", 6), ("t2", 7)]  # the later of two twins is at fault
     needs = spark.createDataFrame([("r",), ("s",)], "requirement string")
     assert [r["task_id"] for r in documents.plan_violations(needs, tasks).where("rule = 8").collect()] == ["s"]
-    assert {r["task_id"]: r["rule"] for r in documents.first_error(documents.task_violations(tasks)).collect()} == {"t1": 3, "t2": 3}
+    assert {r["task_id"]: r["rule"] for r in documents.first_error(documents.task_violations(tasks)).collect()} == {"t2": 3}
 
 
 def test_budgets(spark):

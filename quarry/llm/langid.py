@@ -1,14 +1,16 @@
 """Language identification by compression.
 
-Each learned language has a raw-content zstandard dictionary, filled from a
-bounded sample of its texts. A text, lower-cased and with each run of anything
-but letters as one space, is compressed whole with every dictionary; the
-smallest result names the language. The score is the margin to the second,
+Each learned language has a raw-content zstandard dictionary: whole texts of a
+bounded sample of its rows, one after the other. A text, lower-cased and with each run
+of anything but letters as one space, is compressed whole with every dictionary; the
+smallest result names the language. The texts of a batch go through one dictionary
+after the other, so that its tables stay in the processor's cache. The score is the margin to the second,
 as a share of the second; a text whose margin is under ``MARGIN`` is rejected.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; equal sizes go to the first language by name, with score 0; with
-one language the score is 1, with none all is ``und``; rows are kept one by one,
+one language the score is 1, with none (and so for an empty table to learn from) all is
+``und``; an empty table gives no rows; rows are kept one by one,
 repeated or not; of rows to learn from that share an id and a language the least text
 is taken; very long texts are compressed whole; other columns, whatever their names,
 are never read, but ``predict`` replaces those it adds. Letters are those of Unicode
@@ -21,22 +23,19 @@ import re
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import stratified
 from .shared import crc_mod, kept_in_worker, small_batches, widened
 
-#: Texts sampled for each language, and the bytes of its dictionary.
-SAMPLE, DICTIONARY = 300, 100_000
-#: Places of a long text that its part of the dictionary comes from.
-PIECES = 8
+#: Rows sampled for each language; bytes of text that fill its dictionary, and that all languages share.
+SAMPLE, DICTIONARY, TOGETHER = 300, 100_000, 40_000_000
 #: Least margin of a text that is not rejected. At this share a short text must differ by
 #: several bytes too. Fitted on rows not held out: see the README.
 MARGIN = 0.05
 UNKNOWN = "und"
-#: Effort of the compressor. Level 12 names 2 of 1,200 texts more rightly and takes 1.7 times as long.
-LEVEL = 9
+#: Effort of the compressor.
+LEVEL = 12
 _OTHER, _OTHER_ASCII, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+"), regex.compile(r"\p{L}")
 
 
@@ -47,41 +46,33 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Dictionaries by language, from rows with ``doc_id, text, lang``."""
-    rows = stratified(docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.length("text") > 0), "lang", sample)
-    # pieces spread over each text bound what reaches the driver; only dictionaries are cut, never what is classified
-    share = max(PIECES, 4 * size // sample)
-    got: dict[str, list[list[str]]] = {}
-    for r in rows.select("lang", F.col("doc_id").cast("string").alias("d"), spread("text", share).alias("t")).orderBy(F.xxhash64("d"), "d", "t").collect():
-        got.setdefault(r["lang"], []).append([letters(t) for t in r["t"]])
-    return {lang: dictionary(texts, size) for lang, texts in sorted(got.items())}
-
-
-def spread(text: str, most: int) -> F.Column:
-    """The whole text where it has at most ``most`` characters, else pieces of that total, one from each equal stretch, placed by a hash."""
-    size, n = most // PIECES, F.length(text)
-
-    def piece(k: int) -> F.Column:
-        lo, hi = F.floor(n * k / PIECES), F.floor(n * (k + 1) / PIECES)
-        at = lo + F.pmod(F.xxhash64(F.col(text), F.lit(k)), F.greatest(hi - lo - size + 1, F.lit(1)))
-        return F.col(text).substr((at + 1).cast("int"), F.lit(size))
+def _sampled(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """About ``most`` rows of each language by a hash of their id, and the number of languages."""
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_languages = counts.count()
+    grain = 1_000_000_007
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(grain))
+    bound = F.least(F.lit(grain).cast("double"), F.lit(float(grain) * most) / F.col("n"))
+    near = rows.withColumn("place", place).join(counts, "lang").where(F.col("place") < bound)
+    return near.groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")), n_languages
 
-    return F.when(n <= most, F.array(F.col(text))).otherwise(F.array(*map(piece, range(PIECES))))
 
-
-def dictionary(texts: list[list[str]], size: int) -> bytes:
-    """Of every text as much as an even bound allows, so that all together take at most ``size`` bytes."""
-    raw = [[t.encode() for t in pieces] for pieces in texts]
-
-    def held(bound: int) -> list[bytes]:
-        return [b" ".join(p[: bound // len(pieces)].decode(errors="ignore").encode() for p in pieces) for pieces in raw]
-
-    lo, hi = 0, size + 1
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if len(b"\n".join(held(mid))) <= size else (lo, mid)
-    return b"\n".join(held(lo))[:size]
+def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
+    """Dictionaries by language, from rows with ``doc_id, text, lang``.
+
+    Of each language's sample whole texts are taken while they fit, those of up to a fiftieth of the dictionary first; at
+    least one, whatever its length. With very many languages each gets its part of ``TOGETHER``.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.length("text") > 0)
+    near, n = _sampled(rows, sample)
+    size = min(size, TOGETHER // max(1, n))
+    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > size // 50, "place", F.col("doc_id").cast("string"))  # of a sample
+    near = near.withColumns({"nth": F.row_number().over(order), "upto": F.sum(F.octet_length("text")).over(order)})
+    got: dict[str, list[str]] = {}
+    for r in near.where((F.col("nth") == 1) | (F.col("upto") <= size)).select("lang", "nth", "text").orderBy("lang", "nth").collect():
+        got.setdefault(r["lang"], []).append(letters(r["text"]))
+    return {lang: "\n".join(texts).encode("utf-8", "surrogatepass") for lang, texts in sorted(got.items())}
 
 
 class Compressors:
@@ -95,14 +86,20 @@ class Compressors:
             held.precompute_compress(level=level)
             self.by_name.append(z.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def classify(self, text: str | None) -> tuple[str, float]:
-        raw = letters(text or "").encode("utf-8", "surrogatepass")
-        if not raw or not self.names:
-            return UNKNOWN, 0.0
-        sizes = [len(c.compress(raw)) for c in self.by_name]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        rest = min((s for k, s in enumerate(sizes) if k != best), default=None)
-        return self.names[best], 1.0 if rest is None else (rest - sizes[best]) / rest
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        raw = [letters(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        sizes = [[len(c.compress(r)) if r else 0 for r in raw] for c in self.by_name]
+        out = []
+        for k, r in enumerate(raw):
+            own = [s[k] for s in sizes]
+            if not r or not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            best = min(range(len(own)), key=own.__getitem__)
+            rest = min((s for j, s in enumerate(own) if j != best), default=None)
+            out.append((self.names[best], 1.0 if rest is None else (rest - own[best]) / rest))
+        return out
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -119,7 +116,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
             held["compressors"] = Compressors(dictionaries)
         classify = held["compressors"].classify
         for b in batches:
-            got = [classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            got = classify(b.column(b.schema.get_field_index("text")).to_pylist())
             more = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([x == UNKNOWN or s < margin for x, s in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *added])
 

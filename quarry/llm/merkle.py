@@ -1,8 +1,9 @@
 """Merkle-tree fingerprints of documents, by DataFrame functions alone.
 
-A text's sections are its lines; a section's paragraphs are its sentences, those of
-over six words cut to runs of six, so that a short text has several too. Leaves are
-the SHA-256 of paragraphs, section nodes hash their leaves, the root hashes the section
+A text's sections are its lines; a section's paragraphs are its sentences, cut behind
+every word whose checksum is divisible by ``CUT`` too, and after ``LONGEST`` words. So
+what a word is put before, or taken from, changes one or two paragraphs, and the same
+places are cut behind it. Leaves are the SHA-256 of paragraphs, section nodes hash their leaves, the root hashes the section
 nodes, all of them whole. The fingerprint writes the tree out: the root, then for each
 section the first 16 digits of its node, and of its leaves with the paragraph's length
 after them. Roots test equality; sections and leaves that differ locate edits;
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .shared import bucketed, parts, staged
 
-#: A paragraph: up to six words and the marks that end a sentence; or marks and spaces alone. Sections end at line breaks.
-_PARAGRAPH = r"(?:[^ .!?]+ ?){1,6}[.!?]*|[.!? ]+"
+#: One word of so many ends a paragraph; and the most words of one.
+CUT, LONGEST = 4, 32
+#: Stands behind a word that ends a paragraph; where a text has it itself, it stands twice.
+_MARK = "\u0001"
+#: A paragraph: words, the marks that end a sentence, and a cut; or marks and spaces alone. Sections end at line breaks.
+_PARAGRAPH = rf"(?:[^ .!?{_MARK}]+ ?){{1,{LONGEST}}}[.!?]*{_MARK}? ?|[.!? {_MARK}]+"
 _SHORT = 16
 
 
@@ -34,7 +39,13 @@ def leaf(paragraph: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Array of sections, each an array of leaves."""
-    return F.transform(F.split(text, "\n"), lambda s: F.transform(F.regexp_extract_all(s, F.lit(_PARAGRAPH), F.lit(0)), leaf))
+
+    def marked(section: Column) -> Column:
+        words = F.split(section, " ")
+        return F.array_join(F.transform(words, lambda w: F.when(F.crc32(w.cast("binary")) % CUT == 0, F.concat(w, F.lit(_MARK))).otherwise(w)), " ")
+
+    whole = F.replace(text, F.lit(_MARK), F.lit(2 * _MARK))
+    return F.transform(F.split(whole, "\n"), lambda s: F.transform(F.regexp_extract_all(marked(s), F.lit(_PARAGRAPH), F.lit(0)), leaf))
 
 
 def fingerprint(tree: Column) -> Column:
@@ -77,36 +88,38 @@ def differing(a: Column, b: Column) -> Column:
     return F.transform(F.flatten(F.transform(F.slice(F.split(b, ";"), 2, 1 << 30), edits)), lambda x: F.struct(x["section"], x["paragraph"]))
 
 
-def with_next(docs: DataFrame, rows_a_part: int = 2000) -> DataFrame:
-    """``doc_id, text, next_text``: the text of the next row by descending ``doc_id``; the last one's is the first.
+def with_next(docs: DataFrame, rows_a_part: int = 2000, **made: Column) -> DataFrame:
+    """``doc_id, text``, the columns ``made`` of them, and ``next``, a struct of the next row's text and columns by
+    descending ``doc_id``; the last one's is the first.
 
     Rows go to ranges and are written there once. Within a range they follow each other; the last row of a range
     gets the first one of the range that comes next. Rows of one id are dealt by their place in the input, so that
     no id fills a task.
     """
+    held = ["text", *made]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     n = parts(docs.count(), rows_a_part)
-    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "at").withColumn("part", F.spark_partition_id())
-    held = bucketed(dealt, "ranges", min(n, 20_000), "part", moved=False)
+    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "at").withColumn("part", F.spark_partition_id()).withColumns(made)
+    found = bucketed(dealt, "ranges", min(n, 20_000), "part", moved=False)
     place = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "at")  # ascending: by descending id, nulls last
-    ends = held.groupBy("part").agg(F.min_by("text", place).alias("head"), F.max_by(F.struct("doc_id", "text", "at"), place).alias("tail"))
+    ends = found.groupBy("part").agg(F.min_by(F.struct(*held), place).alias("head"), F.max_by(F.struct("doc_id", *held, "at"), place).alias("tail"))
     ends = staged(ends, "ends")  # two rows of each range
     order = Window.orderBy("part")  # of a number for each range
     after = ends.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
-    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("next_text"))
-    tails = ends.select("part", "tail").join(after, "part").join(heads, "after").select("tail.doc_id", "tail.text", "next_text")
+    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("next"))
+    tails = ends.select("part", "tail").join(after, "part").join(heads, "after").select("tail.doc_id", *[f"tail.{c}" for c in held], "next")
     near = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "at")
-    inner = held.withColumn("next_text", F.lead("text").over(near)).where("next_text is not null").select("doc_id", "text", "next_text")
+    inner = found.withColumn("next", F.lead(F.struct(*held)).over(near)).where("next is not null").select("doc_id", *held, "next")
     return inner.unionByName(tails)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    rows = with_next(docs)
+    rows = with_next(docs, fingerprint=fingerprint(sections(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))})
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[fingerprint(sections(F.col(c))).alias(p) for c, p in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint"))])
+    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))})
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(sections(F.col("edited"))).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"))
     # arrays of one row stand behind an explode, so that they are worked out once
     one = F.explode(F.array(F.struct(*[leaves(F.col(p)).alias(p) for p in ("fingerprint", "edited_fingerprint", "next_fingerprint")]))).alias("sets")
     rows = rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", one)

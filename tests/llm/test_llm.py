@@ -329,13 +329,13 @@ def test_merkle(spark):
 def test_merkle_next_over_parts(spark):
     rows = [(k, f"t{k}") for k in range(0, 97, 3)]
     for each in (4, 1, 100):
-        got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(docs(spark, rows), rows_a_part=each).collect()}
+        got = {r["doc_id"]: r["next"]["text"] for r in merkle.with_next(docs(spark, rows), rows_a_part=each).collect()}
         ids = sorted((d for d, _ in rows), reverse=True)
         assert got == {d: f"t{ids[(k + 1) % len(ids)]}" for k, d in enumerate(ids)}
     rows = [(None, f"n{k}") for k in range(20)] + [(7, f"s{k}") for k in range(20)] + [(-(2**63), "low"), (2**63 - 1, "high")]  # hot ids spread over ranges
     got = [tuple(r) for r in merkle.with_next(in_order(spark, [(d, t, 0.0, "", "", 0, "") for d, t in rows]), rows_a_part=3).collect()]
     order = ["high", *(f"s{k}" for k in range(20)), "low", *(f"n{k}" for k in range(20))]
-    assert {t: nx for _, t, nx in got} == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
+    assert {t: nx["text"] for _, t, nx in got} == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
 
 
 def test_bpe(spark):
@@ -433,15 +433,21 @@ def test_language(spark):
     assert got[103]["lang_pred"] == "aa" and langid.identify(df.limit(0)).count() == 0
 
 
-def test_dictionary_takes_all_texts_from_all_over(spark):
-    header = "the same header of every file " * 100
-    rows = [(k, "aa", header + f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 1000) for k in range(60)]
-    made = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 60, 20_000)["aa"].decode()
-    assert len(made.encode()) <= 20_000
-    assert all(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" in made for k in range(60))
-    assert made.count("header") < made.count("word")
-    short = langid.train(spark.createDataFrame([(1, "aa", "bosko é tarlin")], "doc_id long, lang string, text string"))["aa"]
+def test_dictionaries_hold_whole_texts(spark):
+    """Whole texts while they fit, short ones first; one at least, however long; every language, each with its part of the room."""
+    rows = [(k, "aa", f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * (30 if k % 2 else 400)) for k in range(60)]
+    schema = "doc_id long, lang string, text string"
+    made = langid.train(spark.createDataFrame(rows, schema), 60, 20_000)["aa"].decode()
+    texts = {" ".join(t.split()) for _, _, t in rows}
+    held = made.split("\n")
+    assert set(held) <= texts and len(held) == len(set(held)) and 15_000 < len(made.encode()) <= 20_000
+    assert all(t in held for t in texts if len(t) < 400)  # those up to a fiftieth of the room
+    long = langid.train(spark.createDataFrame([(1, "aa", "bosko " * 9000)], schema), 60, 20_000)["aa"].decode()
+    assert long == " ".join(["bosko"] * 9000)
+    short = langid.train(spark.createDataFrame([(1, "aa", "bosko é tarlin")], schema))["aa"]
     assert short.decode() == "bosko é tarlin"
+    many = spark.range(900).selectExpr("id AS doc_id", "concat('l', id % 450) AS lang", "concat('w', repeat(char(97 + id % 20), 5)) AS text")
+    assert len(langid.train(many)) == 450
 
 
 def test_language_stage_rejects_foreign_and_mixed_texts(spark, sf):
@@ -667,7 +673,9 @@ def brute_tree(text):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     nodes = []
     for line in text.split("\n"):
-        leaves = [(sha(p), f"{len(p):x}") for p in re.findall(r"(?:[^ .!?]+ ?){1,6}[.!?]*|[.!? ]+", line)]
+        words = line.replace("\x01", "\x01\x01").split(" ")
+        line = " ".join(w + "\x01" * (zlib.crc32(w.encode()) % 4 == 0) for w in words)
+        leaves = [(sha(p), f"{len(p):x}") for p in re.findall(r"(?:[^ .!?\x01]+ ?){1,32}[.!?]*\x01? ?|[.!? \x01]+", line)]
         nodes.append((sha(",".join(a + n for a, n in leaves)), [a[:16] + n for a, n in leaves]))
     return sha("".join(n for n, _ in nodes)) + ";" + ";".join(f"{n[:16]}:{','.join(x)}" for n, x in nodes), {x for _, own in nodes for x in own or [""]}
 
@@ -677,6 +685,22 @@ def brute_likeness(a, b):
     return 1.0 if a == b else 2 * weight(a & b) / (weight(a) + weight(b))
 
 
+def test_merkle_after_an_inserted_word(spark):
+    """A word put before, into or behind a line of 200 words, or taken from it, leaves nearly all paragraphs as they were."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
+    line = " ".join(words)
+    others = [" ".join([*words[:k], "inserted", *words[k:]]) for k in (0, 1, 77, 100, 199, 200)] + [" ".join([*words[:k], *words[k + 1 :]]) for k in (0, 60, 199)]
+    two = spark.createDataFrame([(line, x) for x in others], "a string, b string")
+    cols = [merkle.fingerprint(merkle.sections(F.col(c))).alias(c) for c in "ab"]
+    near = [merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("near"), merkle.differing(F.col("a"), F.col("b")).alias("d")]
+    for r in two.select(*cols).select(*near).collect():
+        assert r["near"] > 0.9 and 1 <= len(r["d"]) <= 2
+    same = [("x\x01", "x"), ("x\x01 y", "x y"), ("x\x01\x01", "x\x01"), ("\x01", ""), ("a \x01", "a ")] + [(f"{w}\x01 z", f"{w} z") for w in words]
+    prints = spark.createDataFrame(same, "a string, b string").select(*cols).collect()
+    assert all(r["a"] != r["b"] for r in prints)
+
+
 def test_merkle_by_brute_force(spark, sf):
     rows = [(d, t) for d, t in ODD if d is not None] + [(50, "," * 70_000), (51, "," * 70_000 + "x"), (52, "a b c. d e!\n\nf g h i j k l m\nn"), (53, "a b c. d e!\n\nf g h i j k l m\no")]
     rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]

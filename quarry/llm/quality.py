@@ -1,21 +1,25 @@
 """Quality by nearest neighbours among labelled latent-semantic vectors.
 
-A text's terms are pairs of adjacent characters, in classes of characters (letters
-singly, others by kind), and four measures of repetition. Weighted terms of a
-bounded, labelled sample (``SAMPLE`` a class) give a truncated SVD; every document
+A text's terms are its words, by a hash to ``WORDS`` places, pairs of adjacent
+characters, in classes of characters (letters singly, others by kind), and four
+measures of repetition. Weighted terms of a bounded, labelled sample (``SAMPLE`` a
+class) give a truncated SVD; every document
 is projected to it, and the exact cosines to all sample vectors, in blocks of
 documents, weight the votes of the nearest ``NEIGHBOURS``.
 
-Defined results: null text counts as empty; texts under two characters have no
-term and get the sample's share of label 1; so does every text where labelled
+Defined results: null text counts as empty; texts under two characters have no pair
+and get the sample's share of label 1; so does every text where labelled
 rows are missing (0.5 without any); neighbours as near as the last one that counts
 all vote; repeated rows are scored alike; of labelled documents that share an id the
 least text is learned; very long texts are read whole; other columns, whatever their
-names, are never read, but ``predict`` replaces ``score`` and ``predicted``.
+names, are never read, but ``predict`` replaces ``score`` and ``predicted``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,10 @@ from .shared import crc_mod, kept_in_worker, small_batches, widened
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 1500, 32, 15, 8
 #: Classes of bytes: a-z one each, then A-Z, digits, space, breaks, beyond ASCII, and kinds of punctuation.
 KINDS = 37
+#: Places that words are hashed to; and the weight of words beside that of pairs.
+WORDS, WORD_WEIGHT = 1024, 0.5
+#: Distinct words whose places a worker remembers.
+REMEMBERED = 500_000
 
 
 def _classes() -> np.ndarray:
@@ -41,10 +49,20 @@ def _classes() -> np.ndarray:
 
 
 _KIND = _classes()
+_PLACES: dict[str, int] = {}
+
+
+def places(words: list[str]) -> list[int]:
+    """The place of each word."""
+    if len(_PLACES) > REMEMBERED:
+        _PLACES.clear()
+    for w in set(words).difference(_PLACES):
+        _PLACES[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
+    return list(map(_PLACES.__getitem__, words))
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Counts of class pairs, then shares: words like the last, like the one before it, repeated words, repeated lines."""
+    """Counts of class pairs and of words, then shares: words like the last, like the one before it, repeated words, repeated lines."""
     text = text or ""
     kinds = _KIND[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     pairs = np.bincount(kinds[:-1] * KINDS + kinds[1:], minlength=KINDS * KINDS) if len(kinds) > 1 else np.zeros(KINDS * KINDS)
@@ -52,15 +70,15 @@ def terms(text: str | None) -> np.ndarray:
     n = max(1, len(words))
     same = sum(map(str.__eq__, words, words[1:])) / n
     second = sum(map(str.__eq__, words, words[2:])) / n
-    return np.append(pairs, [same, second, (1 - len(set(words)) / n) / 2 if words else 0, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0])
+    own = np.bincount(places(words), minlength=WORDS) if words else np.zeros(WORDS)
+    return np.concatenate([pairs, own, [same, second, (1 - len(set(words)) / n) / 2 if words else 0, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0]])
 
 
 class Space:
     """Weights, projection and labelled vectors; bounded by the sample."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        tf = counts[:, :-4]
-        self.idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1
+        self.idf = [np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1 for tf in self._parts(counts)]
         weighted = self._weighted(counts)
         values, vectors = np.linalg.eigh(weighted.T @ weighted)
         self.axes = vectors[:, np.argsort(-values, kind="stable")[:DIMENSIONS]]
@@ -70,10 +88,14 @@ class Space:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    @staticmethod
+    def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of pairs, and of words."""
+        return counts[:, : KINDS * KINDS], counts[:, KINDS * KINDS : -4]
+
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        tf = counts[:, :-4]
-        tf = np.log1p(1000 * tf / np.maximum(1, tf.sum(1, keepdims=True))) * self.idf
-        return self._unit(np.hstack([self._unit(tf), counts[:, -4:]]))
+        pairs, words = (self._unit(np.log1p(1000 * tf / np.maximum(1, tf.sum(1, keepdims=True))) * idf) for tf, idf in zip(self._parts(counts), self.idf))
+        return self._unit(np.hstack([pairs, WORD_WEIGHT * words, counts[:, -4:]]))
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         unit = self._unit(self._weighted(counts) @ self.axes)
@@ -83,7 +105,7 @@ class Space:
         votes = np.where(near >= least, np.maximum(near, 0) ** POWER, 0.0)  # equally near ones all vote
         total = votes.sum(1)
         got = np.where(total > 0, (votes @ self.labels) / np.maximum(total, 1e-300), self.share)
-        return np.where(counts[:, :-4].sum(1) > 0, np.clip(got, 0, 1), self.share)
+        return np.where(self._parts(counts)[0].sum(1) > 0, np.clip(got, 0, 1), self.share)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | None:

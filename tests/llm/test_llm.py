@@ -590,11 +590,16 @@ def brute_quality(space, text):
     if space is None:
         return 0.5
     counts = quality.terms(text)
-    tf = counts[:-4]
-    if not tf.sum():
+    pairs, words = counts[: quality.KINDS**2], np.zeros(quality.WORDS)
+    if not pairs.sum():
         return space.share
-    weighted = np.log1p(1000 * tf / tf.sum()) * space.idf
-    x = np.append(weighted / np.linalg.norm(weighted), counts[-4:])
+    for w in (text or "").split():
+        words[zlib.crc32(w.encode()) % quality.WORDS] += 1
+    parts_ = []
+    for tf, idf, weight in ((pairs, space.idf[0], 1), (words, space.idf[1], quality.WORD_WEIGHT)):
+        weighted = np.log1p(1000 * tf / max(1, tf.sum())) * idf
+        parts_.append(weight * weighted / max(np.linalg.norm(weighted), 1e-12))
+    x = np.concatenate([*parts_, counts[-4:]])
     x = (x / np.linalg.norm(x)) @ space.axes
     near = sorted(((float(x @ v / max(np.linalg.norm(x), 1e-12)), y) for v, y in zip(space.known, space.labels)), reverse=True)
     least = near[: quality.NEIGHBOURS][-1][0]

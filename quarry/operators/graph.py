@@ -60,7 +60,7 @@ HUB = 10_000
 def _dealt(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``hops`` (``at, to``) with ``part``: edges of a hub in parts of about ``HUB``; and ``at, parts`` of the hubs."""
     hubs = hops.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
-    hubs = written(hubs, "hubs")
+    hubs = written(hubs, "hubs")  # few: one for each ``HUB`` edges at most
     return hops.join(hubs, "at", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")), F.lit(0)).cast("int")).drop("parts"), hubs
 
 
@@ -88,31 +88,30 @@ def blast(symbols: DataFrame, edges: DataFrame, boundaries: DataFrame, roots: Da
     if not upstream:
         use = use.where("edge_type <> 'IMPLEMENTS'")
     here, there = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    hops = use.groupBy(F.col(here).alias("at"), F.col(there).alias("to")).agg(F.min(F.struct((-F.col("confidence")).alias("less"), "edge_type")).alias("last"))
+    hops = use.groupBy(F.col(here).alias("at"), F.col(there).alias("to"), "edge_type").agg(F.max("confidence").alias("confidence"))
     hops = hops.join(boundaries.select(F.col("id").alias("to")).distinct().withColumn("outer", F.lit(True)), "to", "left")
-    if options.strict:
-        hops = hops.withColumn("holds", F.array().cast("array<string>"))
-    else:
-        holds = inner_ids(use.select(F.col(there).alias("id"))).withColumnRenamed("id", "to")
-        hops = hops.join(holds, "to", "left").withColumn("holds", F.coalesce("holds", F.array().cast("array<string>")))
-    hops, hubs = _dealt(hops)
-    hops = written(hops, "hops")
+    hops, hubs = _dealt(written(hops, "hops"))
     inner = hops.where("outer is null")
+    holds = None if options.strict else written(inner_ids(written(hops.select(F.col("to").alias("id")).distinct(), "ids")), "parts")
     level = roots.select("root_id", F.col("root_id").alias("at"), F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("ruled")).where("root_id is not null").distinct()
     levels: list[DataFrame] = []
+    ways = [F.min("path").alias("path"), F.min("way").alias("way")]
     for depth in range(1, options.depth + 1):
         rows = _met(level, hops if upstream and depth == 1 else inner, hubs)
         if depth > 1:
             seen = F.array_contains(F.split("path", ">"), F.col("to")) if options.strict else F.contains("path", F.col("to"))
             rows = rows.where(~seen & (F.col("to") != F.col("root_id")))
-        path, ruled = F.concat_ws(">", "path", "to"), F.array_sort(F.array_union("ruled", "holds"))
-        rows = rows.select("root_id", F.col("to").alias("id"), ruled.alias("ruled"), path.alias("path"), F.struct(F.col("last.less"), path.alias("path"), F.col("last.edge_type")).alias("way"))
-        rows = rows.groupBy("root_id", "id", "ruled").agg(F.min("path").alias("path"), F.min("way").alias("way"))
+        path = F.concat_ws(">", "path", "to")
+        rows = rows.select("root_id", F.col("to").alias("id"), "ruled", path.alias("path"), F.struct((-F.col("confidence")).alias("less"), path.alias("path"), "edge_type").alias("way"))
+        rows = rows.groupBy("root_id", "id", "ruled").agg(*ways)
+        if holds is not None:  # what the way's last symbol rules out
+            rows = rows.join(holds, "id", "left").withColumn("ruled", F.when(F.col("holds").isNull(), F.col("ruled")).otherwise(F.array_sort(F.array_union("ruled", "holds"))))
+            rows = rows.groupBy("root_id", "id", "ruled").agg(*ways)
         for before in levels:
             rows = rows.join(before.select("root_id", "id", "ruled"), ["root_id", "id", "ruled"], "left_anti")
             rows = rows.join(before.where(F.size("ruled") == 0).select("root_id", "id"), ["root_id", "id"], "left_anti")
         levels.append(written(rows.withColumn("depth", F.lit(depth)), "frontier"))
-        if levels[-1].isEmpty():
+        if depth > 2 and levels[-1].isEmpty():
             break
         level = levels[-1].select("root_id", F.col("id").alias("at"), "path", "ruled")
     found = reduce(DataFrame.unionByName, [f.select("root_id", "id", F.struct("depth", "way").alias("best")) for f in levels])

@@ -15,14 +15,15 @@ from .sources import io
 from .sources.scratch import scratch
 from .streaming import events
 
-K = F.col("p_partkey")
+def number() -> Column:
+    return F.col("p_partkey")
 
 
 def by(n: int, *values) -> Column:
     """One of ``values`` by the part's number modulo ``n``; the last one for all further remainders."""
     out = values[-1] if isinstance(values[-1], Column) else F.lit(values[-1])
     for k, v in enumerate(values[:-1]):
-        out = F.when(K % n == k, v).otherwise(out)
+        out = F.when(number() % n == k, v).otherwise(out)
     return out
 
 
@@ -48,7 +49,7 @@ def fn8_truncated(w):
 
 @query("SELECT p_partkey, CASE WHEN length(s) <= 14 THEN s ELSE rtrim(CASE WHEN contains(left(s, 14), '-') THEN regexp_replace(left(s, 14), '-[^-]*$', '') ELSE left(s, 14) END, '-') END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(concat(' ', p_name, ': ', p_partkey, '!')), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)")
 def fn9_slugs(w):
-    return w.part.select("p_partkey", fn.slug(F.concat(F.lit(" "), "p_name", F.lit(": "), K, F.lit("!")), 14).alias("slug"))
+    return w.part.select("p_partkey", fn.slug(F.concat(F.lit(" "), "p_name", F.lit(": "), number(), F.lit("!")), 14).alias("slug"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_brand ELSE p_brand END AS title FROM part")
@@ -98,8 +99,8 @@ def fn22_result_kinds(w):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('src/', p_brand, ' b/', p_partkey, '.go') ELSE concat('src/', p_partkey, '.go') END AS path FROM part")
 def fn25_diff_paths(w):
-    name = by(3, F.concat(F.lit("src/"), "p_brand", F.lit(" b/"), K, F.lit(".go")), F.concat(F.lit("src/"), K, F.lit(".go")))
-    return w.part.select("p_partkey", fn.diff_path(F.concat(F.lit("diff --git a/old/"), K, F.lit(".go b/"), name)).alias("path"))
+    name = by(3, F.concat(F.lit("src/"), "p_brand", F.lit(" b/"), number(), F.lit(".go")), F.concat(F.lit("src/"), number(), F.lit(".go")))
+    return w.part.select("p_partkey", fn.diff_path(F.concat(F.lit("diff --git a/old/"), number(), F.lit(".go b/"), name)).alias("path"))
 
 
 @query("SELECT id, concat('go:', coalesce(package, ''), ':', kind, ':', name) AS symbol_id, CASE WHEN ends_with(file_path, '.go') THEN 'go' ELSE '' END AS language FROM symbols")
@@ -111,7 +112,7 @@ def fn27_symbol_ids(w):
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'markdown' WHEN 2 THEN 'tsx' WHEN 3 THEN 'python' ELSE '' END AS language FROM part")
 def fn28_languages(w):
     ext = by(6, ".go", ".md", ".tsx", ".py", ".GO", "")
-    return w.part.select("p_partkey", fn.language_of(F.concat(F.lit("src.ts/f"), K, ext)).alias("language"))
+    return w.part.select("p_partkey", fn.language_of(F.concat(F.lit("src.ts/f"), number(), ext)).alias("language"))
 
 
 # --- nested documents ---
@@ -169,7 +170,7 @@ def ns6_code_refs(w):
 
 @query("SELECT p_partkey, 3 AS n, concat('P', p_partkey) AS last FROM part")
 def ns7_path_nodes(w):
-    nodes = graph.path_nodes(F.concat(F.lit("go:A>go:B>P"), K))
+    nodes = graph.path_nodes(F.concat(F.lit("go:A>go:B>P"), number()))
     return w.part.select("p_partkey", F.size(nodes).alias("n"), F.element_at(nodes, -1).alias("last"))
 
 
@@ -187,25 +188,25 @@ def val8_overrides(w):
 
 @query("""SELECT p_partkey AS response_id, rule FROM part, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS rule) WHERE CASE rule WHEN 1 THEN p_partkey % 7 = 0 WHEN 3 THEN p_partkey % 5 = 0 WHEN 4 THEN p_partkey % 7 > 0 AND p_partkey % 3 = 0 WHEN 6 THEN p_partkey % 7 > 0 AND p_partkey % 4 = 0 WHEN 8 THEN p_partkey % 7 > 0 AND p_partkey % 6 = 1 ELSE false END""")
 def val2_epic_responses(w):
-    epic = F.struct(by(3, " ", "e").alias("epic_ref"), by(4, "", "t").alias("title"), F.lit("d").alias("description"), F.array(F.when(K % 6 == 1, "zz").otherwise("r1")).alias("covers"))
+    epic = F.struct(by(3, " ", "e").alias("epic_ref"), by(4, "", "t").alias("title"), F.lit("d").alias("description"), F.array(F.when(number() % 6 == 1, "zz").otherwise("r1")).alias("covers"))
     reqs = F.array(F.struct(F.lit("r1").alias("id")), F.struct(by(5, "r1", "r2").alias("id")))
-    rows = w.part.select(K.alias("response_id"), reqs.alias("requirements"), F.when(K % 7 > 0, F.array(epic)).alias("epics"))
+    rows = w.part.select(number().alias("response_id"), reqs.alias("requirements"), F.when(number() % 7 > 0, F.array(epic)).alias("epics"))
     return validation.epic_responses(rows).select("response_id", "rule")
 
 
 @query("SELECT p_partkey AS response_id, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS rule FROM part WHERE p_partkey % 4 < 3")
 def val2_task_responses(w):
     refs = lambda *names: F.array(*[F.struct(F.lit(n).alias("task_ref")) for n in names])
-    tasks = F.when(K % 4 == 1, refs("a", " ")).when(K % 4 == 2, refs("a", "a")).when(K % 4 == 3, refs("a", "b"))
-    return validation.task_responses(w.part.select(K.alias("response_id"), tasks.alias("tasks"))).select("response_id", "rule")
+    tasks = F.when(number() % 4 == 1, refs("a", " ")).when(number() % 4 == 2, refs("a", "a")).when(number() % 4 == 3, refs("a", "b"))
+    return validation.task_responses(w.part.select(number().alias("response_id"), tasks.alias("tasks"))).select("response_id", "rule")
 
 
 @query("""WITH RECURSIVE f AS (SELECT DISTINCT concat('src/', p_partkey % 60, CASE WHEN p_partkey % 2 = 0 THEN '_test.go' ELSE '.go' END) AS path FROM part),
  g AS (SELECT path, replace(path, '_test.go', '.go') AS base FROM f) SELECT s.subject, coalesce(g.base, s.subject) AS base, g.base IS NULL AS synthetic FROM (SELECT DISTINCT concat('src/', p_partkey % 90, '.go') AS subject FROM part) s LEFT JOIN g ON g.path = s.subject""")
 def jn26_subject_segments(w):
     """Subjects that a segment of the diff holds, and synthetic segments for the others."""
-    files = w.part.select(F.concat(F.lit("src/"), K % 60, by(2, "_test.go", ".go")).alias("path")).distinct()
-    return documents.subject_segments(w.part.select(F.concat(F.lit("src/"), K % 90, F.lit(".go")).alias("subject")), documents.segments(files))
+    files = w.part.select(F.concat(F.lit("src/"), number() % 60, by(2, "_test.go", ".go")).alias("path")).distinct()
+    return documents.subject_segments(w.part.select(F.concat(F.lit("src/"), number() % 90, F.lit(".go")).alias("subject")), documents.segments(files))
 
 
 # --- lookups ---
@@ -259,7 +260,7 @@ def str13_phase_updates(w):
 @query("SELECT path, hash FROM (SELECT concat('f', p_partkey) AS path, p_brand AS hash FROM part) WHERE false UNION ALL SELECT concat('f', p_partkey), p_brand FROM part")
 def ix2_known_hashes(w):
     """By force or after a change of version none holds; else all."""
-    known = w.part.select(F.concat(F.lit("f"), K).alias("path"), F.col("p_brand").alias("hash"))
+    known = w.part.select(F.concat(F.lit("f"), number()).alias("path"), F.col("p_brand").alias("hash"))
     forced, changed = index.known_hashes(known, "2", "2", force=True), index.known_hashes(known, "1", "2")
     return forced.unionByName(changed).unionByName(index.known_hashes(known, "2", "2"))
 
@@ -275,7 +276,7 @@ def ix3_markdown(w):
 
 @query("SELECT p_partkey, 1 AS pos, concat('func ', p_partkey, '() {') AS line FROM part UNION ALL SELECT p_partkey, 4, concat('type T', p_partkey, ' struct') FROM part")
 def ix9_signatures(w):
-    text = F.concat(F.lit("package x\n  func "), K, F.lit("() {\n\treturn\n// func no\ntype T"), K, F.lit(" struct"))
+    text = F.concat(F.lit("package x\n  func "), number(), F.lit("() {\n\treturn\n// func no\ntype T"), number(), F.lit(" struct"))
     return index.signatures(w.part.select("p_partkey", text.alias("text")), "p_partkey")
 
 
@@ -334,8 +335,8 @@ def src14_stored_symbols(w):
 @query("SELECT concat('s', p_partkey % 500) AS symbol_id, concat('c', p_partkey % 70) AS chunk_id FROM part GROUP BY 1, 2")
 def src15_mappings(w):
     """Mappings that are there stay; new ones come once."""
-    rows = w.part.select(F.concat(F.lit("s"), K % 500).alias("symbol_id"), F.concat(F.lit("c"), K % 70).alias("chunk_id"))
-    return io.new_mappings(rows.where(K % 2 == 0).distinct(), rows)
+    rows = w.part.select(F.concat(F.lit("s"), number() % 500).alias("symbol_id"), F.concat(F.lit("c"), number() % 70).alias("chunk_id"))
+    return io.new_mappings(rows.where(number() % 2 == 0).distinct(), rows)
 
 
 @query("SELECT user_id::VARCHAR AS key, max_by(event_type, id) AS value FROM log GROUP BY 1")
@@ -346,7 +347,7 @@ def src16_last_values(w):
 @query("SELECT concat('f', p_partkey) AS path, p_brand AS hash FROM part")
 def src20_saved_hashes(w):
     at = scratch(w.spark, "hashes")
-    io.save_file_hashes(w.part.select(F.concat(F.lit("f"), K).alias("path"), F.col("p_brand").alias("hash")), at)
+    io.save_file_hashes(w.part.select(F.concat(F.lit("f"), number()).alias("path"), F.col("p_brand").alias("hash")), at)
     return io.file_hashes(w.spark, at)
 
 
@@ -354,8 +355,8 @@ def src20_saved_hashes(w):
 def src21_json(w):
     """Written as JSON without nulls and read as lines of JSON, of which every fifth is bad."""
     at, bad = scratch(w.spark, "json"), scratch(w.spark, "lines")
-    io.write_json(w.part.where(K % 5 > 0).select(K.alias("id"), by(2, F.col("p_name"), F.lit(None).cast("string")).alias("name")), at)
-    lines = w.spark.read.text(at).unionByName(w.part.where(K % 5 == 0).select(F.lit("{bad").alias("value")))
+    io.write_json(w.part.where(number() % 5 > 0).select(number().alias("id"), by(2, F.col("p_name"), F.lit(None).cast("string")).alias("name")), at)
+    lines = w.spark.read.text(at).unionByName(w.part.where(number() % 5 == 0).select(F.lit("{bad").alias("value")))
     lines.write.text(bad)
     return io.ndjson(w.spark, bad, "id long, name string").where("id is not null")
 
@@ -363,8 +364,8 @@ def src21_json(w):
 @query("SELECT p_partkey AS seq, concat('{\"n\":', p_partkey, '}') AS payload FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 1001")
 def src9_data_lines(w):
     """Payloads of data lines before the line that ends them."""
-    line = F.when(K == 1001, "data: [DONE]").when(K % 3 == 0, F.concat(F.lit(" data: {\"n\":"), K, F.lit("} "))).otherwise(F.lit(": comment"))
-    return events.data_lines(w.part.select(K.alias("seq"), line.alias("line"))).select("seq", "payload")
+    line = F.when(number() == 1001, "data: [DONE]").when(number() % 3 == 0, F.concat(F.lit(" data: {\"n\":"), number(), F.lit("} "))).otherwise(F.lit(": comment"))
+    return events.data_lines(w.part.select(number().alias("seq"), line.alias("line"))).select("seq", "payload")
 
 
 # --- answers ---

@@ -96,20 +96,20 @@ def with_next(docs: DataFrame, rows_a_part: int = 2000, **made: Column) -> DataF
     gets the first one of the range that comes next. Rows of one id are dealt by their place in the input, so that
     no id fills a task.
     """
-    held = ["text", *made]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     n = parts(docs.count(), rows_a_part)
-    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "at").withColumn("part", F.spark_partition_id()).withColumns(made)
+    dealt = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "at").withColumn("part", F.spark_partition_id())
     found = bucketed(dealt, "ranges", min(n, 20_000), "part", moved=False)
     place = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "at")  # ascending: by descending id, nulls last
-    ends = found.groupBy("part").agg(F.min_by(F.struct(*held), place).alias("head"), F.max_by(F.struct("doc_id", *held, "at"), place).alias("tail"))
+    ends = found.groupBy("part").agg(F.min_by("text", place).alias("head"), F.max_by(F.struct("doc_id", "text", "at"), place).alias("tail"))
     ends = staged(ends, "ends")  # two rows of each range
     order = Window.orderBy("part")  # of a number for each range
     after = ends.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
-    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("next"))
-    tails = ends.select("part", "tail").join(after, "part").join(heads, "after").select("tail.doc_id", *[f"tail.{c}" for c in held], "next")
+    both = ["text", *made]
+    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("text")).withColumns(made).select("after", F.struct(*both).alias("next"))
+    tails = ends.select("part", "tail.doc_id", "tail.text").withColumns(made).join(after, "part").join(heads, "after").select("doc_id", *both, "next")
     near = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "at")
-    inner = found.withColumn("next", F.lead(F.struct(*held)).over(near)).where("next is not null").select("doc_id", *held, "next")
+    inner = found.withColumns(made).withColumn("next", F.lead(F.struct(*both)).over(near)).where("next is not null").select("doc_id", *both, "next")
     return inner.unionByName(tails)
 
 

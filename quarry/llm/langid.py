@@ -30,6 +30,8 @@ from .shared import crc_mod, kept_in_worker, small_batches, widened
 
 #: Rows sampled for each language; bytes of text that fill its dictionary, and that all languages share.
 SAMPLE, DICTIONARY, TOGETHER = 300, 100_000, 40_000_000
+#: Languages whose counts are broadcast; beyond, rows meet them by a shuffle.
+NAMES = 100_000
 #: Least margin of a text that is not rejected. At this share a short text must differ by
 #: several bytes too. Fitted on rows not held out: see the README.
 MARGIN = 0.05
@@ -47,14 +49,15 @@ def letters(text: str) -> str:
 
 
 def _sampled(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """About ``most`` rows of each language by a hash of their id, and the number of languages."""
+    """About ``most`` rows of each language by a hash of their id, and the number of languages. No other text moves."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     n_languages = counts.count()
     grain = 1_000_000_007
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(grain))
     bound = F.least(F.lit(grain).cast("double"), F.lit(float(grain) * most) / F.col("n"))
-    near = rows.withColumn("place", place).join(counts, "lang").where(F.col("place") < bound)
+    few = F.broadcast(counts) if n_languages <= NAMES else counts
+    near = rows.withColumn("place", place).join(few, "lang").where(F.col("place") < bound)
     return near.groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text")), n_languages
 
 

@@ -155,6 +155,14 @@ def ns4_audited(w):
     return documents.tagged_by_audit(w.part.select("p_partkey", by(4, "added", "modified", "unchanged", F.lit(None).cast("string")).alias("change"))).select("p_partkey", "audit_source")
 
 
+@query("SELECT p_partkey, 1 AS version, CASE p_partkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'before' END AS audit_source FROM part")
+def ns4_audited_plans(w):
+    """Whole responses of an audit; what it left as it was keeps its source."""
+    task = F.struct(F.lit("t").alias("id"), F.lit("before").alias("audit_source"), by(4, "added", "modified", "unchanged", F.lit(None).cast("string")).alias("audit_action"))
+    plans = w.part.select("p_partkey", by(3, 0, 1, F.lit(None).cast("int")).alias("version"), F.array(F.struct(F.lit("e").alias("id"), F.array(task).alias("tasks"))).alias("epics"))
+    return documents.audited_plans(plans).select("p_partkey", "version", F.col("epics")[0]["tasks"][0]["audit_source"].alias("audit_source"))
+
+
 @query("SELECT p_partkey, concat(p_name, '|', p_brand) AS texts, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE concat(p_name, '|', p_brand) END AS firsts FROM part")
 def ns5_descriptions(w):
     """Descriptions of typed criteria, and the first targets of a list."""
@@ -294,6 +302,24 @@ def set2_merged(w):
     return both["edges"].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT source_id, target_id, edge_type, source_line FROM (SELECT source_id, target_id, 'CALLS' AS edge_type, min(id % 50) AS source_line FROM edges WHERE edge_type = 'CALLS' GROUP BY 1, 2) UNION ALL SELECT s.id, concat('pkg', s.p % 3), 'IMPORTS', s.p % 7 FROM (SELECT id, 1 AS p FROM symbols WHERE file_path = 'src/f7.go') s")
+def set5_function_edges(w):
+    """The first call of each target stays; a file's imports are repeated for each of its functions."""
+    calls = w.edges.where("edge_type = 'CALLS'").select("source_id", "target_id", (F.col("id") % 50).alias("source_line"))
+    imports = w.symbols.where("file_path = 'src/f7.go'").select("file_path").distinct().select("file_path", F.lit("pkg1").alias("target_id"), F.lit(1).cast("long").alias("source_line"))
+    return graph.function_edges(calls, imports, w.symbols)
+
+
+@query("""SELECT response_id, rule FROM (SELECT p_partkey AS response_id, CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 5 = 0 THEN 3 WHEN p_partkey % 3 = 0 THEN 7 WHEN p_partkey % 4 = 0 THEN 4 WHEN p_partkey % 6 = 1 THEN 8 ELSE 0 END AS rule FROM part) WHERE rule > 0""")
+def val2_first_epic_errors(w):
+    """What breaks in the first epic comes before what breaks in the second."""
+    one = F.struct(F.lit("a").alias("epic_ref"), F.lit("t").alias("title"), by(3, "", "d").alias("description"), F.array(F.lit("r1")).alias("covers"))
+    two = F.struct(by(4, " ", "b").alias("epic_ref"), F.lit("t").alias("title"), F.lit("d").alias("description"), F.array(F.when(number() % 6 == 1, "zz").otherwise("r2")).alias("covers"))
+    reqs = F.array(F.struct(F.lit("r1").alias("id")), F.struct(by(5, "r1", "r2").alias("id")))
+    rows = w.part.select(number().alias("response_id"), reqs.alias("requirements"), F.when(number() % 7 > 0, F.array(one, two)).alias("epics"))
+    return validation.first_epic_response_errors(rows).select("response_id", "rule")
+
+
 # --- sources and sinks ---
 
 

@@ -205,10 +205,15 @@ def roles(role_table: DataFrame, providers: DataFrame) -> DataFrame:
     return role_table.join(providers.select("provider", "model"), "provider", "left").withColumn("model", F.coalesce("model", F.lit(""))).orderBy("role")
 
 
+#: Fields of a work order that a plan's task gives (fixed values).
+ORDER_FIELDS = ("schema_version", "title", "type", "target_module", "reference_module", "known_files", "requirements", "acceptance_criteria", "constraints", "audit_source")
+
+
 def work_orders(tasks: DataFrame) -> DataFrame:
-    """Flattened plan tasks (``flat_tasks``) as work orders: one struct of what a run needs."""
-    t = F.col("task")
-    return tasks.select("plan_id", F.struct(t["id"].alias("id"), t["title"].alias("title"), F.col("epic").alias("epic_id"), t["known_files"].alias("known_files"), t["requirements"].alias("requirements")).alias("work_order"))
+    """Flattened plan tasks (``flat_tasks``) as work orders: one struct of a task's id, its epic and ``ORDER_FIELDS``; what a task lacks is null."""
+    t, have = F.col("task"), set(tasks.schema["task"].dataType.names)
+    given = [(t[c] if c in have else F.lit(None).cast("string")).alias(c) for c in ORDER_FIELDS]
+    return tasks.select("plan_id", F.struct(t["id"].alias("id"), F.col("epic").alias("epic_id"), *given).alias("work_order"))
 
 
 def one_task(tasks: DataFrame, task_id: str) -> DataFrame:
@@ -227,6 +232,18 @@ def tagged_by_audit(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("audit_source", F.when(F.col("change").isin("added", "modified"), F.col("change")))
 
 
+def audited_plans(responses: DataFrame) -> DataFrame:
+    """Audit responses (``version, epics[].tasks[]`` with ``audit_action``) as plan documents: an added or modified task carries
+    its action as ``audit_source``, others what they had; a version of 0 or none is 1."""
+    def task(t: Column) -> Column:
+        kept = F.when(t["audit_action"].isin("added", "modified"), t["audit_action"]).otherwise(t["audit_source"])
+        return t.withField("audit_source", kept).dropFields("audit_action")
+
+    epics = F.transform("epics", lambda e: e.withField("tasks", F.transform(e["tasks"], task)))
+    version = F.when(F.coalesce("version", F.lit(0)) == 0, 1).otherwise(F.col("version"))
+    return responses.withColumns({"version": version, "epics": epics})
+
+
 def subject_segments(subjects: DataFrame, segments_: DataFrame) -> DataFrame:
     """Segments (``base, files``) that criteria's subjects (``subject``) name, and a synthetic one for each that none holds."""
     held = segments_.select("base", F.explode("files").alias("subject"))

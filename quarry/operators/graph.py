@@ -165,6 +165,18 @@ def cross_file_edges(edges: DataFrame) -> DataFrame:
     return edges.where("edge_type = 'IMPORTS'").unionByName(edges.where("edge_type <> 'IMPORTS'").dropDuplicates(["source_id", "target_id", "edge_type"]))
 
 
+def function_edges(calls: DataFrame, imports: DataFrame, functions: DataFrame) -> DataFrame:
+    """``source_id, target_id, edge_type, source_line`` of functions as their extraction gives them.
+
+    Of a function's ``calls`` (``source_id, target_id, source_line``) of one target the first stays. What its file
+    ``imports`` (``file_path, target_id, source_line``) is repeated for each of its ``functions`` (``id, file_path``).
+    """
+    first = calls.groupBy("source_id", "target_id").agg(F.min("source_line").alias("source_line")).withColumn("edge_type", F.lit("CALLS"))
+    held = imports.join(functions.select("file_path", F.col("id").alias("source_id")), "file_path").withColumn("edge_type", F.lit("IMPORTS"))
+    names = ["source_id", "target_id", "edge_type", "source_line"]
+    return first.select(*names).unionByName(held.select(*names))
+
+
 def module_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """File of a dotted import: the module, else the package's ``__init__``."""
     stem = F.regexp_replace("module", r"\.", "/")

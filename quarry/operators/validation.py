@@ -236,3 +236,41 @@ def first_document_errors(plans: DataFrame) -> DataFrame:
     )
     message = F.element_at(F.create_map(*[F.lit(v) for kv in DOCUMENT_RULES.items() for v in kv]), F.col("p.rule"))
     return rows.select("plan_id", _first(found).alias("p")).where("p is not null").select("plan_id", "p.rule", "p.detail", "p.place", message.alias("message"))
+
+
+def first_epic_response_errors(responses: DataFrame) -> DataFrame:
+    """``response_id, rule, place``: the rule of ``epic_responses`` that a check of each response stops at, epic by epic."""
+    reqs, epics = items("requirements"), items("epics")
+    known, refs = F.transform(reqs, lambda r: _text(r["id"])), F.transform(epics, lambda e: _text(e["epic_ref"]))
+
+    def of_epic(e: Column, i: Column) -> Column:
+        single = [(blank(e["epic_ref"]), 4), (_before(refs, i, _text(e["epic_ref"])), 5), (blank(e["title"]), 6), (blank(e["description"]), 7)]
+        covers = F.transform(F.coalesce(e["covers"], F.array().cast("array<string>")), lambda c, k: _problem((F.size(known) > 0) & ~F.array_contains(known, _text(c)), 8, 3, i, len(single), k))
+        return F.concat(F.array(*[_problem(b, rule, 3, i, k) for k, (b, rule) in enumerate(single)]), covers)
+
+    found = F.concat(
+        F.array(_problem(F.size(epics) == 0, 1, 1)),
+        _each(reqs, lambda r, i: F.array(_problem(blank(r["id"]), 2, 2, i, 0), _problem(_before(known, i, _text(r["id"])), 3, 2, i, 1))),
+        _each(epics, of_epic),
+    )
+    return responses.select("response_id", _first(found).alias("p")).where("p is not null").select("response_id", "p.rule", "p.place")
+
+
+def first_task_response_errors(responses: DataFrame) -> DataFrame:
+    """``response_id, rule, detail, place``: the rule of ``task_responses`` that a check stops at, task by task.
+
+    Rule 4: a task can't be made a work order, ``detail`` being the work order's rule; its version is asked first.
+    ``tasks`` have a ``task_ref`` and the fields of a work order.
+    """
+    tasks = items("tasks")
+    refs = F.transform(tasks, lambda t: _text(t["task_ref"]))
+
+    def of_task(t: Column, i: Column) -> Column:
+        order = _first(order_problems(lambda c: t[c]))
+        return F.array(
+            _problem(blank(t["task_ref"]), 2, 2, i, 0), _problem(_before(refs, i, _text(t["task_ref"])), 3, 2, i, 1),
+            _problem(~t["schema_version"].eqNullSafe(F.lit(ORDER_VERSION)), 4, 2, i, 2, detail=F.lit(5)), _problem(order.isNotNull(), 4, 2, i, 3, detail=order["rule"]),
+        )
+
+    found = F.concat(F.array(_problem(F.size(tasks) == 0, 1, 1)), _each(tasks, of_task))
+    return responses.select("response_id", _first(found).alias("p")).where("p is not null").select("response_id", "p.rule", "p.detail", "p.place")

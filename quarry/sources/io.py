@@ -84,13 +84,29 @@ def yaml_documents(listing: DataFrame, schema: str) -> DataFrame:
 
         def one(raw):
             try:
-                return json.dumps(yaml.safe_load(raw), default=str)
+                return None if raw is None else json.dumps(yaml.safe_load(bytes(raw)), default=str)
             except yaml.YAMLError:
                 return None
 
         return s.map(one)
 
-    return listing.withColumn("r", F.from_json(to_json(F.decode("content", F.lit("UTF-8"))), schema)).drop("content").select("*", "r.*").drop("r")
+    return listing.withColumn("r", F.from_json(to_json(F.col("content")), schema)).drop("content").select("*", "r.*").drop("r")
+
+
+def yaml_listing(spark: SparkSession, root: str, schema: str = "title string, type string, target_module string") -> DataFrame:
+    """``filename, size_bytes, mod_time`` (UTC) of the YAML files right in a folder, with fields of their documents (null where
+    a file can't be read); no rows if there is no such folder."""
+    head = "filename string, size_bytes long, mod_time string"
+    try:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{head}, {schema}")
+    name = F.element_at(F.split("path", "/"), -1)
+    at = F.expr("date_format(to_utc_timestamp(modificationTime, current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+    rows = rows.where(F.lower(name).rlike(r"\.ya?ml$")).select(name.alias("filename"), F.col("length").alias("size_bytes"), at.alias("mod_time"), "content")
+    return yaml_documents(rows, schema)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -153,6 +153,23 @@ def test_first_document_error_is_the_sequential_one(spark):
     assert {r for r, _ in want.values()} == set(validation.DOCUMENT_RULES)
 
 
+def test_first_errors_of_raw_responses(spark):
+    epic = "epic_ref: string, title: string, description: string, covers: array<string>"
+    good = ("e", "t", "d", ["r"])
+    rows = [
+        ("ok", [("r",)], [good]), ("free", [], [("e", "t", "d", ["zz"])]), ("none", [(" ",)], None), ("id", [("r",), (" ",), ("r",)], [good]), ("dup", [("r",), ("r",)], [("", "", "", [])]),
+        ("second", [("r",)], [("e", "t", " ", ["zz"]), ("", "t", "d", [])]), ("twin", [("r",)], [good, good]), ("covers", [("r",)], [("e", "t", "d", ["r", "zz"]), ("", "", "", [])]),
+    ]
+    df = spark.createDataFrame(rows, f"response_id string, requirements array<struct<id: string>>, epics array<struct<{epic}>>")
+    assert {r["response_id"]: r["rule"] for r in validation.first_epic_response_errors(df).collect()} == {"none": 1, "id": 2, "dup": 3, "second": 7, "twin": 5, "covers": 8}
+    order = a_order(random.Random(1), title="t", target_module="m", type="docs", schema_version=2, known_files=[], requirements=[("r0", "")], criteria=[("c", "d", True, "manual", None, ["r0"])])
+    task = lambda ref, **more: (ref, *(order | more).values())
+    fields = TASK.split("depends_on: array<string>, ")[1]
+    rows = [("ok", [task("a"), task("b")]), ("none", None), ("ref", [task("a"), task(" ")]), ("twin", [task("a"), task("a", title="")]), ("order", [task("a", title=""), task("")]), ("version", [task("a", title="", schema_version=1)]), ("late", [task("a"), task("b", criteria=[("c", "d", True, "manual", None, ["zz"])])])]
+    df = spark.createDataFrame(rows, f"response_id string, tasks array<struct<task_ref: string, {fields}>>")
+    assert {r["response_id"]: (r["rule"], r["detail"]) for r in validation.first_task_response_errors(df).collect()} == {"none": (1, 0), "ref": (2, 0), "twin": (3, 0), "order": (4, 1), "version": (4, 5), "late": (4, 17)}
+
+
 def test_first_plan_errors(spark):
     """Tasks one by one: of each its title, sizes, known files, dependencies, file set; requirements at last."""
     tasks = [

@@ -242,3 +242,17 @@ def test_faults_leave_the_old_version(spark, tmp_path, monkeypatch):
         with pytest.raises(snapshots.Conflict):
             ix.upsert(chunk(spark, [("q", "q.go", "x", [0.0, 0.0])]), hashes(spark, [("q.go", "h")]))
     assert state(ix) == ({("a", "new")}, {("f.go", "h2")}) and ix.versions() == [1, 2]
+
+
+def test_listing_of_yaml_files(spark, tmp_path):
+    from quarry.sources import io
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.yaml").write_text("title: Do it\ntype: docs\n")
+    (tmp_path / "b.YML").write_text("title: [broken")
+    (tmp_path / "c.txt").write_text("title: no")
+    (tmp_path / "sub" / "d.yaml").write_text("title: below")
+    got = {r["filename"]: r for r in io.yaml_listing(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.yaml", "b.YML"} and got["a.yaml"]["size_bytes"] == 24 and got["a.yaml"]["title"] == "Do it" and got["a.yaml"]["target_module"] is None
+    assert got["b.YML"]["title"] is None and got["a.yaml"]["mod_time"].endswith("Z") and len(got["a.yaml"]["mod_time"]) == 20
+    assert io.yaml_listing(spark, str(tmp_path / "nowhere")).count() == 0

@@ -54,7 +54,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, which keep connectivity and end as
     stars around the least nodes; each round is written to the shared folder. Minima
-    are aggregated before rows meet, so that a hub is never collected in one task.
+    are aggregated before rows meet; what joins them still meets by node, so that the
+    links of a hub are joined in one task (unless Spark splits the join).
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None

@@ -9,8 +9,8 @@ with another run on one side of the anchor as far as a shared window must, goes,
 each, to shards by anchor. A shard sorts its suffixes by Larsson-Sadakane refinement
 and reads common prefixes off Kasai's array. An anchor with more content than a
 shard takes is dealt to several; their window digests, each shard's equal ones
-merged, meet in ranges of digests and are found there by binary search. No window
-is dropped, sampled or judged twice.
+merged, meet in parts by a hash of the digest, where they are sorted and found by
+binary search. No window is dropped, sampled or judged twice.
 
 Two rules: by the first, every byte goes that is covered by a window which also
 starts anywhere else. With ``keep_first``, the first place of each window (by row,
@@ -306,7 +306,7 @@ def repeats(held: DataFrame, width: int = 400, keep_first: bool = False, shard_b
     judged = staged(pieces.groupBy("shard").applyInArrow(judge, "rid long, first long, last long, digest binary, sure boolean"), "judged")
 
     def meet(batches):
-        """Digests of a range, sorted; those found twice are repeated, in all shards that hold them (but for the first)."""
+        """Digests of a part, sorted; those found twice are repeated, in all shards that hold them (but for the first)."""
         held_ = list(batches)
         if not sum(b.num_rows for b in held_):
             return

@@ -11,7 +11,8 @@ score of the bias; rows repeat as given; without labelled rows of both classes
 every score is 0; null labels and labels of unknown documents are not learned
 from; of labelled documents that share an id the least text is learned; equally bad
 sentences: the first one is named; very long texts are read whole; other columns,
-whatever their names, are never read, but ``predict`` replaces those it adds.
+whatever their names, are never read, but ``predict`` replaces those it adds; a score
+of exactly 0.5 is toxic; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -33,9 +33,9 @@ SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 1500, 32, 15, 8
 #: Classes of bytes: a-z one each, then A-Z, digits, space, breaks, beyond ASCII, and kinds of punctuation.
 KINDS = 37
 #: Places that words are hashed to; and the weight of words beside that of pairs.
-WORDS, WORD_WEIGHT = 1024, 0.5
-#: Distinct words whose places a worker remembers.
-REMEMBERED = 500_000
+WORDS, WORD_WEIGHT = 256, 0.5
+#: Distinct words whose places a worker remembers, and documents that are scored together.
+REMEMBERED, BLOCK = 100_000, 200
 
 
 def _classes() -> np.ndarray:
@@ -49,16 +49,16 @@ def _classes() -> np.ndarray:
 
 
 _KIND = _classes()
-_PLACES: dict[str, int] = {}
 
 
 def places(words: list[str]) -> list[int]:
     """The place of each word."""
-    if len(_PLACES) > REMEMBERED:
-        _PLACES.clear()
-    for w in set(words).difference(_PLACES):
-        _PLACES[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
-    return list(map(_PLACES.__getitem__, words))
+    known = kept_in_worker("quality")
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS
+    return list(map(known.__getitem__, words))
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -141,7 +141,8 @@ def predict(docs: DataFrame, space: Space | None) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             score = np.full(len(texts), 0.5)
             if held.value is not None and texts:
-                score = held.value.score(np.array([terms(t) for t in texts]))
+                blocks = (texts[k : k + BLOCK] for k in range(0, len(texts), BLOCK))
+                score = np.concatenate([held.value.score(np.array([terms(t) for t in own])) for own in blocks])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)

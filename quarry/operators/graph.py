@@ -107,9 +107,10 @@ def blast(symbols: DataFrame, edges: DataFrame, boundaries: DataFrame, roots: Da
         if holds is not None:  # what the way's last symbol rules out
             rows = rows.join(holds, "id", "left").withColumn("ruled", F.when(F.col("holds").isNull(), F.col("ruled")).otherwise(F.array_sort(F.array_union("ruled", "holds"))))
             rows = rows.groupBy("root_id", "id", "ruled").agg(*ways)
-        for before in levels:
-            rows = rows.join(before.select("root_id", "id", "ruled"), ["root_id", "id", "ruled"], "left_anti")
-            rows = rows.join(before.where(F.size("ruled") == 0).select("root_id", "id"), ["root_id", "id"], "left_anti")
+        if levels:
+            before = reduce(DataFrame.unionByName, [f.select("root_id", "id", "ruled") for f in levels])
+            rows = rows.join(before.where(F.size("ruled") == 0), ["root_id", "id"], "left_anti")
+            rows = rows if options.strict else rows.join(before, ["root_id", "id", "ruled"], "left_anti")
         levels.append(written(rows.withColumn("depth", F.lit(depth)), "frontier"))
         if depth > 2 and levels[-1].isEmpty():
             break

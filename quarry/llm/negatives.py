@@ -235,7 +235,7 @@ def mine(vectors: DataFrame, anchor: Column | None = None, label: Column | None
     rows = quantised(vectors, F.col("label") if label is None else label, scale)
     blocks = Blocks(rows)
     anchors = rows if anchor is None else rows.where(anchor)
-    bound = F.lit(int(blocks.square)).cast("long")
+    bound = F.lit(blocks.square + blocks.square // 1_000_000 + 1).cast("long")  # no score is greater; the square is rounded
     first = blocks.best(anchors, anchors.select("rid", F.lit(0).alias("w"), (-bound).alias("low"), bound.alias("high")), positives, same=True)
     first = staged(first.select("rid", F.col("rank").alias("w"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     score = F.col("positive_score").cast("decimal(25,0)")

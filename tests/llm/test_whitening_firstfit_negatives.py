@@ -195,7 +195,7 @@ def test_scores_are_exact():
 
 def test_blocks_meet_without_broadcast(spark):
     """Copies of the anchors for each block of rows are not sent to the driver, however small their table seems."""
-    rows = negatives.quantised(vectors(spark, [(k, k % 2, [float(k), 1.0]) for k in range(20)]), F.col("label"), 1)
+    rows = negatives.quantised(vectors(spark, [(k, [float(k), 1.0], k % 2) for k in range(20)]), F.col("label"), 1)
     held = rows.select("rid", *[F.lit(v).cast(t).alias(c) for c, t, v in (("w", "int", 0), ("low", "long", 0), ("high", "long", 9), ("top", "long", 9), ("id_low", "long", 0), ("id_high", "long", 9), ("above", "long", 0), ("settled", "boolean", False))])
     plan = negatives.Blocks(rows).pairs(rows, 20, held)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [dim" in plan

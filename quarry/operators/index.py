@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chunk_id, path_suffixes, sha256_text, truncate_bytes
+from ..sources.scratch import written
 from .skew import salted_join
 
 
@@ -74,6 +76,20 @@ def enriched(chunks: DataFrame, body_bytes: int = 2000) -> DataFrame:
     return rows.withColumn("body", truncate_bytes(F.col("body"), body_bytes))
 
 
+def _calls(chunks: DataFrame) -> DataFrame:
+    """Calls with their caller; ``wide``: the call means any directory."""
+    calls = chunks.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"), F.posexplode("calls").alias("pos", "c"))
+    calls = calls.select("caller_id", "pos", "caller", "caller_file", F.col("c.name").alias("name"), F.coalesce("c.package", F.lit("")).alias("package"))
+    return calls.withColumn("wide", (F.col("package") == "") | F.contains("caller_file", F.col("package")))
+
+
+def _targets(chunks: DataFrame) -> DataFrame:
+    """Named Go chunks with their directory."""
+    cut = F.regexp_replace("file_path", "/?[^/]*$", "")
+    go = chunks.where((F.col("language") == "go") & (F.coalesce("name", F.lit("")) != ""))
+    return go.select("id", "name", F.when(cut == "", F.lit(".")).otherwise(cut).alias("directory"))
+
+
 def reverse_call_edges(chunks: DataFrame) -> DataFrame:
     """``id, caller_id, pos, by``: a row for each call and each chunk that it may mean (``id, name, file_path, calls``).
 
@@ -82,17 +98,12 @@ def reverse_call_edges(chunks: DataFrame) -> DataFrame:
     carries the call's package and its own file, once for each call. A name that very many chunks bear and call is
     dealt to many tasks.
     """
-    calls = chunks.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"), F.posexplode("calls").alias("pos", "c"))
-    calls = calls.select("caller_id", "pos", "caller", "caller_file", F.col("c.name").alias("name"), F.coalesce("c.package", F.lit("")).alias("package"))
-    cut = F.regexp_replace("file_path", "/?[^/]*$", "")
-    directory = F.when(cut == "", F.lit(".")).otherwise(cut)
-    go = chunks.where((F.col("language") == "go") & (F.coalesce("name", F.lit("")) != ""))
-    places = go.select("id", "name", F.explode(path_suffixes(directory)).alias("package"))
+    calls, go = _calls(chunks), _targets(chunks)
+    places = go.select("id", "name", F.explode(path_suffixes(F.col("directory"))).alias("package"))
     deal = ["caller_id", "pos"]
     # what means any directory would meet its own again among the near ones
-    wide = (F.col("package") == "") | F.contains("caller_file", F.col("package"))
-    near = salted_join(calls.where(~wide), places.distinct(), ["name", "package"], deal)
-    anywhere = salted_join(calls.where(wide), go.select("id", "name"), ["name"], deal)
+    near = salted_join(calls.where("not wide"), places.distinct(), ["name", "package"], deal)
+    anywhere = salted_join(calls.where("wide"), go.select("id", "name"), ["name"], deal)
     hit = near.unionByName(anywhere).where("id <> caller_id")
     return hit.select("id", "caller_id", "pos", F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file")).alias("by"))
 
@@ -104,6 +115,37 @@ def reverse_calls(chunks: DataFrame, parts: int = 64) -> DataFrame:
     return some.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("by"))).alias("called_by"))
 
 
+def reverse_callers(chunks: DataFrame, entry: Callable[[Column], Column], parts: int = 64) -> DataFrame:
+    """``id, callers``: the distinct entries of each chunk's callers, in order. ``entry`` makes one of the caller as
+    ``reverse_calls`` lists it (``name, package, file``).
+
+    Callers that make the same entry meet the chunks of one name and directory once, so pairs of callers and chunks
+    are never made: the work follows distinct entries and the result. An entry that one caller alone makes bears the
+    caller's id, and is left out for that chunk itself.
+    """
+    by = F.struct(F.col("caller").alias("name"), "package", F.col("caller_file").alias("file"))
+    calls = _calls(chunks).where("caller_id is not null").select("name", "wide", F.when(~F.col("wide"), F.col("package")).alias("package"), entry(by).alias("entry"), "caller_id")
+    calls = calls.groupBy("name", "wide", "package", "entry").agg(F.min("caller_id").alias("low"), F.max("caller_id").alias("high"))
+    go = _targets(chunks).where("id is not null").withColumn("directory", F.coalesce("directory", F.lit("")))  # no directory is empty otherwise
+    places = go.select("name", "directory").distinct()
+    near = salted_join(calls.where("not wide"), places.where("directory <> ''").select("*", F.explode(path_suffixes(F.col("directory"))).alias("package")).distinct(), ["name", "package"], ["entry"])
+    anywhere = salted_join(calls.where("wide").drop("package"), places, ["name"], ["entry"])
+    at = ["name", "directory"]
+    hit = near.drop("package").unionByName(anywhere).groupBy(*at, "entry").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hit = hit.select(*at, F.struct("entry", F.when(F.col("low") == F.col("high"), F.col("low")).alias("sole")).alias("e"))
+    some = hit.groupBy(*at, F.pmod(F.xxhash64("e.entry"), F.lit(parts)).alias("_part")).agg(F.collect_list("e").alias("e"))
+    held = some.groupBy(*at).agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    lists = written(held.select(*at, F.col("e.entry").alias("callers"), F.filter("e", lambda e: e["sole"].isNotNull()).alias("soles")), "callers")
+    # an id that several chunks bear gets the callers of all
+    ids = written(go.groupBy("id").agg(F.collect_set(F.struct(*at)).alias("at")), "called")
+    own = F.transform(F.filter("soles", lambda e: e["sole"] == F.col("id")), lambda e: e["entry"])
+    callers = F.when(F.exists("soles", lambda e: e["sole"] == F.col("id")), F.array_except("callers", own)).otherwise(F.col("callers"))
+    asked = lambda rows: salted_join(rows, lists, at, ["id"]).select("id", callers.alias("callers")).where(F.size("callers") > 0)
+    one = asked(ids.where("size(at) = 1").select("id", F.col("at")[0]["name"].alias("name"), F.col("at")[0]["directory"].alias("directory")))
+    several = asked(ids.where("size(at) > 1").select("id", F.inline("at")))
+    return one.unionByName(several.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("callers")))).alias("callers")))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 

@@ -126,6 +126,21 @@ def _problem(broken: Column, rule: int, *place: Column | int, detail: Column | N
     return F.when(F.coalesce(broken, F.lit(False)), F.struct(at.alias("place"), F.lit(rule).alias("rule"), (F.lit(0) if detail is None else detail).alias("detail")))
 
 
+def _once(**columns: Column) -> Column:
+    """The columns as a generator, which Spark doesn't merge into what reads them: they are worked out once a row."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
+def _held(values: dict[str, Column], problems) -> Column:
+    """Problems of ``problems(values)``, where each value is worked out once; for lambdas, which hold no generator."""
+    return F.flatten(F.transform(F.array(F.struct(*[c.alias(name) for name, c in values.items()])), problems))
+
+
+def _stops(rows: DataFrame, key: str, problems: Column) -> DataFrame:
+    """``key, p``: the first problem of each row that has one, worked out once for all that is asked of it."""
+    return rows.select(key, F.explode(F.filter(F.array(_first(problems)), lambda p: p.isNotNull())).alias("p"))
+
+
 def _each(values: Column, problems) -> Column:
     """All problems of an array's elements: ``problems(element, index)`` gives lists of them."""
     return F.flatten(F.transform(values, problems))
@@ -143,10 +158,12 @@ def _before(values: Column, i: Column, value: Column) -> Column:
 def order_problems(order) -> Column:
     """What breaks a rule of ``work_orders`` in an order, with its place. ``order(field)`` is a field's column."""
     reqs, crits = _list(order("requirements")), _list(order("criteria"))
-    known, ids = F.transform(reqs, lambda r: _text(r["id"])), F.transform(crits, lambda c: _text(c["id"]))
-    named = F.flatten(F.transform(crits, lambda c: F.coalesce(c["requirement_ids"], F.array().cast("array<string>"))))
+    names = {
+        "known": F.transform(reqs, lambda r: _text(r["id"])), "ids": F.transform(crits, lambda c: _text(c["id"])),
+        "named": F.flatten(F.transform(crits, lambda c: F.coalesce(c["requirement_ids"], F.array().cast("array<string>")))),
+    }
 
-    def of_criterion(c: Column, i: Column) -> Column:
+    def of_criterion(c: Column, i: Column, known: Column, ids: Column) -> Column:
         refs, kind = F.coalesce(c["requirement_ids"], F.array().cast("array<string>")), F.trim(_text(c["kind"]))
         single = [(blank(c["id"]), 10), (_before(ids, i, _text(c["id"])), 11), (blank(c["description"]), 12), (c["required"].isNull(), 13), (kind == "", 14), (F.size(refs) == 0, 15), ((kind == "precheck") & blank(c["check"]), 16)]
         unknown = F.transform(refs, lambda r, j: _problem(~F.array_contains(known, _text(r)), 17, 9, i, len(single), j))
@@ -154,13 +171,13 @@ def order_problems(order) -> Column:
 
     head = [(_text(order("title")) == "", 1, 1), (_text(order("target_module")) == "", 2, 2), (~F.coalesce(order("type").isin(*ORDER_TYPES), F.lit(False)), 3, 3)]
     head += [(~order("schema_version").eqNullSafe(F.lit(ORDER_VERSION)), 5, 5), (F.size(reqs) == 0, 6, 6), (F.size(crits) == 0, 7, 7)]
-    return F.concat(
+    return _held(names, lambda n: F.concat(
         F.array(*[_problem(b, rule, place) for b, rule, place in head]),
         F.transform(_list(order("known_files")), lambda f, i: _problem(blank(f), 4, 4, i)),
-        _each(reqs, lambda r, i: F.array(_problem(blank(r["id"]), 8, 8, i, 0), _problem(_before(known, i, _text(r["id"])), 9, 8, i, 1))),
-        _each(crits, of_criterion),
-        F.transform(reqs, lambda r, i: _problem(~F.array_contains(named, _text(r["id"])), 18, 10, i)),
-    )
+        _each(reqs, lambda r, i: F.array(_problem(blank(r["id"]), 8, 8, i, 0), _problem(_before(n["known"], i, _text(r["id"])), 9, 8, i, 1))),
+        _each(crits, lambda c, i: of_criterion(c, i, n["known"], n["ids"])),
+        F.transform(reqs, lambda r, i: _problem(~F.array_contains(n["named"], _text(r["id"])), 18, 10, i)),
+    ))
 
 
 def first_order_errors(orders: DataFrame) -> DataFrame:
@@ -168,7 +185,7 @@ def first_order_errors(orders: DataFrame) -> DataFrame:
 
     Criteria are asked one by one, each for all its fields; ``place`` names the step and the elements it was at.
     """
-    return orders.select("order_id", _first(order_problems(F.col)).alias("p")).where("p is not null").select("order_id", "p.rule", "p.place")
+    return _stops(orders, "order_id", order_problems(F.col)).select("order_id", "p.rule", "p.place")
 
 
 #: The only version of a plan document (fixed value).
@@ -190,13 +207,13 @@ def first_document_errors(plans: DataFrame) -> DataFrame:
     order, whose requirements have texts too. ``detail`` is the work order's rule where that is the error. What names
     requirements is only asked where the plan lists some. A plan is one row, so nothing is shuffled.
     """
-    reqs, epics = items("requirements"), items("epics")
-    req_ids, epic_ids = F.transform(reqs, lambda r: _text(r["id"])), F.transform(epics, lambda e: _text(e["id"]))
-    epic_refs = F.transform(epics, lambda e: F.trim(_text(e["epic_ref"])))
-    rows = plans.select("plan_id", "version", reqs.alias("reqs"), epics.alias("epics"), req_ids.alias("req_ids"), epic_ids.alias("epic_ids"), epic_refs.alias("epic_refs"))
+    rows = plans.select("plan_id", _once(version=F.col("version"), reqs=items("requirements"), epics=items("epics")))
     tasks = F.flatten(F.transform("epics", lambda e, i: F.transform(_list(e["tasks"]), lambda t, j: F.struct(t.alias("t"), i.alias("i"), j.alias("j"), _text(e["id"]).alias("epic")))))
-    rows = rows.withColumn("tasks", tasks)
-    rows = rows.withColumns({"task_ids": F.transform("tasks", lambda x: _text(x["t"]["id"])), "task_refs": F.transform("tasks", lambda x: F.trim(_text(x["t"]["task_ref"])))})
+    rows = rows.select("*", _once(
+        req_ids=F.transform("reqs", lambda r: _text(r["id"])), epic_ids=F.transform("epics", lambda e: _text(e["id"])),
+        epic_refs=F.transform("epics", lambda e: F.trim(_text(e["epic_ref"]))), tasks=tasks,
+    ))
+    rows = rows.select("*", _once(task_ids=F.transform("tasks", lambda x: _text(x["t"]["id"])), task_refs=F.transform("tasks", lambda x: F.trim(_text(x["t"]["task_ref"])))))
     listed = F.size("req_ids") > 0
 
     def index(ids: str, value: Column) -> Column:
@@ -213,8 +230,9 @@ def first_document_errors(plans: DataFrame) -> DataFrame:
         single = [(index("task_ids", _text(t["id"])) < n, 16, 1), (blank(t["epic_id"]), 17, 2), (_text(t["epic_id"]) != x["epic"], 18, 3), (~t["schema_version"].eqNullSafe(F.lit(ORDER_VERSION)), 19, 4)]
         heads = F.array(*[_problem(b, rule, *at, step, detail=F.lit(5) if rule == 19 else None) for b, rule, step in single])
         order = _first(order_problems(lambda c: t[c]))
+        broken = F.transform(F.array(order), lambda p: _problem(p.isNotNull(), 19, *at, 5, detail=p["rule"]))
         named = _each(_list(t["requirements"]), lambda r, k: F.array(_problem(listed & (index("req_ids", _text(r["id"])) < 0), 20, *at, 6, k, 0), _problem(listed & _other_text(r), 21, *at, 6, k, 1)))
-        return F.concat(heads, F.array(_problem(order.isNotNull(), 19, *at, 5, detail=order["rule"])), named)
+        return F.concat(heads, broken, named)
 
     def _other_text(r: Column) -> Column:
         held = F.filter("reqs", lambda p: _text(p["id"]) == _text(r["id"]))
@@ -235,13 +253,14 @@ def first_document_errors(plans: DataFrame) -> DataFrame:
         _each(F.col("tasks"), lambda x, n: order_of("task_ids", x["t"]["depends_on"], n, 8, 24, 25)),
     )
     message = F.element_at(F.create_map(*[F.lit(v) for kv in DOCUMENT_RULES.items() for v in kv]), F.col("p.rule"))
-    return rows.select("plan_id", _first(found).alias("p")).where("p is not null").select("plan_id", "p.rule", "p.detail", "p.place", message.alias("message"))
+    return _stops(rows, "plan_id", found).select("plan_id", "p.rule", "p.detail", "p.place", message.alias("message"))
 
 
 def first_epic_response_errors(responses: DataFrame) -> DataFrame:
     """``response_id, rule, place``: the rule of ``epic_responses`` that a check of each response stops at, epic by epic."""
-    reqs, epics = items("requirements"), items("epics")
-    known, refs = F.transform(reqs, lambda r: _text(r["id"])), F.transform(epics, lambda e: _text(e["epic_ref"]))
+    rows = responses.select("response_id", _once(reqs=items("requirements"), epics=items("epics")))
+    rows = rows.select("*", _once(known=F.transform("reqs", lambda r: _text(r["id"])), refs=F.transform("epics", lambda e: _text(e["epic_ref"]))))
+    reqs, epics, known, refs = map(F.col, ("reqs", "epics", "known", "refs"))
 
     def of_epic(e: Column, i: Column) -> Column:
         single = [(blank(e["epic_ref"]), 4), (_before(refs, i, _text(e["epic_ref"])), 5), (blank(e["title"]), 6), (blank(e["description"]), 7)]
@@ -253,7 +272,7 @@ def first_epic_response_errors(responses: DataFrame) -> DataFrame:
         _each(reqs, lambda r, i: F.array(_problem(blank(r["id"]), 2, 2, i, 0), _problem(_before(known, i, _text(r["id"])), 3, 2, i, 1))),
         _each(epics, of_epic),
     )
-    return responses.select("response_id", _first(found).alias("p")).where("p is not null").select("response_id", "p.rule", "p.place")
+    return _stops(rows, "response_id", found).select("response_id", "p.rule", "p.place")
 
 
 def first_task_response_errors(responses: DataFrame) -> DataFrame:
@@ -262,15 +281,17 @@ def first_task_response_errors(responses: DataFrame) -> DataFrame:
     Rule 4: a task can't be made a work order, ``detail`` being the work order's rule; its version is asked first.
     ``tasks`` have a ``task_ref`` and the fields of a work order.
     """
-    tasks = items("tasks")
-    refs = F.transform(tasks, lambda t: _text(t["task_ref"]))
+    rows = responses.select("response_id", _once(tasks=items("tasks")))
+    rows = rows.select("*", _once(refs=F.transform("tasks", lambda t: _text(t["task_ref"]))))
+    tasks, refs = F.col("tasks"), F.col("refs")
 
     def of_task(t: Column, i: Column) -> Column:
         order = _first(order_problems(lambda c: t[c]))
-        return F.array(
+        heads = F.array(
             _problem(blank(t["task_ref"]), 2, 2, i, 0), _problem(_before(refs, i, _text(t["task_ref"])), 3, 2, i, 1),
-            _problem(~t["schema_version"].eqNullSafe(F.lit(ORDER_VERSION)), 4, 2, i, 2, detail=F.lit(5)), _problem(order.isNotNull(), 4, 2, i, 3, detail=order["rule"]),
+            _problem(~t["schema_version"].eqNullSafe(F.lit(ORDER_VERSION)), 4, 2, i, 2, detail=F.lit(5)),
         )
+        return F.concat(heads, F.transform(F.array(order), lambda p: _problem(p.isNotNull(), 4, 2, i, 3, detail=p["rule"])))
 
     found = F.concat(F.array(_problem(F.size(tasks) == 0, 1, 1)), _each(tasks, of_task))
-    return responses.select("response_id", _first(found).alias("p")).where("p is not null").select("response_id", "p.rule", "p.detail", "p.place")
+    return _stops(rows, "response_id", found).select("response_id", "p.rule", "p.detail", "p.place")

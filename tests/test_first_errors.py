@@ -185,3 +185,11 @@ def test_first_plan_errors(spark):
     got = {r["plan_id"]: (r["task_id"], r["rule"]) for r in documents.first_plan_errors(needs, df, listing).collect()}
     assert got == {"a": ("t2", 3), "b": ("t1", 64), "c": ("t1", 6), "d": ("t2", 7), "e": ("t1", 5), "f": ("s", 8), "g": ("t2", 4)}
     assert "b" in {r["plan_id"] for r in documents.first_plan_errors(needs, df).where("rule = 6").collect()}
+
+
+def test_problems_are_worked_out_once(spark):
+    """What is asked of the first problem doesn't repeat the check in the plan; a task's order is checked once too."""
+    order = spark.createDataFrame([], f"order_id string, {FIELDS}")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(validation.first_order_errors(order)).count("array_min(") == 1
+    assert plan(validation.first_document_errors(spark.createDataFrame([], PLAN))).count("array_min(") == 2

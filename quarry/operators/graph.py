@@ -195,10 +195,14 @@ def unique_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 def qualified_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls (``call_id, module, name``): the first symbol of the name whose package starts with the module, at 0.7.
 
-    First by ``ord``, the order of extraction, where symbols have one; else by id.
+    First by ``ord``, the order of extraction, where symbols have one; else by id. Of a name and a package's head one
+    symbol is left before calls meet it, so a call makes one row at most.
     """
     order = F.col("ord") if "ord" in symbols.columns else F.col("id")
-    rows = calls.join(symbols.select("name", "package", F.struct(order.alias("ord"), F.col("id").alias("target_id")).alias("_hit")), "name").where(F.col("package").startswith(F.col("module")))
+    first = symbols.groupBy("name", "package").agg(F.min(F.struct(order.alias("ord"), F.col("id").alias("target_id"))).alias("_hit"))
+    heads = F.transform(F.sequence(F.lit(0), F.length("package")), lambda n: F.col("package").substr(F.lit(1), n))
+    heads = first.select("name", F.explode(heads).alias("module"), "_hit").groupBy("name", "module").agg(F.min("_hit").alias("_hit"))
+    rows = calls.join(heads, ["name", "module"])
     held = [c for c in calls.columns if c not in ("call_id", "name")]
     out = rows.groupBy("call_id", "name").agg(*[F.first(c).alias(c) for c in held], F.min("_hit").alias("_hit"))
     return out.withColumns({"target_id": F.col("_hit.target_id"), "confidence": F.lit(0.7)}).drop("_hit")

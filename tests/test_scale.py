@@ -226,3 +226,14 @@ def test_layouts(spark):
     assert got == {"a.go": "=== RELATIONSHIP CONTEXT ===\nFunction: G\n  Called by: F\n  Implements: I, J\n\nFunction: F\n  Calls: g (p), h\n  Types used: T\n\n"}
 
 
+
+
+def test_calls_meet_one_symbol_of_a_head(spark):
+    """Heads of packages, an empty module, nulls, characters beyond the BMP; calls and symbols meet by name and head."""
+    symbols = [(f"s{k:02d}", "f" if k % 3 else "g", ("pkg", "pkg/a", "p\U0001f600q", "", None)[k % 5]) for k in range(40)]
+    calls = [(k, name, module) for k, (name, module) in enumerate([(n, m) for n in ("f", "g", "h", None) for m in ("", "pkg", "pkg/", "p\U0001f600", "q", None)])]
+    df = graph.qualified_names(spark.createDataFrame(calls, "call_id int, name string, module string"), spark.createDataFrame(symbols, "id string, name string, package string"))
+    want = {k: min(found) for k, n, m in calls if m is not None and (found := [i for i, name, p in symbols if name == n and p is not None and p.startswith(m)])}
+    assert {r["call_id"]: r["target_id"] for r in df.collect()} == want
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "module#" in joins[0] and "startswith" not in joins[0].lower()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import json
 import os
 import re
@@ -192,6 +194,11 @@ def language_of(path: Column) -> Column:
     return out
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_path(path: Column) -> Column:
     """The shortest path of the same place: empty and ``.`` segments go, ``..`` takes the segment before it along; ``.`` if nothing is left."""
 
@@ -203,14 +210,14 @@ def clean_path(path: Column) -> Column:
     parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
     parts = F.when(rooted, F.filter(parts, lambda p: p != "..")).otherwise(parts)
     joined = F.array_join(parts, "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+    return once(joined, lambda j: F.when(rooted, F.concat(F.lit("/"), j)).when(j == "", ".").otherwise(j))
 
 
 def file_set(paths: Column) -> Column:
     """Trimmed, cleaned, sorted paths in one text; empty for fewer than two. A path named twice counts twice."""
     named = F.filter(F.transform(paths, lambda p: F.trim(p)), lambda p: p != "")
     clean = F.array_sort(F.transform(named, clean_path))
-    return F.when(F.size(clean) < 2, F.lit("")).otherwise(F.array_join(clean, "|"))
+    return once(clean, lambda c: F.when(F.size(c) < 2, F.lit("")).otherwise(F.array_join(c, "|")))
 
 
 def human_duration(seconds: Column) -> Column:

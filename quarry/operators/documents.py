@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_path, criterion_key, file_set, result_kind, test_base
+from ..functions.scalar import clean_path, criterion_key, file_set, once, result_kind, test_base
 from .scans import row_numbers, scanned
 
 
@@ -100,7 +100,7 @@ def stripped_share(paths: DataFrame, listing: DataFrame, threshold: float = 0.5)
 
 def _later_twins(tasks: DataFrame, name: Column, of: list[str]) -> DataFrame:
     """Tasks whose ``name`` an earlier one (by ``ord``) bears too; a null name is no name."""
-    rows = tasks.withColumn("_name", name).where("_name is not null")
+    rows = tasks.select(*of, "task_id", "ord", F.explode(F.array(name)).alias("_name")).where("_name is not null")  # worked out once a row
     first = rows.groupBy(*of, "_name").agg(F.min("ord").alias("_first"))
     return rows.join(first, [*of, "_name"]).where("ord > _first").drop("_name", "_first")
 
@@ -117,7 +117,7 @@ def task_violations(tasks: DataFrame, max_files: int = 8, max_criteria: int = 12
     def rule(n: int, rows: DataFrame, message: str, pos: Column | None = None) -> DataFrame:
         return rows.select(*of, "task_id", F.lit(n).alias("rule"), F.lit(message).alias("message"), F.col("ord").cast("long").alias("ord"), (F.lit(0) if pos is None else pos).cast("int").alias("pos"))
 
-    files = F.nullif(file_set(F.col("known_files")), F.lit(""))
+    files = once(file_set(F.col("known_files")), lambda s: F.nullif(s, F.lit("")))
     deps = tasks.select(*of, "task_id", "ord", F.posexplode("depends_on").alias("_pos", "dep"))
     earlier = tasks.groupBy(*of, F.col("task_id").alias("dep")).agg(F.max("ord").alias("dep_ord"))
     late = deps.join(earlier, [*of, "dep"], "left").where("dep_ord is null or dep_ord >= ord")

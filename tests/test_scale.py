@@ -237,3 +237,10 @@ def test_calls_meet_one_symbol_of_a_head(spark):
     assert {r["call_id"]: r["target_id"] for r in df.collect()} == want
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert len(joins) == 1 and "module#" in joins[0] and "startswith" not in joins[0].lower()
+
+
+def test_file_sets_are_worked_out_once(spark):
+    """A task's file set is cleaned once for the first of each set and once for the tasks that come later."""
+    tasks = spark.createDataFrame([], "task_id string, title string, known_files array<string>, criteria array<string>, requirements array<string>, depends_on array<string>, ord int")
+    plan = documents.task_violations(tasks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(split(") == 2 * 2  # of a rooted path and of another one

@@ -256,3 +256,36 @@ def test_listing_of_yaml_files(spark, tmp_path):
     assert set(got) == {"a.yaml", "b.YML"} and got["a.yaml"]["size_bytes"] == 24 and got["a.yaml"]["title"] == "Do it" and got["a.yaml"]["target_module"] is None
     assert got["b.YML"]["title"] is None and got["a.yaml"]["mod_time"].endswith("Z") and len(got["a.yaml"]["mod_time"]) == 20
     assert io.yaml_listing(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_a_key_takes_three_calls_to_the_state():
+    """Counts, last result and timer are one value: read, written, and one timer set; the later result stays."""
+    import pandas as pd
+
+    calls = []
+
+    class Fake:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name == "update":
+                    Fake.value = a[0]
+                return Fake.value if name == "get" else Fake.value is not None
+
+            return call
+
+    class Handle(Fake):
+        def getValueState(self, *a):
+            return Fake()
+
+    fold = folds.StreamFold(1000)
+    fold.init(Handle())
+    rows = [(5, 1, "tool_use", "a", 0), (6, 2, "result", "", 7), (7, 3, "tool_use", "a", 0), (8, 4, "result", "", 9)]
+    names = ["at_ms", "seq", "type", "tool", "tokens_in"]
+    frame = pd.DataFrame(rows, columns=names).assign(tokens_out=1, model="m", cost_usd=0.5, session_id="s")
+    (out,) = fold.handleInputRows(("k",), iter([frame]), None)
+    assert calls == ["get", "registerTimer", "update"]
+    (out,) = fold.handleInputRows(("k",), iter([frame.head(3)]), None)
+    assert out.iloc[0].tolist() == ["k", {"a": 4}, 9, 1, "m", 0.5, "s", False] and calls[3:] == ["get", "update"]

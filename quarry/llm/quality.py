@@ -3,7 +3,8 @@
 A text's terms are its words, by a hash to ``WORDS`` places, pairs of adjacent
 characters, in classes of characters (letters singly, others by kind), and four
 measures of repetition. Weighted terms of a bounded, labelled sample (``SAMPLE`` a
-class) give a truncated SVD; every document
+class) give a truncated SVD, by steps of a block of vectors: the driver holds the
+sample compressed, a block of its terms and one square matrix. Every document
 is projected to it, and the exact cosines to all sample vectors, in blocks of
 documents, weight the votes of the nearest ``NEIGHBOURS``.
 
@@ -34,6 +35,8 @@ SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 1500, 32, 15, 8
 KINDS = 37
 #: Places that words are hashed to; and the weight of words beside that of pairs.
 WORDS, WORD_WEIGHT = 256, 0.5
+#: Vectors beyond ``DIMENSIONS`` that steps of the SVD carry, and the most steps.
+SPARE, STEPS = 32, 400
 #: Distinct words whose places a worker remembers, and documents that are scored together.
 REMEMBERED, BLOCK = 100_000, 200
 
@@ -74,15 +77,49 @@ def terms(text: str | None) -> np.ndarray:
     return np.concatenate([pairs, own, [same, second, (1 - len(set(words)) / n) / 2 if words else 0, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0]])
 
 
-class Space:
-    """Weights, projection and labelled vectors; bounded by the sample."""
+def packed(counts: np.ndarray) -> bytes:
+    """The terms of one text, few of which occur, as the driver keeps them."""
+    return zlib.compress(counts.astype("<f4").tobytes(), 1)
+
+
+def leading_axes(square: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` leading eigenvectors of a symmetric matrix without negative eigenvalues, as columns.
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
-        self.idf = [np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1 for tf in self._parts(counts)]
-        weighted = self._weighted(counts)
-        values, vectors = np.linalg.eigh(weighted.T @ weighted)
-        self.axes = vectors[:, np.argsort(-values, kind="stable")[:DIMENSIONS]]
-        self.known, self.labels, self.share = self._unit(weighted @ self.axes), labels, float(labels.mean())
+    A block of vectors is multiplied and made orthonormal until the leading eigenvalues stay as they are.
+    No copy of the matrix is made, which ``eigh`` takes several of.
+    """
+    size = len(square)
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, min(size, n + SPARE))))[0]
+    before = np.zeros(0)
+    for _ in range(STEPS):
+        moved = square @ q
+        values, turn = np.linalg.eigh(q.T @ moved)
+        order = np.argsort(-values, kind="stable")[:n]
+        if len(before) and np.abs(values[order] - before).max() <= 1e-14 * max(values[order[0]], 1e-300):
+            break
+        before = values[order]
+        q = np.linalg.qr(moved)[0]
+    return q @ turn[:, order]
+
+
+class Space:
+    """Weights, projection and labelled vectors; bounded by the sample (``packed`` terms of each row)."""
+
+    def __init__(self, rows: list[bytes], labels: np.ndarray):
+        def blocks():
+            for k in range(0, len(rows), BLOCK):
+                yield np.stack([np.frombuffer(zlib.decompress(r), "<f4") for r in rows[k : k + BLOCK]]).astype(np.float64)
+
+        having = sum((c > 0).sum(0) for c in blocks())
+        self.idf = [np.log((1 + len(rows)) / (1 + n)) + 1 for n in (having[: KINDS * KINDS], having[KINDS * KINDS : -4])]
+        square = np.zeros((len(having), len(having)))
+        for c in blocks():
+            w = self._weighted(c)
+            for k in range(0, len(square), BLOCK):  # a product of its own would be as large as the matrix
+                square[k : k + BLOCK] += w[:, k : k + BLOCK].T @ w
+        self.axes = leading_axes(square, DIMENSIONS)
+        self.known = np.concatenate([self._unit(self._weighted(c) @ self.axes) for c in blocks()])
+        self.labels, self.share = labels, float(labels.mean())
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,16 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | N
 
     def run(batches):
         for b in batches:
-            rows = [terms(t).tolist() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], names=["d", "label", "terms"])
+            rows = [packed(terms(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["d", "label", "terms"])
 
     rows = texts_of(docs, chosen)
-    got = rows.select(F.col("doc_id").cast("string").alias("d"), "label", "text").mapInArrow(run, "d string, label int, terms array<float>").toArrow()
+    got = rows.select(F.col("doc_id").cast("string").alias("d"), "label", "text").mapInArrow(run, "d string, label int, terms binary").toArrow()
     if not got.num_rows:
         return None
-    counts = np.array(got.column("terms").combine_chunks().flatten()).reshape(got.num_rows, -1)
     order = np.lexsort((got.column("label").to_numpy(), np.array(got.column("d").to_pylist())))
-    return Space(counts[order].astype(np.float64), got.column("label").to_numpy()[order].astype(np.float64))
+    counts = got.column("terms").to_pylist()
+    return Space([counts[k] for k in order.tolist()], got.column("label").to_numpy()[order].astype(np.float64))
 
 
 def predict(docs: DataFrame, space: Space | None) -> DataFrame:

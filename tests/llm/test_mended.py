@@ -123,3 +123,27 @@ def test_leading_axes():
         got = quality.leading_axes(x.T @ x, n)
         assert np.allclose(got.T @ got, np.eye(n)) and np.linalg.svd(vectors[:, ::-1][:, :n].T @ got)[1].min() > 1 - 1e-6
     assert quality.leading_axes(np.zeros((6, 6)), 4).shape == (6, 4)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_marks_and_after_line_breaks_are_known(name):
+    """Of known words only new marks go to the library; before, each word went again with its marks. Long
+    pieces and a full table change nothing."""
+    from tokenizers import Tokenizer
+
+    from quarry.llm import tokens
+
+    plain, asked = Tokenizer.from_file(vocabulary(name)), []
+    own = tokens.WordEncoder(vocabulary(name), 40)
+    learn = own._learn
+    own._learn = lambda words, after, into: (asked.extend(words), learn(words, after, into))
+    texts = ["one alpha béta gamma\\nalpha\\ngamma".replace("\\n", "\n"), "one alpha!! béta&&& gamma.\ngamma###\nalpha,", "one " + "q" * 70 + " alpha?? béta!!", *(f"one w{k} alpha!!\nw{k}" for k in range(60))]
+    for k, t in enumerate(texts):
+        asked.clear()
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        if k == 1:
+            assert set(asked) == {"!!", "&&&", ".", "###", ","}
+        if k == 2:
+            assert set(asked) == {"q" * 70, "??"}
+    assert len(own.known.number) == len(own.known.sizes) == 40 and "q" * 70 not in own.known.number
+    assert own.encode([]) == [] and own.encode([None, ""]) == [b"", b""]

@@ -147,3 +147,35 @@ def test_words_with_marks_and_after_line_breaks_are_known(name):
             assert set(asked) == {"q" * 70, "??"}
     assert len(own.known.number) == len(own.known.sizes) == 40 and "q" * 70 not in own.known.number
     assert own.encode([]) == [] and own.encode([None, ""]) == [b"", b""]
+
+
+def test_windows_are_equal_only_if_their_bytes_are():
+    """Random repetitive pieces against a dictionary of windows; before, some unequal windows got one number."""
+    from quarry.llm import suffix
+
+    rng = random.Random(5)
+    for case in range(400):
+        width = rng.choice([6, 11, 12, 17, 23, 40])
+        some = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30))) for _ in range(4)]
+        pieces = [b"".join(rng.choice(some) for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+        pieces = [p for p in pieces if len(p) >= width] or [b"a" * width]
+        seen: dict[bytes, int] = {}
+        want = [seen.setdefault(p[k : k + width], len(seen)) for p in pieces for k in range(len(p) - width + 1)]
+        got: dict[int, int] = {}
+        assert [got.setdefault(x, len(got)) for x in suffix.classes(pieces, width).tolist()] == want, case
+
+
+def test_long_pieces_are_walked_in_parts(monkeypatch):
+    """A piece of 60,000 bytes is no walk of 60,000 steps, as before."""
+    from quarry.llm import suffix
+
+    walks, plain = [], suffix.common_prefixes
+    monkeypatch.setattr(suffix, "common_prefixes", lambda text, order, starts, lengths, most: walks.append(lengths.max()) or plain(text, order, starts, lengths, most))
+    rng = random.Random(6)
+    some = [rng.randbytes(700).replace(b"\xff", b"x") for _ in range(20)]
+    pieces = [b"".join(rng.choice(some) for _ in range(90)), *some]
+    seen: dict[bytes, int] = {}
+    want = [seen.setdefault(p[k : k + 400], len(seen)) for p in pieces for k in range(len(p) - 399)]
+    got: dict[int, int] = {}
+    assert [got.setdefault(x, len(got)) for x in suffix.classes(pieces, 400).tolist()] == want
+    assert max(walks) <= 1000

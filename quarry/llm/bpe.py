@@ -28,11 +28,11 @@ import base64
 import hashlib
 import heapq
 import json
-import struct
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +47,8 @@ IDS, REFS = 1 << 16, 1 << 24
 BLOCKS, LONG = 1000, 200
 #: Letters under this code point were letters in every edition of Unicode.
 _OLD = "ɐ"
-_ONE = struct.Struct("=i")
+#: Marks that make a word of their own after letters. No apostrophe (it makes one with letters).
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,11 +103,16 @@ class PairMap:
             self.offsets[left] = place - right
         self.entries = self.entries[: int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1]
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of two adjacent ids' token, null if there is none."""
-        entries, offsets = (F.from_json(F.lit(json.dumps(t.tolist())), kind) for t, kind in ((self.entries, "array<bigint>"), (self.offsets, "array<int>")))
-        found = F.get(entries, F.get(offsets, a) + b)
-        return F.when(F.shiftright(found, 16) == a, found.bitwiseAND(F.lit(65535)))
+    def key(self, a: Column, b: Column) -> Column:
+        """Under 65,536: the rank of two adjacent ids' token. Greater, or null: there is none.
+
+        The literals go to every task, element by element: free places are null, which takes the least
+        room, and each stands in the expression once.
+        """
+        entries = [None if e < 0 else e + IDS for e in self.entries.tolist()]  # left + 1, so that none is 0
+        offsets = [None if o >= len(entries) else o for o in self.offsets.tolist()]
+        held, starts = (F.from_json(F.lit(json.dumps(t)), kind) for t, kind in ((entries, "array<bigint>"), (offsets, "array<int>")))
+        return F.get(held, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint") + 1, 16))
 
 
 def merged(word: Column, table: PairMap) -> Column:
@@ -114,11 +120,11 @@ def merged(word: Column, table: PairMap) -> Column:
 
     def step(ids: Column, _: Column) -> Column:
         # ranks with their places in the low bits, so that the least one names both
-        ranked = F.transform(ids, lambda a, i: F.shiftleft(table.rank(a, F.get(ids, i + 1)), 16) + i)
+        ranked = F.transform(ids, lambda a, i: F.shiftleft(table.key(a, F.get(ids, i + 1)), 16) + i)
 
         def merge(least: Column) -> Column:
             at, rank = least.bitwiseAND(F.lit(65535)).cast("int"), F.shiftright(least, 16).cast("int")
-            return F.when(least.isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))))
+            return F.when(least < IDS << 16, F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids)))).otherwise(ids)
 
         return F.get(F.transform(F.array(F.array_min(ranked)), merge), F.lit(0))
 
@@ -152,9 +158,10 @@ def merged_long(ids: list[int], pairs: dict[int, dict[int, int]]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _planes(refs: bytes) -> bytes:
-    """The three low bytes of each reference, all lowest ones first: files take half the room."""
-    return np.frombuffer(refs, np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+def _planes(refs: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The three low bytes of each text's references, all lowest ones first: files take half the room."""
+    low, mid, high = ((refs >> shift).astype(np.uint8).tobytes() for shift in (0, 8, 16))
+    return [low[x:y] + mid[x:y] + high[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
@@ -166,14 +173,18 @@ ROWS = "block long, doc_id long, refs binary, number int, bytes array<tinyint>,
 _SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("refs", pa.binary()), ("number", pa.int32()), ("bytes", pa.list_(pa.int8())), ("ids", pa.list_(pa.int32()))])
 
 
-def _lists(parts_: list, kind: str) -> pa.ListArray:
+def _lists(parts_: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts_)]).astype(np.int32)
-    flat = np.frombuffer(b"".join(parts_), np.int8) if kind == "b" else np.array([x for p in parts_ for x in p], np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array([x for p in parts_ for x in p], np.int32)))
 
 
 class Cutter:
-    """Word references of texts: a token's id, or ``first`` plus the number of another word of this block."""
+    """Word references of texts: a token's id, or ``first`` plus the number of another word of this block.
+
+    Texts are cut at their spaces, and equal pieces of a batch found, in Arrow. A piece is resolved once a
+    block, and its references are laid out by position. Letters, marks after letters and line breaks
+    between them are told apart without the pattern.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -189,39 +200,85 @@ class Cutter:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[str, bytes | None] = {}
-        self.number: dict[str, int] = {}
+        self.known = dict(self.ranks)
+        self.words: list[str] = []  # in the order of their numbers
+        self.seen: dict[str, int] = {}  # pieces after a space, numbered
+        self.flat, self.ends = array("i"), array("q", [0])  # their references, one after the other
+        self.alone = bytearray()  # 0: the piece can't stand alone
 
     def ref(self, word: str) -> int:
-        r = self.ranks.get(word)
-        return self.first + self.number.setdefault(word, len(self.number)) if r is None else r
-
-    def refs(self, words: list[str]) -> bytes:
-        return array("i", map(self.ref, words)).tobytes()
-
-    def piece(self, p: str) -> bytes | None:
+        r = self.known.get(word)
+        if r is None:
+            self.known[word] = r = self.first + len(self.words)
+            self.words.append(word)
+        return r
+
+    def atom(self, p: str, lead: str) -> list[int]:
+        """References of a part with no white space at its ends, ``lead`` before it."""
+        core = p.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or max(core) < _OLD):
+            return [self.ref(lead + core)] if len(core) == len(p) else [self.ref(lead + core), self.ref(p[len(core) :])]
+        return list(map(self.ref, self.find(lead + p)))
+
+    def piece(self, p: str) -> list[int] | None:
         """References of what follows a single space; None if it can't stand alone."""
-        if p.isalpha() and (p.isascii() or max(p) < _OLD):
-            return _ONE.pack(self.ref(" " + p))
         if not p or p[0].isspace() or p[-1].isspace():
             return None
-        return self.refs(self.find(" " + p))
-
-    def cut(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        for p in set().union(*split).difference(self.seen):
-            self.seen[p] = self.piece(p)
-        get, out = self.seen.__getitem__, []
-        for t, head, s in zip(texts, heads, split):
-            try:
-                if head and head[-1].isspace():
-                    raise TypeError
-                out.append(self.refs(self.find(head)) + b"".join(map(get, s)))
-            except TypeError:  # a piece that can't stand alone
-                out.append(self.refs(self.find(t or "")))
+        if "\n" not in p:
+            return self.atom(p, " ")
+        lines = p.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return list(map(self.ref, self.find(" " + p)))
+        out = self.atom(lines[0], " ")
+        for x in lines[1:]:
+            out.append(self.ref("\n"))
+            out += self.atom(x, "")
         return out
 
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """References of all texts, one after the other, and where each text's begin, with the end (null: empty)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        split = pc.split_pattern(texts, " ")
+        bounds, code = np.asarray(split.offsets), split.values.dictionary_encode()
+        names, code = code.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(code.indices)
+        inner = np.ones(len(code), bool)
+        inner[bounds[:-1]] = False
+        used = np.flatnonzero(np.bincount(code[inner], minlength=len(names)))
+        pieces = [names[k] for k in used.tolist()]
+        seen, flat, ends, alone = self.seen, self.flat, self.ends, self.alone
+        for p in pieces:
+            if p not in seen:
+                seen[p] = len(seen)
+                if p.isalpha() and (p.isascii() or max(p) < _OLD):  # most are: no list for them
+                    flat.append(self.ref(" " + p))
+                    alone.append(1)
+                else:
+                    refs = self.piece(p)
+                    flat.extend(refs or ())
+                    alone.append(refs is not None)
+                ends.append(len(flat))
+        place = np.zeros(len(names), np.int64)
+        place[used] = list(map(seen.__getitem__, pieces))
+        at = place[code]
+        # openings, and texts with a piece that can't stand alone, are resolved one by one and numbered after the pieces
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(bounds, np.flatnonzero(inner)[np.frombuffer(bytes(alone), np.uint8)[at[inner]] == 0], "right") - 1] = True
+        opened = []
+        for k, c in enumerate(code[bounds[:-1]].tolist()):
+            head = names[c]
+            if whole[k] or head[-1:].isspace():
+                whole[k], head = True, texts[k].as_py()
+            opened.append(list(map(self.ref, self.find(head))))
+        at[bounds[:-1]] = len(seen) + np.arange(len(texts))
+        own = np.cumsum([len(flat), *map(len, opened)])
+        begin = np.concatenate([np.array(ends)[:-1], own[:-1]])
+        size = np.concatenate([np.diff(np.array(ends)), np.diff(own)])
+        n = size[at]
+        n[inner & np.repeat(whole, np.diff(bounds))] = 0
+        upto = np.append(0, np.cumsum(n))
+        every = np.concatenate([np.array(flat, np.int32), np.array([r for refs in opened for r in refs], np.int32)])
+        return every[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])], upto[bounds]
+
 
 def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int) -> DataFrame:
     """Rows of documents (``block, doc_id, refs``) and of the words they refer to (``block, number``, and
@@ -234,28 +291,32 @@ def _cut_to_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block
         at = TaskContext.get().partitionId() << 24
 
         def words():
-            raw = [w.encode("utf-8", "surrogatepass") for w in cutter.number]
-            if cutter.first + len(raw) > REFS:
-                raise ValueError(f"one text has {len(raw)} distinct words that are no tokens")
-            short = sorted((k for k, w in enumerate(raw) if len(w) <= LONG), key=raw.__getitem__)  # like words side by side pack well
-            for lo in range(0, len(short), 20_000):
-                own = short[lo : lo + 20_000]
-                yield batch(len(own), number=pa.array(own, pa.int32()), bytes=_lists([raw[k] for k in own], "b"))
-            long = [k for k, w in enumerate(raw) if len(w) > LONG]
+            if cutter.first + len(cutter.words) > REFS:
+                raise ValueError(f"one text has {len(cutter.words)} distinct words that are no tokens")
+            raw = pa.array(cutter.words, pa.large_string()).cast(pa.large_binary())
+            is_long = pc.greater(pc.binary_length(raw), LONG)
+            order = pc.sort_indices(raw)  # like words side by side pack well
+            order = order.filter(pc.invert(is_long.take(order)))
+            for lo in range(0, len(order), 20_000):
+                own = order[lo : lo + 20_000]
+                like = raw.take(own).cast(pa.binary())
+                _, ends, data = like.buffers()
+                flat = pa.Array.from_buffers(pa.int8(), len(data) if data else 0, [None, data])
+                yield batch(len(own), number=own.cast(pa.int32()), bytes=pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(own) + 1, [None, ends]), flat))
+            long = np.flatnonzero(np.asarray(is_long)).tolist()
             if long and not pairs:
                 pairs.update(mergeable(ranks))
             if long:
-                yield batch(len(long), number=pa.array(long, pa.int32()), ids=_lists([merged_long([single[b] for b in raw[k]], pairs) for k in long], "i"))
+                yield batch(len(long), number=pa.array(long, pa.int32()), ids=_lists([merged_long([single[b] for b in raw[k].as_py()], pairs) for k in long]))
 
         def batch(n: int, **cols) -> pa.RecordBatch:
             cols["block"] = pa.array(np.full(n, at))
             return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(n, f.type)) for f in _SCHEMA], schema=_SCHEMA)
 
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield batch(len(texts), doc_id=b.column(0), refs=pa.array(list(map(_planes, cutter.cut(texts))), pa.binary()))
-            size += sum(len(t) for t in texts if t)
-            if size >= block or len(cutter.number) >= WORDS:
+            yield batch(b.num_rows, doc_id=b.column(0), refs=pa.array(_planes(*cutter.cut(b.column(1))), pa.binary()))
+            size += pc.sum(pc.utf8_length(b.column(1))).as_py() or 0
+            if size >= block or len(cutter.words) >= WORDS:
                 yield from words()
                 cutter.clear()
                 at, size = at + 1, 0
@@ -286,22 +347,40 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, block: int = BLO
     def assemble(texts: pa.Table, own: pa.Table) -> pa.Table:
         n = len(pieces)
         number, lists = own.column("number").to_numpy(), own.column("ids").combine_chunks()
-        ends, flat = np.asarray(lists.offsets) - lists.offsets[0].as_py() if len(number) else np.zeros(1, int), (np.asarray(lists.flatten()).astype(np.int32) + 32768).tolist()
-        size = np.ones(n + len(number), np.int64)
-        size[n + number] = np.diff(ends)
-        written = list(map(str, range(n)))
-        binary = pieces + [b""] * len(number)
-        digits = written + [""] * len(number)
-        for k, x, y in zip((n + number).tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-            ids = flat[x:y]
-            digits[k] = ",".join([written[t] for t in ids])
-            binary[k] = b"".join([pieces[t] for t in ids])
-        rows: list[tuple] = []
-        for doc, raw in zip(texts.column("doc_id").to_pylist(), texts.column("refs").to_pylist()):
-            refs = _from_planes(raw)
-            at = refs.tolist()
-            rows.append((doc, int(size[refs].sum()), hashlib.sha256(",".join([digits[k] for k in at]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[k] for k in at])).hexdigest()))
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, out.types)], schema=out)
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        flat = pa.array(np.asarray(lists.flatten()).astype(np.int32) + 32768)
+        ends -= ends[0] if len(ends) else 0
+        place = np.arange(n + len(number))
+        place[n + number] = n + np.arange(len(number))
+        size = np.append(np.ones(n, np.int64), np.diff(ends))
+
+        def spelt(written: list[bytes]) -> pa.Array:
+            """Of each id and word: what its ids are written as, one after the other."""
+            ids = pa.array(written, pa.large_binary())
+            _, at, data = ids.take(flat).buffers()
+            upto = np.frombuffer(at, np.int64)[: len(flat) + 1][ends] if len(flat) else np.zeros(len(number) + 1, np.int64)
+            return pa.concat_arrays([ids, pa.Array.from_buffers(pa.large_binary(), len(number), [None, pa.py_buffer(upto.tobytes()), data])])
+
+        def digests(spelling: pa.Array, refs: pa.Array, bounds: np.ndarray, cut: int) -> list[str]:
+            """SHA-256 of each text, less ``cut`` bytes at its end."""
+            _, at, data = spelling.take(refs).buffers()
+            upto = np.frombuffer(at, np.int64)[bounds].tolist() if len(refs) else [0] * len(bounds)
+            view = memoryview(data or b"")
+            return [hashlib.sha256(view[x : max(x, y - cut)]).hexdigest() for x, y in zip(upto, upto[1:])]
+
+        digits, binary = spelt([b"%d," % k for k in range(n)]), spelt(pieces)
+        cols: list[list] = [[], [], [], []]
+        for lo in range(0, texts.num_rows, 1000):
+            some = texts.slice(lo, 1000)
+            refs = [_from_planes(raw) for raw in some.column("refs").to_pylist()]
+            bounds = np.cumsum([0, *map(len, refs)])
+            at = place[np.concatenate(refs)]
+            upto = np.append(0, np.cumsum(size[at]))[bounds]
+            cols[0] += some.column("doc_id").to_pylist()
+            cols[1] += np.diff(upto).tolist()
+            cols[2] += digests(digits, pa.array(at), bounds, 1)
+            cols[3] += digests(binary, pa.array(at), bounds, 0)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)
 
     texts = held.where("refs is not null").select("block", "doc_id", "refs")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

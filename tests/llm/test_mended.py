@@ -56,6 +56,39 @@ def test_bpe_of_marks(spark):
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_cuts_as_the_pattern_does():
+    """20,000 odd texts in batches; the pattern is asked for openings only where letters, marks and line breaks do."""
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    ranks, rng = bpe.load_ranks(vocabulary("byte_bpe_multi_50k.tiktoken")), random.Random(5)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    cutter = bpe.Cutter(ranks, public_tokenizers.PATTERN)
+    token = {v: k for k, v in cutter.ranks.items()}
+    odd = ["a", "foo", "é", "ß", "'s", "don't", "\n", "\n\n", "\r\n", " ", "  ", "\t", "!", "...", "42", "ɐ", "한", "e\u0301", "x_y", "'", "\xa0", "\x1c", "\x85", "\u2028", "𝒳", "İ", "ª", "中文"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(20_000)] + [None, "", " ", "\n", "a \nb", "a\n b"]
+    for k in range(0, len(texts), 700):
+        refs, ends = cutter.cut(pa.array(texts[k : k + 700], pa.string()))
+        for t, x, y in zip(texts[k : k + 700], ends.tolist(), ends[1:].tolist()):
+            assert [token[r] if r < cutter.first else cutter.words[r - cutter.first] for r in refs[x:y].tolist()] == find(t or ""), repr(t)
+    cutter.clear()
+    asked: list[str] = []
+    cutter.find = lambda t: asked.append(t) or find(t)
+    cutter.cut(pa.array([" ".join(f"Wort{'abc'[k % 3] * k}.\nZeile, und so!" for k in range(1, 200))] * 3))
+    assert len(asked) == 3
+
+
+def test_bpe_tables_go_to_a_task_once(spark):
+    """Each literal of the pair map stands once in the fold; they go to every task, element by element."""
+    from pyspark.sql import functions as F
+
+    fold = bpe.merged(F.col("w"), bpe.PairMap({b"a": 0, b"b": 1, b"ab": 2, b"aba": 3}))
+    assert str(fold).count("from_json") == 2
+    rows = spark.createDataFrame([([0, 1, 0, 1],), ([1, 1, 0],), ([0],), ([],)], "w array<int>").select(fold.alias("ids")).collect()
+    assert [r["ids"] for r in rows] == [[2, 2], [1, 1, 0], [0], []]
+
+
 def test_tables_belong_to_their_run(spark):
     """Two runs in two threads keep their last table each, and leave nothing else; a failed run leaves nothing."""
     made, errors = {}, []
